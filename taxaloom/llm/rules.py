@@ -27,7 +27,7 @@ COMMON = {
 }
 SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
-CLASS_LIMIT, WORD_LIMIT = 0.2, 0.6
+CLASS_LIMIT, WORD_LIMIT = 0.21, 0.27
 WINDOW = 8
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
