@@ -1,4 +1,4 @@
-"""All queries of the engine by name, with the DuckDB SQL that gives the same rows."""
+"""All annotation queries by name, with the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import queries as q
+from .oracles import ORACLES
+
+_ROWS_ONLY = ["kmeans_clusters", "iter_merge"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(q, name) for name in [*ORACLES, *_ROWS_ONLY]}
