@@ -11,10 +11,10 @@ Pairs are dropped by bounds from the sizes: the smaller set must hold t times th
 so far plus what is left of the smaller rest must reach t / (1 + t) of both sizes. What remains is
 counted in full, block by block of columns, with the same bound after each block.
 
-Within a column not all pairs are formed. First each member meets one pivot of its column; links found
-that way join documents to components, and only documents of different components meet later: in two
-more rounds with other pivots, and at last each with each. A column of near copies thus costs about its
-length. The result is exact: no pair that could link two components is left out.
+Within a column not all pairs are formed. First each member meets PIVOTS members of its column; links found
+that way join documents to components, and after that only documents of different components meet, each
+with each. A column of near copies thus costs about its length. The result is exact: no pair that could
+link two components is left out.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text with fewer words than n has its whole word sequence as one
 n-gram; null, empty and blank texts have no n-gram and link with nothing. n-grams are compared by 64-bit hashes,
@@ -36,8 +36,10 @@ from .textarrays import SLICE_CHARS, Words, mix, text_slices
 
 #: How many frequent n-grams are moved to the end of the order at most (their list goes to every task), and how often they must have been met.
 FREQUENT, OFTEN = 1 << 17, 8
-PIVOT_ROUNDS = 3
-BLOCKS = 4
+#: Pivots of a column, and blocks of columns of the full count.
+PIVOTS, BLOCKS = 3, 4
+#: A list of at most this many ids is broadcast to pick texts; beyond it the texts are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
@@ -153,85 +155,92 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
     return by_batch(docs.select("text"), "key binary, n long, parts array<array<long>>", make)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets overlap enough, counted block by block of columns."""
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-    met = pairs.join(left, "a").join(right, "b")
-    need = f"ceil({percent} * (na + nb) / {100 + percent}D)"
+def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of class ids whose sets overlap enough, counted block by block of columns in the whole sets of their members."""
+    pairs = written(pairs)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = written(ids.join(classes.select("id", "key", "rep"), "id"))
+    some = wanted.select(F.col("rep").alias("__rep")).distinct()
+    if some.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        some = F.broadcast(some)  # else the texts are shuffled
+    sets = full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi"), n)
+    sets = written(sets.join(wanted.select("key", "id"), "key").select("id", "n", "parts").dropDuplicates(["id"]))
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
+    met = pairs.select("a", "b").join(left, "a").join(right, "b")
     met = met.select("a", "b", "na", "nb", "pa", "pb", F.lit(0).cast("long").alias("same"), F.col("na").alias("ra"), F.col("nb").alias("rb"))
     for k in range(BLOCKS):
-        met = met.select("a", "b", "na", "nb", "pa", "pb", F.expr(f"same + size(array_intersect(pa[{k}], pb[{k}]))").alias("same"), F.expr(f"ra - size(pa[{k}])").alias("ra"), F.expr(f"rb - size(pb[{k}])").alias("rb")).where(f"same + least(ra, rb) >= {need}")
-    return met.where(f"100 * same >= {percent} * (na + nb - same)").select("a", "b")
+        met = met.select("a", "b", "na", "nb", "pa", "pb", F.expr(f"same + size(array_intersect(pa[{k}], pb[{k}]))").alias("same"), F.expr(f"ra - size(pa[{k}])").alias("ra"), F.expr(f"rb - size(pb[{k}])").alias("rb")).where(f"same + least(ra, rb) >= {need(percent)}")
+    return written(met.where(f"100 * same >= {percent} * (na + nb - same)").select("a", "b"))
+
+
+def need(percent: int) -> str:
+    """The overlap that sets of na and nb n-grams need at least."""
+    return f"ceil({percent} * (na + nb) / {100 + percent}D)"
+
+
+def bound(percent: int) -> str:
+    """Whether a pair can reach the overlap it needs: c common n-grams in the first blocks (of pa and pb n-grams), and at most the rest of one set beyond them."""
+    return f"c + greatest(na - pa, nb - pb) >= {need(percent)}"
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, key, component_id) for every row of docs; rows link when 100 |A and B| >= percent |A or B|."""
     table = written(class_table(docs, n, percent))
-    classes = written(table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
-    entries = table.where("n_shingles > 0").join(classes.select("key", "rep"), "key").where("doc_id = rep").dropDuplicates(["key"])
-    entries = entries.select("key", F.col("n_shingles").alias("n"), F.posexplode("block").alias("pos", "gram"))
-    shared_columns = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    entries = written(entries.join(shared_columns, "gram"))
-    # Whole sets only of the classes that share a column with another.
-    wanted = entries.select("key").distinct().join(classes, "key").select(F.col("rep").alias("doc_id")).distinct()
-    sets = full_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(wanted, "doc_id", "left_semi"), n)
-    sets = written(sets.join(entries.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
-
-    # A component is named by its smallest class key; classes without a link name themselves.
-    label = entries.select("key").distinct().select("key", F.col("key").alias("label"))
-    label = written(label)
-    links = None
-    fits = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    left = entries
-    for turn in range(PIVOT_ROUNDS):
-        pivot = left.groupBy("gram").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("p"), F.col("key").alias("key"), F.col("n").alias("n"), *([F.col("label").alias("label")] if turn else []))).alias("p"))
-        met = left.join(pivot.select("gram", F.col("p.key").alias("pkey"), F.col("p.n").alias("pn"), *([F.col("p.label").alias("plabel")] if turn else [])), "gram")
-        met = met.where("key <> pkey and " + fits + (" and label <> plabel" if turn else ""))
-        pairs = met.select(F.least("key", "pkey").alias("a"), F.greatest("key", "pkey").alias("b")).distinct()
-        found = written(linked(pairs, sets, percent))
-        links = found if links is None else links.union(found)
-        left, label, done = _apart(entries, label, links)
-        if done:
-            break
-    else:
-        # Each with each, of different components, with the overlap counted in the first block as a bound.
-        x = left.select("gram", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("label").alias("la"))
-        y = left.select("gram", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("label").alias("lb"))
-        need = f"ceil({percent} * (na + nb) / {100 + percent}D)"
-        met = x.join(y, "gram").where(f"a < b and la <> lb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and least(na - ia, nb - ib) >= 1")
-        counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-        pairs = counted.where(f"c + least(na - ia, nb - ib) - 1 >= {need}").select("a", "b")
-        links = links.union(written(linked(pairs, sets, percent)))
-        _, label, _ = _apart(entries, label, links)
+    full = table.where("n_shingles > 0")
+    classes = written(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    firsts = full.join(classes.select("key", "rep", "id"), "key").where("doc_id <=> rep").dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "block")
+    firsts = written(firsts)
+    entries = firsts.select("id", "n", F.posexplode("block").alias("pos", "gram"))
+    shared = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    entries = written(entries.join(shared, "gram"))
+
+    # First each member of a column meets its pivots.
+    pivots = entries.groupBy("gram").agg(*(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("p"), "id", "n", "pos")).alias(f"p{turn}") for turn in range(PIVOTS)))
+    met = entries.join(pivots.select("gram", F.array_distinct(F.array(*(F.struct(f"p{t}.id", f"p{t}.n", f"p{t}.pos") for t in range(PIVOTS)))).alias("p")), "gram")
+    met = met.select("id", F.col("n").alias("na"), "pos", F.explode("p").alias("p")).select("id", F.col("p.id").alias("to"), "na", F.col("p.n").alias("nb"), F.col("pos").alias("ia"), F.col("p.pos").alias("ib"))
+    met = met.where(f"id <> to and 100 * least(na, nb) >= {percent} * greatest(na, nb) and least(na - ia, nb - ib) >= {need(percent)}")
+    pairs = met.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+    side = lambda x: firsts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("block").alias(f"block_{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", F.size(F.array_intersect("block_a", "block_b"))).withColumn("pa", F.size("block_a")).withColumn("pb", F.size("block_b"))
+    links = linked(pairs.where(bound(percent)).select("a", "b"), docs, classes, n, percent)
+    label = _labels(classes, links)
+
+    # Then, in columns that still hold several components, each meets each of another component.
+    marked = entries.join(label, "id")
+    several = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
+    left = written(marked.join(several, "gram"))
+    half = lambda x: left.select("gram", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"i{x}"), F.col("label").alias(f"l{x}"))
+    met = half("a").join(half("b"), "gram").where(f"a < b and la <> lb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    size = lambda x: f"({x} - cast(ceil({percent} * {x} / 100D) as long) + 1)"
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.min(F.expr("greatest(ia - na, ib - nb)")).alias("gap"))
+    counted = counted.withColumn("pa", F.expr(size("na"))).withColumn("pb", F.expr(size("nb")))
+    pairs = written(counted.where(bound(percent) + f" and -gap >= {need(percent)}").select("a", "b"))
+    if not pairs.isEmpty():
+        label = _labels(classes, links.union(linked(pairs, docs, classes, n, percent)))
 
     # The smallest id of each component, then back to all rows.
-    named = classes.join(label, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
+    named = classes.join(label, "id").select("key", "rep", "label")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = named.join(smallest, "label").select("key", "component_id")
     return table.drop("block").join(of_class, "key", "left").select("doc_id", "n_shingles", "key", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _apart(entries: DataFrame, label: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """The entries of columns that still hold several components, with the labels by all links so far."""
-    root = components(links)
-    label = written(label.select("key").join(root.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("label")))
-    marked = entries.join(label, "key")
-    several = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
-    left = written(marked.join(several, "gram"))
-    return left, label, left.isEmpty()
+def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) of all classes: a class without a link is its own component."""
+    root = components(links).withColumnRenamed("node", "id")
+    return written(classes.select("id").join(root, "id", "left").select("id", F.coalesce("root", "id").alias("label")))
 
 
 def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """The document with the smallest id of each component, with all its columns; rows without n-grams all
-    stay. Rows with the same id and text count once."""
+    stay. Rows with the same id and n-gram set count once."""
     result = jaccard_components(docs, n, percent).where("n_shingles = 0 or doc_id = component_id or doc_id is null")
     # Rows of a component with the same smallest id but other texts: the first class by key stays.
     first = result.where("n_shingles > 0").groupBy("component_id").agg(F.min("key").alias("key"))
     kept = result.where("n_shingles = 0").select("doc_id", "key").union(first.select(F.col("component_id").alias("doc_id"), "key")).distinct()
     names = docs.columns
-    keyed = with_key(docs, n)
-    both = keyed.join(kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k")), (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("__key") == F.col("__k")), "left_semi")
+    both = with_key(docs, n).join(kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k")), (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("__key") == F.col("__k")), "left_semi")
     return both.dropDuplicates(["doc_id", "__key"]).select(*names)
 
 
