@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 GENETIC_CODE = "KNKNTTTTRSRSIIMIQHQHPPPPRRRRLLLLEDEDAAAAGGGGVVVV*Y*YSSSS*CWCLFLF"
 
 
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def upper_ascii(s: Column) -> Column:
+    """a-z to A-Z only: a character stays one character."""
+    return F.translate(s, LOWER, UPPER)
+
+
 def dna(text: Column) -> Column:
     """The A, C, G and T of a text, upper-cased."""
     return F.regexp_replace(F.upper(text), "[^ACGT]", "")

@@ -49,8 +49,9 @@ def confusion_summary(cube: DataFrame, top: int = 7) -> DataFrame:
 
 def cluster_accuracy(composed: DataFrame, cluster: str, genome: str, n: str = "n") -> DataFrame:
     """One row (precision, sensitivity): the share of the largest genome of each cluster, and of the largest cluster of each genome."""
-    best = lambda by: composed.groupBy(by).agg(F.max(n).alias("m"), F.sum(n).alias("s")).agg((F.sum("m") / F.sum("s")).alias("r"))
-    return best(cluster).select(F.col("r").alias("precision")).join(best(genome).select(F.col("r").alias("sensitivity")), F.lit(True))
+    best = lambda by, name: composed.groupBy(by).agg(F.max(n).alias("m"), F.sum(n).alias("s")).agg((F.sum("m") / F.sum("s")).alias("r")).withColumn("name", F.lit(name))
+    both = best(cluster, "precision").union(best(genome, "sensitivity"))
+    return both.agg(*(F.max(F.when(F.col("name") == x, F.col("r"))).alias(x) for x in ("precision", "sensitivity")))
 
 
 def purity(composed: DataFrame, cluster: str, genome: str, n: str = "n") -> DataFrame:

@@ -91,3 +91,11 @@ def lineage_rollup(counts: DataFrame, lineage: str, count: str) -> DataFrame:
     """(prefix, total): counts summed for every prefix of the lineage."""
     p = counts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(lineage)), lambda i: F.array_join(F.slice(lineage, 1, i), ";"))).alias("prefix"), F.col(count).alias("c"))
     return p.groupBy("prefix").agg(F.sum("c").alias("total"))
+
+
+def rank_table(nodes: DataFrame, ranks: list[str]) -> DataFrame:
+    """(tid, l): the ancestors (or the node itself) of each node at the given ranks, 0 where one is missing. nodes: (tid, parent, rank)."""
+    up = closure(nodes.where("tid <> parent").select("parent", F.col("tid").alias("child")))
+    named = up.join(nodes.select(F.col("tid").alias("above"), "rank"), "above")
+    at = [F.coalesce(F.min(F.when(F.col("rank") == r, F.struct("dist", "above")))["above"], F.lit(0)).alias(f"r{i}") for i, r in enumerate(ranks)]
+    return named.groupBy(F.col("node").alias("tid")).agg(*at).select("tid", F.array(*(F.col(f"r{i}") for i in range(len(ranks)))).alias("l"))

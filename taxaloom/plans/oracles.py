@@ -99,8 +99,8 @@ ORACLES: dict[str, str] = {
     "translate_six_frames": f"WITH {B}, {frames('b', 'item_id')} SELECT item_id, frame, protein FROM fp",
     "codon_pack": packed(False),
     "codon_pack_legacy": packed(True),
-    "char_code_bwt": "SELECT item_id, i AS pos, CAST(CASE substr(t, i + 1, 1) WHEN 'A' THEN 4 WHEN 'C' THEN 5 WHEN 'G' THEN 6 WHEN 'T' THEN 7 WHEN 'N' THEN 3 ELSE 2 END AS BIGINT) AS code FROM (SELECT item_id, upper(text) AS t, unnest(range(length(upper(text)))) AS i FROM benchmark)",
-    "base_code_counts": "SELECT doc_id, length(regexp_replace(upper(text), '[ACGT]', '', 'g')) AS other, length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) AS acgt FROM documents",
+    "char_code_bwt": "SELECT item_id, i AS pos, CAST(CASE substr(t, i + 1, 1) WHEN 'A' THEN 4 WHEN 'C' THEN 5 WHEN 'G' THEN 6 WHEN 'T' THEN 7 WHEN 'N' THEN 3 ELSE 2 END AS BIGINT) AS code FROM (SELECT item_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS t, unnest(range(length(text))) AS i FROM benchmark)",
+    "base_code_counts": "SELECT doc_id, length(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[ACGT]', '', 'g')) AS other, length(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGT]', '', 'g')) AS acgt FROM documents",
     "split_lineage": "SELECT p_partkey, CAST(i - 1 AS BIGINT) AS level, t[i] AS name, CASE WHEN i > 1 THEN t[i] || (i - 1) ELSE t[i] END AS uniq FROM (SELECT p_partkey, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT p_partkey, string_split(p_type || ' ' || p_name, ' ') AS t FROM part))",
     "binomial_bound": "SELECT DISTINCT l_quantity AS q, CAST(trunc(l_quantity * (1 + 0.01::DOUBLE * 0.01::DOUBLE - 5 * 0.01::DOUBLE / 3) - sqrt((1 + 0.01::DOUBLE * 0.01::DOUBLE - 5 * 0.01::DOUBLE / 3) * (1 - (1 + 0.01::DOUBLE * 0.01::DOUBLE - 5 * 0.01::DOUBLE / 3)) * l_quantity) * 1.65::DOUBLE) AS BIGINT) AS bound FROM lineitem",
     "cluster_size_estimate": "SELECT lang, CAST(sum(n) AS BIGINT) AS total, CAST(least(greatest(sum(n) // 300, 2), 200) AS BIGINT) AS clusters FROM (SELECT lang, length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) AS n FROM documents) GROUP BY lang",
@@ -168,4 +168,11 @@ ORACLES: dict[str, str] = {
     "cluster_members": "SELECT c_mktsegment AS cluster, c_custkey AS read_id, CASE WHEN c_acctbal > 0 THEN c_name ELSE '< read ' || c_custkey END AS line FROM customer",
     "qmer_profile": f"WITH {D}, k AS (SELECT doc_id, {km('s', 4)} AS m FROM d) SELECT doc_id, least(m, {rc('m')}) AS qmer, count(*) AS n FROM k GROUP BY ALL",
     "read_overlaps": f"WITH RECURSIVE {B}, k AS (SELECT item_id, s, i, substr(s, i, 8) AS m FROM (SELECT item_id, s, unnest(range(1, length(s) - 6)) AS i FROM b)), p AS (SELECT DISTINCT x.item_id AS u, y.item_id AS v, x.i - y.i AS d, x.s AS su, y.s AS sv FROM k x JOIN k y ON x.m = y.m AND x.item_id < y.item_id), o AS (SELECT u, v, substr(CASE WHEN d >= 0 THEN su ELSE sv END, abs(d) + 1) AS a, CASE WHEN d >= 0 THEN sv ELSE su END AS b FROM p), q AS (SELECT u, v, least(length(a), length(b)) AS n, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[i] <> b[i])) AS w FROM o), ed AS (SELECT DISTINCT u, v FROM q WHERE n - w >= 8 AND w <= 1), {reach('ed', 'co')} SELECT node, comp FROM co",
+    "read_mapping": f"WITH {D}, {B}, r AS (SELECT item_id, i, substr(s, i, 12) AS m FROM (SELECT item_id, s, unnest(range(1, length(s) - 10)) AS i FROM b)), c AS (SELECT doc_id, i, substr(s, i, 12) AS m FROM (SELECT doc_id, s, unnest(range(1, length(s) - 10)) AS i FROM d)), p AS (SELECT DISTINCT item_id, doc_id, c.i - r.i AS pos FROM r JOIN c USING (m) WHERE c.i >= r.i), f AS (SELECT item_id, doc_id, pos, b.s AS rs, substr(d.s, pos + 1, length(b.s)) AS cs FROM p JOIN b USING (item_id) JOIN d USING (doc_id) WHERE pos + length(b.s) <= length(d.s)), q AS (SELECT item_id, doc_id, pos, length(rs) AS n, len(list_filter(range(1, length(rs) + 1), lambda i: rs[i] = cs[i])) AS score FROM f), w AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, pos) AS k FROM q WHERE score >= 0.95::DOUBLE * n) SELECT item_id AS read_id, doc_id AS ctg_id, pos, CAST(score AS BIGINT) AS score FROM w WHERE k = 1",
+    "near_best_lca": f"WITH {BEST}, {LIN}, nb AS (SELECT doc_id, item_id FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM sc) WHERE score >= 0.9::DOUBLE * m), g AS (SELECT doc_id, count(DISTINCT l0) AS c0, count(DISTINCT l1) AS c1, min(l0) AS m0, min(l1) AS m1 FROM nb JOIN lin ON item_id % 25 = tid GROUP BY doc_id) SELECT doc_id, CAST(CASE WHEN c0 = 1 THEN 0 WHEN c1 = 1 THEN 1 ELSE 2 END AS BIGINT) AS level, CASE WHEN c0 = 1 THEN m0 WHEN c1 = 1 THEN m1 ELSE 1 END AS taxon FROM g",
+    "threshold_level": "WITH s AS (SELECT l_suppkey, round(avg(l_discount), 6) AS score FROM lineitem GROUP BY 1) SELECT l_suppkey, score, CAST(CASE WHEN score >= 0.055 THEN 0 WHEN score >= 0.052 THEN 1 WHEN score >= 0.05 THEN 2 WHEN score >= 0.045 THEN 3 ELSE 4 END AS BIGINT) AS level FROM s",
+    "rank_lineages": "SELECT CAST(n_nationkey AS BIGINT) + 1000 AS tid, CAST(n_nationkey AS BIGINT) + 1000 AS species, CAST(n_regionkey AS BIGINT) + 100 AS family, CAST(1 AS BIGINT) AS root FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT) + 100, 0, CAST(r_regionkey AS BIGINT) + 100, 1 FROM region UNION ALL SELECT 1, 0, 0, 1",
+    "cluster_species_scores": f"WITH {BEST}, bd AS (SELECT doc_id, item_id % 25 AS tid, max(score) AS score FROM sc GROUP BY ALL) SELECT source, tid, CAST(sum(score) AS BIGINT) AS score FROM bd JOIN nation ON n_nationkey = tid JOIN documents USING (doc_id) WHERE n_regionkey <> 2 GROUP BY source, tid",
+    "cluster_best": f"WITH {BYSRC('sum')}, w AS (SELECT source, arg_max(item_id, (score, -item_id)) AS item_id, max(score) AS score FROM bs GROUP BY source), e AS (SELECT DISTINCT source FROM documents) SELECT e.source, coalesce(item_id, -1) AS item_id, coalesce(item_id % 25, 0) AS tid, coalesce(score, 0) AS score FROM e LEFT JOIN w USING (source)",
+    "ignored_targets": f"WITH {ANN} SELECT doc_id, item_id, score FROM an WHERE item_id % 25 NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import cluster, graph, kmer, protein, report, stats, taxonomy, textindex
+from ..operators import cluster, graph, kmer, mapping, protein, report, stats, taxonomy, textindex
 from ..params import Params
 from ..streaming.contigs import annotate
 
@@ -87,12 +87,12 @@ def codon_pack_legacy(spark, d):
 
 
 def char_code_bwt(spark, d):
-    c = table(spark, d, "benchmark").select("item_id", F.posexplode(S.chars(F.upper("text"))).alias("pos", "ch"))
+    c = table(spark, d, "benchmark").select("item_id", F.posexplode(S.chars(S.upper_ascii(F.col("text")))).alias("pos", "ch"))
     return c.select("item_id", F.col("pos").cast("long").alias("pos"), S.char_code(F.col("ch")).cast("long").alias("code"))
 
 
 def base_code_counts(spark, d):
-    u = F.upper("text")
+    u = S.upper_ascii(F.col("text"))
     return table(spark, d, "documents").select("doc_id", S.not_acgt(u).cast("long").alias("other"), (F.length(u) - S.not_acgt(u)).cast("long").alias("acgt"))
 
 
@@ -508,6 +508,57 @@ def cluster_members(spark, d):
     return report.cluster_members(c.select(F.col("c_mktsegment").alias("cluster"), F.col("c_custkey").alias("read_id")), c.where("c_acctbal > 0").select(F.col("c_custkey").alias("read_id"), F.col("c_name").alias("title")))
 
 
+# Mapping and descent
+
+
+def read_mapping(spark, d):
+    """Benchmark items as reads on the documents: best place by equal bases, at least 95 % of the read."""
+    reads = targets(spark, d).select(F.col("item_id").alias("read_id"), "s")
+    return mapping.map_reads(reads, contigs(spark, d).select(F.col("doc_id").alias("ctg_id"), "s"), P.k, F.col("score") >= 0.95 * F.col("size"))
+
+
+def near_best_lca(spark, d):
+    """The lowest common ancestor of the targets within a tenth of a document's best score."""
+    near = mapping.near_best(best_scores(spark, d), "doc_id", 0.9).withColumn("tid", F.col("item_id") % 25).join(lineage(spark, d), "tid")
+    a = taxonomy.lca(near, "doc_id", "l", 3)
+    return a.select("doc_id", F.col("level").cast("long").alias("level"), F.col("taxon").cast("long").alias("taxon"))
+
+
+def threshold_level(spark, d):
+    s = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_discount"), 6).alias("score"))
+    return s.select("l_suppkey", "score", mapping.risen_level(F.col("score"), [0.055, 0.052, 0.05, 0.045]).cast("long").alias("level"))
+
+
+def rank_lineages(spark, d):
+    """Lineages of nations from a parent table: species (nation), family (region), root."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    nodes = n.select((F.col("n_nationkey").cast("long") + 1000).alias("tid"), (F.col("n_regionkey").cast("long") + 100).alias("parent"), F.lit("species").alias("rank"))
+    nodes = nodes.union(r.select((F.col("r_regionkey").cast("long") + 100).alias("tid"), F.lit(1).cast("long").alias("parent"), F.lit("family").alias("rank"))).union(r.select(F.lit(1).cast("long").alias("tid"), F.lit(1).cast("long").alias("parent"), F.lit("root").alias("rank")).distinct())
+    t = taxonomy.rank_table(nodes, ["species", "family", "root"])
+    return t.select("tid", F.col("l")[0].alias("species"), F.col("l")[1].alias("family"), F.col("l")[2].alias("root"))
+
+
+def cluster_species_scores(spark, d):
+    """Per source, the sum over documents of the best score of each taxon, without the taxa of one family."""
+    by_doc = best_scores(spark, d).groupBy("doc_id", (F.col("item_id") % 25).alias("tid")).agg(F.max("score").alias("score"))
+    kept = by_doc.join(lineage(spark, d), "tid").where(F.col("l")[1] != 3)
+    return kept.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "tid").agg(F.sum("score").alias("score"))
+
+
+def cluster_best(spark, d):
+    """The best target of every source by sum, with its taxon; (-1, 0) without a hit."""
+    won = kmer.best(_by_source(spark, d, F.sum), "source", "item_id")
+    every = table(spark, d, "documents").select("source").distinct()
+    j = every.join(won, "source", "left")
+    return j.select("source", F.coalesce("item_id", F.lit(-1)).alias("item_id"), F.coalesce(F.col("item_id") % 25, F.lit(0)).alias("tid"), F.coalesce("score", F.lit(0)).alias("score"))
+
+
+def ignored_targets(spark, d):
+    """Hits left when the targets of nations of the first region are on the ignore list."""
+    ignore = table(spark, d, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").cast("long").alias("tid"))
+    return annotate_contigs(spark, d).withColumn("tid", F.col("item_id") % 25).join(ignore, "tid", "left_anti").select("doc_id", "item_id", "score")
+
+
 # Composition clusters
 
 

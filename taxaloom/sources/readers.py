@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SPACE = r"\s+"
 
 
+def offsets(df: DataFrame, size: Column, name: str = "at") -> DataFrame:
+    """df with `name`: the sum of size over all rows before, in the order of the files. A running sum within each partition, and the partitions' totals, one row each."""
+    m = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)).withColumn("__size", size.cast("long"))
+    inside = F.sum("__size").over(W.partitionBy("__part").orderBy("__id")) - F.col("__size")
+    totals = m.groupBy("__part").agg(F.sum("__size").alias("t"))
+    before = totals.select("__part", (F.sum("t").over(W.orderBy("__part")) - F.col("t")).alias("__before"))
+    return m.withColumn("__in", inside).join(before, "__part").withColumn(name, F.col("__in") + F.col("__before")).drop("__id", "__part", "__size", "__in", "__before")
+
+
 def fasta(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
     """(file, seq_id, header, seq): records of FASTA files, one task per split; sequences may span lines."""
     raw = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("file"))
@@ -27,7 +37,7 @@ def fasta_folder(spark: SparkSession, path: str, glob: str = "*.fna") -> DataFra
 
 def single_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(file, header, seq) of files that hold one record each."""
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     return raw.select("file", F.regexp_extract("value", r"^>?([^\r\n]*)", 1).alias("header"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), SPACE, "").alias("seq"))
 
 
@@ -57,11 +67,9 @@ def seq_tax(spark: SparkSession, path: str) -> DataFrame:
 
 def regions(spark: SparkSession, path: str) -> DataFrame:
     """(seqid, start, end) from records `seqid n` followed by n pairs, on the same or on following lines of one file."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.filter(F.split(F.col("value"), SPACE), lambda x: x != "").alias("t"))
+    whole = spark.read.text(path, wholetext=True).select(F.filter(F.split(F.col("value"), SPACE), lambda x: x != "").alias("t"), F.col("_metadata.file_path").alias("f"))
     # A token that is no number starts a record: its id; then the count; then the pairs.
-    e = whole.select(F.posexplode("t").alias("i", "x"), F.monotonically_increasing_id().alias("f"))
-    from pyspark.sql import Window as W
-
+    e = whole.select(F.posexplode("t").alias("i", "x"), "f")
     is_id = ~F.col("x").rlike(r"^\d+$")
     start = F.last(F.when(is_id, F.col("i")), ignorenulls=True).over(W.partitionBy("f").orderBy("i"))
     seqid = F.last(F.when(is_id, F.col("x")), ignorenulls=True).over(W.partitionBy("f").orderBy("i"))
@@ -78,11 +86,8 @@ def valid_regions(r: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def index_info(spark: SparkSession, path: str) -> DataFrame:
     """(genome_idx, seqid, taxid, len, path): genome_idx is the line's number from 0."""
-    t = spark.read.text(path).withColumn("i", F.monotonically_increasing_id())
-    from pyspark.sql import Window as W
-
-    p = t.select(F.split("value", "\t").alias("t"), F.row_number().over(W.orderBy("i")).alias("n"))
-    return p.select((F.col("n") - 1).cast("long").alias("genome_idx"), F.col("t")[0].alias("seqid"), F.col("t")[1].try_cast("int").alias("taxid"), F.col("t")[2].try_cast("int").alias("len"), F.col("t")[3].alias("path"))
+    p = offsets(spark.read.text(path), F.lit(1), "n").select(F.split("value", "\t").alias("t"), "n")
+    return p.select(F.col("n").alias("genome_idx"), F.col("t")[0].alias("seqid"), F.col("t")[1].try_cast("int").alias("taxid"), F.col("t")[2].try_cast("int").alias("len"), F.col("t")[3].alias("path"))
 
 
 def taxonomy_nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -92,9 +97,10 @@ def taxonomy_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """(k, i, j, value) of row-major n x n matrices, one after another in one file."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", SPACE), lambda x: x != "")).alias("p", "x"))
-    return whole.select(F.floor(F.col("p") / (n * n)).cast("int").alias("k"), (F.floor(F.col("p") / n) % n).cast("int").alias("i"), (F.col("p") % n).alias("j"), F.col("x").try_cast("double").alias("value"))
+    """(k, i, j, value) of row-major n x n matrices, one after another; line ends have no meaning."""
+    t = spark.read.text(path).select(F.filter(F.split("value", SPACE), lambda x: x != "").alias("t"))
+    p = offsets(t, F.size("t")).select("at", F.posexplode("t").alias("p", "x")).select((F.col("at") + F.col("p")).alias("p"), "x")
+    return p.select(F.floor(F.col("p") / (n * n)).cast("int").alias("k"), (F.floor(F.col("p") / n) % n).cast("int").alias("i"), (F.col("p") % n).cast("int").alias("j"), F.col("x").try_cast("double").alias("value"))
 
 
 def edges(spark: SparkSession, path: str) -> DataFrame:

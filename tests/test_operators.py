@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from taxaloom.operators import cluster, graph, kmer, report, stats, taxonomy, textindex
+from taxaloom.operators import cluster, graph, kmer, mapping, report, stats, taxonomy, textindex
 
 
 def rows(df):
@@ -100,3 +100,19 @@ def test_kmeans_and_merge(spark):
     v = spark.createDataFrame([(i, [1.0, 0.01 * i] if i % 2 else [0.01 * i, 1.0]) for i in range(20)], "id int, e array<double>")
     assert cluster.kmeans(v, 2, "e").select("cluster").distinct().count() == 2
     assert cluster.iterative_merge(v, "e", 6, 0.95).select("cluster").distinct().count() == 2
+
+
+def test_mapping(spark):
+    c = spark.createDataFrame([(1, "ACGTACGGTTCA"), (2, "GGGGACGTACGATT")], "ctg_id int, s string")
+    r = spark.createDataFrame([(7, "ACGTACGG"), (8, "CGTACGAT")], "read_id int, s string")
+    got = rows(mapping.map_reads(r, c, 4, F.col("score") >= 7))
+    assert got == [(7, 1, 0, 8), (8, 2, 5, 8)]
+    g = spark.createDataFrame([(7, 8), (7, 9)], "type int, newtype int")
+    assert rows(mapping.group_links(g, spark.createDataFrame([(7, 1), (8, 2)], "read_id int, ctg_id int"))) == [(1, 2)]
+    x = spark.createDataFrame([(60, 0), (49, 0), (60, 30)], "m int, n int")
+    assert [r[0] for r in x.select(mapping.good_overlap(F.col("m"), F.col("n"))).collect()] == [True, False, False]
+
+
+def test_rank_table(spark):
+    n = spark.createDataFrame([(1, 1, "root"), (2, 1, "genus"), (3, 2, "species"), (4, 1, "species")], "tid int, parent int, rank string")
+    assert rows(taxonomy.rank_table(n, ["species", "genus"])) == [(1, [0, 0]), (2, [0, 2]), (3, [3, 2]), (4, [4, 0])]

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 import duckdb
+import pandas as pd
 import pytest
 
 from taxaloom.plans import catalog
@@ -22,7 +21,7 @@ def connection(sf):
 def same(spark_df, duck_df):
     a, b = spark_df.toPandas(), duck_df
     assert sorted(a.columns) == sorted(b.columns)
-    text = lambda x: sorted(tuple("null" if v is None or isinstance(v, float) and math.isnan(v) else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in x[sorted(a.columns)].itertuples(index=False))
+    text = lambda x: sorted(tuple("null" if pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in x[sorted(a.columns)].itertuples(index=False))
     assert text(a) == text(b)
 
 
