@@ -80,12 +80,13 @@ def test_lm(spark, sf):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
     n = sum(r.n_words for r in rows)
     mean = sum(r.pseudo_ll for r in rows) / n
-    # Better than the best prediction without context: the entropy of the symbols.
+    # About as good as the best prediction without context (the entropy of the symbols) even on this little text.
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    frequent = lm.vocabulary(docs)
+    frequent, counts = lm.vocabulary(docs)
     symbol = np.concatenate([lm.symbols(Words([r.text or ""], lower=True), frequent) for r in docs.select("text").collect()])
-    p = np.bincount(symbol, minlength=lm.SYMBOLS) / len(symbol)
-    assert len(symbol) == n and mean > (p[p > 0] * np.log(p[p > 0])).sum() * 1.02
+    assert counts.tolist() == np.bincount(symbol, minlength=lm.SYMBOLS).tolist()
+    p = counts / len(symbol)
+    assert len(symbol) == n and mean > (p[p > 0] * np.log(p[p > 0])).sum() * 1.01
 
 
 def test_lm_brute_force_and_edges(spark):
