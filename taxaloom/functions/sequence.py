@@ -17,6 +17,11 @@ def upper_ascii(s: Column) -> Column:
     return F.translate(s, LOWER, UPPER)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row. Inside a lambda Spark would compute an expression again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dna(text: Column) -> Column:
     """The A, C, G and T of a text, upper-cased."""
     return F.regexp_replace(F.upper(text), "[^ACGT]", "")
@@ -30,13 +35,13 @@ def reverse_complement(s: Column) -> Column:
 def fragments(s: Column, width: int) -> Column:
     """array<struct<frag, seq>> of tumbling pieces; an empty sequence has one empty piece."""
     last = F.greatest(F.ceil(F.length(s) / width) - 1, F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda f: F.struct(f.alias("frag"), F.substr(s, f * width + 1, F.lit(width)).alias("seq")))
+    return let(s, lambda t: F.transform(F.sequence(F.lit(0), last), lambda f: F.struct(f.alias("frag"), F.substr(t, f * width + 1, F.lit(width)).alias("seq"))))
 
 
 def kmers(s: Column, k: int) -> Column:
     """All k-mers in order; none for a sequence shorter than k."""
-    count = F.length(s) - (k - 1)
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    count = lambda t: F.length(t) - (k - 1)
+    return let(s, lambda t: F.when(count(t) >= 1, F.transform(F.sequence(F.lit(1), count(t)), lambda i: F.substr(t, i, F.lit(k)))).otherwise(F.array().cast("array<string>")))
 
 
 def canonical(kmer: Column) -> Column:
@@ -46,21 +51,21 @@ def canonical(kmer: Column) -> Column:
 
 
 def canonical_pairs(s: Column, k: int) -> Column:
-    """Distinct canonical pairs of a sequence. Only the smaller member is compared: it determines the other."""
-    smaller = F.array_distinct(F.transform(kmers(s, k), lambda x: F.least(x, reverse_complement(x))))
-    return F.transform(smaller, canonical)
+    """Distinct canonical pairs of a sequence; the strand is reversed once, not for each k-mer."""
+    opposite = F.reverse(kmers(reverse_complement(s), k))  # the reverse complement of each k-mer, in the k-mers' order
+    return F.array_distinct(F.zip_with(kmers(s, k), opposite, lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))))
 
 
 def residue(codon: Column) -> Column:
     """The amino acid of a codon; X if a base is unknown."""
     index = F.conv(F.translate(codon, "ACGT", "0123"), 4, 10).cast("int")
-    return F.when(codon.rlike("^[ACGT]{3}$"), F.substr(F.lit(GENETIC_CODE), index + 1, F.lit(1))).otherwise("X")
+    return F.when(F.length(F.translate(codon, "ACGT", "")) == 0, F.substr(F.lit(GENETIC_CODE), index + 1, F.lit(1))).otherwise("X")
 
 
 def translate_codons(s: Column) -> Column:
     """Whole codons from the start; one or two bases left over are dropped."""
-    n = F.floor(F.length(s) / 3).cast("int")
-    return F.when(n >= 1, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: residue(F.substr(s, i * 3 + 1, F.lit(3)))), "")).otherwise("")
+    n = lambda t: F.floor(F.length(t) / 3).cast("int")
+    return let(s, lambda t: F.when(n(t) >= 1, F.array_join(F.transform(F.sequence(F.lit(0), n(t) - 1), lambda i: residue(F.substr(t, i * 3 + 1, F.lit(3)))), "")).otherwise(""))
 
 
 def six_frames(s: Column) -> Column:
@@ -73,14 +78,14 @@ def codon_symbols(s: Column, legacy: bool = False) -> Column:
     """Packed codons: bases other than ACGT are skipped, the last codon may be short, and a symbol is the smaller of the
     base-4 number forwards and backwards, plus 1. legacy: the 1 is added to the backward number only."""
     clean = F.regexp_replace(s, "[^ACGT]", "")
-    n = F.ceil(F.length(clean) / 3).cast("int")
+    n = lambda t: F.ceil(F.length(t) / 3).cast("int")
 
-    def symbol(i: Column) -> Column:
-        digits = F.translate(F.substr(clean, i * 3 + 1, F.lit(3)), "ACTG", "0123")
+    def symbol(t: Column, i: Column) -> Column:
+        digits = F.translate(F.substr(t, i * 3 + 1, F.lit(3)), "ACTG", "0123")
         forward, backward = F.conv(digits, 4, 10).cast("long"), F.conv(F.reverse(digits), 4, 10).cast("long")
         return F.when(forward < backward, forward).otherwise(backward + 1) if legacy else F.least(forward, backward) + 1
 
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(0), n - 1), symbol)).otherwise(F.array().cast("array<long>"))
+    return let(clean, lambda t: F.when(n(t) >= 1, F.transform(F.sequence(F.lit(0), n(t) - 1), lambda i: symbol(t, i))).otherwise(F.array().cast("array<long>")))
 
 
 def char_code(ch: Column) -> Column:
@@ -90,7 +95,7 @@ def char_code(ch: Column) -> Column:
 
 def chars(s: Column) -> Column:
     """The characters of a string."""
-    return F.when(F.length(s) >= 1, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substr(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return let(s, lambda t: F.when(F.length(t) >= 1, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substr(t, i, F.lit(1)))).otherwise(F.array().cast("array<string>")))
 
 
 def not_acgt(s: Column) -> Column:
@@ -120,10 +125,10 @@ def cluster_count(total: Column, per: int, low: int, high: int) -> Column:
 
 def overlap(a: Column, b: Column, shift: Column) -> Column:
     """struct<match, mismatch> of two sequences where b starts shift bases into a."""
-    x = F.substr(a, shift + 1, F.length(a))
-    n = F.least(F.length(x), F.length(b))
-    wrong = F.when(n >= 1, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + (F.substr(x, i, F.lit(1)) != F.substr(b, i, F.lit(1))).cast("int"))).otherwise(0)
-    return F.struct((n - wrong).alias("match"), wrong.alias("mismatch"))
+    n = lambda p: F.least(F.length(p["x"]), F.length(p["y"]))
+    wrong = lambda p: F.when(n(p) >= 1, F.aggregate(F.sequence(F.lit(1), n(p)), F.lit(0), lambda s, i: s + (F.substr(p["x"], i, F.lit(1)) != F.substr(p["y"], i, F.lit(1))).cast("int"))).otherwise(0)
+    both = F.struct(F.substr(a, shift + 1, F.length(a)).alias("x"), b.alias("y"))
+    return let(both, lambda p: let(wrong(p), lambda w: F.struct((n(p) - w).alias("match"), w.alias("mismatch"))))
 
 
 def genome_of(sid: Column) -> Column:

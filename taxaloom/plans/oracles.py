@@ -134,8 +134,8 @@ ORACLES: dict[str, str] = {
     "cluster_topk_max": f"WITH {BYSRC('max')}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, item_id) AS rank FROM bs) SELECT * FROM r WHERE rank <= 10",
     "topk_relative_cut": f"WITH {BYSRC('sum')}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, item_id) AS rank, max(score) OVER (PARTITION BY source) AS best FROM bs) SELECT source, item_id, score, rank FROM r WHERE rank <= 20 AND score * 20 >= best",
     "virtual_contigs": f"WITH {B} SELECT item_id // 4 AS genome, string_agg(CAST(item_id AS VARCHAR), '_' ORDER BY item_id) AS ids, string_agg(s, repeat('N', 100) ORDER BY item_id) AS seq FROM b GROUP BY 1",
-    "entropy_majority": "WITH n AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY o_custkey) AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, v) AS r FROM n) SELECT o_custkey, round(-sum(p * ln(p)), 6) AS entropy, max(v) FILTER (r = 1) AS majority FROM p GROUP BY 1",
-    "level_by_entropy": "WITH e AS (SELECT o_custkey, 0 AS level, o_orderpriority AS v FROM orders UNION ALL SELECT o_custkey, 1, o_orderstatus FROM orders UNION ALL SELECT o_custkey, 2, CAST(year(o_orderdate) AS VARCHAR) FROM orders), n AS (SELECT o_custkey, level, v, count(*) AS n FROM e GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY o_custkey, level) AS p, row_number() OVER (PARTITION BY o_custkey, level ORDER BY n DESC, v) AS r FROM n), t AS (SELECT o_custkey, level, round(-sum(p * ln(p)), 6) AS entropy, max(v) FILTER (r = 1) AS majority FROM p GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY entropy >= 0.5 DESC, CASE WHEN entropy >= 0.5 THEN -level ELSE level END) AS k FROM t) SELECT o_custkey, CAST(level AS BIGINT) AS level, entropy, majority FROM k WHERE k = 1",
+    "entropy_majority": "WITH n AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY o_custkey) AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, v) AS r FROM n) SELECT o_custkey, abs(round(sum(p * ln(p)), 6)) AS entropy, max(v) FILTER (r = 1) AS majority FROM p GROUP BY 1",
+    "level_by_entropy": "WITH e AS (SELECT o_custkey, 0 AS level, o_orderpriority AS v FROM orders UNION ALL SELECT o_custkey, 1, o_orderstatus FROM orders UNION ALL SELECT o_custkey, 2, CAST(year(o_orderdate) AS VARCHAR) FROM orders), n AS (SELECT o_custkey, level, v, count(*) AS n FROM e GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY o_custkey, level) AS p, row_number() OVER (PARTITION BY o_custkey, level ORDER BY n DESC, v) AS r FROM n), t AS (SELECT o_custkey, level, abs(round(sum(p * ln(p)), 6)) AS entropy, max(v) FILTER (r = 1) AS majority FROM p GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY entropy >= 0.5 DESC, CASE WHEN entropy >= 0.5 THEN -level ELSE level END) AS k FROM t) SELECT o_custkey, CAST(level AS BIGINT) AS level, entropy, majority FROM k WHERE k = 1",
     "score_max_share": f"WITH {COMP} SELECT l_suppkey, round(max(p), 6) AS max_share FROM cp GROUP BY 1",
     "score_top2_gap": f"WITH {COMP} SELECT l_suppkey, round((max(n) - coalesce(max(n) FILTER (r = 2), 0)) / sum(n), 6) AS top2_gap FROM cp GROUP BY 1",
     "composition_log2": f"WITH {COMP} SELECT l_suppkey, round(sum(p * log2(p)), 6) AS log2_sum FROM cp GROUP BY 1",
