@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import by_batch, written
 from .components import components
 
-BLOCKS, TILE, GRID = 4, 2048, 1
-SEED = 17
+BLOCKS, GRID = 4, 1
+#: Vectors of a cell that go to one task's group, and of a step in numpy.
+PART, TILE = 16384, 512
+SEED, SLACK = 17, 1e-5
 
 
 def rotation(d: int) -> np.ndarray:
@@ -108,21 +110,24 @@ def compare(left: pd.DataFrame, right: pd.DataFrame, least: float, b: int) -> pd
     spans = cuts(d)
     q = rotation(d).T
     tx, ty = x @ q, y @ q
+    lo, hi = spans[b]
+    # -distance^2 / 2 in the block as one product in single precision; SLACK covers its rounding, and what passes is checked in double.
+    lift = lambda v, own: np.column_stack([v[:, lo:hi], -0.5 * (v[:, lo:hi] ** 2).sum(1), np.ones(len(v))] if own else [v[:, lo:hi], np.ones(len(v)), -0.5 * (v[:, lo:hi] ** 2).sum(1)]).astype(np.float32)
+    p, r = lift(tx, True), lift(ty, False).T.copy()
     found_a, found_b = [], []
     for k in range(0, len(x), TILE):
         for m in range(0, len(y), TILE):
-            lo, hi = spans[b]
-            p, r = tx[k : k + TILE, lo:hi], ty[m : m + TILE, lo:hi]
-            near = (p * p).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * (p @ r.T) <= limit * (hi - lo) / d
-            i, j = np.nonzero(near)
-            keep = nx[k + i] < ny[m + j]
-            i, j = k + i[keep], m + j[keep]
+            near = np.flatnonzero(p[k : k + TILE] @ r[:, m : m + TILE] >= -0.5 * limit * (hi - lo) / d - SLACK)
+            wide = min(TILE, len(y) - m)
+            i, j = k + near // wide, m + near % wide
+            keep = nx[i] < ny[j]
+            i, j = i[keep], j[keep]
             for s in range(0, len(i), 1 << 16):
                 u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                 ok = (x[u] * y[v]).sum(1) >= least
                 u, v = u[ok], v[ok]
                 diff = (tx[u] - ty[v]) ** 2
-                first = np.ones(len(u), bool)
+                first = diff[:, lo:hi].sum(1) <= limit * (hi - lo) / d
                 for e, f in spans[:b]:
                     first &= diff[:, e:f].sum(1) > limit * (f - e) / d
                 found_a.append(u[first])
@@ -140,9 +145,9 @@ def compare(left: pd.DataFrame, right: pd.DataFrame, least: float, b: int) -> pd
 def link_parts(vectors: DataFrame, least: float) -> DataFrame:
     """(node, to, other): either a count of links (other -1) or a link of a spanning forest. vectors: (node, embedding, weight)."""
     placed = written(cells(vectors, least))
-    # A cell of n rows is dealt into ceil(n / (4 TILE)) parts of homes and of others; every pair of parts is one task's group.
+    # A cell of n rows is dealt into ceil(n / PART) parts of homes and of others; every pair of parts is one task's group.
     size = placed.groupBy("d", "block", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).where("homes > 0")
-    size = size.select("d", "block", "cell", F.expr(f"cast(ceil(n / {4 * TILE}D) as int)").alias("parts"))
+    size = size.select("d", "block", "cell", F.expr(f"cast(ceil(n / {PART}D) as int)").alias("parts"))
     dealt = placed.join(size, ["d", "block", "cell"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     home = dealt.where("home").withColumn("part", F.explode(every)).select("d", "block", "cell", F.col("own").alias("i"), F.col("part").alias("j"), "node", "weight", "embedding", F.lit(True).alias("left"))

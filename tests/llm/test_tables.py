@@ -108,8 +108,8 @@ def brute_vectors(rows, least):
     return sorted((k, links[i], low[find(i)], k == low[find(i)]) for i, (k, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("tile", [2048, 8])
-def test_vectors(spark, monkeypatch, tile):
+@pytest.mark.parametrize("part", [16384, 8])
+def test_vectors(spark, monkeypatch, part):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 16)).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(base)]
@@ -117,7 +117,7 @@ def test_vectors(spark, monkeypatch, tile):
         rows.append((100 + i, (base[rng.integers(10)] + rng.normal(0, 0.2, 16)).astype(np.float32).tolist()))
     rows += [(400 + i, rows[3][1]) for i in range(5)] + [(500, None), (501, []), (502, [0.0] * 16), (503, [float("nan")] * 16), (504, [1.0] * 8), (505, [1.0] * 8), (506, (2 * base[3]).tolist()), (507, [None] * 16), (508, [float("inf")] + [1.0] * 15)]
     df = spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id long, embedding array<float>, node int")
-    monkeypatch.setattr(embed, "TILE", tile)
+    monkeypatch.setattr(embed, "PART", part)
     got = sorted(tuple(r) for r in embed.near_duplicates(df.select("vec_id", "embedding")).collect())
     assert got == brute_vectors(rows, 0.9)
     assert embed.near_duplicates(df.limit(0)).count() == 0
