@@ -24,6 +24,7 @@ from .common import scratch, written
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 RECORDS_PER_FILE = 2000
+BROADCAST_COPIES = 100_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -41,12 +42,15 @@ def classified(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     A payload of fewer than least_bytes bytes is always a response."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    p = p.withColumn("hash", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("row", F.monotonically_increasing_id())
+    p = p.withColumn("hash", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
     p = p.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     order = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("id"), F.xxhash64("url").alias("u"), F.col("url").alias("url"))
     first = p.where(F.col("bytes") >= least_bytes).groupBy("hash").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Only payloads that occur again take part in the join by content; the smallest id is looked up there.
-    j = p.drop("row").join(first.select("hash", "first"), "hash", "left")
+    # Only payloads that occur again have a row here. A short list of them is broadcast after it has been counted; with a long one the pages are shuffled.
+    first = written(first.select("hash", "first"))
+    if first.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES:
+        first = F.broadcast(first)
+    j = p.join(first, "hash", "left")
     own = (F.col("first").isNull()) | (F.col("first") == order)
     return j.select("page_id", "url", "payload", "bytes", "digest", "hash", F.when(~own, F.col("first.id")).alias("refers_to"), (~own).alias("revisit"))
 
