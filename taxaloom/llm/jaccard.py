@@ -184,8 +184,17 @@ def bound(percent: int) -> str:
     return f"c + greatest(na - pa, nb - pb) >= {need(percent)}"
 
 
+def within_bound(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can still reach the overlap they need, by the overlap of their first blocks."""
+    side = lambda x: firsts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("block").alias(f"block_{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", F.size(F.array_intersect("block_a", "block_b"))).withColumn("pa", F.size("block_a")).withColumn("pb", F.size("block_b"))
+    return met.where(bound(percent)).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, key, component_id) for every row of docs; rows link when 100 |A and B| >= percent |A or B|."""
+    """(doc_id, n_shingles, key, component_id, label) for every row of docs; rows link when 100 |A and B| >= percent |A or B|.
+
+    label names the component also where all its ids are null; it is null for rows without n-grams."""
     table = written(class_table(docs, n, percent))
     full = table.where("n_shingles > 0")
     classes = written(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")).withColumn("id", F.monotonically_increasing_id()))
@@ -201,9 +210,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     met = met.select("id", F.col("n").alias("na"), "pos", F.explode("p").alias("p")).select("id", F.col("p.id").alias("to"), "na", F.col("p.n").alias("nb"), F.col("pos").alias("ia"), F.col("p.pos").alias("ib"))
     met = met.where(f"id <> to and 100 * least(na, nb) >= {percent} * greatest(na, nb) and least(na - ia, nb - ib) >= {need(percent)}")
     pairs = met.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
-    side = lambda x: firsts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("block").alias(f"block_{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", F.size(F.array_intersect("block_a", "block_b"))).withColumn("pa", F.size("block_a")).withColumn("pb", F.size("block_b"))
-    links = linked(pairs.where(bound(percent)).select("a", "b"), docs, classes, n, percent)
+    links = linked(within_bound(pairs, firsts, percent), docs, classes, n, percent)
     label = _labels(classes, links)
 
     # Then, in columns that still hold several components, each meets each of another component.
@@ -211,19 +218,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     several = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
     left = written(marked.join(several, "gram"))
     half = lambda x: left.select("gram", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"i{x}"), F.col("label").alias(f"l{x}"))
-    met = half("a").join(half("b"), "gram").where(f"a < b and la <> lb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    size = lambda x: f"({x} - cast(ceil({percent} * {x} / 100D) as long) + 1)"
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.min(F.expr("greatest(ia - na, ib - nb)")).alias("gap"))
-    counted = counted.withColumn("pa", F.expr(size("na"))).withColumn("pb", F.expr(size("nb")))
-    pairs = written(counted.where(bound(percent) + f" and -gap >= {need(percent)}").select("a", "b"))
+    # At the first column that a pair shares, all its common n-grams are still ahead in both sets.
+    met = half("a").join(half("b"), "gram").where(f"a < b and la <> lb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and least(na - ia, nb - ib) >= {need(percent)}")
+    pairs = written(within_bound(met.select("a", "b").distinct(), firsts, percent))
     if not pairs.isEmpty():
         label = _labels(classes, links.union(linked(pairs, docs, classes, n, percent)))
 
     # The smallest id of each component, then back to all rows.
     named = classes.join(label, "id").select("key", "rep", "label")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(smallest, "label").select("key", "component_id")
-    return table.drop("block").join(of_class, "key", "left").select("doc_id", "n_shingles", "key", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_class = named.join(smallest, "label").select("key", "component_id", "label")
+    return table.drop("block").join(of_class, "key", "left").select("doc_id", "n_shingles", "key", "label", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -235,10 +240,10 @@ def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """The document with the smallest id of each component, with all its columns; rows without n-grams all
     stay. Rows with the same id and n-gram set count once."""
-    result = jaccard_components(docs, n, percent).where("n_shingles = 0 or doc_id = component_id or doc_id is null")
-    # Rows of a component with the same smallest id but other texts: the first class by key stays.
-    first = result.where("n_shingles > 0").groupBy("component_id").agg(F.min("key").alias("key"))
-    kept = result.where("n_shingles = 0").select("doc_id", "key").union(first.select(F.col("component_id").alias("doc_id"), "key")).distinct()
+    result = jaccard_components(docs, n, percent)
+    # Of rows of a component with the smallest id but other texts, the first by key.
+    first = result.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("m"))
+    kept = result.where("n_shingles = 0").select("doc_id", "key").union(first.select("m.doc_id", "m.key")).distinct()
     names = docs.columns
     both = with_key(docs, n).join(kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k")), (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("__key") == F.col("__k")), "left_semi")
     return both.dropDuplicates(["doc_id", "__key"]).select(*names)
