@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from taxaloom.llm.common import written
 
 
 def test_stages(spark, sf):
@@ -8,11 +9,12 @@ def test_stages(spark, sf):
     columns = docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = docs
-        docs = stage(spark, docs, sf)
+        docs = written(stage(spark, docs, sf))
         if k < 4:
             assert docs.columns == columns, name
+            assert docs.join(before, columns, "left_anti").count() == 0, name
             if name != "mixing_sources":
-                assert docs.exceptAll(before).count() == 0
+                assert docs.count() == docs.distinct().count() > 0.5 * before.count(), name
     assert docs.count() > 0 and "piece_ids" in docs.columns
 
 
