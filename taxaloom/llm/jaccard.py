@@ -96,7 +96,7 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                         seen.add(key)
                         held.append(x)
                         size += len(x)
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield rows()
                     size = 0
         yield rows()

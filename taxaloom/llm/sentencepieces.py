@@ -278,7 +278,7 @@ def encode(df: DataFrame, model_file: str, key: Column, text: str = "text", seed
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             keys = batch.column("__key").to_numpy(zero_copy_only=False).view(np.uint64)
-            for first, texts in text_slices(batch.column(text), SLICE_CHARS // 2):
+            for first, texts in text_slices(batch.column(text), SLICE_CHARS):
                 ids, at = sample(texts, keys[first : first + len(texts)])
                 part = batch.slice(first, len(texts))
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))

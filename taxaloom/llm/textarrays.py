@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -53,7 +53,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of code points: a rolling polynomial, then mixed with the length."""
-    size = 1 << max(20, int(len(cp) + 1).bit_length())
+    size = 1 << max(18, int(len(cp) + 1).bit_length())
     up, down = _powers(size)
     total = np.zeros(len(cp) + 1, np.uint64)
     np.cumsum(mix(cp.astype(np.uint64) + np.uint64(1)) * up[: len(cp)], dtype=np.uint64, out=total[1:])
