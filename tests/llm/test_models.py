@@ -107,3 +107,47 @@ def test_lm_brute_force_and_edges(spark):
         if len(s) <= 50:
             assert abs(total - r.pseudo_ll) < 1e-3
     assert lm.score(docs.limit(0), lm.fit(docs.limit(0))).count() == 0
+
+
+def test_lm_predicts_words_not_buckets(spark, monkeypatch):
+    # 150 words, so that some are in buckets; of these, those that the corpus has more often are likelier in the same place.
+    common = [f"w{i}" for i in range(lm.FREQUENT)]
+    texts = [" ".join(common)] * 9 + ["rareword zzqxj"] + ["rareword"] * 3 + [f"once{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for listed in (lm.LISTED, 114):
+        monkeypatch.setattr(lm, "LISTED", listed)
+        words, params = lm.fit(docs)
+        counts = {t: sum(x.split().count(t) for x in texts) for t in {t for x in texts for t in x.split()}}
+        assert len(words.listed) == (len(counts) if listed > 114 else lm.FREQUENT + 1)
+        rows = {r.text: r for r in lm.score(docs, (words, params)).collect()}
+        w = Words(["rareword", "once7", "zzqxj"], lower=True)
+        cls = lm.classes(w, words.frequent)
+        assert (cls >= lm.FREQUENT).all()
+        given = lm.within_class(w, words)
+        pad = np.full((1, len(lm.OFFSETS)), lm.PAD)
+        for k, t in enumerate(["rareword", "once7"]):
+            assert abs(rows[t].pseudo_ll - lm.log_probabilities(params, pad, cls[k : k + 1])[0] - given[k]) < 1e-3
+        in_class = Words(sorted(counts), lower=True)
+        same_class = lm.classes(in_class, words.frequent) == cls[0]
+        whole = sum(counts[t] for t, ok in zip(sorted(counts), same_class, strict=True) if ok)
+        assert abs(given[0] - np.log(4 / (whole + 1))) < 1e-5
+        # What listed words leave of a class is shared by spelling; unseen strings that are unlike words get less.
+        seen = np.exp(lm.within_class(in_class, words)[same_class]).sum()
+        assert seen < 1
+        a, b = lm.within_class(Words(["once99"]), words)[0], lm.within_class(Words(["xq#kvz"]), words)[0]
+        assert a - words.within[lm.classes(Words(["once99"]), words.frequent)[0]] > b - words.within[lm.classes(Words(["xq#kvz"]), words.frequent)[0]]
+
+
+def test_lm_spelling_is_a_distribution():
+    rng = np.random.default_rng(1)
+    table = rng.random((lm.UNITS, lm.UNITS))
+    table[:, [*range(97), *range(99, lm.EDGE)]] = 0  # only a, b and the end
+    with np.errstate(divide="ignore"):
+        table = np.log(table / table.sum(1, keepdims=True)).ravel()
+    from itertools import product
+
+    texts = ["".join(p) for n in range(1, 15) for p in product("ab", repeat=n)]
+    w = Words([" ".join(texts)])
+    total = np.exp(lm.spelled(w, np.arange(len(texts)), table)).sum()
+    empty = np.exp(table[lm.EDGE * lm.UNITS + lm.EDGE])
+    assert 0.98 < total + empty <= 1 + 1e-9
