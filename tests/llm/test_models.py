@@ -151,3 +151,33 @@ def test_lm_spelling_is_a_distribution():
     total = np.exp(lm.spelled(w, np.arange(len(texts)), table)).sum()
     empty = np.exp(table[lm.EDGE * lm.UNITS + lm.EDGE])
     assert 0.98 < total + empty <= 1 + 1e-9
+
+
+def test_lm_trains_on_every_word(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOB", 7)
+    texts = ["one", "a b", "a b", "a b", None, "", "c d e f g h i j k l", "a " * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words, _ = lm.vocabulary(docs)
+    got = sorted(tuple(x) for r in lm.windows(docs, words.frequent).collect() for x in np.frombuffer(r.windows, np.uint8).reshape(-1, len(lm.OFFSETS) + 1).tolist())
+    want = []
+    for t in texts:
+        s = lm.symbols(Words([t or ""], lower=True), words).tolist()
+        want += [(*(s[i + o] if 0 <= i + o < len(s) else lm.PAD for o in lm.OFFSETS), s[i]) for i in range(len(s))]
+    assert got == sorted(want)
+
+
+def test_lm_gradient():
+    rng = np.random.default_rng(5)
+    window = rng.integers(0, lm.SYMBOLS, (40, len(lm.OFFSETS) + 1))
+    window[0, 0] = lm.PAD
+    params = [p.astype(np.float64) for p in lm.initial(np.ones(lm.SYMBOLS))]
+    loss = lambda p: -lm.log_probabilities(p, window[:, :-1], window[:, -1]).mean()
+    moved = [p.copy() for p in params]
+    lm.train(moved, window, 1e-4)
+    # The first step of Adam is the sign of the gradient.
+    for at in [(0, lm.PAD, 3), (1, window[5, 1], 0), (3, window[7, 3], 31)]:
+        up, down = [p.copy() for p in params], [p.copy() for p in params]
+        up[0][at] += 1e-3
+        down[0][at] -= 1e-3
+        slope = loss(up) - loss(down)
+        assert (moved[0][at] - params[0][at]) * slope < 0
