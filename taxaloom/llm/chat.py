@@ -3,7 +3,10 @@
 A record is a JSON object in any of several layouts: a prompt with a response, an instruction with input
 and output, a list of messages, and so on. The hash of its nested field paths (names without types, from the
 parsed value) selects a declared layout, whose mapping gives the canonical turns (role, text). Records
-of a layout that is not declared have null turns, formatted text and masks.
+of a layout that is not declared, and those that are no valid JSON, have null turns, formatted text and masks.
+Texts have no length limit of their own: long records are reduced to their field names before the fingerprint is taken. A conversation
+must fit in one row: its record in 2^30 characters, which Spark's string functions hold, and its turns without texts in the 128 MiB of a variant
+(some millions of turns). Beyond that a record of as_records raises an error (`strict`).
 
 The template writes `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Inside roles and texts a backslash is
 doubled and `<|` becomes `<\\|`, so control strings never occur inside; a newline in a role becomes `\\n`. The
@@ -20,11 +23,20 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = "role string, text string"
+#: Records over this many bytes are parsed for their paths without their texts, as parsed values have limits (20,000,000 characters, 128 MiB).
+LONG = 1 << 24
+JSON = {"maxStringLen": str(2**31 - 1), "columnNameOfCorruptRecord": "__broken"}
+_INSIDE = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+
+
+def blanked(value: Column) -> Column:
+    """A JSON text with empty strings as values; names stay. Possessive, so that it needs no stack."""
+    return F.regexp_replace(value, rf'(?s)("{_INSIDE}"\s*+:)|("){_INSIDE}(")', "$1$2$3")
 
 
 def paths(value: Column) -> Column:
     """The nested field names of a JSON text, without types: from the schema of its variant."""
-    schema = F.schema_of_variant(F.try_parse_json(value))
+    schema = F.schema_of_variant(F.try_parse_json(F.when(F.octet_length(value) > LONG, blanked(value)).otherwise(value)))
     return F.regexp_replace(F.regexp_replace(schema, r"OBJECT<|ARRAY<", "<"), r"\b(STRING|VOID|BIGINT|BOOLEAN|DOUBLE|VARIANT|DECIMAL\(\d+,\d+\)|DECIMAL|FLOAT|INT|OBJECT|ARRAY)\b", "")
 
 
@@ -37,8 +49,8 @@ def _fields(*pairs: tuple[str, str]):
     schema = ", ".join(f"`{name}` string" for name, _ in pairs)
 
     def turns(value: Column) -> Column:
-        x = F.from_json(value, schema)
-        return F.array(*(F.struct(F.lit(role).alias("role"), F.coalesce(x[name], F.lit("")).alias("text")) for name, role in pairs))
+        x = F.from_json(value, f"{schema}, __broken string", JSON)
+        return F.when(x["__broken"].isNull(), F.array(*(F.struct(F.lit(role).alias("role"), F.coalesce(x[name], F.lit("")).alias("text")) for name, role in pairs)))
 
     return turns
 
@@ -47,9 +59,9 @@ def _messages(name: str, role: str, text: str, roles: dict[str, str] | None = No
     """A mapping from a list of objects to turns."""
 
     def turns(value: Column) -> Column:
-        x = F.from_json(value, f"`{name}` array<struct<`{role}`: string, `{text}`: string>>")[name]
+        x = F.from_json(value, f"`{name}` array<struct<`{role}`: string, `{text}`: string>>, __broken string", JSON)
         as_role = lambda r: F.coalesce(*(F.when(r == a, b) for a, b in (roles or {}).items()), r, F.lit(""))
-        return F.transform(x, lambda m: F.struct(as_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+        return F.when(x["__broken"].isNull(), F.transform(x[name], lambda m: F.struct(as_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))))
 
     return turns
 
@@ -67,13 +79,15 @@ LAYOUTS = [
 ]
 
 
-def canonical(records: DataFrame, record: str = "record") -> DataFrame:
-    """All columns of records, fingerprint and turns."""
+def canonical(records: DataFrame, record: str = "record", strict: bool = False) -> DataFrame:
+    """All columns of records, fingerprint and turns. Where strict, as for records that were built here, a record without turns is an error."""
     r = records.withColumn("fingerprint", fingerprint(F.col(record)))
     turns = F.lit(None).cast(f"array<struct<{TURN.replace(' string', ': string')}>>")
     for examples, mapping in LAYOUTS:
         known = F.array(*(fingerprint(F.lit(e)) for e in examples))
         turns = F.when(F.array_contains(known, F.col("fingerprint")), mapping(F.col(record))).otherwise(turns)
+    if strict:
+        turns = F.coalesce(turns, F.raise_error(F.concat(F.lit("a conversation's record can't be parsed; its bytes: "), F.coalesce(F.octet_length(F.col(record)).cast("string"), F.lit("null")))))
     return r.withColumn("turns", turns)
 
 

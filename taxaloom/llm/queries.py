@@ -70,7 +70,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
-    return chat.digests(chat.formatted(chat.canonical(chat.as_records(rows.unionByName(extra)))))
+    return chat.digests(chat.formatted(chat.canonical(chat.as_records(rows.unionByName(extra)), strict=True)))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_jaccard_join, op4_lm_scoring, op5_mixing, op6_language_id, op7_warc, op8_embedding_dedup, op9_quality_rules, op10_chat_formatting)}

@@ -185,3 +185,29 @@ def test_chat_round_trip(spark):
         assert [tuple(x) for x in out[c].back] == want
         assert out[c].loss == "".join(t for role, t in want if role == "assistant")
     assert chat.digests(done.limit(0)).count() == 0
+
+
+def test_chat_blanked(spark):
+    import json
+
+    value = {'a"\\': 'x"y\\', "b": [{"c:": ": \n", "d": 1}, "e", {"f": {}}], "": "\\" * 50000 + '"'}
+    df = spark.createDataFrame([(json.dumps(value),), (json.dumps(value, indent=1).replace('":', '" :'),), ('{"a": "open',), (None,)], "v string")
+    got = [r.b for r in df.select(chat.blanked(F.col("v")).alias("b")).collect()]
+    assert json.loads(got[0]) == json.loads(got[1]) == {'a"\\': "", "b": [{"c:": "", "d": 1}, "", {"f": {}}], "": ""}
+    assert got[2] == '{"a": "open' and got[3] is None
+
+
+def test_chat_long_texts(spark):
+    size = 20_000_001
+    roles = [["user", "assistant"], ["system", "user", "assistant"], ["assistant", "user"]]
+    rows = [(i, j, r, f"t{i}{j}\n") for i, rs in enumerate(roles) for j, r in enumerate(rs)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("text", F.when(F.col("role") == "assistant", F.concat("text", F.repeat(F.lit("x"), size))).otherwise(F.col("text")))
+    out = {r.conv_id: r for r in chat.digests(chat.formatted(chat.canonical(chat.as_records(df), strict=True))).collect()}
+    for i, rs in enumerate(roles):
+        text = "".join(f"{r}\nt{i}{j}\n" + ("x" * size if r == "assistant" else "") + "\n" for j, r in enumerate(rs))
+        assert (out[i].n_turns, out[i].turns_sha256, out[i].loss_chars) == (len(rs), hashlib.sha256(text.encode()).hexdigest(), size + 4)
+    # A long record that is no JSON has no turns, and is an error where it was built here.
+    broken = spark.range(1).select(F.concat(F.lit('{"prompt":"\\q","response":"'), F.repeat(F.lit("x"), size), F.lit('"}')).alias("record"))
+    assert chat.canonical(broken).select("turns").first().turns is None
+    with pytest.raises(Exception, match="can't be parsed"):
+        chat.canonical(broken, strict=True).select("turns").collect()
