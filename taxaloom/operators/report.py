@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import written
+
 
 def joined_in_order(value: Column, order: Column, separator: str) -> Column:
     """An aggregate: values joined in an order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"]), separator)
 
 
+def ranked(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame:
+    """All rows of df with their place from 1 in the order of the keys. Range partitions, written once with their numbers, a running
+    count within each, and the partitions' totals, one row each."""
+    parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    m = written(parts.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()))
+    totals = m.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = totals.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    inside = m.withColumn("__in", F.row_number().over(W.partitionBy("__part").orderBy("__id")))
+    return inside.join(before, "__part").select(*df.columns, (F.col("__in") + F.col("__before")).alias(name))
+
+
 def score_lines(scores: DataFrame, contigs: DataFrame, least: float) -> DataFrame:
     """(ctg_id, line): `target score ...` of scores at or above least; contigs without one get an empty line."""
     s = scores.where(F.col("score") >= least).groupBy("ctg_id").agg(joined_in_order(F.concat_ws(" ", "sid", "score"), F.col("sid"), " ").alias("line"))

@@ -164,6 +164,7 @@ ORACLES: dict[str, str] = {
     "read_contig_map": f"WITH {MAP} SELECT doc_id, item_id FROM rm",
     "unassigned_bucket": f"WITH {ANN} SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM an) GROUP BY source",
     "multi_key_sort": "SELECT l_returnflag, l_linestatus, l_quantity, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, row_number() OVER (ORDER BY l_returnflag, l_linestatus, l_quantity DESC, l_orderkey, l_linenumber) AS rank FROM lineitem QUALIFY rank <= 100",
+    "multi_key_sort_all": "SELECT l_returnflag, l_linestatus, l_quantity, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, row_number() OVER (ORDER BY l_returnflag, l_linestatus, l_quantity DESC, l_orderkey, l_linenumber) AS rank FROM lineitem",
     "score_lines": f"WITH {ANN}, l AS (SELECT doc_id, string_agg(item_id || ' ' || score, ' ' ORDER BY item_id) AS line FROM an GROUP BY 1) SELECT d.doc_id AS ctg_id, coalesce(line, '') AS line FROM d LEFT JOIN l USING (doc_id)",
     "cluster_members": "SELECT c_mktsegment AS cluster, c_custkey AS read_id, CASE WHEN c_acctbal > 0 THEN c_name ELSE '< read ' || c_custkey END AS line FROM customer",
     "qmer_profile": f"WITH {D}, k AS (SELECT doc_id, {km('s', 4)} AS m FROM d) SELECT doc_id, least(m, {rc('m')}) AS qmer, count(*) AS n FROM k GROUP BY ALL",

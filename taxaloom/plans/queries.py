@@ -496,6 +496,13 @@ def multi_key_sort(spark, d):
     return t.withColumn("rank", F.row_number().over(W.orderBy(*keys)).cast("long"))
 
 
+def multi_key_sort_all(spark, d):
+    """Every line with its rank by flag, status, and quantity downwards."""
+    keys = [F.asc("l_returnflag"), F.asc("l_linestatus"), F.desc("l_quantity"), F.asc("l_orderkey"), F.asc("l_linenumber")]
+    t = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+    return report.ranked(t, keys)
+
+
 def score_lines(spark, d):
     """The score file's second lines: `item score ...` per document, empty without a hit."""
     s = annotate_contigs(spark, d).select(F.col("doc_id").alias("ctg_id"), F.col("item_id").alias("sid"), "score")

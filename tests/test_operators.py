@@ -116,3 +116,17 @@ def test_mapping(spark):
 def test_rank_table(spark):
     n = spark.createDataFrame([(1, 1, "root"), (2, 1, "genus"), (3, 2, "species"), (4, 1, "species")], "tid int, parent int, rank string")
     assert rows(taxonomy.rank_table(n, ["species", "genus"])) == [(1, [0, 0]), (2, [0, 2]), (3, [3, 2]), (4, [4, 0])]
+
+
+def test_ranked_counts_over_partitions(spark):
+    df = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5000).alias("v"), (F.col("id") % 3).alias("g"))
+    got = report.ranked(df, [F.asc("g"), F.desc("v")]).collect()
+    want = sorted(((r.g, -r.v) for r in df.collect()))
+    assert [(r.g, -r.v) for r in sorted(got, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in got) == list(range(1, 5001))
+    assert report.ranked(df.limit(0), [F.asc("g")]).count() == 0
+
+
+def test_multi_key_sort_keeps_all_lines(spark, sf):
+    from taxaloom.plans import catalog
+
+    assert catalog.QUERIES["multi_key_sort_all"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count() > 100
