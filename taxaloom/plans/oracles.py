@@ -117,10 +117,12 @@ ORACLES: dict[str, str] = {
     "freq_kmer_argmax": f"WITH {D}, {B}, {idx(12)}, al AS (SELECT kmer, min(item_id) AS item_id FROM ix GROUP BY kmer HAVING count(*) = 1), o AS (SELECT doc_id, {km('s', 12)} AS m FROM d), v AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, item_id FROM o JOIN al ON kmer = m UNION ALL SELECT doc_id, item_id FROM o JOIN al ON kmer = {rc('m')}) GROUP BY ALL), w AS (SELECT doc_id, arg_max(item_id, (n, -item_id)) AS item_id, max(n) AS n FROM v GROUP BY doc_id) SELECT d.doc_id, coalesce(item_id, -1) AS item_id, coalesce(n, -1) AS n FROM d LEFT JOIN w USING (doc_id)",
     "protein_search": f"WITH {D}, {B}, {frames('d', 'doc_id')}, pi AS (SELECT DISTINCT item_id % 25 AS tid, {km('p', 4)} AS kmer FROM (SELECT item_id, {prot('s')} AS p FROM b)), wi AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY kmer) AS w FROM pi), fk AS (SELECT DISTINCT doc_id, frame, {km('protein', 4)} AS kmer FROM fp), bf AS (SELECT doc_id, frame, tid, sum(w) AS score FROM fk JOIN wi USING (kmer) GROUP BY ALL) SELECT doc_id, tid, round(max(score), 6) AS score FROM bf GROUP BY doc_id, tid",
     "lineage_array": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name || ';' || r_name AS ranks FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "lineage_array_all": "SELECT c_custkey, c_name || ';' || n_name || ';' || r_name AS ranks FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "lca": f"WITH {ANN}, {LIN}, t AS (SELECT doc_id, l0, l1, l2 FROM an JOIN lin ON item_id % 25 = tid), g AS (SELECT doc_id, count(DISTINCT l0) AS c0, count(DISTINCT l1) AS c1, count(DISTINCT l2) AS c2, min(l0) AS m0, min(l1) AS m1, min(l2) AS m2 FROM t GROUP BY doc_id) SELECT doc_id, CAST(CASE WHEN c0 = 1 THEN 0 WHEN c1 = 1 THEN 1 WHEN c2 = 1 THEN 2 ELSE 99 END AS BIGINT) AS level, CAST(CASE WHEN c0 = 1 THEN m0 WHEN c1 = 1 THEN m1 WHEN c2 = 1 THEN m2 ELSE 0 END AS BIGINT) AS taxon FROM g",
     "tax_edges": f"WITH {TREE} SELECT * FROM te",
     "leaf_counts": "SELECT n_name AS node, count(*) AS leafnum FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT r_name, count(*) FROM (SELECT r_name, c_name AS leaf FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)) GROUP BY 1",
     "postorder": "WITH t AS (SELECT r_name AS a, n_name AS b, n_name AS node, 0 AS last FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL, r_name, 1 FROM region UNION ALL SELECT NULL, NULL, 'ALL', 2) SELECT node, row_number() OVER (ORDER BY a NULLS LAST, b NULLS LAST) - 1 AS post_id FROM t",
+    "postorder_all": "WITH t AS (SELECT r_name AS a, n_name AS b, c_name AS c, c_name AS node FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, n_name, NULL, n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL, NULL, r_name FROM region UNION ALL SELECT NULL, NULL, NULL, 'ALL') SELECT node, row_number() OVER (ORDER BY a NULLS LAST, b NULLS LAST, c NULLS LAST) - 1 AS post_id FROM t",
     "heavy_child": f"WITH {CUST} SELECT n_regionkey, arg_max(n_nationkey, (n, -n_nationkey)) AS n_nationkey, max(n) AS n FROM cu GROUP BY n_regionkey",
     "sibling_order": f"WITH {CUST} SELECT n_regionkey, n_nationkey, n, row_number() OVER (PARTITION BY n_regionkey ORDER BY n DESC, n_nationkey) AS rank FROM cu",
     "heavy_path": f"WITH {TREE}, nl AS (SELECT n.parent, n.child, greatest(count(c.child), 1) AS leaves FROM te n LEFT JOIN te c ON c.parent = n.child AND c.level = 1 WHERE n.level = 0 GROUP BY ALL), hn AS (SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY leaves DESC, child) AS r FROM nl), nh AS (SELECT child AS node, CASE WHEN r = 1 THEN parent ELSE child END AS head FROM hn), hc AS (SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY child) AS r FROM te WHERE level = 1) SELECT node, head FROM nh UNION ALL SELECT DISTINCT parent, parent FROM hn UNION ALL SELECT child, CASE WHEN r = 1 THEN head ELSE child END FROM hc JOIN nh ON hc.parent = nh.node",
@@ -173,6 +175,7 @@ ORACLES: dict[str, str] = {
     "near_best_lca": f"WITH {BEST}, {LIN}, nb AS (SELECT doc_id, item_id FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM sc) WHERE score >= 0.9::DOUBLE * m), g AS (SELECT doc_id, count(DISTINCT l0) AS c0, count(DISTINCT l1) AS c1, min(l0) AS m0, min(l1) AS m1 FROM nb JOIN lin ON item_id % 25 = tid GROUP BY doc_id) SELECT doc_id, CAST(CASE WHEN c0 = 1 THEN 0 WHEN c1 = 1 THEN 1 ELSE 2 END AS BIGINT) AS level, CASE WHEN c0 = 1 THEN m0 WHEN c1 = 1 THEN m1 ELSE 1 END AS taxon FROM g",
     "threshold_level": "WITH s AS (SELECT l_suppkey, round(avg(l_discount), 6) AS score FROM lineitem GROUP BY 1) SELECT l_suppkey, score, CAST(CASE WHEN score >= 0.055 THEN 0 WHEN score >= 0.052 THEN 1 WHEN score >= 0.05 THEN 2 WHEN score >= 0.045 THEN 3 ELSE 4 END AS BIGINT) AS level FROM s",
     "rank_lineages": "SELECT CAST(n_nationkey AS BIGINT) + 1000 AS tid, CAST(n_nationkey AS BIGINT) + 1000 AS species, CAST(n_regionkey AS BIGINT) + 100 AS family, CAST(1 AS BIGINT) AS root FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT) + 100, 0, CAST(r_regionkey AS BIGINT) + 100, 1 FROM region UNION ALL SELECT 1, 0, 0, 1",
+    "rank_lineages_all": "SELECT c_custkey + 10000 AS tid, c_custkey + 10000 AS species, CAST(n_nationkey AS BIGINT) + 1000 AS genus, CAST(n_regionkey AS BIGINT) + 100 AS family, CAST(1 AS BIGINT) AS root FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 1000, 0, CAST(n_nationkey AS BIGINT) + 1000, CAST(n_regionkey AS BIGINT) + 100, 1 FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT) + 100, 0, 0, CAST(r_regionkey AS BIGINT) + 100, 1 FROM region UNION ALL SELECT 1, 0, 0, 0, 1",
     "cluster_species_scores": f"WITH {BEST}, bd AS (SELECT doc_id, item_id % 25 AS tid, max(score) AS score FROM sc GROUP BY ALL) SELECT source, tid, CAST(sum(score) AS BIGINT) AS score FROM bd JOIN nation ON n_nationkey = tid JOIN documents USING (doc_id) WHERE n_regionkey <> 2 GROUP BY source, tid",
     "cluster_best": f"WITH {BYSRC('sum')}, w AS (SELECT source, arg_max(item_id, (score, -item_id)) AS item_id, max(score) AS score FROM bs GROUP BY source), e AS (SELECT DISTINCT source FROM documents) SELECT e.source, coalesce(item_id, -1) AS item_id, coalesce(item_id % 25, 0) AS tid, coalesce(score, 0) AS score FROM e LEFT JOIN w USING (source)",
     "ignored_targets": f"WITH {ANN} SELECT doc_id, item_id, score FROM an WHERE item_id % 25 NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)",

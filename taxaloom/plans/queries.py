@@ -181,6 +181,12 @@ def lineage_array(spark, d):
     return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.concat_ws(";", "n_name", "r_name").alias("ranks"))
 
 
+def lineage_array_all(spark, d):
+    """Lineages with the customers as the lowest rank."""
+    c, n, r = (table(spark, d, x) for x in ("customer", "nation", "region"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("c_custkey", F.concat_ws(";", "c_name", "n_name", "r_name").alias("ranks"))
+
+
 def taxa_hit(spark, d):
     return annotate_contigs(spark, d).withColumn("tid", F.col("item_id") % 25).join(lineage(spark, d), "tid")
 
@@ -215,6 +221,12 @@ def postorder(spark, d):
     return taxonomy.postorder(_small_tree(spark, d))
 
 
+def postorder_all(spark, d):
+    """The tree of all levels: customers, nations, regions and their root."""
+    e = tree_edges(spark, d).select("parent", "child")
+    return taxonomy.postorder(e.union(table(spark, d, "region").select(F.lit("ALL").alias("parent"), F.col("r_name").alias("child"))))
+
+
 def _customers(spark, d):
     n, c = table(spark, d, "nation"), table(spark, d, "customer")
     count = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
@@ -545,6 +557,16 @@ def rank_lineages(spark, d):
     return t.select("tid", F.col("l")[0].alias("species"), F.col("l")[1].alias("family"), F.col("l")[2].alias("root"))
 
 
+def rank_lineages_all(spark, d):
+    """Lineages from a parent table: species (customer), genus (nation), family (region), root."""
+    c, n, r = (table(spark, d, x) for x in ("customer", "nation", "region"))
+    node = lambda t, tid, parent, rank: t.select(tid.cast("long").alias("tid"), parent.cast("long").alias("parent"), F.lit(rank).alias("rank"))
+    nodes = node(c, F.col("c_custkey") + 10000, F.col("c_nationkey") + 1000, "species").union(node(n, F.col("n_nationkey") + 1000, F.col("n_regionkey") + 100, "genus"))
+    nodes = nodes.union(node(r, F.col("r_regionkey") + 100, F.lit(1), "family")).union(node(r, F.lit(1), F.lit(1), "root").distinct())
+    ranks = ["species", "genus", "family", "root"]
+    return taxonomy.rank_table(nodes, ranks).select("tid", *(F.col("l")[k].alias(name) for k, name in enumerate(ranks)))
+
+
 def cluster_species_scores(spark, d):
     """Per source, the sum over documents of the best score of each taxon, without the taxa of one family."""
     by_doc = best_scores(spark, d).groupBy("doc_id", (F.col("item_id") % 25).alias("tid")).agg(F.max("score").alias("score"))

@@ -130,3 +130,10 @@ def test_multi_key_sort_keeps_all_lines(spark, sf):
     from taxaloom.plans import catalog
 
     assert catalog.QUERIES["multi_key_sort_all"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count() > 100
+
+
+def test_trees_hold_all_customers(spark, sf):
+    from taxaloom.plans import catalog
+
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert [catalog.QUERIES[q](spark, sf).count() - n for q in ("postorder_all", "lineage_array_all", "rank_lineages_all")] == [31, 0, 31]
