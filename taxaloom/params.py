@@ -21,6 +21,7 @@ class Params:
     cluster_bases: int = 300_000
     eukaryota: int = 2759
     component_length: int = 10_000
+    cluster_targets: int = 10_000
 
     @property
     def align_min(self) -> int:

@@ -134,6 +134,8 @@ ORACLES: dict[str, str] = {
     "best_target_by_lineage": f"WITH {SPECIES}, {LIN}, x AS (SELECT sc.doc_id, sc.item_id, sc.score, {match('la', 'lb', 7)} AS level FROM sc JOIN sp ON sp.doc_id = sc.doc_id JOIN lin la ON la.tid = sc.item_id % 25 JOIN lin lb ON lb.tid = sp.tid), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level, score DESC, item_id) AS r FROM x) SELECT doc_id, CAST(level AS BIGINT) AS level, item_id, score FROM r WHERE r = 1",
     "cluster_topk_sum": f"WITH {BYSRC('sum')}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, item_id) AS rank FROM bs) SELECT * FROM r WHERE rank <= 10",
     "cluster_topk_max": f"WITH {BYSRC('max')}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, item_id) AS rank FROM bs) SELECT * FROM r WHERE rank <= 10",
+    "cluster_report_sum": f"WITH {BYSRC('sum')}, r AS (SELECT *, count(*) OVER (PARTITION BY source) AS candidates, row_number() OVER (PARTITION BY source ORDER BY score DESC, item_id) AS rank FROM bs) SELECT * FROM r WHERE rank <= 10000",
+    "cluster_report_max": f"WITH {BYSRC('max')}, r AS (SELECT *, count(*) OVER (PARTITION BY source) AS candidates, row_number() OVER (PARTITION BY source ORDER BY score DESC, item_id) AS rank FROM bs) SELECT * FROM r WHERE rank <= 10000",
     "topk_relative_cut": f"WITH {BYSRC('sum')}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, item_id) AS rank, max(score) OVER (PARTITION BY source) AS best FROM bs) SELECT source, item_id, score, rank FROM r WHERE rank <= 20 AND score * 20 >= best",
     "virtual_contigs": f"WITH {B} SELECT item_id // 4 AS genome, string_agg(CAST(item_id AS VARCHAR), '_' ORDER BY item_id) AS ids, string_agg(s, repeat('N', 100) ORDER BY item_id) AS seq FROM b GROUP BY 1",
     "entropy_majority": "WITH n AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY o_custkey) AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, v) AS r FROM n) SELECT o_custkey, abs(round(sum(p * ln(p)), 6)) AS entropy, max(v) FILTER (r = 1) AS majority FROM p GROUP BY 1",

@@ -305,6 +305,20 @@ def cluster_topk_max(spark, d):
     return kmer.top(_by_source(spark, d, F.max), "source", "item_id", 10)
 
 
+def _cluster_report(spark, d, how):
+    """Targets of each source by score, as many as the reference reports, with the number of all candidates."""
+    every = _by_source(spark, d, how).withColumn("candidates", F.count(F.lit(1)).over(W.partitionBy("source")))
+    return kmer.top(every, "source", "item_id", P.cluster_targets)
+
+
+def cluster_report_sum(spark, d):
+    return _cluster_report(spark, d, F.sum)
+
+
+def cluster_report_max(spark, d):
+    return _cluster_report(spark, d, F.max)
+
+
 def topk_relative_cut(spark, d):
     t = kmer.top(_by_source(spark, d, F.sum), "source", "item_id", 20)
     return t.withColumn("best", F.max("score").over(W.partitionBy("source"))).where("score * 20 >= best").drop("best")

@@ -137,3 +137,11 @@ def test_trees_hold_all_customers(spark, sf):
 
     n = spark.read.parquet(f"{sf}/customer.parquet").count()
     assert [catalog.QUERIES[q](spark, sf).count() - n for q in ("postorder_all", "lineage_array_all", "rank_lineages_all")] == [31, 0, 31]
+
+
+def test_cluster_report_holds_all_targets(spark, sf):
+    from taxaloom.plans import catalog
+
+    rows = catalog.QUERIES["cluster_report_sum"](spark, sf).collect()
+    by_source = {s: [r for r in rows if r.source == s] for s in {r.source for r in rows}}
+    assert all({r.candidates for r in x} == {len(x)} for x in by_source.values()) and max(map(len, by_source.values())) > 10
