@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,20 +20,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; below a
-    temporary folder of this machine only where that setting is absent, as in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="taxaloom-")
+    """A new folder below spark.checkpoint.dir, which driver and executors share. A temporary folder
+    of this machine only in a local session without that setting, as in tests; a cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="taxaloom-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: later plans start from files that
     survive the loss of an executor, and the lineage stays short."""
-    path = scratch(df.sparkSession)
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder of intermediate tables, deleted at the end of the block; what outlives it is written by `written`."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path = spark, scratch(spark)
+
+    def written(self, df: DataFrame) -> DataFrame:
+        return written(df, f"{self.path}/{uuid.uuid4().hex}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the ids that no classifier here learns from; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -1,24 +1,29 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix.
 
-Rows of the matrix are documents, columns are word n-grams. Texts with equal n-gram sets are one row. The
-product is taken over a first block of columns only, which is enough to meet every pair that can link:
-with n-grams in one global order, two sets with Jaccard J >= t share one of their first
-n - ceil(t n) + 1 n-grams. Columns come rarest first: n-grams seen often (counted in all documents,
-within windows of texts) are moved to the end of the order, so that passages which many documents share
-are no candidates. Any order gives the same result; the order only sets the work.
-
-Pairs are dropped by bounds from the sizes: the smaller set must hold t times the larger, and overlap counted
-so far plus what is left of the smaller rest must reach t / (1 + t) of both sizes. What remains is
-counted in full, block by block of columns, with the same bound after each block.
-
-Within a column not all pairs are formed. First each member meets PIVOTS members of its column; links found
-that way join documents to components, and after that only documents of different components meet, each
-with each. A column of near copies thus costs about its length. The result is exact: no pair that could
-link two components is left out.
+Rows of the matrix are documents, columns are word n-grams; texts with equal n-gram sets are one row. The
+product of the matrix with its transpose holds the overlap of every two rows. It is taken tile by tile in tasks:
+the overlaps of a tile are accumulated over blocks of columns, and after each block the pairs are
+discarded whose overlap so far, with what is left of the smaller set, cannot reach t / (1 + t) of both
+sizes; pairs of which the smaller set holds less than t times the larger are discarded at once. A task returns a
+spanning forest of the links that it finds, never a row for each pair.
+
+Only rows that can link meet in a tile. With n-grams in one global order, a set of n that links with another
+shares at least s of its first n - ceil(t n) + s n-grams with it, for any s up to ceil(t n). So
+a row stays only if as many of its first columns are held by others (s grows with n, see `least_shared`), and two
+rows meet only if they share one of these columns. Columns come rarest first: n-grams seen often (counted in
+all documents, within windows of texts) are moved to the end of the order, so that passages which many
+documents share bring no rows together. Any order gives the same result; the order only sets the work.
+
+Each column names one of its rows as its pivot, and the rows of all columns with one pivot are a bundle: near copies share most
+columns, so a row is in few bundles. Small bundles are dealt to tiles of about BUCKET_GRAMS n-grams. A
+bundle over PART rows or PART_GRAMS n-grams is split in parts: first every part meets the pivot, and only where its rows are
+then still in several components, every two parts meet in a tile, in which only rows of different components are
+compared. The result is exact: no pair that could link two components is left out.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text with fewer words than n has its whole word sequence as one
 n-gram; null, empty and blank texts have no n-gram and link with nothing. n-grams are compared by 64-bit hashes,
-sets by 128-bit ones. Repeated rows and rows with the same id are separate rows of one class.
+sets by 128-bit ones. Repeated rows and rows with the same id are separate rows of one class. A text of any length is one row
+of the matrix. An empty table gives an empty result. Only doc_id and text are read; `keep_one` passes other columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,18 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, written
+from .common import Scratch, by_batch, written
 from .components import components
-from .textarrays import SLICE_CHARS, Words, mix, text_slices
+from .textarrays import Words, mix, text_slices
 
 #: How many frequent n-grams are moved to the end of the order at most (their list goes to every task), and how often they must have been met.
 FREQUENT, OFTEN = 1 << 17, 8
-#: Pivots of a column, and blocks of columns of the full count.
-PIVOTS, BLOCKS = 3, 4
-#: A list of at most this many ids is broadcast to pick texts; beyond it the texts are joined by a shuffle.
+#: Of n n-grams at least n / SHARED + 2 (or all that a link needs) must be among the first columns of a row that links.
+SHARED = 20
+#: A bundle of more rows or n-grams is split in parts; n-grams of a tile of small bundles; columns of a block of the product.
+PART, PART_GRAMS, BUCKET_GRAMS, COLUMNS = 1024, 1 << 20, 1 << 18, 4096
+#: A list of at most this many ids is broadcast to pick rows; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
 
@@ -108,9 +115,18 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return gram.view(np.uint64)[order], c[order]
 
 
-def first_block(x: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """The n-grams of a set that come first in the global order, as many as a linked set must share one of."""
-    size = len(x) - -(-percent * len(x) // 100) + 1 if len(x) else 0
+def needed(n: int, percent: int) -> int:
+    """The overlap that a set of n needs at least with any set that it links with."""
+    return -(-percent * n // 100)
+
+
+def least_shared(n: int, percent: int) -> int:
+    return min(needed(n, percent), -(-n // SHARED) + 2)
+
+
+def first_columns(x: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The n-grams of a set that come first in the global order: a linked set has least_shared of them among its own first ones."""
+    size = len(x) - needed(len(x), percent) + least_shared(len(x), percent)
     gram, rank = frequent
     if len(gram) and len(x):
         at = np.minimum(np.searchsorted(gram, x), len(gram) - 1)
@@ -118,147 +134,225 @@ def first_block(x: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent:
     return x[:size]
 
 
+def row_hash() -> Column:
+    """With the id, what tells rows of different texts apart."""
+    return F.xxhash64("text")
+
+
 def class_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, key, block) for every row of docs."""
+    """(doc_id, h, n_shingles, key, first) for every row of docs; first only where a task meets a set for the first time."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
 
     def make():
+        seen: set[bytes] = set()
+
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for first, texts in text_slices(batch.column("text")):
                 sets = shingle_sets(texts, n)
-                blocks = [first_block(x, shared.value, percent).view(np.int64) for x in sets]
-                at = np.concatenate([[0], np.cumsum([len(x) for x in blocks])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(texts)), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*blocks, np.zeros(0, np.int64)])))],
-                    names=["doc_id", "n_shingles", "key", "block"],
-                )
+                keys = [set_key(x) for x in sets]
+                columns = []
+                for key, x in zip(keys, sets, strict=True):
+                    columns.append(None if key in seen else first_columns(x, shared.value, percent).view(np.int64))
+                    seen.add(key)
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(columns, pa.list_(pa.int64()))], names=["doc_id", "h", "n_shingles", "key", "first"])
 
         return step
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, n_shingles long, key binary, block array<long>", make)
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("h")), "doc_id long, h long, n_shingles long, key binary, first array<long>", make)
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(key, n, parts): the n-grams of a set in BLOCKS ranges of hashes."""
+    """(key, grams): the sorted n-gram hashes of each set, once in a task."""
 
     def make():
-        bounds = (np.arange(1, BLOCKS, dtype=np.uint64) << np.uint64(62)) if BLOCKS == 4 else None
+        seen: set[bytes] = set()
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for _, texts in text_slices(batch.column("text")):
-                sets = shingle_sets(texts, n)
-                parts = [[p.view(np.int64) for p in np.split(x, np.searchsorted(x, bounds))] for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64())))], names=["key", "n", "parts"])
+                sets = {set_key(x): x for x in shingle_sets(texts, n)}
+                new = [k for k in sets if k not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array([sets[k].tobytes() for k in new], pa.binary())], names=["key", "grams"])
 
         return step
 
-    return by_batch(docs.select("text"), "key binary, n long, parts array<array<long>>", make)
-
-
-def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets overlap enough, counted block by block of columns in the whole sets of their members."""
-    pairs = written(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = written(ids.join(classes.select("id", "key", "rep"), "id"))
-    some = wanted.select(F.col("rep").alias("__rep")).distinct()
-    if some.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        some = F.broadcast(some)  # else the texts are shuffled
-    sets = full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi"), n)
-    sets = written(sets.join(wanted.select("key", "id"), "key").select("id", "n", "parts").dropDuplicates(["id"]))
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b")
-    met = met.select("a", "b", "na", "nb", "pa", "pb", F.lit(0).cast("long").alias("same"), F.col("na").alias("ra"), F.col("nb").alias("rb"))
-    for k in range(BLOCKS):
-        met = met.select("a", "b", "na", "nb", "pa", "pb", F.expr(f"same + size(array_intersect(pa[{k}], pb[{k}]))").alias("same"), F.expr(f"ra - size(pa[{k}])").alias("ra"), F.expr(f"rb - size(pb[{k}])").alias("rb")).where(f"same + least(ra, rb) >= {need(percent)}")
-    return written(met.where(f"100 * same >= {percent} * (na + nb - same)").select("a", "b"))
-
-
-def need(percent: int) -> str:
-    """The overlap that sets of na and nb n-grams need at least."""
-    return f"ceil({percent} * (na + nb) / {100 + percent}D)"
+    return by_batch(docs.select("text"), "key binary, grams binary", make)
+
+
+def overlapping(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links (a, b) of a tile: of rows where left with the other rows, or, if all are, among themselves; rows with one label don't meet."""
+    n = np.array([len(x) for x in sets], np.int64)
+    ours = np.flatnonzero(left)
+    theirs = ours if left.all() else np.flatnonzero(~left)
+    side = lambda x: (x[ours][:, None], x[theirs][None, :])
+    (na, nb), (la, lb) = side(n), side(labels)
+    need = -(-percent * (na + nb) // (100 + percent))
+    alive = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (la != lb)
+    if ours is theirs:
+        alive &= ours[:, None] < theirs[None, :]
+    # Columns that only one row holds add to no overlap; the others are numbered rarest first.
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(n)), n)
+    common = count[column] > 1
+    column, row = column[common], row[common]
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    column = rank[column] - int((count < 2).sum())
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    rest = np.bincount(row, minlength=len(n))
+    same = np.zeros(alive.shape, np.int64)
+    for start in range(0, int((count > 1).sum()) + 1, COLUMNS):
+        alive &= same + np.minimum(*side(rest)) >= need
+        if not alive.any():
+            break
+        lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+        a, b = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+        same[np.ix_(a, b)] += np.rint(incidence(row[lo:hi], column[lo:hi] - start, ours[a], len(n)) @ incidence(row[lo:hi], column[lo:hi] - start, theirs[b], len(n)).T).astype(np.int64)
+        rest = rest - np.bincount(row[lo:hi], minlength=len(n))
+    a, b = np.nonzero(alive & (same >= need))
+    return ours[a], theirs[b]
+
+
+def incidence(row: np.ndarray, column: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """A block of the matrix: the given rows of n, and COLUMNS columns at most."""
+    place = np.full(n, -1)
+    place[rows] = np.arange(len(rows))
+    held = place[row] >= 0
+    out = np.zeros((len(rows), int(column.max()) + 1 if len(column) else 0), np.float32)
+    out[place[row[held]], column[held]] = 1
+    return out
 
 
-def bound(percent: int) -> str:
-    """Whether a pair can reach the overlap it needs: c common n-grams in the first blocks (of pa and pb n-grams), and at most the rest of one set beyond them."""
-    return f"c + greatest(na - pa, nb - pb) >= {need(percent)}"
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links from the first row of each component of the links (a, b) of n rows to its other rows."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(n))
+    return label[other], other
+
+
+def tile_links(tile: pa.Table, percent: int) -> pa.Table:
+    """A spanning forest of the links in each bundle of a tile."""
+    bundle = tile["bundle"].to_numpy()
+    order = np.argsort(bundle, kind="stable")
+    bundle, ids, label, left = (tile[c].to_numpy()[order] for c in ("bundle", "id", "label", "left"))
+    grams = tile["grams"].combine_chunks()
+    edge = np.flatnonzero(np.concatenate([[True], bundle[1:] != bundle[:-1], [True]]))
+    found = []
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        if hi - lo > 1 and left[lo:hi].any():
+            sets = [np.frombuffer(grams[int(k)].as_buffer(), np.uint64) for k in order[lo:hi]]
+            a, b = spanning(*overlapping(sets, label[lo:hi], left[lo:hi], percent), hi - lo)
+            found.append((ids[lo + a], ids[lo + b]))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in (0, 1))
+    return pa.table({"a": a, "b": b})
+
+
+def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that give the components of all tiles. rows: (tile, i, j, bundle, id, label, left)."""
+    return rows.join(sets, "id").groupBy("tile", "i", "j").applyInArrow(lambda t: tile_links(t, percent), "a long, b long")
+
+
+def bundles(space: Scratch, classes: DataFrame, percent: int) -> DataFrame:
+    """(bundle, id, n): the rows that share a first column, by the pivot of the column."""
+    entries = classes.select("id", "n", F.explode("first").alias("gram"))
+    # What is joined is written before, so that Spark can split a column that very many rows hold.
+    often = space.written(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"))
+    shared = space.written(entries.join(often, "gram"))
+    need = F.ceil(F.col("n") * percent / 100)
+    least = F.least(F.ceil(need * percent / 100), F.ceil(need / SHARED) + 2)  # what the smallest set that can link must share
+    able = space.written(shared.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= least).select("id"))
+    shared = space.written(shared.join(able, "id"))
+    pivots = space.written(shared.groupBy("gram").agg(F.min(F.struct(F.xxhash64("id").alias("p"), "id"))["id"].alias("bundle"), F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "bundle"))
+    return space.written(shared.join(pivots, "gram").select("bundle", "id", "n").distinct())
+
+
+def class_links(space: Scratch, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links between class ids that give the components."""
+    member = bundles(space, classes, percent)
+    sized = space.written(member.groupBy("bundle").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams")).withColumn("parts", F.ceil(F.greatest(F.col("rows") / PART, F.col("grams") / PART_GRAMS)).cast("int")))
+    buckets = -(-(sized.where("parts = 1").agg(F.sum("grams")).first()[0] or 1) // BUCKET_GRAMS)
+
+    # The sets of all rows that are in a bundle, from the text of one document of each class.
+    wanted = space.written(classes.select("id", "key", "rep").join(member.select("id").distinct(), "id"))
+    reps = wanted.select(F.col("rep").alias("__rep")).distinct()
+    if reps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        reps = F.broadcast(reps)  # else the texts are shuffled
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
+    sets = full_sets(texts, n).join(wanted.select("key", "id"), "key").select("id", "grams").dropDuplicates(["id"])
+    sets = space.written(sets)
+
+    placed = space.written(member.join(sized, "bundle").select("bundle", "id", "parts"))
+    small = placed.where("parts = 1").select(F.lit(-1).cast("long").alias("tile"), F.pmod(F.xxhash64("bundle"), F.lit(buckets)).alias("i"), F.lit(0).alias("j"), "bundle", "id", F.col("id").alias("label"), F.lit(True).alias("left"))
+    large = placed.where("parts > 1").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
+    star = large.where("id <> bundle").select(F.col("bundle").alias("tile"), F.col("own").cast("long").alias("i"), F.lit(0).alias("j"), "bundle", "id", F.col("id").alias("label"), F.lit(False).alias("left"))
+    centre = sized.where("parts > 1").select("bundle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select(F.col("bundle").alias("tile"), F.col("p").cast("long").alias("i"), F.lit(0).alias("j"), "bundle", F.col("bundle").alias("id"), F.col("bundle").alias("label"), F.lit(True).alias("left"))
+    links = space.written(linked(small.union(star).union(centre), sets, percent))
+
+    if large.isEmpty():
+        return links
+    root = components(links).withColumnRenamed("node", "id")
+    marked = space.written(large.join(root, "id", "left").select("bundle", "id", "parts", "own", F.coalesce("root", "id").alias("label")))
+    several = space.written(marked.groupBy("bundle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bundle"))
+    marked = marked.join(several, "bundle").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = marked.select(F.col("bundle").alias("tile"), F.least("own", "p").cast("long").alias("i"), F.greatest("own", "p").alias("j"), "bundle", "id", "label", (F.col("own") <= F.col("p")).alias("left"))
+    return links.union(space.written(linked(rows, sets, percent)))
 
 
-def within_bound(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """The pairs that can still reach the overlap they need, by the overlap of their first blocks."""
-    side = lambda x: firsts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("block").alias(f"block_{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", F.size(F.array_intersect("block_a", "block_b"))).withColumn("pa", F.size("block_a")).withColumn("pb", F.size("block_b"))
-    return met.where(bound(percent)).select("a", "b")
+def classified(space: Scratch, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n_shingles, key) for every row of docs, and (key, component_id, label) for every set that is not empty."""
+    table = space.written(class_table(docs, n, percent))
+    classes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("first", ignorenulls=True).alias("first"))
+    classes = space.written(classes.withColumn("id", F.monotonically_increasing_id()))
+    root = components(class_links(space, docs, classes, n, percent)).withColumnRenamed("node", "id")
+    slim = classes.select("key", "rep", "id")
+    smallest = space.written(slim.join(root, "id").groupBy("root").agg(F.min("rep").alias("least")))
+    named = slim.join(root, "id", "left").join(smallest, "root", "left")
+    return table.drop("first"), space.written(named.select("key", F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "id").alias("label")))
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, key, component_id, label) for every row of docs; rows link when 100 |A and B| >= percent |A or B|.
 
     label names the component also where all its ids are null; it is null for rows without n-grams."""
-    table = written(class_table(docs, n, percent))
-    full = table.where("n_shingles > 0")
-    classes = written(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    firsts = full.join(classes.select("key", "rep", "id"), "key").where("doc_id <=> rep").dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "block")
-    firsts = written(firsts)
-    entries = firsts.select("id", "n", F.posexplode("block").alias("pos", "gram"))
-    shared = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    entries = written(entries.join(shared, "gram"))
-
-    # First each member of a column meets its pivots.
-    pivots = entries.groupBy("gram").agg(*(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("p"), "id", "n", "pos")).alias(f"p{turn}") for turn in range(PIVOTS)))
-    met = entries.join(pivots.select("gram", F.array_distinct(F.array(*(F.struct(f"p{t}.id", f"p{t}.n", f"p{t}.pos") for t in range(PIVOTS)))).alias("p")), "gram")
-    met = met.select("id", F.col("n").alias("na"), "pos", F.explode("p").alias("p")).select("id", F.col("p.id").alias("to"), "na", F.col("p.n").alias("nb"), F.col("pos").alias("ia"), F.col("p.pos").alias("ib"))
-    met = met.where(f"id <> to and 100 * least(na, nb) >= {percent} * greatest(na, nb) and least(na - ia, nb - ib) >= {need(percent)}")
-    pairs = met.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
-    links = linked(within_bound(pairs, firsts, percent), docs, classes, n, percent)
-    label = _labels(classes, links)
-
-    # Then, in columns that still hold several components, each meets each of another component.
-    marked = entries.join(label, "id")
-    several = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
-    left = written(marked.join(several, "gram"))
-    half = lambda x: left.select("gram", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"i{x}"), F.col("label").alias(f"l{x}"))
-    # At the first column that a pair shares, all its common n-grams are still ahead in both sets.
-    met = half("a").join(half("b"), "gram").where(f"a < b and la <> lb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and least(na - ia, nb - ib) >= {need(percent)}")
-    pairs = written(within_bound(met.select("a", "b").distinct(), firsts, percent))
-    if not pairs.isEmpty():
-        label = _labels(classes, links.union(linked(pairs, docs, classes, n, percent)))
-
-    # The smallest id of each component, then back to all rows.
-    named = classes.join(label, "id").select("key", "rep", "label")
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(smallest, "label").select("key", "component_id", "label")
-    return table.drop("block").join(of_class, "key", "left").select("doc_id", "n_shingles", "key", "label", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, label) of all classes: a class without a link is its own component."""
-    root = components(links).withColumnRenamed("node", "id")
-    return written(classes.select("id").join(root, "id", "left").select("id", F.coalesce("root", "id").alias("label")))
+    with Scratch(docs.sparkSession) as space:
+        table, classes = classified(space, docs, n, percent)
+        out = table.join(classes, "key", "left")
+        return written(out.select("doc_id", "n_shingles", "key", "label", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """The document with the smallest id of each component, with all its columns; rows without n-grams all
-    stay. Rows with the same id and n-gram set count once."""
-    result = jaccard_components(docs, n, percent)
-    # Of rows of a component with the smallest id but other texts, the first by key.
-    first = result.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("m"))
-    kept = result.where("n_shingles = 0").select("doc_id", "key").union(first.select("m.doc_id", "m.key")).distinct()
+    stay. Rows with the same id and text count once; of rows with the smallest id and other texts, one stays. Null ids come last."""
+    with Scratch(docs.sparkSession) as space:
+        table, classes = classified(space, docs, n, percent)
+        rows = space.written(table.join(classes.select("key", "label"), "key", "left").select("doc_id", "h", "label"))
+        kept = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("m"))
+        kept = space.written(kept.select("m.doc_id", "m.h"))
+        same = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & (a.h == b.h)
+        out = rows.where("label is not null")
+        out = written(out.join(kept, same(out, kept), "left_anti").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct())
+        twice = written(rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")))
+    left = picked(docs, out, "left_anti")
+    if twice.isEmpty():
+        return left
     names = docs.columns
-    both = with_key(docs, n).join(kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k")), (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("__key") == F.col("__k")), "left_semi")
-    return both.dropDuplicates(["doc_id", "__key"]).select(*names)
-
+    once = picked(left, twice, "left_semi").withColumn("__row", row_hash()).dropDuplicates(["doc_id", "__row"]).select(*names)
+    return picked(left, twice, "left_anti").union(once)
 
-def with_key(docs: DataFrame, n: int) -> DataFrame:
-    """All columns of docs and __key, the key of the n-gram set."""
-    names = docs.columns
-
-    def make():
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for first, texts in text_slices(batch.column("text"), SLICE_CHARS):
-                part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([set_key(x) for x in shingle_sets(texts, n)], pa.binary())], names=[*names, "__key"])
-
-        return step
 
-    return by_batch(docs, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__key binary"]), make)
+def picked(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of docs that are among rows (__id, __h), or those that are not. A short list is broadcast, which keeps the texts out of the shuffle."""
+    if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    return docs.join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (row_hash() == F.col("__h")), how)

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+
 from taxaloom.llm import jaccard
 from taxaloom.llm.queries import op3_jaccard_join
 
@@ -72,13 +74,65 @@ def test_brute_force(spark):
         assert got(jaccard.jaccard_components(df, n, percent)) == brute(rows, n, percent)
 
 
-def test_frequent_columns_change_nothing(spark, monkeypatch):
+def test_frequent_columns_and_tiles_change_nothing(spark, monkeypatch):
     rows = made()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(jaccard, "OFTEN", 2)
-    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "PART", 4)
+    monkeypatch.setattr(jaccard, "BUCKET_GRAMS", 500)
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 3)
     assert got(jaccard.jaccard_components(df)) == brute(rows, 4, 85)
+    assert sorted(r.doc_id for r in jaccard.keep_one(df).collect() if r.doc_id is not None) == sorted(r.doc_id for r in jaccard.keep_one(df.coalesce(1)).collect() if r.doc_id is not None)
+
+
+def test_near_copies_below_the_limit(spark, monkeypatch):
+    """300 near copies that mostly do not link: no row for each pair leaves a task, and the components are exact."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        c = list(base)
+        for k in r.sample(range(200), 2 + i % 2):  # 4 n-grams change with each word, so most pairs are at 0.78 to 0.85
+            c[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(c)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    plain = jaccard.linked
+
+    def counted(*a):
+        out = plain(*a)
+        seen.append((a[0].count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "linked", counted)
+    for part in (1024, 64):
+        monkeypatch.setattr(jaccard, "PART", part)
+        assert got(jaccard.jaccard_components(df)) == brute(rows, 4, 85)
+    assert all(out <= rows_in <= 300 * 20 for rows_in, out in seen) and len(seen) >= 3  # of 44,850 pairs
+
+
+def test_overlaps_of_a_tile(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 80))).astype(np.uint64) for _ in range(40)]
+    label = np.arange(40) % 9
+    for left in (np.ones(40, bool), np.arange(40) < 15):
+        a, b = jaccard.overlapping(sets, label, left, 60)
+        want = {(i, j) for i in range(40) for j in range(40) if left[i] and (i < j if left.all() else not left[j]) and label[i] != label[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))}
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and want
+
+
+def test_every_linked_set_shares_enough_first_columns():
+    rng = np.random.default_rng(6)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for percent in (80, 85):
+        for _ in range(3000):
+            x = np.unique(rng.integers(0, 1 << 30, rng.integers(1, 90)).astype(np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) > rng.choice([0, 0.05, 0.15])], rng.integers(0, 1 << 30, rng.integers(0, 9)).astype(np.uint64)]))
+            if len(y) and 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)):
+                both = np.intersect1d(jaccard.first_columns(x, none, percent), jaccard.first_columns(y, none, percent))
+                assert len(both) >= max(jaccard.least_shared(jaccard.needed(len(z), percent), percent) for z in (x, y))
 
 
 def test_empty(spark):
