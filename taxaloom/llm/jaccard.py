@@ -42,7 +42,7 @@ from .textarrays import Words, mix, text_slices
 #: How many frequent n-grams are moved to the end of the order at most (their list goes to every task), and how often they must have been met.
 FREQUENT, OFTEN = 1 << 17, 8
 #: Of n n-grams at least n / SHARED + 2 (or all that a link needs) must be among the first columns of a row that links.
-SHARED = 20
+SHARED = 10
 #: A bundle of more rows or n-grams is split in parts; n-grams of a tile of small bundles; columns of a block of the product.
 PART, PART_GRAMS, BUCKET_GRAMS, COLUMNS = 1024, 1 << 20, 1 << 18, 4096
 #: A list of at most this many ids is broadcast to pick rows; beyond it the texts are joined by a shuffle.
@@ -140,7 +140,9 @@ def row_hash() -> Column:
 
 
 def class_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, h, n_shingles, key, first) for every row of docs; first only where a task meets a set for the first time."""
+    """(doc_id, h, n_shingles, key, short, first) for every row of docs; first only where a task meets a set for the first time.
+
+    short is half of the key: it names rows of the matrix until candidates are known."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
 
     def make():
@@ -155,11 +157,11 @@ def class_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     columns.append(None if key in seen else first_columns(x, shared.value, percent).view(np.int64))
                     seen.add(key)
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(columns, pa.list_(pa.int64()))], names=["doc_id", "h", "n_shingles", "key", "first"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()), pa.array(columns, pa.list_(pa.int64()))], names=["doc_id", "h", "n_shingles", "key", "short", "first"])
 
         return step
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("h")), "doc_id long, h long, n_shingles long, key binary, first array<long>", make)
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("h")), "doc_id long, h long, n_shingles long, key binary, short long, first array<long>", make)
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -263,28 +265,28 @@ def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.join(sets, "id").groupBy("tile", "i", "j").applyInArrow(lambda t: tile_links(t, percent), "a long, b long")
 
 
-def bundles(space: Scratch, classes: DataFrame, percent: int) -> DataFrame:
-    """(bundle, id, n): the rows that share a first column, by the pivot of the column."""
-    entries = classes.select("id", "n", F.explode("first").alias("gram"))
+def bundles(space: Scratch, table: DataFrame, percent: int) -> DataFrame:
+    """(bundle, short, n): the rows that share a first column, by the pivot of the column."""
+    entries = table.where("first is not null").select("short", F.col("n_shingles").alias("n"), F.explode("first").alias("gram"))
     # What is joined is written before, so that Spark can split a column that very many rows hold.
-    often = space.written(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"))
-    shared = space.written(entries.join(often, "gram"))
+    often = space.written(entries.groupBy("gram").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("gram"))
+    shared = space.written(entries.join(often, "gram").distinct())
     need = F.ceil(F.col("n") * percent / 100)
     least = F.least(F.ceil(need * percent / 100), F.ceil(need / SHARED) + 2)  # what the smallest set that can link must share
-    able = space.written(shared.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= least).select("id"))
-    shared = space.written(shared.join(able, "id"))
-    pivots = space.written(shared.groupBy("gram").agg(F.min(F.struct(F.xxhash64("id").alias("p"), "id"))["id"].alias("bundle"), F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "bundle"))
-    return space.written(shared.join(pivots, "gram").select("bundle", "id", "n").distinct())
+    able = space.written(shared.groupBy("short").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= least).select("short"))
+    shared = space.written(shared.join(able, "short"))
+    pivots = space.written(shared.groupBy("gram").agg(F.min(F.struct(F.xxhash64("short").alias("p"), "short"))["short"].alias("bundle"), F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "bundle"))
+    return space.written(shared.join(pivots, "gram").select("bundle", "short", "n").distinct())
 
 
-def class_links(space: Scratch, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+def class_links(space: Scratch, docs: DataFrame, table: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): links between class ids that give the components."""
-    member = bundles(space, classes, percent)
+    member = bundles(space, table, percent)
     sized = space.written(member.groupBy("bundle").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams")).withColumn("parts", F.ceil(F.greatest(F.col("rows") / PART, F.col("grams") / PART_GRAMS)).cast("int")))
     buckets = -(-(sized.where("parts = 1").agg(F.sum("grams")).first()[0] or 1) // BUCKET_GRAMS)
 
     # The sets of all rows that are in a bundle, from the text of one document of each class.
-    wanted = space.written(classes.select("id", "key", "rep").join(member.select("id").distinct(), "id"))
+    wanted = space.written(classes.join(member.select("short").distinct(), "short").select("id", "short", "key", "rep"))
     reps = wanted.select(F.col("rep").alias("__rep")).distinct()
     if reps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         reps = F.broadcast(reps)  # else the texts are shuffled
@@ -292,11 +294,11 @@ def class_links(space: Scratch, docs: DataFrame, classes: DataFrame, n: int, per
     sets = full_sets(texts, n).join(wanted.select("key", "id"), "key").select("id", "grams").dropDuplicates(["id"])
     sets = space.written(sets)
 
-    placed = space.written(member.join(sized, "bundle").select("bundle", "id", "parts"))
+    placed = space.written(member.join(sized, "bundle").join(wanted.select("short", "id"), "short").select("bundle", "id", (F.col("short") == F.col("bundle")).alias("pivot"), "parts"))
     small = placed.where("parts = 1").select(F.lit(-1).cast("long").alias("tile"), F.pmod(F.xxhash64("bundle"), F.lit(buckets)).alias("i"), F.lit(0).alias("j"), "bundle", "id", F.col("id").alias("label"), F.lit(True).alias("left"))
     large = placed.where("parts > 1").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
-    star = large.where("id <> bundle").select(F.col("bundle").alias("tile"), F.col("own").cast("long").alias("i"), F.lit(0).alias("j"), "bundle", "id", F.col("id").alias("label"), F.lit(False).alias("left"))
-    centre = sized.where("parts > 1").select("bundle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select(F.col("bundle").alias("tile"), F.col("p").cast("long").alias("i"), F.lit(0).alias("j"), "bundle", F.col("bundle").alias("id"), F.col("bundle").alias("label"), F.lit(True).alias("left"))
+    star = large.where("not pivot").select(F.col("bundle").alias("tile"), F.col("own").cast("long").alias("i"), F.lit(0).alias("j"), "bundle", "id", F.col("id").alias("label"), F.lit(False).alias("left"))
+    centre = large.where("pivot").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("bundle").alias("tile"), F.col("p").cast("long").alias("i"), F.lit(0).alias("j"), "bundle", "id", F.col("id").alias("label"), F.lit(True).alias("left"))
     links = space.written(linked(small.union(star).union(centre), sets, percent))
 
     if large.isEmpty():
@@ -312,13 +314,13 @@ def class_links(space: Scratch, docs: DataFrame, classes: DataFrame, n: int, per
 def classified(space: Scratch, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, n_shingles, key) for every row of docs, and (key, component_id, label) for every set that is not empty."""
     table = space.written(class_table(docs, n, percent))
-    classes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("first", ignorenulls=True).alias("first"))
+    classes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("short").alias("short"))
     classes = space.written(classes.withColumn("id", F.monotonically_increasing_id()))
-    root = components(class_links(space, docs, classes, n, percent)).withColumnRenamed("node", "id")
+    root = components(class_links(space, docs, table, classes, n, percent)).withColumnRenamed("node", "id")
     slim = classes.select("key", "rep", "id")
     smallest = space.written(slim.join(root, "id").groupBy("root").agg(F.min("rep").alias("least")))
     named = slim.join(root, "id", "left").join(smallest, "root", "left")
-    return table.drop("first"), space.written(named.select("key", F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "id").alias("label")))
+    return table.drop("short", "first"), space.written(named.select("key", F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "id").alias("label")))
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
