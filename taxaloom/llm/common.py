@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Word separators of every word rule here: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A list of at most this many ids is broadcast to pick rows; beyond it the rows are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,26 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def refuse_clash(df: DataFrame, *names: str) -> None:
+    """The rule of all operators here for columns that they add: the input must not have one of the name."""
+    clash = [c for c in df.columns if c in names]
+    if clash:
+        raise ValueError(f"the input already has the columns {', '.join(clash)}; rename them")
+
+
+def row_hash(*columns: str) -> Column:
+    """With the id, what tells rows of one id apart."""
+    return F.xxhash64(*(columns or ("text",)))
+
+
+def listed(docs: DataFrame, rows: DataFrame, how: str, *columns: str) -> DataFrame:
+    """The rows of docs that are among rows (__id, __h), or (left_anti) those that are not; __h is the row_hash of the columns. A short
+    list is broadcast after it has been counted, which keeps the texts out of the shuffle."""
+    if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    return docs.join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (row_hash(*columns) == F.col("__h")), how)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the ids that no classifier here learns from; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

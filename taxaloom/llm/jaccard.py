@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_batch, written
+from . import common
+from .common import Scratch, by_batch, listed, row_hash, written
 from .components import components
 from .textarrays import Words, mix, text_slices
 
@@ -45,8 +46,6 @@ FREQUENT, OFTEN = 1 << 17, 8
 SHARED = 10
 #: A bundle of more rows or n-grams is split in parts; n-grams of a tile of small bundles; columns of a block of the product.
 PART, PART_GRAMS, BUCKET_GRAMS, COLUMNS = 1024, 1 << 20, 1 << 18, 4096
-#: A list of at most this many ids is broadcast to pick rows; beyond it the texts are joined by a shuffle.
-BROADCAST_IDS = 200_000
 
 
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
@@ -134,11 +133,6 @@ def first_columns(x: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percen
     return x[:size]
 
 
-def row_hash() -> Column:
-    """With the id, what tells rows of different texts apart."""
-    return F.xxhash64("text")
-
-
 def class_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, h, n_shingles, key, short, first) for every row of docs; first only where a task meets a set for the first time.
 
@@ -261,60 +255,63 @@ def tile_links(tile: pa.Table, percent: int) -> pa.Table:
 
 
 def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that give the components of all tiles. rows: (tile, i, j, bundle, id, label, left)."""
-    return rows.join(sets, "id").groupBy("tile", "i", "j").applyInArrow(lambda t: tile_links(t, percent), "a long, b long")
+    """(a, b): links that give the components of all tiles. rows: (tile, i, j, bundle, id, key, label, left)."""
+    return rows.join(sets, "key").drop("key").groupBy("tile", "i", "j").applyInArrow(lambda t: tile_links(t, percent), "a long, b long")
 
 
-def bundles(space: Scratch, table: DataFrame, percent: int) -> DataFrame:
+def bundles(space: Scratch, table: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(bundle, short, n): the rows that share a first column, by the pivot of the column."""
-    entries = table.where("first is not null").select("short", F.col("n_shingles").alias("n"), F.explode("first").alias("gram"))
+    entries = table.where("first is not null").select("short", F.explode("first").alias("gram"))
     # What is joined is written before, so that Spark can split a column that very many rows hold.
     often = space.written(entries.groupBy("gram").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("gram"))
     shared = space.written(entries.join(often, "gram").distinct())
     need = F.ceil(F.col("n") * percent / 100)
     least = F.least(F.ceil(need * percent / 100), F.ceil(need / SHARED) + 2)  # what the smallest set that can link must share
-    able = space.written(shared.groupBy("short").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= least).select("short"))
+    able = space.written(shared.groupBy("short").agg(F.count(F.lit(1)).alias("c")).join(classes.select("short", "n"), "short").where(F.col("c") >= least).select("short", "n"))
     shared = space.written(shared.join(able, "short"))
     pivots = space.written(shared.groupBy("gram").agg(F.min(F.struct(F.xxhash64("short").alias("p"), "short"))["short"].alias("bundle"), F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "bundle"))
-    return space.written(shared.join(pivots, "gram").select("bundle", "short", "n").distinct())
+    member = shared.join(pivots, "gram").select("bundle", "short", "n").distinct()
+    # A row stays only if the bundle has another whose size is near enough: bands of sizes are so wide that linked sets are in neighbouring ones.
+    member = space.written(member.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9)))
+    near = member.select("bundle", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band")).groupBy("bundle", "band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bundle", "band")
+    return space.written(member.join(space.written(near), ["bundle", "band"]).drop("band"))
 
 
 def class_links(space: Scratch, docs: DataFrame, table: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): links between class ids that give the components."""
-    member = bundles(space, table, percent)
+    member = bundles(space, table, classes, percent)
     sized = space.written(member.groupBy("bundle").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams")).withColumn("parts", F.ceil(F.greatest(F.col("rows") / PART, F.col("grams") / PART_GRAMS)).cast("int")))
     buckets = -(-(sized.where("parts = 1").agg(F.sum("grams")).first()[0] or 1) // BUCKET_GRAMS)
 
     # The sets of all rows that are in a bundle, from the text of one document of each class.
     wanted = space.written(classes.join(member.select("short").distinct(), "short").select("id", "short", "key", "rep"))
     reps = wanted.select(F.col("rep").alias("__rep")).distinct()
-    if reps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    if reps.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS:
         reps = F.broadcast(reps)  # else the texts are shuffled
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
-    sets = full_sets(texts, n).join(wanted.select("key", "id"), "key").select("id", "grams").dropDuplicates(["id"])
-    sets = space.written(sets)
+    sets = full_sets(texts, n).dropDuplicates(["key"])
 
-    placed = space.written(member.join(sized, "bundle").join(wanted.select("short", "id"), "short").select("bundle", "id", (F.col("short") == F.col("bundle")).alias("pivot"), "parts"))
-    small = placed.where("parts = 1").select(F.lit(-1).cast("long").alias("tile"), F.pmod(F.xxhash64("bundle"), F.lit(buckets)).alias("i"), F.lit(0).alias("j"), "bundle", "id", F.col("id").alias("label"), F.lit(True).alias("left"))
+    placed = space.written(member.join(sized, "bundle").join(wanted.select("short", "id", "key"), "short").select("bundle", "id", "key", (F.col("short") == F.col("bundle")).alias("pivot"), "parts"))
+    small = placed.where("parts = 1").select(F.lit(-1).cast("long").alias("tile"), F.pmod(F.xxhash64("bundle"), F.lit(buckets)).alias("i"), F.lit(0).alias("j"), "bundle", "id", "key", F.col("id").alias("label"), F.lit(True).alias("left"))
     large = placed.where("parts > 1").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
-    star = large.where("not pivot").select(F.col("bundle").alias("tile"), F.col("own").cast("long").alias("i"), F.lit(0).alias("j"), "bundle", "id", F.col("id").alias("label"), F.lit(False).alias("left"))
-    centre = large.where("pivot").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("bundle").alias("tile"), F.col("p").cast("long").alias("i"), F.lit(0).alias("j"), "bundle", "id", F.col("id").alias("label"), F.lit(True).alias("left"))
+    star = large.where("not pivot").select(F.col("bundle").alias("tile"), F.col("own").cast("long").alias("i"), F.lit(0).alias("j"), "bundle", "id", "key", F.col("id").alias("label"), F.lit(False).alias("left"))
+    centre = large.where("pivot").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("bundle").alias("tile"), F.col("p").cast("long").alias("i"), F.lit(0).alias("j"), "bundle", "id", "key", F.col("id").alias("label"), F.lit(True).alias("left"))
     links = space.written(linked(small.union(star).union(centre), sets, percent))
 
     if large.isEmpty():
         return links
     root = components(links).withColumnRenamed("node", "id")
-    marked = space.written(large.join(root, "id", "left").select("bundle", "id", "parts", "own", F.coalesce("root", "id").alias("label")))
+    marked = space.written(large.join(root, "id", "left").select("bundle", "id", "key", "parts", "own", F.coalesce("root", "id").alias("label")))
     several = space.written(marked.groupBy("bundle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bundle"))
     marked = marked.join(several, "bundle").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = marked.select(F.col("bundle").alias("tile"), F.least("own", "p").cast("long").alias("i"), F.greatest("own", "p").alias("j"), "bundle", "id", "label", (F.col("own") <= F.col("p")).alias("left"))
+    rows = marked.select(F.col("bundle").alias("tile"), F.least("own", "p").cast("long").alias("i"), F.greatest("own", "p").alias("j"), "bundle", "id", "key", "label", (F.col("own") <= F.col("p")).alias("left"))
     return links.union(space.written(linked(rows, sets, percent)))
 
 
 def classified(space: Scratch, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, n_shingles, key) for every row of docs, and (key, component_id, label) for every set that is not empty."""
     table = space.written(class_table(docs, n, percent))
-    classes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("short").alias("short"))
+    classes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("short").alias("short"))
     classes = space.written(classes.withColumn("id", F.monotonically_increasing_id()))
     root = components(class_links(space, docs, table, classes, n, percent)).withColumnRenamed("node", "id")
     slim = classes.select("key", "rep", "id")
@@ -345,16 +342,9 @@ def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         out = rows.where("label is not null")
         out = written(out.join(kept, same(out, kept), "left_anti").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct())
         twice = written(rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")))
-    left = picked(docs, out, "left_anti")
+    left = listed(docs, out, "left_anti")
     if twice.isEmpty():
         return left
     names = docs.columns
-    once = picked(left, twice, "left_semi").withColumn("__row", row_hash()).dropDuplicates(["doc_id", "__row"]).select(*names)
-    return picked(left, twice, "left_anti").union(once)
-
-
-def picked(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """The rows of docs that are among rows (__id, __h), or those that are not. A short list is broadcast, which keeps the texts out of the shuffle."""
-    if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        rows = F.broadcast(rows)
-    return docs.join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (row_hash() == F.col("__h")), how)
+    once = listed(left, twice, "left_semi").withColumn("__row", row_hash()).dropDuplicates(["doc_id", "__row"]).select(*names)
+    return listed(left, twice, "left_anti").union(once)

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from taxaloom.llm import jaccard
+from taxaloom.llm import common, jaccard
 from taxaloom.llm.queries import op3_jaccard_join
 
 
@@ -81,7 +81,7 @@ def test_frequent_columns_and_tiles_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PART", 4)
     monkeypatch.setattr(jaccard, "BUCKET_GRAMS", 500)
     monkeypatch.setattr(jaccard, "COLUMNS", 16)
-    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 3)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 3)
     assert got(jaccard.jaccard_components(df)) == brute(rows, 4, 85)
     assert sorted(r.doc_id for r in jaccard.keep_one(df).collect() if r.doc_id is not None) == sorted(r.doc_id for r in jaccard.keep_one(df.coalesce(1)).collect() if r.doc_id is not None)
 
