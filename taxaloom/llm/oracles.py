@@ -41,16 +41,7 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payl
 """
 
 
-def _listed(words: list[str]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
-def _forms(words: list[str]) -> str:
-    return _listed([*words, *map(str.capitalize, words), *map(str.upper, words)])
-
-
-_CASE = lambda form: "CASE as_lang " + " ".join(f"WHEN '{k}' THEN {form(v)}" for k, v in rules.COMMON.items()) + " END"
-_SHARE = ", ".join(f"(len(list_filter(w, lambda x: list_contains({_forms(v)}, x))), {-i}, '{k}')" for i, (k, v) in enumerate(rules.COMMON.items()))
+_ASCII = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def _jsd(a: str, b: str, n: int) -> str:
@@ -63,18 +54,20 @@ RULES = rf"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, row_number() OVER () AS id FROM documents),
 d AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
-g AS (SELECT *, len(w) AS n_words, array_to_string(w, '') AS j,
-  CASE WHEN lang IN ({', '.join(f"'{k}'" for k in rules.COMMON)}) THEN lang ELSE list_max([{_SHARE}])[3] END AS as_lang FROM d),
+g0 AS (SELECT *, len(w) AS n_words, array_to_string(w, '') AS j FROM d),
+cw AS (SELECT lang, x, count(*) AS c FROM (SELECT DISTINCT id, lang, {_ASCII.format('unnest(w)')} AS x FROM g0 WHERE n_words >= {rules.MIN_WORDS} AND lang IS NOT NULL) GROUP BY ALL),
+cl AS (SELECT lang, list(x ORDER BY r) AS ws FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, x) AS r FROM cw) WHERE r <= {rules.COMMON} GROUP BY lang),
+g AS (SELECT g0.*, ws FROM g0 LEFT JOIN cl USING (lang)),
 win AS (SELECT id, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT id, w, unnest(range(1, n_words - 6)) AS i FROM g)),
 twice AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, x) AS c FROM win) WHERE c > 1),
 rep AS (SELECT id, count(DISTINCT p) AS r FROM (SELECT id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY id),
-m AS (SELECT g.id, doc_id, n_words, coalesce(length(j), 0) AS word_chars, length(j) - length(regexp_replace(j, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, as_lang,
+m AS (SELECT g.id, doc_id, lang, n_words, coalesce(length(j), 0) AS word_chars, length(j) - length(regexp_replace(j, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words,
   length(j) - length(regexp_replace(j, '\p{{Ll}}', '', 'g')) AS lo, length(j) - length(regexp_replace(j, '\p{{Lu}}', '', 'g')) AS up, length(j) - length(regexp_replace(j, '\p{{Nd}}', '', 'g')) AS dg, length(text) - length(j) AS sp,
-  list_transform(list_filter(w, lambda x: list_contains({_CASE(_forms)}, x)), lambda x: list_position({_CASE(_listed)}, lower(x))) AS codes FROM g LEFT JOIN rep ON rep.id = g.id),
-h AS (SELECT *, [sp, lo, up, n_symbols, dg, word_chars - lo - up - n_symbols - dg] AS classes, list_append(list_transform(range(1, 11), lambda c: len(list_filter(codes, lambda x: x = c))), n_words - len(codes)) AS common,
+  coalesce(list_filter(list_transform(w, lambda x: list_position(ws, {_ASCII.format('x')})), lambda p: p > 0), []) AS codes FROM g LEFT JOIN rep ON rep.id = g.id),
+h AS (SELECT *, [sp, lo, up, n_symbols, dg, word_chars - lo - up - n_symbols - dg] AS classes, list_append(list_transform(range(1, {rules.COMMON + 1}), lambda c: len(list_filter(codes, lambda x: x = c))), n_words - len(codes)) AS common,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-ref AS (SELECT as_lang, [{', '.join(f'sum(classes[{k}])' for k in range(1, 7))}] AS rc, [{', '.join(f'sum(common[{k}])' for k in range(1, 12))}] AS rw FROM h WHERE NOT base_failed AND n_words >= {rules.MIN_WORDS} GROUP BY as_lang),
-v AS (SELECT h.*, {_jsd('classes', 'rc', 6)} AS jc, {_jsd('common', 'rw', 11)} AS jw FROM h LEFT JOIN ref USING (as_lang))
+ref AS (SELECT lang, [{', '.join(f'sum(classes[{k}])' for k in range(1, 7))}] AS rc, [{', '.join(f'sum(common[{k}])' for k in range(1, rules.COMMON + 2))}] AS rw FROM h WHERE NOT base_failed AND n_words >= {rules.MIN_WORDS} AND lang IS NOT NULL GROUP BY lang),
+v AS (SELECT h.*, {_jsd('classes', 'rc', 6)} AS jc, {_jsd('common', 'rw', rules.COMMON + 1)} AS jw FROM h LEFT JOIN ref USING (lang))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT (n_words >= {rules.MIN_WORDS} AND (coalesce(jc, 0) > {rules.CLASS_LIMIT} OR coalesce(jw, 0) > {rules.WORD_LIMIT})) AS kept FROM v
 """
