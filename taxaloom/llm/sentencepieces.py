@@ -11,7 +11,8 @@ Scores of a BPE model are merge ranks, not log probabilities; log p is then -log
 `theta` sharpens (above 1) or flattens (below 1) the distribution over segmentations.
 
 Null and empty texts give no pieces and decode to the empty text. Characters outside the piece
-inventory, and the mark U+2581 itself, are spelled in byte pieces. Repeated rows give equal results.
+inventory, and the mark U+2581 itself, are spelled in byte pieces. Rows with one key and text give equal results. A segment is
+never cut, however long. An empty table gives an empty result. An input that has the result's column is refused.
 """
 
 from __future__ import annotations
@@ -24,13 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, refuse_clash
 from .textarrays import SLICE_CHARS, code_points, mix, span_hashes, text_slices
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: A run of non-space characters is cut after this many; no piece crosses the cut.
-LONGEST_SEGMENT = 4096
 
 
 @dataclass
@@ -147,7 +146,7 @@ def utf8_length(cp: np.ndarray) -> np.ndarray:
 
 
 def segment_starts(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where segments start: texts, newlines and what follows them, runs of spaces, and every LONGEST_SEGMENT characters of a longer one."""
+    """Where segments start: texts, newlines and what follows them, and runs of spaces."""
     n = len(cp)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
@@ -155,11 +154,7 @@ def segment_starts(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut[:n] |= newline
     cut[1:] |= newline
     cut[1:n] |= space[1:] & ~space[:-1]
-    starts = np.flatnonzero(cut)
-    lengths = np.diff(starts)
-    if len(lengths) and lengths.max() > LONGEST_SEGMENT:
-        starts = np.unique(np.concatenate([starts, *(np.arange(s, s + k, LONGEST_SEGMENT) for s, k in zip(starts[:-1], lengths, strict=True) if k > LONGEST_SEGMENT)]))
-    return starts
+    return np.flatnonzero(cut)
 
 
 class Sampler:
@@ -310,6 +305,5 @@ def decode(df: DataFrame, model_file: str, ids: str = "piece_ids", out: str = "d
 
 
 def _ddl(df: DataFrame, extra: str, name: str) -> str:
-    if name in df.columns:
-        raise ValueError(f"the input already has a column {name}; choose another name for the result")
+    refuse_clash(df, name)
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), extra])

@@ -92,6 +92,20 @@ def test_dataframe(spark):
     assert sp.encode(df.limit(0), tokenizer(), F.col("doc_id")).count() == 0
 
 
+def test_long_segments_are_not_cut(pieces):
+    """An unspaced text has the sampled distribution of the whole lattice: its likelihood does not fall at any border."""
+    text = "thequickbrownfox" * 1250
+    assert sp.segment_starts(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([0, len(text)])).tolist() == [0, len(text)]
+    s = sp.Sampler(pieces, 7)
+    ids, at = s([text, text], np.arange(2, dtype=np.uint64))
+    for k in range(2):
+        own = ids[at[k] : at[k + 1]]
+        assert sp.decode_ids(pieces, own).decode() == text
+        ends = np.cumsum(pieces.spelled_at[own + 1] - pieces.spelled_at[own])
+        assert not np.isin(np.arange(4096, len(text), 4096), ends).all()
+    assert ids[at[0] : at[1]].tolist() != ids[at[1] : at[2]].tolist()
+
+
 def test_longer_pieces_with_larger_theta(spark):
     df = spark.createDataFrame([(i, "the quick brown fox jumps over the lazy dog") for i in range(50)], "doc_id long, text string")
     n = [sp.encode(df, tokenizer(), F.col("doc_id"), theta=t).agg(F.sum(F.size("piece_ids"))).first()[0] for t in (0.2, 1.0, 3.0)]
