@@ -7,7 +7,8 @@ its texts. A text gets the language whose prototype has the largest cosine with
 
 Letters are folded to lower case and hashed to SYMBOLS - 1 vectors, so any script has one. Texts that are
 null or have no letter get `und` and score 0. Equal cosines go to the language first by code point. Null
-languages teach nothing; without any language learned every prediction is `und`.
+languages teach nothing; without any language learned every prediction is `und`. Repeated rows teach once each and are
+predicted alike. An empty table gives no language and no row. Texts are read whole. Documents with a column lang_pred or score are refused.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, held_out
+from .common import by_batch, held_out, refuse_clash
 from .textarrays import code_points, mix, text_slices
 
 DIMENSIONS = 512
@@ -118,8 +119,8 @@ def profile_cosines(texts: list[str], unit: np.ndarray) -> tuple[np.ndarray, np.
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """All columns of docs and lang_pred, score."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*names)
+    refuse_clash(docs, "lang_pred", "score")
+    names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -9,7 +9,8 @@ level makes the targets add up to the total. Sorting sources by cap / weight giv
 
 A null source is a source of its own, sorted last. Sources without a word get target 0 and rate 0, and their
 documents are emitted once (they take no words). Null and empty texts have size 0. Documents with one id
-share their draw; rows with a null id share one too. An empty table gives an empty mix.
+share their draw; rows with a null id share one too. An empty table gives an empty mix. Texts of any length are counted whole.
+`mix` passes all columns through, whatever their names; `with_targets` refuses documents that have a column it adds.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, refuse_clash
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -49,6 +50,7 @@ def targets(sizes: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGH
 
 def with_targets(docs: DataFrame, source: DataFrame) -> DataFrame:
     """docs joined to their source's row; a small table of sources is broadcast after it has been counted."""
+    refuse_clash(docs, *(c for c in source.columns if c != "source"))
     named = source.withColumnRenamed("source", "__source")
     if named.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         named = F.broadcast(named)
@@ -65,5 +67,5 @@ def copies(rate: Column, doc_id: Column, seed: int = 5) -> Column:
 def mix(docs: DataFrame, source: DataFrame, seed: int = 5) -> DataFrame:
     """The mixed documents: each row of docs as often as its source's rate asks."""
     names = docs.columns
-    n = copies(F.col("rate"), F.col("doc_id"), seed)
-    return with_targets(docs, source.select("source", F.col("rate").alias("rate"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), n))).select(*names)
+    n = copies(F.col("__rate"), F.col("doc_id"), seed)
+    return with_targets(docs, source.select("source", F.col("rate").alias("__rate"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), n))).select(*names)

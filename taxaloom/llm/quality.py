@@ -9,7 +9,8 @@ Mahalanobis distances and log determinants) plus the log odds of the classes.
 Learning reads every labelled row outside the held-out fifth: partial sums of statistics and of their
 products are made in the tasks and added by Spark, so the driver gets about 2 * d * d numbers.
 Null and empty texts have well defined statistics (all counts 0) and get a score. Rows with a null label
-teach nothing; without rows of both classes every score is the share of label 1 (0.5 without any label).
+teach nothing; without rows of both classes every score is the share of label 1 (0.5 without any label). A document that is labelled
+twice with one label teaches once. Repeated rows score alike; texts are measured whole. Documents that have the score's column are refused.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, held_out
+from .common import by_batch, held_out, refuse_clash
 from .textarrays import Words, per_doc, text_slices
 
 SHRINKAGE = 0.1
 THRESHOLD = 0.3
+#: Partial sums are added as whole numbers of this part, so that the model does not depend on the order of tasks.
+UNITS = 2.0**24
 #: Statistics of few words scatter widely; the evidence of n words counts n / (n + FEW_WORDS).
 FEW_WORDS = 40.0
 
@@ -88,7 +91,7 @@ class Model:
 
 def moments(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, k, total): entry k of the sums of (1, x) (1, x)^T over the labelled rows that may teach."""
-    learn = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    learn = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").distinct()
 
     def features():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -99,7 +102,7 @@ def moments(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         return step
 
-    x = by_batch(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))), "doc_id long, x array<double>", features)
+    x = by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out(F.col("doc_id"))), "doc_id long, x array<double>", features)
     labelled = x.join(learn, "doc_id").select("quality", "x")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +117,7 @@ def moments(docs: DataFrame, labels: DataFrame) -> DataFrame:
         label = np.repeat([0, 1], d * d).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(np.tile(np.arange(d * d, dtype=np.int32), 2)), pa.array(total.ravel())], names=["label", "k", "total"])
 
-    return labelled.mapInArrow(sums, "label int, k int, total double").groupBy("label", "k").agg(F.sum("total").alias("total"))
+    return labelled.mapInArrow(sums, "label int, k int, total double").groupBy("label", "k").agg((F.sum(F.rint(F.col("total") * UNITS).cast("decimal(38,0)")).cast("double") / UNITS).alias("total"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> Model:
@@ -142,8 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> Mod
 
 def score(docs: DataFrame, model: Model, out: str = "quality_score") -> DataFrame:
     """All columns of docs and `out`, the score of the whole text."""
-    if out in docs.columns:
-        raise ValueError(f"the input already has a column {out}; choose another name for the result")
+    refuse_clash(docs, out)
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -44,7 +44,10 @@ def test_mixing(spark):
         left -= sum(target[k] for k in over)
         open_ -= over
     assert all(abs(target[k] - t[k].target) < 1e-6 * max(1, target[k]) for k in names)
-    docs = sizes.withColumn("text", F.repeat(F.lit("w "), F.col("size").cast("int")))
+    docs = sizes.withColumn("text", F.repeat(F.lit("w "), F.col("size").cast("int"))).withColumn("rate", F.lit(9)).withColumn("target", F.lit("x"))
+    assert mixing.mix(docs, mixing.targets(sizes)).columns == docs.columns
+    with pytest.raises(ValueError):
+        mixing.with_targets(docs, mixing.targets(sizes))
     out = mixing.mix(docs, mixing.targets(sizes)).groupBy("source").agg(F.sum("size").alias("taken")).collect()
     assert all(abs(x.taken - t[x.source].target) < 0.1 * t[x.source].target + 100 for x in out if x.source != "empty")
     assert mixing.mix(docs.limit(0), mixing.targets(sizes.limit(0))).count() == 0
@@ -138,6 +141,10 @@ def test_rules(spark):
     r = random.Random(9)
     texts = [None, "", "one", "a b c d e f g h " * 3, " ".join(r.choice("abcdefghij") for _ in range(300)), "x\nx\n\ny\nx \n \n", "#* $% | <> & é É 9", "the of and " * 5000, " ".join(f"w{i}" for i in range(100))]
     df = spark.createDataFrame([(i, t, l, 7, "c") for i, t in enumerate(texts) for l in ("en", None, "xx")], "doc_id long, text string, lang string, n_words int, kept string")
+    with pytest.raises(ValueError):
+        rules.judged(df)
+    assert rules.keep(df).columns == df.columns
+    df = df.drop("n_words", "kept")
     out = rules.judged(df).collect()
     assert len(out) == 3 * len(texts)
     for x in out:
@@ -146,12 +153,26 @@ def test_rules(spark):
         lines = [y for y in t.split("\n") if y.strip()]
         assert (x.n_words, x.word_chars, x.n_dup_lines, x.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), repeats(w))
         assert x.n_symbols == sum(t.count(c) for c in "#*$%&|<>")
-        assert x.input_n_words == 7 and x.input_kept == "c"
         assert x.base_failed == (len(w) < 20 or 100 * repeats(w) > 30 * len(w))
-    assert rules.keep(df).columns == df.columns
+    assert {(x.doc_id, x.lang) for x in rules.keep(df).collect()} == {(x.doc_id, x.lang) for x in out if x.kept}
     assert rules.judged(df.limit(0)).count() == 0
 
 
+def test_rules_of_other_languages(spark):
+    """Documents of one language keep their verdict when those of another are added."""
+    r = random.Random(4)
+    german = ["der", "die", "und", "in", "den", "Haus", "Baum", "geht", "steht", "alt"]
+    text = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    de = [(i, text(german, 120), "de") for i in range(30)] + [(90, "#$% " * 100, "de"), (91, text(german, 30), "de")]
+    zh = [(100 + i, text([chr(0x4E00 + k) for k in range(40)], 120), "zh") for i in range(30)]
+    none = [(200 + i, text(german, 120), None) for i in range(3)]
+    schema = "doc_id long, text string, lang string"
+    kept = lambda rows: {x.doc_id for x in rules.keep(spark.createDataFrame(rows, schema)).collect()}
+    alone = kept(de)
+    assert alone == {*range(30), 91}
+    assert kept(de + zh + none) == alone | {x[0] for x in zh + none}
+
+
 def test_chat_layouts(spark):
     import json
 
