@@ -51,9 +51,11 @@ def canonical(kmer: Column) -> Column:
 
 
 def canonical_pairs(s: Column, k: int) -> Column:
-    """Distinct canonical pairs of a sequence; the strand is reversed once, not for each k-mer."""
+    """Distinct canonical pairs of a sequence. The strand is reversed once, not for each k-mer, and the smaller k-mers are made
+    distinct as strings, which Spark hashes; structs it would compare each with each."""
     opposite = F.reverse(kmers(reverse_complement(s), k))  # the reverse complement of each k-mer, in the k-mers' order
-    return F.array_distinct(F.zip_with(kmers(s, k), opposite, lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))))
+    smaller = F.array_distinct(F.zip_with(kmers(s, k), opposite, lambda x, y: F.least(x, y)))
+    return F.transform(smaller, lambda x: F.struct(x.alias("a"), F.reverse(F.translate(x, "ACGTN", "TGCAN")).alias("b")))
 
 
 def residue(codon: Column) -> Column:
