@@ -154,16 +154,42 @@ def test_lm_spelling_is_a_distribution():
 
 
 def test_lm_trains_on_every_word(spark, monkeypatch):
-    monkeypatch.setattr(lm, "BLOB", 7)
+    monkeypatch.setattr(lm, "HELD", 7)
     texts = ["one", "a b", "a b", "a b", None, "", "c d e f g h i j k l", "a " * 100]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     words, _ = lm.vocabulary(docs)
-    got = sorted(tuple(x) for r in lm.windows(docs, words.frequent).collect() for x in np.frombuffer(r.windows, np.uint8).reshape(-1, len(lm.OFFSETS) + 1).tolist())
     want = []
     for t in texts:
         s = lm.symbols(Words([t or ""], lower=True), words).tolist()
         want += [(*(s[i + o] if 0 <= i + o < len(s) else lm.PAD for o in lm.OFFSETS), s[i]) for i in range(len(s))]
-    assert got == sorted(want)
+    for parts in (1, 3):
+        rows = lm.gathered(lm.windows(docs, words.frequent, parts), parts).collect()
+        assert len({r.part for r in rows}) == len(rows) <= parts
+        got = []
+        for r in rows:
+            code, n = np.frombuffer(r.code, np.uint64), np.frombuffer(r.n, np.int64)
+            assert len(np.unique(code)) == len(code)
+            got += [tuple(w) for w, k in zip(lm.unpacked(code).tolist(), n, strict=True) for _ in range(k)]
+            taught, weight = lm.lesson(code, n)
+            total = {}
+            for w, x in zip(taught.tolist(), weight, strict=True):
+                total[tuple(w)] = total.get(tuple(w), 0) + x
+            assert all(abs(total[tuple(w)] - k) < 1e-4 for w, k in zip(lm.unpacked(code).tolist(), n, strict=True))
+        assert sorted(got) == sorted(want)
+
+
+def test_lm_does_not_depend_on_the_cluster(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm, "PART_WORDS", 20_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    seen = []
+    for n in ("4", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            words, params = lm.fit(docs.repartition(int(n)))
+            seen.append(lm.flat(params))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert np.array_equal(*seen)
 
 
 def test_lm_gradient():
@@ -174,6 +200,11 @@ def test_lm_gradient():
     loss = lambda p: -lm.log_probabilities(p, window[:, :-1], window[:, -1]).mean()
     moved = [p.copy() for p in params]
     lm.train(moved, window, 1e-4)
+    # A step over windows with weights is that over as many equal windows.
+    many, few = ([p.astype(np.float64) for p in lm.initial(np.ones(lm.SYMBOLS))] for _ in range(2))
+    lm.train(many, np.repeat(window, 3, axis=0), 1e-2)
+    lm.train(few, window, 1e-2, np.full(len(window), 3.0))
+    assert all(np.allclose(a, b) for a, b in zip(many, few, strict=True))
     # The first step of Adam is the sign of the gradient.
     for at in [(0, lm.PAD, 3), (1, window[5, 1], 0), (3, window[7, 3], 31)]:
         up, down = [p.copy() for p in params], [p.copy() for p in params]
