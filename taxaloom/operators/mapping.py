@@ -25,6 +25,37 @@ def map_reads(reads: DataFrame, contigs: DataFrame, k: int, least: Column) -> Da
     return best.select("read_id", F.col("m.ctg_id").alias("ctg_id"), F.col("m.pos").cast("long").alias("pos"), (-F.col("m.s")).alias("score"))
 
 
+def strands(reads: DataFrame) -> DataFrame:
+    """(read_id, strand, s): each read as it is (strand 0) and as its reverse complement (1)."""
+    both = F.array(F.struct(F.lit(0).alias("strand"), F.col("s").alias("s")), F.struct(F.lit(1).alias("strand"), S.reverse_complement(F.col("s")).alias("s")))
+    return reads.select("read_id", F.explode(both).alias("x")).select("read_id", "x.strand", "x.s")
+
+
+def map_both_strands(reads: DataFrame, contigs: DataFrame, k: int, least: Column) -> DataFrame:
+    """(read_id, ctg_id, pos, strand, score): as map_reads, of both strands of a read; of equal places the forward strand."""
+    s = strands(reads)
+    one = [map_reads(s.where(F.col("strand") == x).select("read_id", "s"), contigs, k, least).withColumn("strand", F.lit(x)) for x in (0, 1)]
+    best = one[0].union(one[1]).groupBy("read_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "ctg_id", "pos", "strand")).alias("m"))
+    return best.select("read_id", "m.ctg_id", "m.pos", "m.strand", (-F.col("m.s")).alias("score"))
+
+
+def contig_read_edges(contigs: DataFrame, reads: DataFrame, k: int, seed: int, large: int = 8000, small: int = 1000) -> DataFrame:
+    """(ctg_id, read_id): contigs and reads that overlap well in either orientation of the read, which may hang over the contig's ends.
+
+    A shared k-mer fixes the shift, so each (contig, read, strand, shift) is compared once. Two long ones (both of `small` or more, one of
+    `large` or more) are not joined."""
+    s = strands(reads)
+    r = s.select("read_id", "strand", F.posexplode(S.kmers(F.col("s"), k)).alias("pr", "kmer"))
+    c = contigs.select("ctg_id", F.posexplode(S.kmers(F.col("s"), k)).alias("pc", "kmer"))
+    shift = c.join(r, "kmer").select("ctg_id", "read_id", "strand", (F.col("pc") - F.col("pr")).alias("d")).distinct()
+    full = shift.join(s.withColumnRenamed("s", "rs"), ["read_id", "strand"]).join(contigs.select("ctg_id", F.col("s").alias("cs")), "ctg_id")
+    nc, nr = F.length("cs"), F.length("rs")
+    full = full.where(((nc < large) & (nr < large)) | (nc < small) | (nr < small))
+    front, other = (F.when(F.col("d") >= 0, F.col(a)).otherwise(F.col(b)) for a, b in (("cs", "rs"), ("rs", "cs")))
+    o = full.withColumn("o", S.overlap(front, other, F.abs("d")))
+    return o.where(good_overlap(F.col("o.match"), F.col("o.mismatch"), seed)).select("ctg_id", "read_id").distinct()
+
+
 def good_overlap(match: Column, mismatch: Column, seed: int = 50, r: float = 0.01) -> Column:
     """Whether an overlap is long enough and its equal bases beyond the seed reach the binomial bound of its length beyond the seed."""
     return (match >= seed) & (match - seed >= S.binomial_bound(match + mismatch - seed, r))

@@ -47,6 +47,20 @@ def confusion_summary(cube: DataFrame, top: int = 7) -> DataFrame:
     return g.select("ref", "lower", "high", "corr", (F.col("inner") - F.col("lower") - F.col("high") - F.col("corr")).alias("tinc"), "total")
 
 
+def confusion_variants(rows: DataFrame, ref: str, weight: str, variants: dict[str, tuple[str, str]]) -> DataFrame:
+    """(variant, ref, pred, correct, n_reads, n_ctgs): rows and the sums of their weights by levels, for each named pair (pred, correct), say of
+    the contig itself and of its nearest neighbour. All variants in one pass over the rows."""
+    each = F.array(*(F.struct(F.lit(name).alias("variant"), F.col(p).alias("pred"), F.col(c).alias("correct")) for name, (p, c) in variants.items()))
+    x = rows.select(F.col(ref).alias("ref"), F.col(weight).alias("w"), F.explode(each).alias("v")).select("ref", "w", "v.*")
+    return x.groupBy("variant", "ref", "pred", "correct").agg(F.sum("w").alias("n_reads"), F.count(F.lit(1)).alias("n_ctgs"))
+
+
+def log2_sums(owners: DataFrame, counts: DataFrame, owner: str, empty: float = 1e9) -> DataFrame:
+    """(owner, log2_sum) of all owners; an owner without counts gets `empty`."""
+    c = composition(counts, owner).select(owner, "log2_sum")
+    return owners.select(owner).distinct().join(c, owner, "left").select(owner, F.coalesce("log2_sum", F.lit(empty)).alias("log2_sum"))
+
+
 def cluster_accuracy(composed: DataFrame, cluster: str, genome: str, n: str = "n") -> DataFrame:
     """One row (precision, sensitivity): the share of the largest genome of each cluster, and of the largest cluster of each genome."""
     best = lambda by, name: composed.groupBy(by).agg(F.max(n).alias("m"), F.sum(n).alias("s")).agg((F.sum("m") / F.sum("s")).alias("r")).withColumn("name", F.lit(name))

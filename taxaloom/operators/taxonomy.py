@@ -53,6 +53,14 @@ def leaf_counts(edges: DataFrame) -> DataFrame:
     return c.where("dist > 0").join(leaves, "node").groupBy(F.col("above").alias("node")).agg(F.count(F.lit(1)).alias("leafnum"))
 
 
+def leaf_parents(edges: DataFrame, least: int = 2) -> DataFrame:
+    """(node, children, leaves): nodes with at least `least` children that are leaves."""
+    inner = edges.select(F.col("parent").alias("child"), F.lit(1).alias("inner")).distinct()
+    e = edges.select("parent", "child").distinct().join(inner, "child", "left")
+    g = e.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"), F.count_if(F.col("inner").isNull()).alias("leaves"))
+    return g.where(F.col("leaves") >= least)
+
+
 def postorder(edges: DataFrame) -> DataFrame:
     """(node, post_id): children in the order of their names before their parent."""
     c = closure(edges)

@@ -91,6 +91,11 @@ MAP = f"{ANN}, bm AS (SELECT doc_id, arg_max(item_id, (score, -item_id)) AS item
 COMP = "co AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), cp AS (SELECT *, n / sum(n) OVER (PARTITION BY l_suppkey) AS p, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC) AS r FROM co)"
 DL = "dl AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)"
 
+GENES = f"{B}, rg AS (SELECT DISTINCT l_orderkey AS seqid, l_linenumber * 9 - 12 AS st, l_linenumber * 9 - 12 + CAST(l_quantity AS BIGINT) AS en FROM lineitem), ge AS (SELECT seqid, CAST(st AS BIGINT) AS st, CAST(en AS BIGINT) AS en, substr(s, st, en - st + 1) AS gene FROM rg JOIN b ON item_id = seqid WHERE st >= 1 AND en > st AND en <= length(s))"
+STRANDS = f"{D}, {B}, rd AS (SELECT item_id AS read_id, CASE WHEN item_id % 2 = 1 THEN {rc('s')} ELSE s END AS s FROM b), st AS (SELECT read_id, CAST(0 AS BIGINT) AS strand, s FROM rd UNION ALL SELECT read_id, 1, {rc('s')} FROM rd), r AS (SELECT read_id, strand, i, substr(s, i, 12) AS m FROM (SELECT *, unnest(range(1, length(s) - 10)) AS i FROM st)), c AS (SELECT doc_id, i, substr(s, i, 12) AS m FROM (SELECT doc_id, s, unnest(range(1, length(s) - 10)) AS i FROM d)), p AS (SELECT DISTINCT read_id, strand, doc_id, c.i - r.i AS pos FROM r JOIN c USING (m) WHERE c.i >= r.i), f AS (SELECT read_id, strand, doc_id, pos, st.s AS rs, substr(d.s, pos + 1, length(st.s)) AS cs FROM p JOIN st USING (read_id, strand) JOIN d USING (doc_id) WHERE pos + length(st.s) <= length(d.s)), q AS (SELECT read_id, strand, doc_id AS ctg_id, pos, length(rs) AS n, len(list_filter(range(1, length(rs) + 1), lambda i: rs[i] = cs[i])) AS score FROM f), w AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, ctg_id, pos, strand) AS k FROM q WHERE score >= 0.95::DOUBLE * n)"
+_P = "(1 + 0.01::DOUBLE * 0.01::DOUBLE - 5 * 0.01::DOUBLE / 3)"
+CONTIG_READ = f"{STRANDS}, gr AS (SELECT read_id FROM w WHERE k = 1 AND score >= 15), s2 AS (SELECT item_id AS read_id, 0 AS strand, s FROM b WHERE item_id IN (SELECT read_id FROM gr) UNION ALL SELECT item_id, 1, {rc('s')} FROM b WHERE item_id IN (SELECT read_id FROM gr)), r2 AS (SELECT read_id, strand, i, substr(s, i, 12) AS m FROM (SELECT *, unnest(range(1, length(s) - 10)) AS i FROM s2)), p2 AS (SELECT DISTINCT doc_id, read_id, strand, c.i - r2.i AS d FROM c JOIN r2 USING (m)), f2 AS (SELECT doc_id, read_id, CASE WHEN d >= 0 THEN substr(dd.s, d + 1) ELSE substr(s2.s, 1 - d) END AS x, CASE WHEN d >= 0 THEN s2.s ELSE dd.s END AS y FROM p2 JOIN s2 USING (read_id, strand) JOIN d dd USING (doc_id) WHERE (length(dd.s) < 8000 AND length(s2.s) < 8000) OR length(dd.s) < 1000 OR length(s2.s) < 1000), o2 AS (SELECT doc_id, read_id, least(length(x), length(y)) AS n, len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[i] = y[i])) AS g FROM f2), ce AS (SELECT DISTINCT doc_id AS ctg_id, read_id FROM o2 WHERE g >= 14 AND g - 14 >= CAST(trunc((n - 14) * {_P} - sqrt({_P} * (1 - {_P}) * (n - 14)) * 1.65::DOUBLE) AS BIGINT))"
+
 ORACLES: dict[str, str] = {
     "annotate_contigs": f"WITH {ANN} SELECT doc_id, item_id, score FROM an",
     "revcomp": f"WITH {D} SELECT doc_id, {rc('s')} AS rc FROM d",
@@ -181,4 +186,21 @@ ORACLES: dict[str, str] = {
     "cluster_species_scores": f"WITH {BEST}, bd AS (SELECT doc_id, item_id % 25 AS tid, max(score) AS score FROM sc GROUP BY ALL) SELECT source, tid, CAST(sum(score) AS BIGINT) AS score FROM bd JOIN nation ON n_nationkey = tid JOIN documents USING (doc_id) WHERE n_regionkey <> 2 GROUP BY source, tid",
     "cluster_best": f"WITH {BYSRC('sum')}, w AS (SELECT source, arg_max(item_id, (score, -item_id)) AS item_id, max(score) AS score FROM bs GROUP BY source), e AS (SELECT DISTINCT source FROM documents) SELECT e.source, coalesce(item_id, -1) AS item_id, coalesce(item_id % 25, 0) AS tid, coalesce(score, 0) AS score FROM e LEFT JOIN w USING (source)",
     "ignored_targets": f"WITH {ANN} SELECT doc_id, item_id, score FROM an WHERE item_id % 25 NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)",
+    "genome_taxa": f"WITH {B} SELECT item_id AS seqid, CAST(s_nationkey AS BIGINT) AS taxid, length(s) AS size FROM b JOIN supplier ON s_suppkey = item_id",
+    "region_genes": f"WITH {GENES} SELECT seqid, st AS start, en AS end, gene FROM ge",
+    "genome_text": f"WITH {GENES} SELECT seqid, string_agg(gene || 'M', '' ORDER BY st, en) AS text FROM ge GROUP BY seqid",
+    "genome_index": f"WITH {GENES} SELECT DISTINCT taxid, kmer FROM (SELECT CAST(s_nationkey AS BIGINT) AS taxid, {km('gene', 8)} AS kmer FROM ge JOIN supplier ON s_suppkey = seqid)",
+    "edge_strings": f"WITH {B}, n AS (SELECT item_id, s, unnest(range(8, 12)) AS n FROM b) SELECT item_id, 'prefix' AS side, n AS size, left(s, n) AS part FROM n WHERE n <= length(s) UNION ALL SELECT item_id, 'suffix', n, right(s, n) FROM n WHERE n <= length(s)",
+    "locate_counts": f"WITH {D}, {B}, o AS (SELECT m, count(*) AS n FROM (SELECT {km('s', 8)} AS m FROM d) GROUP BY m) SELECT item_id, coalesce(n, 0) AS n FROM b LEFT JOIN o ON m = left(s, 8) WHERE length(s) >= 8",
+    "read_mapping_strands": f"WITH {STRANDS} SELECT read_id, ctg_id, pos, strand, score FROM w WHERE k = 1",
+    "contig_read_edges": f"WITH {CONTIG_READ} SELECT ctg_id, read_id FROM ce",
+    "contig_read_merge": f"WITH RECURSIVE {CONTIG_READ}, ed AS (SELECT ctg_id AS u, -1 - read_id AS v FROM ce), {reach('ed', 'co')} SELECT node, comp FROM co",
+    "component_sizes": f"WITH RECURSIVE {PE}, ed AS (SELECT u, v FROM pe WHERE w >= 3), {reach('ed', 'co')} SELECT comp, count(*) AS n FROM co GROUP BY comp",
+    "best_species_all": f"WITH {SPECIES} SELECT documents.doc_id, coalesce(tid, 0) AS tid, coalesce(score, 0) AS score FROM documents LEFT JOIN sp ON sp.doc_id = documents.doc_id",
+    "genome_vote_counts": f"WITH {BEST}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM sc) SELECT doc_id, count(DISTINCT item_id // 4) AS genomes, count(*) AS targets FROM t WHERE r <= 10 GROUP BY doc_id",
+    "composition_log2_all": "WITH n AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT o_custkey, n / sum(n) OVER (PARTITION BY o_custkey) AS p FROM n), l AS (SELECT o_custkey, sum(p * log2(p)) AS l FROM p GROUP BY 1) SELECT c_custkey, round(coalesce(l, 1e9), 6) AS log2_sum FROM customer LEFT JOIN l ON o_custkey = c_custkey",
+    "confusion_variants": "WITH x AS (SELECT CAST(l_linenumber AS BIGINT) AS ref, CAST(l_quantity AS BIGINT) AS w, CAST(least(floor(l_quantity / 7), 7) AS BIGINT) AS p, CAST(least(floor(l_discount * 100), 7) AS BIGINT) AS q, CAST(least(floor(l_tax * 100), 7) AS BIGINT) AS correct FROM lineitem) SELECT variant, ref, pred, correct, CAST(sum(w) AS BIGINT) AS n_reads, count(*) AS n_ctgs FROM (SELECT 'own' AS variant, ref, p AS pred, correct, w FROM x UNION ALL SELECT 'nearest', ref, q, correct, w FROM x) GROUP BY ALL",
+    "leaf_parents": f"WITH {TREE}, i AS (SELECT DISTINCT parent FROM te) SELECT te.parent AS node, count(*) AS children, count(*) FILTER (i.parent IS NULL) AS leaves FROM te LEFT JOIN i ON i.parent = te.child GROUP BY te.parent HAVING count(*) FILTER (i.parent IS NULL) >= 2",
+    "length_extremes": "SELECT lang, count(n) AS sequences, max(n) AS longest, min(n) AS shortest FROM (SELECT lang, length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) AS n FROM documents) GROUP BY lang",
+    "cluster_annotation": f"WITH {BYSRC('sum')}, x AS (SELECT source, item_id FROM (SELECT *, max(score) OVER (PARTITION BY source) AS m FROM bs) WHERE score = m), t AS (SELECT source, count(DISTINCT n_name) AS cn, count(DISTINCT r_name) AS cr, min(n_name) AS nn, min(r_name) AS rn FROM x JOIN nation ON n_nationkey = item_id % 25 JOIN region ON r_regionkey = n_regionkey GROUP BY source), c AS (SELECT source, count(*) AS n, round(avg(length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) / nullif(length(text), 0)), 6) AS coverage FROM documents GROUP BY source) SELECT c.source, CASE WHEN cn = 1 THEN 'nation' WHEN cr = 1 THEN 'region' WHEN cn > 1 THEN 'root' ELSE 'none' END AS level, CASE WHEN cn = 1 THEN nn WHEN cr = 1 THEN rn ELSE '' END AS taxon, n, coverage FROM c LEFT JOIN t ON t.source IS NOT DISTINCT FROM c.source",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import cluster, graph, kmer, mapping, protein, report, stats, taxonomy, textindex
+from ..operators import cluster, genomes, graph, kmer, mapping, protein, report, stats, taxonomy, textindex
 from ..params import Params
 from ..streaming.contigs import annotate
 
@@ -615,3 +615,131 @@ def kmeans_clusters(spark, d):
 
 def iter_merge(spark, d):
     return cluster.iterative_merge(table(spark, d, "embeddings"), "embedding", 20, 0.5).select("vec_id", "cluster")
+
+
+# Genomes and their index
+
+
+def _genomes(spark, d):
+    return targets(spark, d).select(F.col("item_id").alias("seqid"), "s")
+
+
+def _seq_tax(spark, d):
+    """Suppliers as the table of taxa: sequences without a supplier of their number have none."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("seqid"), F.col("s_nationkey").cast("long").alias("taxid"))
+
+
+def _regions(spark, d):
+    """Order lines as regions, from three bases before the line's number times nine, as long as the quantity."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("seqid"), (F.col("l_linenumber").cast("long") * 9 - 12).alias("start"), F.col("l_quantity").cast("long").alias("q"))
+    return li.select("seqid", "start", (F.col("start") + F.col("q")).alias("end")).distinct()
+
+
+def genome_taxa(spark, d):
+    return genomes.with_taxon(_genomes(spark, d), _seq_tax(spark, d)).select("seqid", "taxid", F.length("s").cast("long").alias("size"))
+
+
+def region_genes(spark, d):
+    return genomes.genes(_genomes(spark, d), _regions(spark, d)).select("seqid", "start", "end", "gene")
+
+
+def genome_text(spark, d):
+    return genomes.joined_genes(genomes.genes(_genomes(spark, d), _regions(spark, d)))
+
+
+def genome_index(spark, d):
+    return genomes.genome_index(_genomes(spark, d), _seq_tax(spark, d), _regions(spark, d), 8)
+
+
+def edge_strings(spark, d):
+    return genomes.edge_strings(targets(spark, d), "item_id", P.k, 8)
+
+
+def locate_counts(spark, d):
+    return genomes.locate_counts(targets(spark, d), contigs(spark, d), 8, "item_id")
+
+
+# Both strands, and contigs with reads
+
+
+def _reads(spark, d):
+    return targets(spark, d).select(F.col("item_id").alias("read_id"), "s")
+
+
+def read_mapping_strands(spark, d):
+    """read_mapping with the reverse complements of the odd items' sequences as reads, so that half of them lie on the other strand."""
+    s = F.when(F.col("read_id") % 2 == 1, S.reverse_complement(F.col("s"))).otherwise(F.col("s"))
+    reads = _reads(spark, d).select("read_id", s.alias("s"))
+    m = mapping.map_both_strands(reads, contigs(spark, d).select(F.col("doc_id").alias("ctg_id"), "s"), P.k, F.col("score") >= 0.95 * F.col("size"))
+    return m.withColumn("strand", F.col("strand").cast("long"))
+
+
+def _contig_read_edges(spark, d):
+    scored = read_mapping_strands(spark, d).where("score >= 15").select("read_id")  # reads that map too badly link nothing
+    reads = _reads(spark, d).join(scored, "read_id", "left_semi")
+    return mapping.contig_read_edges(contigs(spark, d).select(F.col("doc_id").alias("ctg_id"), "s"), reads, P.k, 14)
+
+
+def contig_read_edges(spark, d):
+    return _contig_read_edges(spark, d)
+
+
+def contig_read_merge(spark, d):
+    """Components of contigs (node doc_id) and reads (node -1 - item_id) that overlap."""
+    e = _contig_read_edges(spark, d).select(F.col("ctg_id").alias("u"), (-1 - F.col("read_id")).alias("v"))
+    return graph.components(e)
+
+
+def component_sizes(spark, d):
+    return components(spark, d).groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Whole results, with the rules for owners without any
+
+
+def best_species_all(spark, d):
+    """The best taxon of every document, 0 without one."""
+    best = best_species(spark, d)
+    return table(spark, d, "documents").select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("tid", F.lit(0)).alias("tid"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def genome_vote_counts(spark, d):
+    """Per document, the genomes among its ten best targets and how many different ones there are."""
+    t = kmer.top(best_scores(spark, d), "doc_id", "item_id", 10)
+    return t.groupBy("doc_id").agg(F.count_distinct(F.floor(F.col("item_id") / 4)).alias("genomes"), F.count(F.lit(1)).alias("targets"))
+
+
+def composition_log2_all(spark, d):
+    """As composition_log2 of all customers by their orders' priorities; 1e9 without an order."""
+    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey"), "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return stats.log2_sums(table(spark, d, "customer"), n, "c_custkey").withColumn("log2_sum", F.round("log2_sum", 6))
+
+
+def confusion_variants(spark, d):
+    """Levels of lines by quantity (the line itself) and by discount (its neighbour), with quantities as reads."""
+    at = lambda x: F.least(F.floor(x), F.lit(7)).cast("long")
+    li = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("ref"), F.col("l_quantity").cast("long").alias("w"), at(F.col("l_quantity") / 7).alias("p"), at(F.col("l_discount") * 100).alias("q"), at(F.col("l_tax") * 100).alias("c"))
+    return stats.confusion_variants(li, "ref", "w", {"own": ("p", "c"), "nearest": ("q", "c")})
+
+
+def leaf_parents(spark, d):
+    return taxonomy.leaf_parents(tree_edges(spark, d))
+
+
+def length_extremes(spark, d):
+    """Per language, the number of sequences, the longest and the shortest."""
+    c = table(spark, d, "documents").select("lang", F.length(S.dna(F.col("text"))).cast("long").alias("n"))
+    return c.groupBy("lang").agg(F.count("n").alias("sequences"), F.max("n").alias("longest"), F.min("n").alias("shortest"))
+
+
+def cluster_annotation(spark, d):
+    """Per source: the level and name of the taxon that its best target belongs to (its region where two best targets of different nations tie), and the mean coverage."""
+    s = _by_source(spark, d, F.sum).withColumn("best", F.max("score").over(W.partitionBy("source"))).where("score = best")
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    named = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").cast("long").alias("tid"), "n_name", "r_name")
+    t = s.withColumn("tid", F.col("item_id") % 25).join(named, "tid").groupBy("source").agg(F.min("n_name").alias("n1"), F.max("n_name").alias("n2"), F.min("r_name").alias("r1"), F.max("r_name").alias("r2"))
+    docs = table(spark, d, "documents").select("source", F.length("text").alias("size"), F.length(S.dna(F.col("text"))).alias("bases"))
+    cover = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.try_divide(F.col("bases"), F.col("size"))), 6).alias("coverage"))
+    level = F.when(F.col("n1") == F.col("n2"), "nation").when(F.col("r1") == F.col("r2"), "region").when(F.col("n1").isNotNull(), "root").otherwise("none")
+    taxon = F.when(F.col("n1") == F.col("n2"), F.col("n1")).when(F.col("r1") == F.col("r2"), F.col("r1"))
+    return cover.join(t, cover.source.eqNullSafe(t.source), "left").select(cover.source, level.alias("level"), F.coalesce(taxon, F.lit("")).alias("taxon"), "n", "coverage")
