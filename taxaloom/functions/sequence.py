@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 GENETIC_CODE = "KNKNTTTTRSRSIIMIQHQHPPPPRRRRLLLLEDEDAAAAGGGGVVVV*Y*YSSSS*CWCLFLF"
 
 
+#: Characters of a chunk, or codons of one.
+CHUNK = 128
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -38,10 +40,18 @@ def fragments(s: Column, width: int) -> Column:
     return let(s, lambda t: F.transform(F.sequence(F.lit(0), last), lambda f: F.struct(f.alias("frag"), F.substr(t, f * width + 1, F.lit(width)).alias("seq"))))
 
 
+def in_chunks(t: Column, count: Column, step: int, size: int, body) -> Column:
+    """body(chunk) of the chunks of `size` characters that start every `step` ones, as one array; count: the number of starts. A substring
+    is found by walking from the start of its string, so places are looked up in short chunks, not in the whole sequence."""
+    chunks = F.sequence(F.lit(0), F.floor((count - 1) / step).cast("int"))
+    return F.flatten(F.transform(chunks, lambda c: let(F.substr(t, c * step + 1, F.lit(size)), body)))
+
+
 def kmers(s: Column, k: int) -> Column:
     """All k-mers in order; none for a sequence shorter than k."""
     count = lambda t: F.length(t) - (k - 1)
-    return let(s, lambda t: F.when(count(t) >= 1, F.transform(F.sequence(F.lit(1), count(t)), lambda i: F.substr(t, i, F.lit(k)))).otherwise(F.array().cast("array<string>")))
+    inside = lambda p: F.transform(F.sequence(F.lit(1), count(p)), lambda i: F.substr(p, i, F.lit(k)))
+    return let(s, lambda t: F.when(count(t) >= 1, in_chunks(t, count(t), CHUNK, CHUNK + k - 1, inside)).otherwise(F.array().cast("array<string>")))
 
 
 def canonical(kmer: Column) -> Column:
@@ -67,7 +77,14 @@ def residue(codon: Column) -> Column:
 def translate_codons(s: Column) -> Column:
     """Whole codons from the start; one or two bases left over are dropped."""
     n = lambda t: F.floor(F.length(t) / 3).cast("int")
-    return let(s, lambda t: F.when(n(t) >= 1, F.array_join(F.transform(F.sequence(F.lit(0), n(t) - 1), lambda i: residue(F.substr(t, i * 3 + 1, F.lit(3)))), "")).otherwise(""))
+    digits = F.translate(F.regexp_replace(s, "[^ACGT]", "N"), "ACGT", "0123")
+
+    def residue_at(p: Column, i: Column) -> Column:
+        a, b, c = (F.ascii(F.substr(p, i * 3 + j, F.lit(1))) - ord("0") for j in (1, 2, 3))
+        return F.when((a < 4) & (b < 4) & (c < 4), F.substr(F.lit(GENETIC_CODE), a * 16 + b * 4 + c + 1, F.lit(1))).otherwise("X")
+
+    inside = lambda p: F.transform(F.sequence(F.lit(0), n(p) - 1), lambda i: residue_at(p, i))
+    return let(digits, lambda t: F.when(n(t) >= 1, F.array_join(in_chunks(t, n(t) * 3, 3 * CHUNK, 3 * CHUNK, inside), "")).otherwise(""))
 
 
 def six_frames(s: Column) -> Column:

@@ -52,3 +52,22 @@ def test_small_functions(spark):
     assert one(spark, S.split_names(F.col("s"), ";"), s="a;b;") == ["a", "b"]
     assert one(spark, S.unique_names(F.array(F.lit("a"), F.lit("a")))) == ["a", "a1"]
     assert tuple(one(spark, S.overlap(F.col("a"), F.col("b"), F.lit(2)), a="ACGTA", b="GTCC")) == (2, 1)
+
+
+def test_long_sequences(spark):
+    """Over chunk borders the k-mers and residues are those of the whole sequence, in time linear in the length."""
+    import random
+    import time
+
+    r = random.Random(3)
+    for n in (0, 2, 5, 127, 128, 129, 132, 133, 383, 384, 385, 387, 1000):
+        t = "".join(r.choice("ACGTN") for _ in range(n))
+        assert one(spark, S.kmers(F.col("s"), 6), s=t) == [t[i : i + 6] for i in range(n - 5)]
+        index = {c: i for i, c in enumerate("ACGT")}
+        codons = [t[i : i + 3] for i in range(0, n - 2, 3)]
+        assert one(spark, S.translate_codons(F.col("s")), s=t) == "".join("X" if "N" in c else S.GENETIC_CODE[16 * index[c[0]] + 4 * index[c[1]] + index[c[2]]] for c in codons)
+    long = "".join(r.choice("ACGT") for _ in range(16_000))
+    one(spark, F.size(S.canonical_pairs(F.col("s"), 12)), s=long)
+    start = time.time()
+    assert one(spark, F.size(S.canonical_pairs(F.col("s"), 12)), s=long) > 15_000
+    assert time.time() - start < 5
