@@ -4,16 +4,18 @@ Unit vectors at cosine >= c are at squared distance <= 2 (1 - c). The vectors ar
 rotation and split into BLOCKS blocks of dimensions; if each block had more than its proportional share of that
 squared distance (its share of the dimensions), the whole would exceed it, so linked vectors are within
 the budget in some block. Each block is joined by range: a grid over its first GRID coordinates, of cells as wide
-as the budget's root, where a vector stays at home and visits the neighbouring cells in reach. Within a
-cell, tiles of vectors are compared in numpy: first the block's distance, then the exact cosine in double
-precision of the pairs within its budget. A pair is counted in the first block in which it is within budget.
+as the budget's root, where a vector stays at home and visits the neighbouring cells in reach that come after its own,
+so that two cells meet once. Within a cell, tiles of vectors are compared in numpy: first the block's distance, then the
+exact cosine in double precision of the pairs within its budget. A pair is counted in the first block in which it is within budget.
 
-Cells with many vectors are dealt over several tasks by a hash of the ids, so none holds an unbounded
-group. Tasks return counts of links and, for the components, a spanning forest of the links of each tile,
-never all pairs. Equal vectors are compared once.
+Cells with many vectors are dealt over several tasks by a hash of the vectors' numbers, so none holds an unbounded
+group: a part holds at most about PART_VALUES numbers whatever the dimension, and two parts meet once. Tasks return
+counts of links and, for the components, a spanning forest of the links of each tile, never all pairs. Equal vectors are
+compared once; they are told by 128 bits of hash, and numbered.
 
 Vectors that are null, empty, zero or hold a null, NaN or infinity link with nothing; so do vectors of
-different length. Repeated ids: each row counts as a vector of its own; results are per id and vector.
+different length. An empty table gives an empty result. Repeated ids: each row counts as a vector of its own; results
+are per id and vector. Only vec_id and embedding are read; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, written
+from .common import Scratch, by_batch, written
 from .components import components
 
 BLOCKS, GRID = 4, 1
-#: Vectors of a cell that go to one task's group, and of a step in numpy.
-PART, TILE = 16384, 512
+#: Numbers (vectors times dimensions) of a part of a cell, two of which meet in a task's group, and vectors of a step in numpy.
+PART_VALUES, TILE = 1 << 21, 512
 SEED, SLACK = 17, 1e-5
 
 
@@ -46,7 +48,7 @@ def cuts(d: int) -> list[tuple[int, int]]:
 
 
 def cells(vectors: DataFrame, least: float) -> DataFrame:
-    """(d, block, cell, home, node, weight, embedding): each vector at home and in the cells it must visit, in every block."""
+    """(d, block, cell, home, node, weight, embedding): each vector at home and in the later cells in its reach, in every block."""
     limit = 2 * (1 - least) + 1e-9
     kind = pa.float32() if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else pa.float64()
 
@@ -63,7 +65,8 @@ def cells(vectors: DataFrame, least: float) -> DataFrame:
                     reach = max(np.sqrt(limit * (hi - lo) / d), 1e-3)
                     own = turned[:, lo : min(lo + GRID, hi)]
                     place = np.floor(own / reach).astype(np.int64)
-                    for move in np.stack(np.meshgrid(*[[-1, 0, 1]] * own.shape[1], indexing="ij"), -1).reshape(-1, own.shape[1]):
+                    moves = np.stack(np.meshgrid(*[[-1, 0, 1]] * own.shape[1], indexing="ij"), -1).reshape(-1, own.shape[1])
+                    for move in moves[len(moves) // 2 :]:  # staying and, of each two opposite moves, the later one
                         gap = np.where(move > 0, (place + 1) * reach - own, np.where(move < 0, own - place * reach, 0.0))
                         into = pa.array(np.flatnonzero((gap * gap).sum(1) <= reach * reach))
                         part, to = rows.take(into), (place + move)[into.to_numpy()]
@@ -96,8 +99,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def compare(left: pd.DataFrame, right: pd.DataFrame, least: float, b: int) -> pd.DataFrame:
-    """Links between the home vectors of one tile and the vectors of another that come after them by (tile rule) node."""
+def compare(left: pd.DataFrame, right: pd.DataFrame, least: float, b: int, same: bool) -> pd.DataFrame:
+    """Counts and a forest of the links in block b between two parts, or (same) within one."""
     empty = pd.DataFrame({"node": np.zeros(0, np.int64), "to": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
     if not len(left) or not len(right):
         return empty
@@ -116,12 +119,12 @@ def compare(left: pd.DataFrame, right: pd.DataFrame, least: float, b: int) -> pd
     p, r = lift(tx, True), lift(ty, False).T.copy()
     found_a, found_b = [], []
     for k in range(0, len(x), TILE):
-        for m in range(0, len(y), TILE):
+        for m in range(k if same else 0, len(y), TILE):
             near = np.flatnonzero(p[k : k + TILE] @ r[:, m : m + TILE] >= -0.5 * limit * (hi - lo) / d - SLACK)
             wide = min(TILE, len(y) - m)
             i, j = k + near // wide, m + near % wide
-            keep = nx[i] < ny[j]
-            i, j = i[keep], j[keep]
+            if same:
+                i, j = i[i < j], j[i < j]
             for s in range(0, len(i), 1 << 16):
                 u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                 ok = (x[u] * y[v]).sum(1) >= least
@@ -142,38 +145,48 @@ def compare(left: pd.DataFrame, right: pd.DataFrame, least: float, b: int) -> pd
     return pd.concat([pd.DataFrame({"node": node[count > 0], "to": count[count > 0], "other": -1}), pd.DataFrame({"node": nx[a][tree], "to": 0, "other": ny[c][tree]})])
 
 
-def link_parts(vectors: DataFrame, least: float) -> DataFrame:
-    """(node, to, other): either a count of links (other -1) or a link of a spanning forest. vectors: (node, embedding, weight)."""
-    placed = written(cells(vectors, least))
-    # A cell of n rows is dealt into ceil(n / PART) parts of homes and of others; every pair of parts is one task's group.
-    size = placed.groupBy("d", "block", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).where("homes > 0")
-    size = size.select("d", "block", "cell", F.expr(f"cast(ceil(n / {PART}D) as int)").alias("parts"))
-    dealt = placed.join(size, ["d", "block", "cell"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    home = dealt.where("home").withColumn("part", F.explode(every)).select("d", "block", "cell", F.col("own").alias("i"), F.col("part").alias("j"), "node", "weight", "embedding", F.lit(True).alias("left"))
-    other = dealt.withColumn("part", F.explode(every)).select("d", "block", "cell", F.col("part").alias("i"), F.col("own").alias("j"), "node", "weight", "embedding", F.lit(False).alias("left"))
+def link_parts(placed: DataFrame, least: float) -> DataFrame:
+    """(node, to, other): either a count of links (other -1) or a link of a spanning forest. placed: as from cells."""
+    parts = lambda n: F.ceil(n * F.col("d") / PART_VALUES).cast("int")
+    size = placed.groupBy("d", "block", "cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v")).where("h > 0")
+    size = size.select("d", "block", "cell", parts(F.col("h")).alias("hp"), parts(F.col("v")).alias("vp"))
+    dealt = placed.join(size, ["d", "block", "cell"]).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("hp")).otherwise(F.col("vp"))).cast("int"))
+    to = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda k: k < F.col(n))
+    group = lambda visit, i, j, left: F.struct(F.lit(visit).alias("visit"), i.alias("i"), j.alias("j"), left.alias("left"))
+    own = F.col("own")
+    home = F.concat(F.transform(to("hp"), lambda k: group(False, F.least(own, k), F.greatest(own, k), own <= k)), F.transform(to("vp"), lambda k: group(True, own, k, F.lit(True))))
+    visitor = F.transform(to("hp"), lambda k: group(True, k, own, F.lit(False)))
+    met = dealt.select("d", "block", "cell", "node", "weight", "embedding", F.explode(F.when(F.col("home"), home).otherwise(visitor)).alias("g"))
+    met = met.select("d", "block", "cell", "g.visit", "g.i", "g.j", "g.left", "node", "weight", "embedding")
 
     def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return compare(rows[rows["left"]], rows[~rows["left"]], least, int(key[1]))
+        _, block, _, visit, i, j = key
+        same = not visit and i == j
+        return compare(rows[rows["left"]], rows if same else rows[~rows["left"]], least, int(block), same)
 
-    return home.union(other).groupBy("d", "block", "cell", "i", "j").applyInPandas(tile, "node long, to long, other long")
+    return met.groupBy("d", "block", "cell", "visit", "i", "j").applyInPandas(tile, "node long, to long, other long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding)."""
+    """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding), which is read twice."""
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     bad = F.coalesce(F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))), F.lit(True)) | ~F.coalesce(F.exists("embedding", lambda e: e != 0), F.lit(False))
+    plain = F.transform("embedding", lambda e: e + 0.0)  # -0.0 as 0.0
     x = x.withColumn("bad", bad)
-    # The key of a vector is a hash of its components; equal vectors are one node with a weight.
-    keyed = written(x.withColumn("node", F.when(~F.col("bad"), F.xxhash64(F.transform("embedding", lambda e: e + 0.0)))))
-    groups = keyed.where("not bad").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding"))
-    groups = written(groups)
-    found = written(link_parts(groups.select("node", "embedding", "weight"), least))
-    counts = found.where("to > 0").groupBy("node").agg(F.sum("to").alias("to"))
-    roots = components(found.where("to = 0"), "node", "other")
-    named = groups.select("node", "rep", "weight").join(counts, "node", "left").join(roots, "node", "left").select("node", "rep", (F.coalesce("to", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "root").select("node", "n_links", "component_id")
-    out = keyed.select("vec_id", "node").join(named, "node", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    keyed = x.where("not bad").withColumn("h", F.xxhash64(plain)).withColumn("g", F.xxhash64(F.lit(SEED), plain))
+    groups = keyed.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding"))
+    with Scratch(vectors.sparkSession) as space:
+        # The numbers are fixed by writing them.
+        groups = space.written(groups.withColumn("node", F.monotonically_increasing_id()))
+        placed = space.written(cells(groups, least))
+        found = space.written(link_parts(placed, least))
+        counts = found.where("to > 0").groupBy("node").agg(F.sum("to").alias("to"))
+        roots = components(found.where("to = 0"), "node", "other")
+        named = groups.select("h", "g", "node", "rep", "weight").join(counts, "node", "left").join(roots, "node", "left")
+        named = named.select("h", "g", "rep", (F.coalesce("to", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+        smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+        named = written(named.join(smallest, "root").select("h", "g", "n_links", "component_id"))
+    # Rows that link with nothing stay out of the join, so that they are no hot key.
+    alone = x.where("bad").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = keyed.select("vec_id", "h", "g").join(named, ["h", "g"], "left").select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

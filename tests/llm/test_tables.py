@@ -111,7 +111,7 @@ def brute_vectors(rows, least):
     return sorted((k, links[i], low[find(i)], k == low[find(i)]) for i, (k, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("part", [16384, 8])
+@pytest.mark.parametrize("part", [1 << 21, 128])
 def test_vectors(spark, monkeypatch, part):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 16)).astype(np.float32)
@@ -120,12 +120,24 @@ def test_vectors(spark, monkeypatch, part):
         rows.append((100 + i, (base[rng.integers(10)] + rng.normal(0, 0.2, 16)).astype(np.float32).tolist()))
     rows += [(400 + i, rows[3][1]) for i in range(5)] + [(500, None), (501, []), (502, [0.0] * 16), (503, [float("nan")] * 16), (504, [1.0] * 8), (505, [1.0] * 8), (506, (2 * base[3]).tolist()), (507, [None] * 16), (508, [float("inf")] + [1.0] * 15)]
     df = spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id long, embedding array<float>, node int")
-    monkeypatch.setattr(embed, "PART", part)
+    monkeypatch.setattr(embed, "PART_VALUES", part)
     got = sorted(tuple(r) for r in embed.near_duplicates(df.select("vec_id", "embedding")).collect())
     assert got == brute_vectors(rows, 0.9)
     assert embed.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vector_pairs_meet_once(spark, monkeypatch):
+    """Counts of links over many small parts at a wide threshold, where most pairs are within the budget of several blocks."""
+    monkeypatch.setattr(embed, "PART_VALUES", 1024)
+    unit = np.random.default_rng(5).normal(size=(300, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(unit)], "node long, weight long, embedding array<double>")
+    placed = embed.written(embed.cells(df, 0.2))
+    assert placed.count() <= 2 * embed.BLOCKS * 300
+    found = embed.link_parts(placed, 0.2).where("to > 0").groupBy("node").agg(F.sum("to").alias("n")).collect()
+    assert {r.node: r.n for r in found} == {i: int(n) for i, n in enumerate((unit @ unit.T >= 0.2).sum(1) - 1) if n}
+
+
 def test_vector_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert sorted(tuple(r) for r in op8_embedding_dedup(spark, sf).collect()) == brute_vectors(rows, 0.9)
