@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -17,6 +19,15 @@ def qmer_profile(contigs: DataFrame, q: int, owner: str) -> DataFrame:
     return km.groupBy(owner, S.canonical(F.col("x"))["a"].alias("qmer")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def qmer_vectors(contigs: DataFrame, q: int, owner: str) -> DataFrame:
+    """(owner, profile): the share of every canonical q-mer among a contig's positions, in their order; contigs shorter than q have none."""
+    words = ["".join(w) for w in product("ACGT", repeat=q)]
+    slots = sorted({min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA"))) for w in words})
+    n = qmer_profile(contigs, q, owner).groupBy(owner).agg(F.map_from_entries(F.collect_list(F.struct("qmer", "n"))).alias("n"), F.sum("n").alias("total"))
+    share = lambda x: F.coalesce(F.try_element_at("n", x), F.lit(0)) / F.col("total")
+    return n.select(owner, F.transform(F.array(*map(F.lit, slots)), share).alias("profile"))
+
+
 def kmeans(vectors: DataFrame, k: int, vec: str, seed: int = 7, restarts: int = 1) -> DataFrame:
     """vectors with `cluster`; of several restarts the one with the least cost."""
     x = vectors.withColumn("features", array_to_vector(F.col(vec).cast("array<double>")))

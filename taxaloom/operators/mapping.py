@@ -74,6 +74,17 @@ def read_links(mapped: DataFrame, pairs: DataFrame) -> DataFrame:
     return group_links(pairs.select(F.col("u").alias("type"), F.col("v").alias("newtype")), mapped)
 
 
+def pair_mapping(mates: DataFrame, pair: str, mate: str, target: str, score: str) -> DataFrame:
+    """(kind, score, n): pairs with both mates (0 and 1) by how they map: `mixed` to two targets, `unmapped` both, `half` by the score of
+    the mate that does not map; target is null for a mate that does not map. Pairs on one target are not listed."""
+    one = lambda m: F.max(F.when(F.col(mate) == m, F.struct(F.col(target).alias("t"), F.col(score).alias("s"))))
+    p = mates.groupBy(pair).agg(one(0).alias("a"), one(1).alias("b")).where("a is not null and b is not null")
+    t0, t1, s0, s1 = F.col("a.t"), F.col("b.t"), F.col("a.s"), F.col("b.s")
+    kind = F.when(t0.isNull() & t1.isNull(), "unmapped").when(t0.isNull() | t1.isNull(), "half").when(t0 != t1, "mixed")
+    p = p.select(kind.alias("kind"), F.when(kind == "half", F.when(t0.isNull(), s0).otherwise(s1)).cast("long").alias("score"))
+    return p.where("kind is not null").groupBy("kind", "score").agg(F.count(F.lit(1)).alias("n"))
+
+
 def near_best(scores: DataFrame, owner: str, share: float) -> DataFrame:
     """Scores of at least share of the owner's best."""
     return scores.withColumn("__best", F.max("score").over(W.partitionBy(owner))).where(F.col("score") >= share * F.col("__best")).drop("__best")

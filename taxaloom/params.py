@@ -15,6 +15,7 @@ class Params:
     read_len: int = 100
     align_threshold: int | None = None  # default: 95 % of read_len
     qmer: int = 4
+    restarts: int = 10
     max_species: int = 600
     min_species: int = 100
     merge_threshold: float = 0.97

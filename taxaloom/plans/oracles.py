@@ -165,6 +165,7 @@ ORACLES: dict[str, str] = {
     "bwt": f"WITH {SUF} SELECT item_id, string_agg(CASE WHEN pos = 0 THEN '$' ELSE substr(s, pos, 1) END, '' ORDER BY rank) AS bwt FROM sa GROUP BY item_id",
     "region_lookup_asof": "WITH r AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CAST(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS e FROM lineitem), p AS (SELECT l_orderkey, unnest(range(0, max(e) + 1, 10)) AS pos FROM r GROUP BY l_orderkey), z AS (SELECT l_orderkey, max(line) AS last FROM r GROUP BY 1) SELECT p.l_orderkey, p.pos, coalesce(min(r.line), any_value(z.last)) AS line FROM p JOIN z ON z.l_orderkey = p.l_orderkey LEFT JOIN r ON r.l_orderkey = p.l_orderkey AND r.e > p.pos GROUP BY ALL",
     "common_kmers_all": f"WITH {B}, g AS (SELECT item_id // 4 AS genome, count(*) AS size FROM b GROUP BY 1), k AS (SELECT DISTINCT item_id // 4 AS genome, item_id, {km('s', 4)} AS kmer FROM b), c AS (SELECT genome, kmer, count(*) AS c FROM k GROUP BY ALL) SELECT genome, kmer FROM c JOIN g USING (genome) WHERE c = size",
+    "common_substrings": f"WITH {B}, g AS (SELECT item_id // 4 AS genome, arg_min(s, item_id) AS f, list(s) AS ss FROM b GROUP BY 1), p AS (SELECT genome, f, ss, unnest(range(0, length(f))) AS pos FROM g), r AS (SELECT genome, pos, coalesce(list_max(list_filter(range(1, length(f) - pos + 1), lambda n: len(list_filter(ss, lambda x: NOT contains(x, substr(f, pos + 1, n)))) = 0)), 0) AS size FROM p), l AS (SELECT *, lag(size, 1, 0) OVER (PARTITION BY genome ORDER BY pos) AS b FROM r) SELECT genome, pos, size FROM l WHERE size >= 3 AND b <= size",
     "lcp_depth_clean": f"WITH {LCP} SELECT * FROM de",
     "lcp_depth_summary": f"WITH {LCP} SELECT item_id, round(avg(depth), 6) AS mean_depth, count(*) AS n FROM de GROUP BY 1",
     "read_classify": f"WITH {D}, o AS (SELECT doc_id, i, substr(s, i, 24) AS l FROM (SELECT doc_id, s, unnest(range(1, length(s) - 22)) AS i FROM d)), ix AS (SELECT l FROM (SELECT DISTINCT doc_id, l FROM o) GROUP BY l HAVING count(*) > 5), q AS (SELECT doc_id, substr(l, 13, 12) AS kmer, arg_max(l, i) AS l FROM o GROUP BY ALL) SELECT doc_id, count(*) AS n FROM q JOIN ix USING (l) GROUP BY doc_id",
@@ -200,6 +201,7 @@ ORACLES: dict[str, str] = {
     "genome_vote_counts": f"WITH {BEST}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM sc) SELECT doc_id, count(DISTINCT item_id // 4) AS genomes, count(*) AS targets FROM t WHERE r <= 10 GROUP BY doc_id",
     "composition_log2_all": "WITH n AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT o_custkey, n / sum(n) OVER (PARTITION BY o_custkey) AS p FROM n), l AS (SELECT o_custkey, sum(p * log2(p)) AS l FROM p GROUP BY 1) SELECT c_custkey, round(coalesce(l, 1e9), 6) AS log2_sum FROM customer LEFT JOIN l ON o_custkey = c_custkey",
     "confusion_variants": "WITH x AS (SELECT CAST(l_linenumber AS BIGINT) AS ref, CAST(l_quantity AS BIGINT) AS w, CAST(least(floor(l_quantity / 7), 7) AS BIGINT) AS p, CAST(least(floor(l_discount * 100), 7) AS BIGINT) AS q, CAST(least(floor(l_tax * 100), 7) AS BIGINT) AS correct FROM lineitem) SELECT variant, ref, pred, correct, CAST(sum(w) AS BIGINT) AS n_reads, count(*) AS n_ctgs FROM (SELECT 'own' AS variant, ref, p AS pred, correct, w FROM x UNION ALL SELECT 'nearest', ref, q, correct, w FROM x) GROUP BY ALL",
+    "pair_mapping": "WITH e AS (SELECT event_id, CASE WHEN value >= 50 THEN user_id % 10 END AS t, CAST(floor(value) AS BIGINT) AS s FROM events), p AS (SELECT x.t AS t0, y.t AS t1, x.s AS s0, y.s AS s1 FROM e x JOIN e y ON x.event_id % 2 = 0 AND y.event_id = x.event_id + 1), k AS (SELECT CASE WHEN t0 IS NULL AND t1 IS NULL THEN 'unmapped' WHEN t0 IS NULL OR t1 IS NULL THEN 'half' WHEN t0 <> t1 THEN 'mixed' END AS kind, CASE WHEN t0 IS NULL AND t1 IS NOT NULL THEN s0 WHEN t1 IS NULL AND t0 IS NOT NULL THEN s1 END AS score FROM p) SELECT kind, coalesce(score, -1) AS score, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL",
     "leaf_parents": f"WITH {TREE}, i AS (SELECT DISTINCT parent FROM te) SELECT te.parent AS node, count(*) AS children, count(*) FILTER (i.parent IS NULL) AS leaves FROM te LEFT JOIN i ON i.parent = te.child GROUP BY te.parent HAVING count(*) FILTER (i.parent IS NULL) >= 2",
     "length_extremes": "SELECT lang, count(n) AS sequences, max(n) AS longest, min(n) AS shortest FROM (SELECT lang, length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) AS n FROM documents) GROUP BY lang",
     "cluster_annotation": f"WITH {BYSRC('sum')}, x AS (SELECT source, item_id FROM (SELECT *, max(score) OVER (PARTITION BY source) AS m FROM bs) WHERE score = m), t AS (SELECT source, count(DISTINCT n_name) AS cn, count(DISTINCT r_name) AS cr, min(n_name) AS nn, min(r_name) AS rn FROM x JOIN nation ON n_nationkey = item_id % 25 JOIN region ON r_regionkey = n_regionkey GROUP BY source), c AS (SELECT source, count(*) AS n, round(avg(length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) / nullif(length(text), 0)), 6) AS coverage FROM documents GROUP BY source) SELECT c.source, CASE WHEN cn = 1 THEN 'nation' WHEN cr = 1 THEN 'region' WHEN cn > 1 THEN 'root' ELSE 'none' END AS level, CASE WHEN cn = 1 THEN nn WHEN cr = 1 THEN rn ELSE '' END AS taxon, n, coverage FROM c LEFT JOIN t ON t.source IS NOT DISTINCT FROM c.source",

@@ -479,6 +479,11 @@ def common_kmers_all(spark, d):
     return textindex.common_kmers(t, "genome", "item_id", 4)
 
 
+def common_substrings(spark, d):
+    t = targets(spark, d).withColumn("genome", F.floor(F.col("item_id") / 4).cast("long"))
+    return textindex.common_substrings(t, "genome", "item_id", 3)
+
+
 def lcp_depth_clean(spark, d):
     return textindex.lcp_depth(targets(spark, d), "item_id")
 
@@ -613,6 +618,12 @@ def kmeans_clusters(spark, d):
     return cluster.kmeans(table(spark, d, "embeddings"), 10, "embedding").select("vec_id", "cluster")
 
 
+def qmer_clusters(spark, d):
+    """Documents clustered by their q-mer shares, the best of ten runs."""
+    v = graph.written(cluster.qmer_vectors(contigs(spark, d), P.qmer, "doc_id"))
+    return cluster.kmeans(v, 10, "profile", restarts=P.restarts).select("doc_id", "cluster")
+
+
 def iter_merge(spark, d):
     return cluster.iterative_merge(table(spark, d, "embeddings"), "embedding", 20, 0.5).select("vec_id", "cluster")
 
@@ -722,6 +733,12 @@ def confusion_variants(spark, d):
     return stats.confusion_variants(li, "ref", "w", {"own": ("p", "c"), "nearest": ("q", "c")})
 
 
+def pair_mapping(spark, d):
+    """Pairs of events as mates: events of value 50 or more map to their user mod 10."""
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 2).alias("pair"), (F.col("event_id") % 2).alias("mate"), F.when(F.col("value") >= 50, F.col("user_id") % 10).alias("target"), F.floor("value").cast("long").alias("score"))
+    return mapping.pair_mapping(e, "pair", "mate", "target", "score").withColumn("score", F.coalesce("score", F.lit(-1)).cast("long"))
+
+
 def leaf_parents(spark, d):
     return taxonomy.leaf_parents(tree_edges(spark, d))
 

@@ -142,6 +142,11 @@ def lcp_intervals(spark: SparkSession, path: str) -> DataFrame:
     return tokens(spark, path, "depth int, lb int, rb int, lstart int, rstart int")
 
 
+def frequent_kmers(spark: SparkSession, path: str) -> DataFrame:
+    """(kmer, gene): the gene that a frequent k-mer stands for."""
+    return tokens(spark, path, "kmer string, gene long")
+
+
 def lengths(spark: SparkSession, path: str) -> DataFrame:
     return tokens(spark, path, "gi string, len int")
 

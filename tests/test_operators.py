@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -102,6 +103,51 @@ def test_kmeans_and_merge(spark):
     assert cluster.iterative_merge(v, "e", 6, 0.95).select("cluster").distinct().count() == 2
 
 
+def test_qmer_clusters(spark):
+    """Contigs of two compositions fall apart, whatever their strand and length."""
+    r = random.Random(3)
+    seq = lambda kind, n: "".join(r.choices("ACGT", weights=(5, 1, 1, 5) if kind else (1, 5, 5, 1), k=n))
+    c = spark.createDataFrame([(i, seq(i % 2, 300 + 10 * i)) for i in range(30)] + [(99, "AC")], "id int, s string")
+    v = cluster.qmer_vectors(c, 3, "id")
+    profiles = {x.id: x.profile for x in v.collect()}
+    assert sorted(profiles) == list(range(30)) and all(len(p) == 32 and math.isclose(sum(p), 1) for p in profiles.values())
+    got = {x.id: x.cluster for x in cluster.kmeans(v, 2, "profile", restarts=3).collect()}
+    assert len({got[i] for i in range(0, 30, 2)}) == 1 and len({got[i] for i in range(1, 30, 2)}) == 1 and got[0] != got[1]
+
+
+def test_common_substrings(spark):
+    r = random.Random(4)
+    texts = {g: ["".join(r.choices("ACGT", k=r.randint(0, 30))) for _ in range(3)] for g in range(12)}
+    texts[99] = ["ACGTACGT"]
+    df = spark.createDataFrame([(g, m, s) for g, x in texts.items() for m, s in enumerate(x)], "g int, m int, s string")
+    want = []
+    for g, x in texts.items():
+        size = [max(n for n in range(len(x[0]) - p + 1) if all(x[0][p : p + n] in s for s in x)) for p in range(len(x[0]))]
+        want += [(g, p, n) for p, n in enumerate(size) if n >= 2 and (p == 0 or size[p - 1] <= n)]
+    assert rows(textindex.common_substrings(df, "g", "m", 2)) == sorted(want)
+
+
+def test_common_prefixes_of_suffixes(spark):
+    texts = ["ACACACAC", "", "A", "GATTACAGATTACA"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    want = {}
+    for i, t in enumerate(texts):
+        order = sorted(t[p:] for p in range(len(t) + 1))
+        for a, b in zip(order, order[1:], strict=False):
+            n = next((k for k in range(len(a) + 1) if k == len(a) or a[k] != b[k]))
+            if n:
+                end = len(t) - len(b) + n - 1
+                want[i, end] = max(n, want.get((i, end), 0))
+    assert {(x.id, x.end_pos): x.depth for x in textindex.lcp_depth(df, "id").collect()} == want
+
+
+def test_pair_mapping(spark):
+    m = [(1, 0, 5, 9), (1, 1, 6, 9), (2, 0, 5, 9), (2, 1, 5, 9), (3, 0, None, 4), (3, 1, 5, 9), (4, 0, 5, 9), (4, 1, None, 4), (5, 0, None, 1), (5, 1, None, 2), (6, 0, None, 1)]
+    df = spark.createDataFrame(m, "pair int, mate int, target int, score int")
+    got = {(x.kind, x.score): x.n for x in mapping.pair_mapping(df, "pair", "mate", "target", "score").collect()}
+    assert got == {("mixed", None): 1, ("half", 4): 2, ("unmapped", None): 1}
+
+
 def test_mapping(spark):
     c = spark.createDataFrame([(1, "ACGTACGGTTCA"), (2, "GGGGACGTACGATT")], "ctg_id int, s string")
     r = spark.createDataFrame([(7, "ACGTACGG"), (8, "CGTACGAT")], "read_id int, s string")

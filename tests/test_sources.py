@@ -48,6 +48,10 @@ def test_tables(spark, folder):
     assert rows(readers.taxonomy_nodes(spark, folder("n", "1\t|\t1\t|\tno rank\t|\n2\t|\t1\t|\tgenus\t|\n"))) == [(1, 1, "no rank"), (2, 1, "genus")]
     assert rows(readers.edges(spark, folder("e", "1 2\n3 4\n"))) == [(1, 2), (3, 4)]
     assert rows(readers.index_info(spark, folder("i", "g1\t5\t100\tp\ng2\t6\t50\tq\n")).select("genome_idx", "taxid")) == [(0, 5), (1, 6)]
+    assert rows(readers.frequent_kmers(spark, folder("f", "ACGT 3\nGGCC 7\n"))) == [("ACGT", 3), ("GGCC", 7)]
+    assert rows(readers.lcp_intervals(spark, folder("d", "3 1 2 5 9\n"))) == [(3, 1, 2, 5, 9)]
+    assert rows(readers.lengths(spark, folder("g", "g1 12\n"))) == [("g1", 12)]
+    assert rows(readers.species_labels(spark, folder("q", "c 1\ta sp\n"))) == [("c 1", "a sp")]
     assert rows(readers.count_report(spark, folder("k", "5\tBacteria\t x\n\n3\tArchaea\n"))) == [(3, ["Archaea"]), (5, ["Bacteria", "x"])]
     assert rows(readers.gene_hits(spark, folder("h", "c_1_7\tg\t80\n")).select("contig", "gene", "identity")) == [("c_1", "g", 80.0)]
     c = readers.catalogue(spark, folder("c", "st\tid1\tBacteria;p;p\t1\tsp\td\nst\tid2\tArchaea;q\t1\tsp\td\n"))
