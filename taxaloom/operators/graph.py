@@ -74,6 +74,11 @@ def merge_by_ratio(edges: DataFrame, lengths: DataFrame, passes: tuple[tuple[flo
     return comp
 
 
+def merge_steps(mates: DataFrame, pair: str, mate: str, node: str, lengths: DataFrame, passes: tuple[tuple[float, bool], ...], limit: int) -> DataFrame:
+    """(node, comp): contigs merged by their read pairs: the pairs are counted as edges once, then merged pass by pass."""
+    return merge_by_ratio(written(pair_edges(mates, pair, mate, node)), lengths, passes, limit)
+
+
 def islands(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """(key, start, end): unions of overlapping or touching intervals."""
     w = W.partitionBy(key).orderBy(start, end)

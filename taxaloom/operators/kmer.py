@@ -48,6 +48,14 @@ def best(scores: DataFrame, owner: str, target: str, score: str = "score") -> Da
     return top.select(owner, (-F.col("m.t")).alias(target), F.col("m.s").alias(score))
 
 
+def best_or_fixed(scores: DataFrame, fixed: DataFrame, owner: str, target: str) -> DataFrame:
+    """(owner, target, score): the fixed target of an owner that has one, with its own score, else the best; a null owner is one of its own.
+    fixed: (owner, target, score)."""
+    both = best(scores, owner, target).withColumn("__fixed", F.lit(0)).unionByName(fixed.select(owner, target, "score").withColumn("__fixed", F.lit(1)))
+    m = both.groupBy(owner).agg(F.max_by(F.struct(target, "score"), "__fixed").alias("m"))
+    return m.select(owner, F.col(f"m.{target}").alias(target), F.col("m.score").alias("score"))
+
+
 def top(scores: DataFrame, owner: str, target: str, n: int, score: str = "score") -> DataFrame:
     """The n highest per owner, with rank; ties to the smallest target. Spark drops all below rank n before the shuffle."""
     w = W.partitionBy(owner).orderBy(F.desc(score), F.asc(target))

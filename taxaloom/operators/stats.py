@@ -29,14 +29,19 @@ def level_by_entropy(levels: DataFrame, owner: str, level: str, threshold: float
     return m.select(owner, F.col("m.level").alias(level), F.col("m.entropy").alias("entropy"), F.col("m.majority").alias("majority"))
 
 
-def gaussian_confidence(values: DataFrame, owner: str, value: str, levels: list[tuple[str, float, float, float]]) -> DataFrame:
-    """(owner, level, confidence): share of the weighted normal densities of all levels up to this one. levels: (name, mean, sd, weight) in order."""
-    dens = lambda m, s, p: F.exp(-((F.col(value) - m) * (F.col(value) - m)) / (2 * s * s)) / (s * F.sqrt(2 * F.pi())) * p
-    rows = F.array(*(F.struct(F.lit(n).alias("level"), (dens(m, s, p) if s > 0 else F.lit(0.0)).alias("d")) for n, m, s, p in levels))
-    e = values.select(owner, F.posexplode(rows).alias("i", "x")).select(owner, "i", F.col("x.level").alias("level"), F.col("x.d").alias("d"))
+def gaussian_confidence(values: DataFrame, owner: str, value: str, levels: DataFrame) -> DataFrame:
+    """(owner, level, confidence): share of the weighted normal densities of all levels up to this one. levels: (level, mean, sd, weight), a
+    row per rank, in the order of level; they reach the values as one scalar subquery. A level without a standard deviation above 0 has no
+    density, one with a mean near 0 no confidence; densities that sum to nearly 0 are not divided."""
+    row = F.struct("level", F.col("mean").cast("double").alias("m"), F.col("sd").cast("double").alias("s"), F.col("weight").cast("double").alias("p"))
+    ordered = levels.agg(F.array_sort(F.collect_list(row)).alias("l")).scalar()
+    x = F.col("x")
+    d = F.when(x["s"] > 0, F.exp(-((F.col("v") - x["m"]) * (F.col("v") - x["m"])) / (2 * x["s"] * x["s"])) / (x["s"] * F.sqrt(2 * F.pi())) * x["p"]).otherwise(0.0)
+    e = values.select(owner, F.col(value).alias("v"), F.posexplode(ordered).alias("i", "x")).select(owner, "i", x["level"].alias("level"), x["m"].alias("m"), d.alias("d"))
     w = W.partitionBy(owner)
     run, whole = F.sum("d").over(w.orderBy("i").rowsBetween(W.unboundedPreceding, 0)), F.sum("d").over(w)
-    return e.select(owner, "level", F.when(whole > 1e-100, run / whole).otherwise(run).alias("confidence"))
+    known = F.coalesce(F.abs("m") >= 1e-9, F.lit(False))
+    return e.select(owner, "level", F.when(known, F.when(whole > 1e-100, run / whole).otherwise(run)).otherwise(0.0).alias("confidence"))
 
 
 def confusion_summary(cube: DataFrame, top: int = 7) -> DataFrame:
@@ -47,6 +52,11 @@ def confusion_summary(cube: DataFrame, top: int = 7) -> DataFrame:
     return g.select("ref", "lower", "high", "corr", (F.col("inner") - F.col("lower") - F.col("high") - F.col("corr")).alias("tinc"), "total")
 
 
+def confusion_matrix(cube: DataFrame, levels: int) -> DataFrame:
+    """(ref, p0 ... p<levels - 1>): the numbers of (ref, pred, n) with a column for each predicted level."""
+    return cube.groupBy("ref").pivot("pred", list(range(levels))).agg(F.sum("n")).na.fill(0).select("ref", *(F.col(str(k)).alias(f"p{k}") for k in range(levels)))
+
+
 def confusion_variants(rows: DataFrame, ref: str, weight: str, variants: dict[str, tuple[str, str]]) -> DataFrame:
     """(variant, ref, pred, correct, n_reads, n_ctgs): rows and the sums of their weights by levels, for each named pair (pred, correct), say of
     the contig itself and of its nearest neighbour. All variants in one pass over the rows."""

@@ -121,13 +121,11 @@ ORACLES: dict[str, str] = {
     "genome_vote": f"WITH {BEST}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM sc), g AS (SELECT doc_id, item_id // 4 AS genome, sum(score) AS part FROM t WHERE r <= 10 GROUP BY ALL), p AS (SELECT *, part / sum(part) OVER (PARTITION BY doc_id) AS share FROM g) SELECT doc_id, genome, round(share, 6) AS share FROM p WHERE share > 0.5",
     "freq_kmer_argmax": f"WITH {D}, {B}, {idx(12)}, al AS (SELECT kmer, min(item_id) AS item_id FROM ix GROUP BY kmer HAVING count(*) = 1), o AS (SELECT doc_id, {km('s', 12)} AS m FROM d), v AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, item_id FROM o JOIN al ON kmer = m UNION ALL SELECT doc_id, item_id FROM o JOIN al ON kmer = {rc('m')}) GROUP BY ALL), w AS (SELECT doc_id, arg_max(item_id, (n, -item_id)) AS item_id, max(n) AS n FROM v GROUP BY doc_id) SELECT d.doc_id, coalesce(item_id, -1) AS item_id, coalesce(n, -1) AS n FROM d LEFT JOIN w USING (doc_id)",
     "protein_search": f"WITH {D}, {B}, {frames('d', 'doc_id')}, pi AS (SELECT DISTINCT item_id % 25 AS tid, {km('p', 4)} AS kmer FROM (SELECT item_id, {prot('s')} AS p FROM b)), wi AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY kmer) AS w FROM pi), fk AS (SELECT DISTINCT doc_id, frame, {km('protein', 4)} AS kmer FROM fp), bf AS (SELECT doc_id, frame, tid, sum(w) AS score FROM fk JOIN wi USING (kmer) GROUP BY ALL) SELECT doc_id, tid, round(max(score), 6) AS score FROM bf GROUP BY doc_id, tid",
-    "lineage_array": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name || ';' || r_name AS ranks FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "lineage_array_all": "SELECT c_custkey, c_name || ';' || n_name || ';' || r_name AS ranks FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "lineage_array": "SELECT c_custkey, c_name || ';' || n_name || ';' || r_name AS ranks FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "lca": f"WITH {ANN}, {LIN}, t AS (SELECT doc_id, l0, l1, l2 FROM an JOIN lin ON item_id % 25 = tid), g AS (SELECT doc_id, count(DISTINCT l0) AS c0, count(DISTINCT l1) AS c1, count(DISTINCT l2) AS c2, min(l0) AS m0, min(l1) AS m1, min(l2) AS m2 FROM t GROUP BY doc_id) SELECT doc_id, CAST(CASE WHEN c0 = 1 THEN 0 WHEN c1 = 1 THEN 1 WHEN c2 = 1 THEN 2 ELSE 99 END AS BIGINT) AS level, CAST(CASE WHEN c0 = 1 THEN m0 WHEN c1 = 1 THEN m1 WHEN c2 = 1 THEN m2 ELSE 0 END AS BIGINT) AS taxon FROM g",
     "tax_edges": f"WITH {TREE} SELECT * FROM te",
     "leaf_counts": "SELECT n_name AS node, count(*) AS leafnum FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT r_name, count(*) FROM (SELECT r_name, c_name AS leaf FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)) GROUP BY 1",
-    "postorder": "WITH t AS (SELECT r_name AS a, n_name AS b, n_name AS node, 0 AS last FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL, r_name, 1 FROM region UNION ALL SELECT NULL, NULL, 'ALL', 2) SELECT node, row_number() OVER (ORDER BY a NULLS LAST, b NULLS LAST) - 1 AS post_id FROM t",
-    "postorder_all": "WITH t AS (SELECT r_name AS a, n_name AS b, c_name AS c, c_name AS node FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, n_name, NULL, n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL, NULL, r_name FROM region UNION ALL SELECT NULL, NULL, NULL, 'ALL') SELECT node, row_number() OVER (ORDER BY a NULLS LAST, b NULLS LAST, c NULLS LAST) - 1 AS post_id FROM t",
+    "postorder": "WITH t AS (SELECT r_name AS a, n_name AS b, c_name AS c, c_name AS node FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, n_name, NULL, n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL, NULL, r_name FROM region UNION ALL SELECT NULL, NULL, NULL, 'ALL') SELECT node, row_number() OVER (ORDER BY a NULLS LAST, b NULLS LAST, c NULLS LAST) - 1 AS post_id FROM t",
     "heavy_child": f"WITH {CUST} SELECT n_regionkey, arg_max(n_nationkey, (n, -n_nationkey)) AS n_nationkey, max(n) AS n FROM cu GROUP BY n_regionkey",
     "sibling_order": f"WITH {CUST} SELECT n_regionkey, n_nationkey, n, row_number() OVER (PARTITION BY n_regionkey ORDER BY n DESC, n_nationkey) AS rank FROM cu",
     "heavy_path": f"WITH {TREE}, nl AS (SELECT n.parent, n.child, greatest(count(c.child), 1) AS leaves FROM te n LEFT JOIN te c ON c.parent = n.child AND c.level = 1 WHERE n.level = 0 GROUP BY ALL), hn AS (SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY leaves DESC, child) AS r FROM nl), nh AS (SELECT child AS node, CASE WHEN r = 1 THEN parent ELSE child END AS head FROM hn), hc AS (SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY child) AS r FROM te WHERE level = 1) SELECT node, head FROM nh UNION ALL SELECT DISTINCT parent, parent FROM hn UNION ALL SELECT child, CASE WHEN r = 1 THEN head ELSE child END FROM hc JOIN nh ON hc.parent = nh.node",
@@ -173,8 +171,7 @@ ORACLES: dict[str, str] = {
     "annotation_report": f"WITH {MAP} SELECT source, item_id, count(*) AS n FROM rm GROUP BY ALL",
     "read_contig_map": f"WITH {MAP} SELECT doc_id, item_id FROM rm",
     "unassigned_bucket": f"WITH {ANN} SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM an) GROUP BY source",
-    "multi_key_sort": "SELECT l_returnflag, l_linestatus, l_quantity, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, row_number() OVER (ORDER BY l_returnflag, l_linestatus, l_quantity DESC, l_orderkey, l_linenumber) AS rank FROM lineitem QUALIFY rank <= 100",
-    "multi_key_sort_all": "SELECT l_returnflag, l_linestatus, l_quantity, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, row_number() OVER (ORDER BY l_returnflag, l_linestatus, l_quantity DESC, l_orderkey, l_linenumber) AS rank FROM lineitem",
+    "multi_key_sort": "SELECT l_returnflag, l_linestatus, l_quantity, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, row_number() OVER (ORDER BY l_returnflag, l_linestatus, l_quantity DESC, l_orderkey, l_linenumber) AS rank FROM lineitem",
     "score_lines": f"WITH {ANN}, l AS (SELECT doc_id, string_agg(item_id || ' ' || score, ' ' ORDER BY item_id) AS line FROM an GROUP BY 1) SELECT d.doc_id AS ctg_id, coalesce(line, '') AS line FROM d LEFT JOIN l USING (doc_id)",
     "cluster_members": "SELECT c_mktsegment AS cluster, c_custkey AS read_id, CASE WHEN c_acctbal > 0 THEN c_name ELSE '< read ' || c_custkey END AS line FROM customer",
     "qmer_profile": f"WITH {D}, k AS (SELECT doc_id, {km('s', 4)} AS m FROM d) SELECT doc_id, least(m, {rc('m')}) AS qmer, count(*) AS n FROM k GROUP BY ALL",
@@ -182,8 +179,7 @@ ORACLES: dict[str, str] = {
     "read_mapping": f"WITH {D}, {B}, r AS (SELECT item_id, i, substr(s, i, 12) AS m FROM (SELECT item_id, s, unnest(range(1, length(s) - 10)) AS i FROM b)), c AS (SELECT doc_id, i, substr(s, i, 12) AS m FROM (SELECT doc_id, s, unnest(range(1, length(s) - 10)) AS i FROM d)), p AS (SELECT DISTINCT item_id, doc_id, c.i - r.i AS pos FROM r JOIN c USING (m) WHERE c.i >= r.i), f AS (SELECT item_id, doc_id, pos, b.s AS rs, substr(d.s, pos + 1, length(b.s)) AS cs FROM p JOIN b USING (item_id) JOIN d USING (doc_id) WHERE pos + length(b.s) <= length(d.s)), q AS (SELECT item_id, doc_id, pos, length(rs) AS n, len(list_filter(range(1, length(rs) + 1), lambda i: rs[i] = cs[i])) AS score FROM f), w AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, pos) AS k FROM q WHERE score >= 0.95::DOUBLE * n) SELECT item_id AS read_id, doc_id AS ctg_id, pos, CAST(score AS BIGINT) AS score FROM w WHERE k = 1",
     "near_best_lca": f"WITH {BEST}, {LIN}, nb AS (SELECT doc_id, item_id FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM sc) WHERE score >= 0.9::DOUBLE * m), g AS (SELECT doc_id, count(DISTINCT l0) AS c0, count(DISTINCT l1) AS c1, min(l0) AS m0, min(l1) AS m1 FROM nb JOIN lin ON item_id % 25 = tid GROUP BY doc_id) SELECT doc_id, CAST(CASE WHEN c0 = 1 THEN 0 WHEN c1 = 1 THEN 1 ELSE 2 END AS BIGINT) AS level, CASE WHEN c0 = 1 THEN m0 WHEN c1 = 1 THEN m1 ELSE 1 END AS taxon FROM g",
     "threshold_level": "WITH s AS (SELECT l_suppkey, round(avg(l_discount), 6) AS score FROM lineitem GROUP BY 1) SELECT l_suppkey, score, CAST(CASE WHEN score >= 0.055 THEN 0 WHEN score >= 0.052 THEN 1 WHEN score >= 0.05 THEN 2 WHEN score >= 0.045 THEN 3 ELSE 4 END AS BIGINT) AS level FROM s",
-    "rank_lineages": "SELECT CAST(n_nationkey AS BIGINT) + 1000 AS tid, CAST(n_nationkey AS BIGINT) + 1000 AS species, CAST(n_regionkey AS BIGINT) + 100 AS family, CAST(1 AS BIGINT) AS root FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT) + 100, 0, CAST(r_regionkey AS BIGINT) + 100, 1 FROM region UNION ALL SELECT 1, 0, 0, 1",
-    "rank_lineages_all": "SELECT c_custkey + 10000 AS tid, c_custkey + 10000 AS species, CAST(n_nationkey AS BIGINT) + 1000 AS genus, CAST(n_regionkey AS BIGINT) + 100 AS family, CAST(1 AS BIGINT) AS root FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 1000, 0, CAST(n_nationkey AS BIGINT) + 1000, CAST(n_regionkey AS BIGINT) + 100, 1 FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT) + 100, 0, 0, CAST(r_regionkey AS BIGINT) + 100, 1 FROM region UNION ALL SELECT 1, 0, 0, 0, 1",
+    "rank_lineages": "SELECT c_custkey + 10000 AS tid, c_custkey + 10000 AS species, CAST(n_nationkey AS BIGINT) + 1000 AS genus, CAST(n_regionkey AS BIGINT) + 100 AS family, CAST(1 AS BIGINT) AS root FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 1000, 0, CAST(n_nationkey AS BIGINT) + 1000, CAST(n_regionkey AS BIGINT) + 100, 1 FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT) + 100, 0, 0, CAST(r_regionkey AS BIGINT) + 100, 1 FROM region UNION ALL SELECT 1, 0, 0, 0, 1",
     "cluster_species_scores": f"WITH {BEST}, bd AS (SELECT doc_id, item_id % 25 AS tid, max(score) AS score FROM sc GROUP BY ALL) SELECT source, tid, CAST(sum(score) AS BIGINT) AS score FROM bd JOIN nation ON n_nationkey = tid JOIN documents USING (doc_id) WHERE n_regionkey <> 2 GROUP BY source, tid",
     "cluster_best": f"WITH {BYSRC('sum')}, w AS (SELECT source, arg_max(item_id, (score, -item_id)) AS item_id, max(score) AS score FROM bs GROUP BY source), e AS (SELECT DISTINCT source FROM documents) SELECT e.source, coalesce(item_id, -1) AS item_id, coalesce(item_id % 25, 0) AS tid, coalesce(score, 0) AS score FROM e LEFT JOIN w USING (source)",
     "ignored_targets": f"WITH {ANN} SELECT doc_id, item_id, score FROM an WHERE item_id % 25 NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)",
@@ -205,4 +201,15 @@ ORACLES: dict[str, str] = {
     "leaf_parents": f"WITH {TREE}, i AS (SELECT DISTINCT parent FROM te) SELECT te.parent AS node, count(*) AS children, count(*) FILTER (i.parent IS NULL) AS leaves FROM te LEFT JOIN i ON i.parent = te.child GROUP BY te.parent HAVING count(*) FILTER (i.parent IS NULL) >= 2",
     "length_extremes": "SELECT lang, count(n) AS sequences, max(n) AS longest, min(n) AS shortest FROM (SELECT lang, length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) AS n FROM documents) GROUP BY lang",
     "cluster_annotation": f"WITH {BYSRC('sum')}, x AS (SELECT source, item_id FROM (SELECT *, max(score) OVER (PARTITION BY source) AS m FROM bs) WHERE score = m), t AS (SELECT source, count(DISTINCT n_name) AS cn, count(DISTINCT r_name) AS cr, min(n_name) AS nn, min(r_name) AS rn FROM x JOIN nation ON n_nationkey = item_id % 25 JOIN region ON r_regionkey = n_regionkey GROUP BY source), c AS (SELECT source, count(*) AS n, round(avg(length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) / nullif(length(text), 0)), 6) AS coverage FROM documents GROUP BY source) SELECT c.source, CASE WHEN cn = 1 THEN 'nation' WHEN cr = 1 THEN 'region' WHEN cn > 1 THEN 'root' ELSE 'none' END AS level, CASE WHEN cn = 1 THEN nn WHEN cr = 1 THEN rn ELSE '' END AS taxon, n, coverage FROM c LEFT JOIN t ON t.source IS NOT DISTINCT FROM c.source",
+    "confusion_matrix": "WITH c AS (SELECT CAST(l_linenumber AS BIGINT) AS ref, least(floor(l_quantity / 7), 7) AS p FROM lineitem) SELECT ref, " + ", ".join(f"count(*) FILTER (p = {k}) AS p{k}" for k in range(8)) + " FROM c GROUP BY ref",
+    "genome_hit_lines": f"WITH {BEST}, g AS (SELECT doc_id, item_id // 4 AS genome, CAST(sum(score) AS BIGINT) AS n FROM sc GROUP BY ALL), l AS (SELECT doc_id, string_agg(genome || ' ' || n, ' ' ORDER BY genome) AS line FROM g GROUP BY 1) SELECT d.doc_id AS ctg_id, coalesce(line, '') AS line FROM d LEFT JOIN l USING (doc_id)",
+    "best_species_by_set": f"WITH {BEST}, {hits('d', 'doc_id', name='h2')}, f AS (SELECT doc_id, item_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id, a) AS w FROM h2), x AS (SELECT source, item_id % 25 AS tid, CAST(sum(score) AS DOUBLE) AS v, 'hits' AS kind FROM sc JOIN documents USING (doc_id) GROUP BY ALL UNION ALL SELECT source, item_id % 25, round(sum(w), 6), 'shares' FROM f JOIN documents USING (doc_id) GROUP BY ALL UNION ALL SELECT DISTINCT source, CAST(NULL AS BIGINT), NULL, NULL FROM documents) SELECT source, coalesce(arg_max(tid, (v, -tid)) FILTER (kind = 'hits'), 0) AS by_hits, coalesce(arg_max(tid, (v, -tid)) FILTER (kind = 'shares'), 0) AS by_shares FROM x GROUP BY source",
+    "cluster_k_scores": f"WITH {D}, {B}, {idx(8, 'i8')}, {idx(12, 'i12')}, {hits('d', 'doc_id', 8, 'ha', 'i8')}, {hits('d', 'doc_id', 12, 'hb', 'i12')}, n AS (SELECT doc_id, item_id, 8 AS k, count(*) AS n FROM ha GROUP BY ALL UNION ALL SELECT doc_id, item_id, 12, count(*) FROM hb GROUP BY ALL), s AS (SELECT source, item_id, CAST(k AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS total, max(n) AS m FROM n JOIN documents USING (doc_id) GROUP BY ALL) SELECT source, item_id, k, total, max(m) OVER (PARTITION BY source, item_id) AS best FROM s",
+    "cluster_best_fixed": f"WITH {BEST}, bs AS (SELECT source, item_id, CAST(sum(score) AS BIGINT) AS total, max(score) AS most FROM sc JOIN documents USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY most >= 20 DESC, CASE WHEN most >= 20 THEN most ELSE total END DESC, item_id) AS k FROM bs) SELECT source, item_id, CASE WHEN most >= 20 THEN most ELSE total END AS score FROM r WHERE k = 1",
+}
+_MAPPED = f"rm AS ({ORACLES['read_mapping']})"
+_GOOD = f"n - w >= 14 AND n - w - 14 >= CAST(trunc(greatest(n - 14, 0) * {_P} - sqrt({_P} * (1 - {_P}) * greatest(n - 14, 0)) * 1.65::DOUBLE) AS BIGINT)"
+ORACLES |= {
+    "read_group_merge": f"WITH RECURSIVE {_MAPPED}, ed AS (SELECT DISTINCT x.ctg_id AS u, y.ctg_id AS v FROM rm x JOIN rm y ON x.read_id % 2 = 0 AND y.read_id = x.read_id + 1 WHERE x.ctg_id <> y.ctg_id), {reach('ed', 'co')} SELECT node, comp FROM co",
+    "read_merge": f"WITH RECURSIVE {_MAPPED}, op AS ({ORACLES['read_overlaps'].split(', ed AS ')[0].replace('WITH RECURSIVE', 'WITH', 1)} SELECT DISTINCT u, v FROM q WHERE {_GOOD}), ed AS (SELECT DISTINCT x.ctg_id AS u, y.ctg_id AS v FROM op JOIN rm x ON x.read_id = op.u JOIN rm y ON y.read_id = op.v WHERE x.ctg_id <> y.ctg_id), {reach('ed', 'co')} SELECT node, comp FROM co",
 }

@@ -177,11 +177,6 @@ def protein_search(spark, d):
 
 
 def lineage_array(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.concat_ws(";", "n_name", "r_name").alias("ranks"))
-
-
-def lineage_array_all(spark, d):
     """Lineages with the customers as the lowest rank."""
     c, n, r = (table(spark, d, x) for x in ("customer", "nation", "region"))
     return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("c_custkey", F.concat_ws(";", "c_name", "n_name", "r_name").alias("ranks"))
@@ -212,16 +207,7 @@ def leaf_counts(spark, d):
     return taxonomy.leaf_counts(tree_edges(spark, d))
 
 
-def _small_tree(spark, d):
-    e = tree_edges(spark, d).where("level = 0").select("parent", "child")
-    return e.union(table(spark, d, "region").select(F.lit("ALL").alias("parent"), F.col("r_name").alias("child")))
-
-
 def postorder(spark, d):
-    return taxonomy.postorder(_small_tree(spark, d))
-
-
-def postorder_all(spark, d):
     """The tree of all levels: customers, nations, regions and their root."""
     e = tree_edges(spark, d).select("parent", "child")
     return taxonomy.postorder(e.union(table(spark, d, "region").select(F.lit("ALL").alias("parent"), F.col("r_name").alias("child"))))
@@ -379,12 +365,16 @@ def confusion_summary(spark, d):
 
 def gaussian_confidence(spark, d):
     e = table(spark, d, "events")
-    levels = [tuple(r) for r in e.groupBy("event_type").agg(F.avg("value"), F.stddev_pop("value"), F.count(F.lit(1)).cast("double")).orderBy("event_type").collect()]  # one row per rank level
+    levels = e.groupBy(F.col("event_type").alias("level")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count(F.lit(1)).alias("weight"))
     v = e.groupBy("user_id").agg(F.avg("value").alias("v"))
     g = stats.gaussian_confidence(v, "user_id", "v", levels)
     return g.select("user_id", F.col("level").alias("event_type"), F.round("confidence", 6).alias("confidence"))
 
 
+def confusion_matrix(spark, d):
+    return stats.confusion_matrix(_levels(spark, d), 8)
+
+
 def pair_stats(spark, d):
     e = table(spark, d, "events").select(F.floor(F.col("event_id") / 2).alias("pair"), (F.col("event_id") % 2).alias("m"), "event_type", "value")
     one = lambda m, c: F.max(F.when(F.col("m") == m, F.col(c)))
@@ -434,7 +424,7 @@ def components(spark, d):
 
 def pe_merge(spark, d):
     length = table(spark, d, "events").groupBy(F.col("user_id").alias("node")).agg(F.count(F.lit(1)).alias("length"))
-    return graph.merge_by_ratio(pe_edges(spark, d), length, ((0.04, False), (0.03, True), (0.025, True)), 140)
+    return graph.merge_steps(_mates(spark, d), "pair", "mate", "user_id", length, ((0.04, False), (0.03, True), (0.025, True)), 140)
 
 
 def interval_merge(spark, d):
@@ -521,13 +511,6 @@ def unassigned_bucket(spark, d):
 
 
 def multi_key_sort(spark, d):
-    """The first 100 lines by flag, status, and quantity downwards."""
-    keys = [F.asc("l_returnflag"), F.asc("l_linestatus"), F.desc("l_quantity"), F.asc("l_orderkey"), F.asc("l_linenumber")]
-    t = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber")).orderBy(*keys).limit(100)
-    return t.withColumn("rank", F.row_number().over(W.orderBy(*keys)).cast("long"))
-
-
-def multi_key_sort_all(spark, d):
     """Every line with its rank by flag, status, and quantity downwards."""
     keys = [F.asc("l_returnflag"), F.asc("l_linestatus"), F.desc("l_quantity"), F.asc("l_orderkey"), F.asc("l_linenumber")]
     t = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
@@ -568,15 +551,6 @@ def threshold_level(spark, d):
 
 
 def rank_lineages(spark, d):
-    """Lineages of nations from a parent table: species (nation), family (region), root."""
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    nodes = n.select((F.col("n_nationkey").cast("long") + 1000).alias("tid"), (F.col("n_regionkey").cast("long") + 100).alias("parent"), F.lit("species").alias("rank"))
-    nodes = nodes.union(r.select((F.col("r_regionkey").cast("long") + 100).alias("tid"), F.lit(1).cast("long").alias("parent"), F.lit("family").alias("rank"))).union(r.select(F.lit(1).cast("long").alias("tid"), F.lit(1).cast("long").alias("parent"), F.lit("root").alias("rank")).distinct())
-    t = taxonomy.rank_table(nodes, ["species", "family", "root"])
-    return t.select("tid", F.col("l")[0].alias("species"), F.col("l")[1].alias("family"), F.col("l")[2].alias("root"))
-
-
-def rank_lineages_all(spark, d):
     """Lineages from a parent table: species (customer), genus (nation), family (region), root."""
     c, n, r = (table(spark, d, x) for x in ("customer", "nation", "region"))
     node = lambda t, tid, parent, rank: t.select(tid.cast("long").alias("tid"), parent.cast("long").alias("parent"), F.lit(rank).alias("rank"))
@@ -708,6 +682,38 @@ def component_sizes(spark, d):
 # Whole results, with the rules for owners without any
 
 
+def genome_hit_lines(spark, d):
+    """Per document, `genome hits ...` of the genomes of all targets that its fragments hit; empty without a hit."""
+    g = best_scores(spark, d).groupBy(F.col("doc_id").alias("ctg_id"), F.floor(F.col("item_id") / 4).cast("long").alias("sid")).agg(F.sum("score").alias("score"))
+    return report.score_lines(g, contigs(spark, d).select(F.col("doc_id").alias("ctg_id")), 1)
+
+
+def best_species_by_set(spark, d):
+    """Per source, the taxon with the largest sum of best fragment hits and the one with the largest sum of shares of whole texts; 0 without one."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    tid = (F.col("item_id") % 25).alias("tid")
+    hits = best_scores(spark, d).select("doc_id", tid, F.col("score").cast("double").alias("score"), F.lit("hits").alias("set"))
+    shares = kmer.fractional_hits(whole_hits(spark, d), ["doc_id"], ["item_id"]).select("doc_id", tid, "score", F.lit("shares").alias("set"))
+    s = hits.union(shares).join(docs, "doc_id").groupBy("source", "set", "tid").agg(F.round(F.sum("score"), 6).alias("score"))
+    one = lambda name: F.coalesce(F.max(F.when(F.col("set") == name, F.struct("score", (-F.col("tid")).alias("t"))))["t"] * -1, F.lit(0)).alias(f"by_{name}")
+    every = docs.select("source").distinct().select("source", F.lit(None).cast("string").alias("set"), F.lit(None).cast("long").alias("tid"), F.lit(None).cast("double").alias("score"))
+    return s.union(every).groupBy("source").agg(one("hits"), one("shares"))
+
+
+def cluster_k_scores(spark, d):
+    """Per source, k and target, the sum of the documents' hits, and their maximum over every k."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    n = [kmer.unit_hits(whole_hits(spark, d, k), "doc_id", "item_id").withColumn("k", F.lit(k).cast("long")) for k in (8, 12)]
+    s = n[0].union(n[1]).join(docs, "doc_id").groupBy("source", "item_id", "k").agg(F.sum("n").alias("total"), F.max("n").alias("best"))
+    return s.withColumn("best", F.max("best").over(W.partitionBy("source", "item_id")))
+
+
+def cluster_best_fixed(spark, d):
+    """The best target of every source by sum, unless one of its documents hits a target 20 times or more: then the best by that."""
+    fixed = kmer.best(_by_source(spark, d, F.max).where("score >= 20"), "source", "item_id")
+    return kmer.best_or_fixed(_by_source(spark, d, F.sum), fixed, "source", "item_id")
+
+
 def best_species_all(spark, d):
     """The best taxon of every document, 0 without one."""
     best = best_species(spark, d)
@@ -739,6 +745,19 @@ def pair_mapping(spark, d):
     return mapping.pair_mapping(e, "pair", "mate", "target", "score").withColumn("score", F.coalesce("score", F.lit(-1)).cast("long"))
 
 
+def read_group_merge(spark, d):
+    """Components of documents that the reads of a group lie on; a group is an even item and the next one."""
+    groups = table(spark, d, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("type"), (F.col("item_id") + 1).alias("newtype"))
+    return graph.components(mapping.group_links(groups, read_mapping(spark, d)))
+
+
+def read_merge(spark, d):
+    """Components of documents that overlapping reads lie on; overlaps hold 14 equal bases or more and reach the binomial bound."""
+    reads = targets(spark, d).select(F.col("item_id").alias("id"), "s")
+    pairs = graph.overlap_edges(reads, 8, mapping.good_overlap(F.col("match"), F.col("mismatch"), 14))
+    return graph.components(mapping.read_links(read_mapping(spark, d), pairs))
+
+
 def leaf_parents(spark, d):
     return taxonomy.leaf_parents(tree_edges(spark, d))
 

@@ -42,8 +42,18 @@ def single_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def two_line_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(title, seq) of records with one header line and one sequence line."""
-    return fasta(spark, path).select(F.col("header").alias("title"), "seq")
+    """(n, title, seq) of the records of a file with one header line and one sequence line each, numbered from 0, up to the first empty line."""
+    t = offsets(spark.read.text(path), F.lit(1), "n")
+    end = t.where("trim(value) = ''").agg(F.min("n")).scalar()
+    t = t.where(F.col("n") < F.coalesce(end, F.lit(2**62)))
+    line = lambda k: F.max(F.when(F.col("n") % 2 == k, F.col("value")))
+    r = t.groupBy(F.floor(F.col("n") / 2).alias("record")).agg(line(0).alias("title"), line(1).alias("seq"))
+    return r.select(F.col("record").alias("n"), F.regexp_replace("title", "^>", "").alias("title"), "seq")
+
+
+def titles(spark: SparkSession, path: str, reads: int) -> DataFrame:
+    """(read_id, title) of the first `reads` reads of a two-line FASTA file; reads beyond its end have no row."""
+    return two_line_fasta(spark, path).where(F.col("n") < reads).select(F.col("n").alias("read_id"), "title")
 
 
 def first_read_length(spark: SparkSession, path: str) -> int:
@@ -54,29 +64,45 @@ def first_read_length(spark: SparkSession, path: str) -> int:
 
 def tokens(spark: SparkSession, path: str, schema: str, sep: str = SPACE) -> DataFrame:
     """Lines split at a separator, cast to the columns of the schema; blank lines and lines with too few fields are left out."""
+    return _fields(spark.read.text(path), schema, sep)
+
+
+def _fields(lines: DataFrame, schema: str, sep: str = SPACE, *kept: str) -> DataFrame:
     names = [x.strip().rsplit(" ", 1) for x in schema.split(",")]
-    t = spark.read.text(path).where("trim(value) <> ''").select(F.split(F.trim("value"), sep).alias("t")).where(F.size("t") >= len(names))
-    return t.select(*(F.col("t")[i].try_cast(kind).alias(name) for i, (name, kind) in enumerate(names)))
+    t = lines.where("trim(value) <> ''").select(*kept, F.split(F.trim("value"), sep).alias("t")).where(F.size("t") >= len(names))
+    return t.select(*kept, *(F.col("t")[i].try_cast(kind).alias(name) for i, (name, kind) in enumerate(names)))
 
 
 def seq_tax(spark: SparkSession, path: str) -> DataFrame:
-    """(seqid, taxid, len), the largest taxid and length of repeated ids."""
-    t = tokens(spark, path, "filename string, seqid string, taxid int, len int")
-    return t.groupBy("seqid").agg(F.max(F.struct("taxid", "len")).alias("m")).select("seqid", "m.taxid", "m.len")
+    """(seqid, taxid, len); of a repeated id the last line counts."""
+    t = _fields(offsets(spark.read.text(path), F.lit(1), "n"), "filename string, seqid string, taxid int, len int", SPACE, "n")
+    return t.groupBy("seqid").agg(F.max_by(F.struct("taxid", "len"), "n").alias("m")).select("seqid", "m.taxid", "m.len")
+
+
+def longest(seq_tax: DataFrame) -> int:
+    """The length of the longest sequence of a table of taxa, 0 of an empty one."""
+    return seq_tax.agg(F.coalesce(F.max("len"), F.lit(0))).first()[0]
 
 
 def regions(spark: SparkSession, path: str) -> DataFrame:
-    """(seqid, start, end) from records `seqid n` followed by n pairs, on the same or on following lines of one file."""
-    whole = spark.read.text(path, wholetext=True).select(F.filter(F.split(F.col("value"), SPACE), lambda x: x != "").alias("t"), F.col("_metadata.file_path").alias("f"))
-    # A token that is no number starts a record: its id; then the count; then the pairs.
-    e = whole.select(F.posexplode("t").alias("i", "x"), "f")
-    is_id = ~F.col("x").rlike(r"^\d+$")
-    start = F.last(F.when(is_id, F.col("i")), ignorenulls=True).over(W.partitionBy("f").orderBy("i"))
-    seqid = F.last(F.when(is_id, F.col("x")), ignorenulls=True).over(W.partitionBy("f").orderBy("i"))
-    e = e.select("f", "x", (F.col("i") - start).alias("k"), start.alias("r"), seqid.alias("seqid")).where("k >= 2")
-    pair = F.floor((F.col("k") - 2) / 2)
-    g = e.groupBy("f", "r", "seqid", pair.alias("p")).agg(F.max(F.when(F.col("k") % 2 == 0, F.col("x").cast("int"))).alias("start"), F.max(F.when(F.col("k") % 2 == 1, F.col("x").cast("int"))).alias("end"))
-    return g.where("end is not null").select("seqid", "start", "end")
+    """(seqid, start, end) from records `seqid n` followed by n pairs, on the same or on following lines, any number of records a file.
+
+    A token that is no number starts a record: its id; then the count; then the pairs. Each block of a file is numbered by itself; what
+    a block needs of the blocks before it is their number of tokens and their last id, one row each."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("line"), F.filter(F.split("value", SPACE), lambda x: x != "").alias("t"))
+    order = W.partitionBy("f", "b").orderBy("line", "pos")
+    e = lines.select("f", "b", "line", F.posexplode("t").alias("pos", "x")).withColumn("i", F.row_number().over(order).cast("long"))
+    e = e.withColumn("id", F.last(F.when(~F.col("x").rlike(r"^\d+$"), F.struct("i", "x")), ignorenulls=True).over(order))
+    block = e.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", "i").alias("tail"))
+    before = W.partitionBy("f").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    block = block.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.i") + F.col("from")).alias("at"), F.col(f"{c}.x").alias("seqid")))
+    block = block.withColumn("carried", F.last(moved("tail"), ignorenulls=True).over(before)).select("f", "b", "from", "carried")
+    e = e.join(block, ["f", "b"]).withColumn("r", F.coalesce(moved("id"), F.col("carried")))
+    e = e.withColumn("k", F.col("i") + F.col("from") - F.col("r.at")).where("k >= 2")
+    half = lambda odd: F.max(F.when(F.col("k") % 2 == odd, F.col("x").cast("int")))
+    g = e.groupBy("f", "r", F.floor((F.col("k") - 2) / 2).alias("p")).agg(half(0).alias("start"), half(1).alias("end"))
+    return g.where("end is not null").select("r.seqid", "start", "end")
 
 
 def valid_regions(r: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -167,5 +193,7 @@ def optional_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)

@@ -29,6 +29,19 @@ def score_file(scores: DataFrame, contigs: DataFrame, bits: DataFrame, path: str
     lines(body.withColumn("two", two), path, "two", "ctg_id")
 
 
+def contig_score_file(scores: DataFrame, contigs: DataFrame, path: str, least: float = 5) -> None:
+    """One line per contig: `id length target score ...`."""
+    from ..operators.report import score_lines
+
+    body = score_lines(scores, contigs, least).join(contigs.select("ctg_id", F.length("s").alias("n")), "ctg_id")
+    lines(body.withColumn("one", F.concat_ws(" ", "ctg_id", "n", F.when(F.col("line") != "", F.col("line")))), path, "one", "ctg_id")
+
+
+def info_file(genomes: DataFrame, path: str) -> None:
+    """`seqid taxid len path`, separated by tabs, in the order of the sequence ids; readers.index_info reads it."""
+    tab_file(genomes.select("seqid", "taxid", "len", "path"), path, "seqid")
+
+
 def depth_file(depth: DataFrame, path: str) -> None:
     """`pos depth` of nonzero depths, then one line `mean count`."""
     total = depth.where("depth > 0").agg(F.concat_ws("\t", F.avg("depth"), F.count(F.lit(1))).alias("line"), F.lit(1).alias("k"), F.lit(0).cast("long").alias("pos"))

@@ -93,8 +93,22 @@ def test_reports(spark):
 
 def test_confidence(spark):
     v = spark.createDataFrame([(0, 1.0)], "u int, v double")
-    c = rows(stats.gaussian_confidence(v, "u", "v", [("a", 0.0, 1.0, 1.0), ("b", 2.0, 1.0, 1.0)]))
-    assert math.isclose(c[0][2], 0.5) and math.isclose(c[1][2], 1.0)
+    level = lambda *x: spark.createDataFrame(x, "level string, mean double, sd double, weight double")
+    c = rows(stats.gaussian_confidence(v, "u", "v", level(("b", 3.0, 1.0, 1.0), ("a", -1.0, 1.0, 1.0))))
+    assert [x[1] for x in c] == ["a", "b"] and math.isclose(c[0][2], 0.5) and math.isclose(c[1][2], 1.0)
+    c = rows(stats.gaussian_confidence(v, "u", "v", level(("a", 0.0, 1.0, 1.0), ("b", 2.0, 1.0, 1.0), ("c", 2.0, 0.0, 1.0))))
+    assert c[0][2] == 0 and math.isclose(c[1][2], 1.0) and math.isclose(c[2][2], 1.0)
+
+
+def test_fixed_target(spark):
+    s = spark.createDataFrame([("x", 1, 5), ("x", 2, 9), ("y", 3, 4), (None, 1, 2)], "c string, sid int, score long")
+    f = spark.createDataFrame([("x", 1, 7), (None, 8, 1)], "c string, sid int, score long")
+    assert {tuple(r) for r in kmer.best_or_fixed(s, f, "c", "sid").collect()} == {("x", 1, 7), ("y", 3, 4), (None, 8, 1)}
+
+
+def test_confusion_matrix(spark):
+    c = spark.createDataFrame([(1, 0, 5), (1, 2, 6), (2, 1, 7)], "ref long, pred long, n long")
+    assert rows(stats.confusion_matrix(c, 3)) == [(1, 5, 0, 6), (2, 0, 7, 0)]
 
 
 def test_kmeans_and_merge(spark):
@@ -175,14 +189,14 @@ def test_ranked_counts_over_partitions(spark):
 def test_multi_key_sort_keeps_all_lines(spark, sf):
     from taxaloom.plans import catalog
 
-    assert catalog.QUERIES["multi_key_sort_all"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count() > 100
+    assert catalog.QUERIES["multi_key_sort"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count() > 100
 
 
 def test_trees_hold_all_customers(spark, sf):
     from taxaloom.plans import catalog
 
     n = spark.read.parquet(f"{sf}/customer.parquet").count()
-    assert [catalog.QUERIES[q](spark, sf).count() - n for q in ("postorder_all", "lineage_array_all", "rank_lineages_all")] == [31, 0, 31]
+    assert [catalog.QUERIES[q](spark, sf).count() - n for q in ("postorder", "lineage_array", "rank_lineages")] == [31, 0, 31]
 
 
 def test_cluster_report_holds_all_targets(spark, sf):

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from taxaloom.operators import kmer
+from taxaloom.params import Params
 from taxaloom.sources import readers, sinks
 from taxaloom.streaming import contigs
 
@@ -39,7 +41,8 @@ def test_folder(spark, folder, tmp_path):
 
 
 def test_tables(spark, folder):
-    assert rows(readers.seq_tax(spark, folder("t", "f a 1 10\nf b 2 20\n\n"))) == [("a", 1, 10), ("b", 2, 20)]
+    t = readers.seq_tax(spark, folder("t", "f a 7 30\nf b 2 20\n\nf a 1 10\n"))
+    assert rows(t) == [("a", 1, 10), ("b", 2, 20)] and readers.longest(t) == 20 and readers.longest(t.limit(0)) == 0
     assert rows(readers.regions(spark, folder("r", "s1 2\n1 10 3 5\ns2 1 7 9\n"))) == [("s1", 1, 10), ("s1", 3, 5), ("s2", 7, 9)]
     r = spark.createDataFrame([("s", 1, 10), ("s", 3, 3), ("s", 0, 5), ("s", 5, 11)], "seqid string, start int, end int")
     n = spark.createDataFrame([("s", 10)], "seqid string, len int")
@@ -57,6 +60,37 @@ def test_tables(spark, folder):
     c = readers.catalogue(spark, folder("c", "st\tid1\tBacteria;p;p\t1\tsp\td\nst\tid2\tArchaea;q\t1\tsp\td\n"))
     assert rows(readers.catalogue_edges(c)) == [(0, "Bacteria", "p1"), (1, "p1", "p2"), (2, "p2", "id1")]
     assert readers.optional_index(spark, "/nowhere/at/all", "kmer string").count() == 0
+    with pytest.raises(AnalysisException):
+        readers.optional_index(spark, folder("w", "x"), "kmer string, kmer int").count()
+    assert rows(readers.read_groups(spark, folder("u", "1 2 3\n"))) == [(1, 2, 3)]
+    assert rows(readers.bins(spark, folder("v", "4 5\n"))) == [(4, 5)]
+
+
+def test_two_line_fasta(spark, folder):
+    p = folder("two", ">a x\nACGT\n>b\nGG\n\n>c\nTT\n")
+    assert rows(readers.two_line_fasta(spark, p)) == [(0, "a x", "ACGT"), (1, "b", "GG")]
+    assert rows(readers.titles(spark, p, 1)) == [(0, "a x")] and rows(readers.titles(spark, p, 9)) == [(0, "a x"), (1, "b")]
+
+
+def test_regions_over_splits(spark, folder):
+    """Records that span lines, blocks and files are those of one pass over the tokens."""
+    want, text = [], ""
+    for k in range(60):
+        pairs = [(k + 10 * i, k + 10 * i + 5) for i in range(k % 7)]
+        want += [(f"s{k}", a, b) for a, b in pairs]
+        text += f"s{k} {len(pairs)}" + "".join(f"{'\n' if (k + i) % 3 else ' '}{a} {b}" for i, (a, b) in enumerate(pairs)) + "\n"
+    folder("reg/a", text)
+    p = folder("reg/b", "x 1\n1 2\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    try:
+        assert rows(readers.regions(spark, p.rsplit("/", 1)[0])) == sorted([*want, ("x", 1, 2)])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_params():
+    assert Params().align_min == 95 and Params(read_len=50).align_min == 47 and Params(align_threshold=60).align_min == 60
 
 
 def test_sinks(spark, tmp_path):
@@ -65,6 +99,19 @@ def test_sinks(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "c")).collect()] == ["cluster 1\t2", "x", "y"]
     sinks.tab_file(m, str(tmp_path / "t"), "read_id")
     assert spark.read.csv(str(tmp_path / "t"), sep="\t").count() == 2
+    text = lambda name: [r.value for r in spark.read.text(str(tmp_path / name)).collect()]
+    s = spark.createDataFrame([(1, 7, 9), (1, 8, 2)], "ctg_id int, sid int, score int")
+    c = spark.createDataFrame([(1, "ACG"), (2, "AC")], "ctg_id int, s string")
+    sinks.score_file(s, c, spark.createDataFrame([(1, "01")], "ctg_id int, bits string"), str(tmp_path / "s"))
+    assert text("s") == ["1 3 01", "7 9", "2 2 ", ""]
+    sinks.contig_score_file(s, c, str(tmp_path / "x"))
+    assert text("x") == ["1 3 7 9", "2 2"]
+    sinks.depth_file(spark.createDataFrame([(4, 2), (1, 4), (2, 0)], "pos int, depth int"), str(tmp_path / "d"))
+    assert text("d") == ["1\t4", "4\t2", "3.0\t2"]
+    sinks.fasta_file(c.where("ctg_id = 1"), str(tmp_path / "f"), "ctg_id", "s")
+    assert text("f") == [">1", "ACG"]
+    sinks.info_file(spark.createDataFrame([("b", 2, 5, "q"), ("a", 1, 9, "p")], "seqid string, taxid int, len int, path string"), str(tmp_path / "i"))
+    assert text("i") == ["a\t1\t9\tp", "b\t2\t5\tq"]
     sinks.kmer_index(spark.createDataFrame([("ACG", 1)], "kmer string, item int"), "kmer_index_test", 4)
     assert spark.table("kmer_index_test").count() == 1
     spark.sql("DROP TABLE kmer_index_test")
