@@ -19,12 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import Scratch, scratch, written
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 RECORDS_PER_FILE = 2000
-BROADCAST_COPIES = 100_000
+#: A list of at most this many payloads that occur again is broadcast; beyond it pages are shuffled, each payload's over COPY_SALTS keys.
+BROADCAST_COPIES, COPY_SALTS = 100_000, 16
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -46,11 +47,13 @@ def classified(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     p = p.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     order = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("id"), F.xxhash64("url").alias("u"), F.col("url").alias("url"))
     first = p.where(F.col("bytes") >= least_bytes).groupBy("hash").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Only payloads that occur again have a row here. A short list of them is broadcast after it has been counted; with a long one the pages are shuffled.
+    # Only payloads that occur again have a row here.
     first = written(first.select("hash", "first"))
     if first.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES:
-        first = F.broadcast(first)
-    j = p.join(first, "hash", "left")
+        j = p.join(F.broadcast(first), "hash", "left")
+    else:
+        salts = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))))
+        j = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(COPY_SALTS)).cast("int")).join(salts, ["hash", "salt"], "left")
     own = (F.col("first").isNull()) | (F.col("first") == order)
     return j.select("page_id", "url", "payload", "bytes", "digest", "hash", F.when(~own, F.col("first.id")).alias("refers_to"), (~own).alias("revisit"))
 
@@ -113,19 +116,25 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 def reached(chain: DataFrame) -> DataFrame:
     """(file, off) of the candidates on the chain from the start of each file. chain: (file, off, next)."""
-    state = written(chain.select("file", "off", "next", (F.col("off") == 0).alias("live")))
+    with Scratch(chain.sparkSession) as space:
+        return written(_jumped(space, chain).where("live").select("file", "off"))
+
+
+def _jumped(space: Scratch, chain: DataFrame) -> DataFrame:
+    """(file, off, next, live) after as many jumps as reach no more candidates."""
+    state = space.written(chain.select("file", "off", "next", (F.col("off") == 0).alias("live")))
     known = -1
     while True:
         n = state.where("live").count()
         if n == known:
-            return state.where("live").select("file", "off")
+            return state
         known = n
         a, b = state.alias("a"), state.select(F.col("file").alias("f"), F.col("off").alias("o"), F.col("next").alias("far")).alias("b")
         jumped = a.join(b, (F.col("a.file") == F.col("b.f")) & (F.col("a.next") == F.col("b.o")), "left").select("a.file", "a.off", "a.live", "a.next", "b.far")
         kept = jumped.select("file", "off", F.col("far").alias("next"), "live")
         hit = jumped.where("live and next is not null").select("file", F.col("next").alias("off"), F.lit(None).cast("long").alias("next"), F.lit(True).alias("live"), F.lit(False).alias("real"))
         merged = kept.withColumn("real", F.lit(True)).unionByName(hit).groupBy("file", "off").agg(F.max("next").alias("next"), F.max("live").alias("live"), F.max("real").alias("real"))
-        state = written(merged.where("real").select("file", "off", "next", "live"))
+        state = space.written(merged.where("real").select("file", "off", "next", "live"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
