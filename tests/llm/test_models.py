@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -44,6 +47,47 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def plain_statistics(text):
+    """What quality.statistics gives, word by word."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, sizes = len(w), [len(x) for x in w]
+    logit = lambda k, of: math.log((k + 0.5) / (max(of - k, 0) + 0.5))
+    same = lambda back: sum(a == b for a, b in zip(w[back:], w, strict=False))
+    upper = lambda c: "A" <= c <= "Z" or "\xc0" <= c <= "\xde" and c != "\xd7"
+    lower = lambda c: "a" <= c <= "z" or c >= "\xdf" and c != "\xf7"
+    classes = [upper, lower, lambda c: c in "#*$%&|<>@^~=+_\\/{}[]", lambda c: "0" <= c <= "9", lambda c: c in "!?", lambda c: c in ",.", lambda c: c == "\n"]
+    mean = sum(sizes) / max(n, 1)
+    spread = math.sqrt(max(sum(x * x for x in sizes) / max(n, 1) - mean * mean, 0))
+    own = [math.log1p(n), math.log1p(len(set(w))) - math.log1p(n), math.log1p(len(set(zip(w[1:], w, strict=False)))) - math.log1p(n), logit(max(Counter(w).values(), default=0), n), logit(same(1), n), logit(same(2), n), math.log1p(mean), math.log1p(spread)]
+    return own + [logit(sum(map(f, text)), len(text)) for f in classes]
+
+
+def test_quality_brute_force(spark):
+    """Statistics counted word by word, and the discriminant from numpy's covariances, determinants and solutions."""
+    r = np.random.default_rng(5)
+    words = ["plain", "words", "Über", "x,", "#$", "12", "why?", "a", "end.", "\n"]
+    texts = [" ".join(r.choice(words, size=int(r.integers(0, 120)), p=np.roll(np.linspace(1, 19, 10) / 100, 5 * (i % 2)))) for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(80) if i % 9], "doc_id long, quality int, toxic int")
+    x = np.array([plain_statistics(t) for t in texts])
+    assert np.allclose(x, quality.statistics(texts))
+    learn = np.array([i for i in range(80) if i % 9 and zlib.crc32(str(i).encode()) % 5])
+    centre, scale = x[learn].mean(0), np.maximum(x[learn].std(0), 1e-3)
+    z, density = (x - centre) / scale, []
+    for c in (0, 1):
+        own = z[[i for i in learn if i % 2 == c]]
+        cov = np.cov(own.T, bias=True)
+        cov = (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * np.trace(cov) / cov.shape[0] * np.eye(cov.shape[0])
+        gap = z - own.mean(0)
+        density.append(-0.5 * (gap * np.linalg.solve(cov, gap.T).T).sum(1) - 0.5 * np.linalg.slogdet(cov)[1])
+    n, prior = np.expm1(x[:, 0]), np.mean(learn % 2)
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) * n / (n + quality.FEW_WORDS) + np.log(prior / (1 - prior)), -700, 700)))
+    got = {d.doc_id: d.quality_score for d in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert np.allclose([got[i] for i in range(80)], want, atol=1e-4)
+    kept = {d.doc_id for d in quality.keep(docs, labels).collect()}
+    assert kept == {i for i in range(80) if got[i] >= quality.THRESHOLD} and 0 < len(kept) < 80
+
+
 def test_language_held_out(spark):
     out = op6_language_id(spark, MEDIUM)
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "lang").collect()}
@@ -66,6 +110,31 @@ def test_language_profile_is_a_bundle():
     assert lettered.tolist() == [True, False, False]
 
 
+def test_language_brute_force(spark):
+    """Prototypes and cosines letter by letter."""
+    v = langid.letter_vectors().astype(int)
+    at = lambda ch: int(langid.letter_classes()[ord(ch)])
+
+    def profile(text):
+        p = f" {text} "
+        three = [(at(p[i - 1]), at(p[i]), at(p[i + 1])) for i in range(1, len(p) - 1) if at(p[i])]
+        return sum((np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in three), np.zeros(langid.DIMENSIONS, int))
+
+    r = np.random.default_rng(6)
+    letters = {"xa": list("abcdefg"), "xb": list("cdefghi"), "xc": list("efghijk")}
+    rows = [(i, " ".join("".join(r.choice(letters[lang], size=5)) for _ in range(4)), lang) for i, lang in enumerate(list(letters) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    unit = {}
+    for lang in letters:
+        total = sum(profile(t) for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 5)
+        unit[lang] = total / np.linalg.norm(total)
+    for d in langid.predict(docs, langid.fit(docs)).collect():
+        own = profile(d.text)
+        cosine = {lang: float(own @ u / np.linalg.norm(own)) for lang, u in unit.items()}
+        best = max(cosine, key=cosine.get)
+        assert d.lang_pred == best and math.isclose(d.score, min(max(cosine[best], 0), 1), abs_tol=1e-5)
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(*r, "en" if r[0] != 4 else None) for r in ODD], "doc_id long, text string, lang string")
     out = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}

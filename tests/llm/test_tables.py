@@ -57,7 +57,9 @@ def trap(n):
     return f"a{warc.MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n{warc.MAGIC}b"
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_warc(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_COPIES", broadcast)
     texts = ["<html>é</html>", "", None, trap(1), "same", "same", trap(2) * 3, warc.MAGIC, "x" * 50000, "\r\n\r\n", "WARC/1.1", "same", "ends with \r\n\r\n" + warc.MAGIC]
     pages = spark.createDataFrame([(i, f"http://x/{i} y", t, 1) for i, t in enumerate(texts)] + [(None, None, "no id", 1)], "page_id long, url string, html string, header int").repartition(2)
     out = {r.page_id: r for r in warc.round_trip(pages).collect()}
