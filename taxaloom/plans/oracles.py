@@ -208,7 +208,7 @@ ORACLES: dict[str, str] = {
     "cluster_best_fixed": f"WITH {BEST}, bs AS (SELECT source, item_id, CAST(sum(score) AS BIGINT) AS total, max(score) AS most FROM sc JOIN documents USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY most >= 20 DESC, CASE WHEN most >= 20 THEN most ELSE total END DESC, item_id) AS k FROM bs) SELECT source, item_id, CASE WHEN most >= 20 THEN most ELSE total END AS score FROM r WHERE k = 1",
 }
 _MAPPED = f"rm AS ({ORACLES['read_mapping']})"
-_GOOD = f"n - w >= 14 AND n - w - 14 >= CAST(trunc(greatest(n - 14, 0) * {_P} - sqrt({_P} * (1 - {_P}) * greatest(n - 14, 0)) * 1.65::DOUBLE) AS BIGINT)"
+_GOOD = f"n - w >= 8 AND n - w - 8 >= CAST(trunc(greatest(n - 8, 0) * {_P} - sqrt({_P} * (1 - {_P}) * greatest(n - 8, 0)) * 1.65::DOUBLE) AS BIGINT)"
 ORACLES |= {
     "read_group_merge": f"WITH RECURSIVE {_MAPPED}, ed AS (SELECT DISTINCT x.ctg_id AS u, y.ctg_id AS v FROM rm x JOIN rm y ON x.read_id % 2 = 0 AND y.read_id = x.read_id + 1 WHERE x.ctg_id <> y.ctg_id), {reach('ed', 'co')} SELECT node, comp FROM co",
     "read_merge": f"WITH RECURSIVE {_MAPPED}, op AS ({ORACLES['read_overlaps'].split(', ed AS ')[0].replace('WITH RECURSIVE', 'WITH', 1)} SELECT DISTINCT u, v FROM q WHERE {_GOOD}), ed AS (SELECT DISTINCT x.ctg_id AS u, y.ctg_id AS v FROM op JOIN rm x ON x.read_id = op.u JOIN rm y ON y.read_id = op.v WHERE x.ctg_id <> y.ctg_id), {reach('ed', 'co')} SELECT node, comp FROM co",

@@ -752,9 +752,9 @@ def read_group_merge(spark, d):
 
 
 def read_merge(spark, d):
-    """Components of documents that overlapping reads lie on; overlaps hold 14 equal bases or more and reach the binomial bound."""
+    """Components of documents that overlapping reads lie on; overlaps hold 8 equal bases or more and reach the binomial bound."""
     reads = targets(spark, d).select(F.col("item_id").alias("id"), "s")
-    pairs = graph.overlap_edges(reads, 8, mapping.good_overlap(F.col("match"), F.col("mismatch"), 14))
+    pairs = graph.overlap_edges(reads, 8, mapping.good_overlap(F.col("match"), F.col("mismatch"), 8))
     return graph.components(mapping.read_links(read_mapping(spark, d), pairs))
 
 
