@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -91,3 +92,29 @@ def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
             yield from step(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def streamed_sha256(df: DataFrame, key: list[str], order: list[str], piece: str, separator: str) -> DataFrame:
+    """The key's columns and `sha256`, the lower-case digest of each key's pieces in order, with the separator between them. The pieces of a key
+    pass through one task sorted, one batch at a time; they are never collected. Keys hold numbers, not null."""
+    names = [*key, piece]
+    ddl = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*key).schema), "sha256 string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest = None, None
+        for batch in batches:
+            done = []
+            for *k, text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if k != at:
+                    if digest:
+                        done.append((*at, digest.hexdigest()))
+                    at, digest = k, hashlib.sha256()
+                else:
+                    digest.update(separator.encode())
+                digest.update(text.encode())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=[*key, "sha256"])
+        if digest:
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in (*at, digest.hexdigest())], names=[*key, "sha256"])
+
+    return df.repartition(*key).sortWithinPartitions(*key, *order).select(*names).mapInArrow(run, ddl)

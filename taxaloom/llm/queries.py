@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed, jaccard, langid, lm, mixing, quality, rules, sentencepieces, warc
+from . import chat, embed, jaccard, langid, lm, mixing, quality, rules, sentencepieces, tokenalign, warc
 from .common import held_out, table, written
 
 
@@ -73,4 +73,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.canonical(chat.as_records(rows.unionByName(extra)), strict=True)))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_jaccard_join, op4_lm_scoring, op5_mixing, op6_language_id, op7_warc, op8_embedding_dedup, op9_quality_rules, op10_chat_formatting)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenalign.aligned(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_jaccard_join, op4_lm_scoring, op5_mixing, op6_language_id, op7_warc, op8_embedding_dedup, op9_quality_rules, op10_chat_formatting, op13_token_alignment)}
