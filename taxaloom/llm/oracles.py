@@ -72,4 +72,20 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT base_failed AND NOT (n_words >= {rules.MIN_WORDS} AND (coalesce(jc, 0) > {rules.CLASS_LIMIT} OR coalesce(jw, 0) > {rules.WORD_LIMIT})) AS kept FROM v
 """
 
-SQL: dict[str, str] = {"op5_mixing": MIXING, "op7_warc": WARC, "op9_quality_rules": RULES, "op10_chat_formatting": CHAT}
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))), 4294967295)"
+TRIE = f"""
+WITH c AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, {_CRC32} % 6 AS h, conv_id - conv_id % 100 AS base FROM (SELECT DISTINCT conv_id FROM c)),
+t AS (SELECT k.*, least(h, (SELECT count(*) FROM c WHERE c.conv_id = k.base)) AS taken FROM k),
+r AS (SELECT conv_id, 0 AS pos, '' AS text, '' AS x FROM k
+  UNION ALL SELECT t.conv_id, pos, text, sha256(length(role) || ':' || role || text) FROM t JOIN c ON c.conv_id = t.base WHERE pos <= taken
+  UNION ALL SELECT t.conv_id, taken + pos - h, text, sha256(length(role) || ':' || role || text) FROM t JOIN c USING (conv_id) WHERE pos > h),
+p AS (SELECT conv_id, pos, length(text) AS chars, pos = max(pos) OVER (PARTITION BY conv_id) AS stop, sha256(string_agg(x, '' ) OVER (PARTITION BY conv_id ORDER BY pos)) AS key FROM r),
+n AS (SELECT key, pos AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (stop), '')) AS ends_sha256 FROM p GROUP BY key, pos),
+e AS (SELECT n.*, p.key AS parent_key FROM n LEFT JOIN p ON p.conv_id = n.conv_id AND p.pos = n.depth - 1),
+d AS (SELECT e.*, m.conv_id AS parent_conv_id, (SELECT count(*) FROM e AS x WHERE x.parent_key = e.key AND x.depth = e.depth + 1) AS n_children FROM e LEFT JOIN n AS m ON m.key = e.parent_key AND m.depth = e.depth - 1),
+s AS (SELECT p.key, p.pos AS depth, sum((d.n_convs - 1) * d.chars) AS saved, count(*) FILTER (d.n_children = 0) AS leaves FROM d JOIN p ON p.conv_id = d.conv_id AND p.pos <= d.depth GROUP BY p.key, p.pos)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM d JOIN s USING (key, depth)
+"""
+
+SQL: dict[str, str] = {"op12_prefix_trie": TRIE, "op5_mixing": MIXING, "op7_warc": WARC, "op9_quality_rules": RULES, "op10_chat_formatting": CHAT}
