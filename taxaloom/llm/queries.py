@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed, jaccard, langid, lm, mixing, prefixtrie, quality, rules, sentencepieces, tokenalign, warc
+from . import chat, embed, jaccard, langid, lm, mixing, prefixtrie, quality, rules, sentencepieces, tokenalign, toxicity, warc
 from .common import held_out, table, written
 
 
@@ -73,6 +73,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.canonical(chat.as_records(rows.unionByName(extra)), strict=True)))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), "score")
+    return scored.select("doc_id", toxicity.held_back(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -81,4 +87,4 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenalign.aligned(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_jaccard_join, op4_lm_scoring, op5_mixing, op6_language_id, op7_warc, op8_embedding_dedup, op9_quality_rules, op10_chat_formatting, op12_prefix_trie, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_jaccard_join, op4_lm_scoring, op5_mixing, op6_language_id, op7_warc, op8_embedding_dedup, op9_quality_rules, op10_chat_formatting, op11_toxicity, op12_prefix_trie, op13_token_alignment)}
