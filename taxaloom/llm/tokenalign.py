@@ -16,8 +16,8 @@ characters on one side of the range's end is not cut.
 Words are cut at single spaces between characters that are not white space. No pretoken of A crosses
 such a space, and no piece of B holds a mark behind another character (checked on loading), so encoding word by word gives the
 tokens of the whole text; a task encodes each different word once for a block of documents. Counts of pairs are added in the
-block, then by Spark; a block asks for the counts of its own different pairs by a join, and nothing
-that grows with the corpus is broadcast (the best count of each B id is: at most one row an id).
+block, then by Spark. The counts of the FREQUENT most frequent pairs are broadcast, all others are joined to the documents that
+have them, so nothing that grows with the corpus is broadcast (the best count of each B id is at most one row an id).
 
 Null and empty texts have no tokens: zeros, and the empty string as digest. So has a text whose bytes either encoder does
 not give back, such as one with the mark U+2581. Each row of documents is one result, repeated rows and null ids
@@ -51,7 +51,9 @@ FAN = 16
 #: A block of documents closes at this many characters; its different words and pairs are kept once.
 BLOCK_CHARS = 1 << 22
 #: A task forgets the words it has encoded when it holds more than this many.
-HELD_WORDS = 400_000
+HELD_WORDS = 250_000
+#: The counts of at most this many pairs, the most frequent, travel to every task; those of all others are joined.
+FREQUENT = 1 << 17
 MARK = "▁"
 WORDS = re.compile(r"(?<=\S) (?=\S)")
 SEPARATE = np.frombuffer(b",|;", np.uint8)
@@ -429,29 +431,34 @@ def _cut(docs: DataFrame, chunk: int) -> DataFrame:
     return by_batch(docs.withColumn("key", F.monotonically_increasing_id()), "key long, doc_id long, number int, part string, skip long, take long", make)
 
 
-def _scored(rows: DataFrame) -> DataFrame:
-    """Blocks with the counts of their pairs (found: pos, n, top), as a row for each document."""
+def _scored(rows: DataFrame, codes: np.ndarray, n: np.ndarray, top: np.ndarray) -> DataFrame:
+    """A row for each document of the blocks, with the sums over its frequent pairs and the others as `rare`. codes: the frequent pairs, sorted."""
+    shared = rows.sparkSession.sparkContext.broadcast((codes, n, top))
 
     def make():
+        frequent, n_of, top_of = shared.value
+
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(c)[row].values  # noqa: B023, E731
-                known = batch.column("found")[row]
-                pairs = len(batch.column("pairs")[row])
-                n, top = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
-                if known.is_valid and pairs:
-                    pos = known.values.field("pos").to_numpy()
-                    n[pos], top[pos] = known.values.field("n").to_numpy(), known.values.field("top").to_numpy()
-                word_at, pair_at, word, pair = (get(c).to_numpy() for c in ("word_at", "pair_at", "word", "pair"))
-                sums = []
-                for value in (top, n):
-                    by_word = np.diff(np.concatenate([[0], np.cumsum(value[pair])])[pair_at])
-                    sums.append(pa.array(np.diff(np.concatenate([[0], np.cumsum(by_word[word])])[word_at])))
-                yield pa.RecordBatch.from_arrays([get("doc_id"), get("n_a"), get("n_b"), get("n_groups"), get("n_links"), *sums, get("groups_sha256")], names=["doc_id", *COUNTS, "groups_sha256"])
+                pairs, word_at, pair_at, word, pair = (get(c).to_numpy() for c in ("pairs", "word_at", "pair_at", "word", "pair"))
+                at = np.minimum(np.searchsorted(frequent, pairs), max(len(frequent) - 1, 0))
+                known = frequent[at] == pairs if len(frequent) else np.zeros(len(pairs), bool)
+                by_word = lambda value: np.diff(np.concatenate([[0], np.cumsum(value[pair])])[pair_at])  # noqa: B023, E731
+                sums = [pa.array(np.diff(np.concatenate([[0], np.cumsum(by_word(np.where(known, of[at], 0) if len(frequent) else np.zeros(len(pairs), np.int64))[word])])[word_at])) for of in (top_of, n_of)]
+                docs = len(word_at) - 1
+                rare_word = by_word(~known) > 0
+                here = np.flatnonzero(rare_word[word])
+                doc, links = np.searchsorted(word_at, here, side="right") - 1, np.diff(pair_at)[word[here]]
+                one = np.repeat(doc, links) * len(pairs) + pair[spans(pair_at[word[here]].astype(np.int64), links)]
+                one, times = np.unique(one[~known[one % max(len(pairs), 1)]], return_counts=True)
+                rare = pa.ListArray.from_arrays(np.searchsorted(one // max(len(pairs), 1), np.arange(docs + 1)).astype(np.int32), pa.StructArray.from_arrays([pa.array(pairs[one % max(len(pairs), 1)]), pa.array(times.astype(np.int64))], names=["pair", "times"]))
+                block = pa.array(np.full(docs, batch.column("block")[row].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([block, pa.array(np.arange(docs)), get("doc_id"), get("n_a"), get("n_b"), get("n_groups"), get("n_links"), *sums, get("groups_sha256"), rare], names=["block", "place", "doc_id", *COUNTS, "groups_sha256", "rare"])
 
         return step
 
-    return by_batch(rows, f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string", make)
+    return by_batch(rows, f"block long, place long, doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, rare array<struct<pair:bigint,times:bigint>>", make)
 
 
 def aligned(docs: DataFrame, a_file: str, b_file: str, chunk: int = CHUNK_CHARS, pairs: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
@@ -474,8 +481,13 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, chunk: int = CHUNK_CHARS,
         b_id = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
         best = counts.groupBy(b_id.alias("b")).agg(F.max("n").alias("most"))  # at most a row for each id of B
         counts = space.written(counts.join(F.broadcast(best), b_id == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("top")))
-        asked = short.select("block", F.posexplode("pairs").alias("pos", "pair")).join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("pos", "n", "top")).alias("found"))
-        one = _scored(short.join(asked, "block", "left"))
+        often = counts.orderBy(F.desc("n"), "pair").limit(FREQUENT).collect()  # a bounded list; the other pairs are joined
+        often = np.array(sorted((r.pair, r.n, r.top) for r in often), np.int64).reshape(-1, 3).T
+        one = space.written(_scored(short, *often))
+        added = one.select("block", "place", F.explode("rare").alias("r")).select("block", "place", F.col("r.pair").alias("pair"), F.col("r.times").alias("times")).join(counts, "pair")
+        added = added.groupBy("block", "place").agg(F.sum(F.col("times") * F.col("top")).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_sum"))
+        one = one.join(added, ["block", "place"], "left").withColumns({"n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0))})
+        one = one.select("doc_id", *COUNTS, "groups_sha256")
         sums = links.join(counts, "pair").groupBy("key").agg(F.sum(F.col("times") * F.col("top")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
         digests = streamed_sha256(long.where("n_groups > 0").select("key", "number", "half", "groups"), ["key"], ["number", "half"], "groups", ";")
         totals = long.groupBy("key").agg(*(F.sum(c).alias(c) for c in COUNTS[:4]))

@@ -62,8 +62,9 @@ def result(r):
     return (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256)
 
 
-@pytest.mark.parametrize("chunk", [1 << 16, 700])
-def test_brute_force(spark, pair, chunk):
+@pytest.mark.parametrize(("chunk", "frequent"), [(1 << 16, 1 << 17), (700, 20), (1 << 16, 0)])
+def test_brute_force(spark, pair, monkeypatch, chunk, frequent):
+    monkeypatch.setattr(tokenalign, "FREQUENT", frequent)
     texts = [None, "", *ODD, *ODD[:3]]
     docs = spark.createDataFrame([(None if k == 5 else k, "x", t) for k, t in enumerate(texts)], "doc_id long, n_a string, text string").repartition(3)
     got, pairs = tokenalign.aligned(docs, tokenizer(A), tokenizer(B), chunk, pairs=True)
