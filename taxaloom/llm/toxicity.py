@@ -141,19 +141,19 @@ class BlockMax:
     def __init__(self, size: int, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         heaviest = np.array([t[np.argmax(w)] for t, w in vectors], np.int64)
         order = np.lexsort((ids, labels, heaviest))
-        self.size, self.ids, self.labels = size, ids[order], labels[order]
+        self.size, self.block, self.ids, self.labels = size, BLOCK, ids[order], labels[order]
         n = len(order)
-        self.blocks = -(-n // BLOCK)
+        self.blocks = -(-n // self.block)
         row = np.repeat(np.arange(n), [len(vectors[k][0]) for k in order])
         term = np.concatenate([*(vectors[k][0] for k in order), np.zeros(0, np.int64)])
         weight = np.concatenate([*(vectors[k][1] for k in order), np.zeros(0)])
-        key = row // BLOCK * size + term
+        key = row // self.block * size + term
         by_key = np.argsort(key, kind="stable")
         self.row, self.weight, key = row[by_key], weight[by_key], key[by_key]
         self.keys, self.at = np.unique(key, return_index=True)
         self.at = np.append(self.at, len(key))
         self.most = np.zeros((size, self.blocks))
-        np.maximum.at(self.most, (term, row // BLOCK), weight)
+        np.maximum.at(self.most, (term, row // self.block), weight)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a cosine above 0; equal cosines (to nine places) by id. but: an id that is left out."""
@@ -162,14 +162,14 @@ class BlockMax:
         for block in np.argsort(-bound, kind="stable"):
             if bound[block] <= 0 or bound[block] < least - 1e-8:
                 break
-            cosine = np.zeros(BLOCK)
+            cosine = np.zeros(self.block)
             at = np.searchsorted(self.keys, block * self.size + term)
             for slot, t, w in zip(at.tolist(), term.tolist(), weight.tolist(), strict=True):
                 if slot < len(self.keys) and self.keys[slot] == block * self.size + t:
                     a, b = self.at[slot], self.at[slot + 1]
-                    cosine[self.row[a:b] - block * BLOCK] += w * self.weight[a:b]
+                    cosine[self.row[a:b] - block * self.block] += w * self.weight[a:b]
             found = np.flatnonzero(cosine > 0)
-            here = found + block * BLOCK
+            here = found + block * self.block
             if but is not None:
                 found, here = found[self.ids[here] != but], here[self.ids[here] != but]
             rows, cosines = np.concatenate([rows, here]), np.concatenate([cosines, np.round(cosine[found], 9)])
