@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_batch, refuse_clash, row_hash
-from .textarrays import code_points, span_hashes, text_slices
+from .textarrays import code_points, span_hashes, spans, text_slices
 
 LEARN_ROWS = 16_384
-VOCABULARY = 4_096
+VOCABULARY = 512
 EXAMPLES = 4_096
 EVIDENCE = 15.0
 BLOCK = 64
@@ -158,27 +158,27 @@ class BlockMax:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a cosine above 0; equal cosines (to nine places) by id. but: an id that is left out."""
         bound = weight @ self.most[term]
-        rows, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or bound[block] < least - 1e-8:
+        order = np.argsort(-bound, kind="stable")
+        rows, cosines, least, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 8
+        while done < len(order):
+            blocks = order[done : done + step]
+            blocks = blocks[(bound[blocks] > 0) & (bound[blocks] >= least - 1e-8)]
+            if not len(blocks):
                 break
-            cosine = np.zeros(self.block)
-            at = np.searchsorted(self.keys, block * self.size + term)
-            for slot, t, w in zip(at.tolist(), term.tolist(), weight.tolist(), strict=True):
-                if slot < len(self.keys) and self.keys[slot] == block * self.size + t:
-                    a, b = self.at[slot], self.at[slot + 1]
-                    cosine[self.row[a:b] - block * self.block] += w * self.weight[a:b]
-            found = np.flatnonzero(cosine > 0)
-            here = found + block * self.block
+            done, step = done + step, 2 * step
+            keys = (blocks[:, None] * self.size + term).ravel()
+            slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            sizes = np.where(self.keys[slot] == keys, self.at[slot + 1] - self.at[slot], 0)
+            at = spans(self.at[slot], sizes)
+            cosine = np.bincount(self.row[at], np.repeat(np.tile(weight, len(blocks)), sizes) * self.weight[at], minlength=len(self.ids))
+            here = np.flatnonzero(cosine > 0)
             if but is not None:
-                found, here = found[self.ids[here] != but], here[self.ids[here] != but]
-            rows, cosines = np.concatenate([rows, here]), np.concatenate([cosines, np.round(cosine[found], 9)])
-            if len(rows) > k:
-                best = np.lexsort((self.labels[rows], self.ids[rows], -cosines))[:k]
-                rows, cosines = rows[best], cosines[best]
-            if len(rows) == k:
-                least = cosines.min()
-        best = np.lexsort((self.labels[rows], self.ids[rows], -cosines))
+                here = here[self.ids[here] != but]
+            rows, cosines = np.concatenate([rows, here]), np.concatenate([cosines, np.round(cosine[here], 9)])
+            if len(rows) >= k:
+                least = np.partition(cosines, -k)[-k]
+                rows, cosines = rows[cosines >= least], cosines[cosines >= least]
+        best = np.lexsort((self.labels[rows], self.ids[rows], -cosines))[:k]
         return rows[best], np.minimum(cosines[best], 1.0)
 
 
@@ -285,7 +285,6 @@ def _left_out(chosen: DataFrame, model: Model) -> DataFrame:
 
 
 EVIDENCE_TYPE = "array<struct<doc_id:bigint,toxic:int,cosine:double>>"
-_EVIDENCE_ARROW = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
 
 def score(docs: DataFrame, model: Model, out: str = "toxicity", evidence: str = "evidence") -> DataFrame:
@@ -303,13 +302,16 @@ def score(docs: DataFrame, model: Model, out: str = "toxicity", evidence: str =
                 known, at = in_vocabulary(m.vocabulary, term)
                 doc, at, tf = counted(doc[known], at)
                 cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-                scores, seen = np.full(len(texts), m.score(None)), [[] for _ in texts]
+                scores, sizes, near = np.full(len(texts), m.score(None)), np.zeros(len(texts) + 1, np.int32), [(np.zeros(0, np.int64), np.zeros(0))]
                 for k in np.unique(doc).tolist():
                     share, rows, cosines = m.share(at[cut[k] : cut[k + 1]], tf[cut[k] : cut[k + 1]].astype(np.float64))
-                    scores[k] = m.score(share)
-                    seen[k] = [{"doc_id": int(m.index.ids[r]), "toxic": int(m.index.labels[r]), "cosine": float(c)} for r, c in zip(rows, cosines, strict=True)]
+                    scores[k], sizes[k + 1] = m.score(share), len(rows)
+                    near.append((rows, cosines))
+                rows, cosines = (np.concatenate(x) for x in zip(*near, strict=True))
+                ids, labels = (m.index.ids[rows], m.index.labels[rows]) if m.index else (rows, rows)
+                found = pa.StructArray.from_arrays([pa.array(ids), pa.array(labels.astype(np.int32)), pa.array(cosines)], names=["doc_id", "toxic", "cosine"])
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores), pa.array(seen, _EVIDENCE_ARROW)], names=[*names, out, evidence])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores), pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int32), found)], names=[*names, out, evidence])
 
         return step
 
