@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_batch, streamed_sha256, written
+from .textarrays import spans
 
 #: Longer texts are cut into ranges of about this many characters.
 CHUNK_CHARS = 1 << 16
@@ -49,9 +50,9 @@ STRADDLE = 1024
 #: Fragments of one text that a group joins in a round.
 FAN = 16
 #: A block of documents closes at this many characters; its different words and pairs are kept once.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 21
 #: A task forgets the words it has encoded when it holds more than this many.
-HELD_WORDS = 250_000
+HELD_WORDS = 120_000
 #: The counts of at most this many pairs, the most frequent, travel to every task; those of all others are joined.
 FREQUENT = 1 << 17
 MARK = "▁"
@@ -96,11 +97,6 @@ class Spelling:
         return self.flat[spans(self.at[ids], self.size[ids])]
 
 
-def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The positions of spans one after another."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
 @dataclass
 class Pair:
     """Two tokenizers as they travel to the tasks: their files' content and their spellings; sizes are set by the vocabularies."""
@@ -214,8 +210,8 @@ class Block:
 
     def _encode(self) -> None:
         new = list(self.held)[len(self.text) :]
-        for first in range(0, len(new), 1 << 15):
-            words = new[first : first + (1 << 15)]
+        for first in range(0, len(new), 1 << 13):
+            words = new[first : first + (1 << 13)]
             a, count_a, b, count_b, ok = self.pair.encode(words)
             x = self.pair.align(a[np.repeat(ok, count_a)], b[np.repeat(ok, count_b)])
             count_a, count_b = count_a * ok, count_b * ok
