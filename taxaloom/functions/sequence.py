@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 GENETIC_CODE = "KNKNTTTTRSRSIIMIQHQHPPPPRRRRLLLLEDEDAAAAGGGGVVVV*Y*YSSSS*CWCLFLF"
 
 
-#: Characters of a chunk, or codons of one.
+#: Characters of a chunk in which k-mers are looked up, and of one that is compared base by base.
 CHUNK = 128
+SHORT = 24
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -40,18 +41,33 @@ def fragments(s: Column, width: int) -> Column:
     return let(s, lambda t: F.transform(F.sequence(F.lit(0), last), lambda f: F.struct(f.alias("frag"), F.substr(t, f * width + 1, F.lit(width)).alias("seq"))))
 
 
-def in_chunks(t: Column, count: Column, step: int, size: int, body) -> Column:
-    """body(chunk) of the chunks of `size` characters that start every `step` ones, as one array; count: the number of starts. A substring
-    is found by walking from the start of its string, so places are looked up in short chunks, not in the whole sequence."""
-    chunks = F.sequence(F.lit(0), F.floor((count - 1) / step).cast("int"))
-    return F.flatten(F.transform(chunks, lambda c: let(F.substr(t, c * step + 1, F.lit(size)), body)))
+def pieces(t: Column, step: int, size: int) -> Column:
+    """The substrings of at most `size` characters that start every `step` characters, in time in proportion to the text. A substring is found by walking from the start
+    of its string, so a text is first cut into runs by one pass of a regular expression, and pieces are looked up within a run. size - step may not exceed 32 steps."""
+    run = 32 * step
+
+    def inside(runs: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            more = F.coalesce(F.substr(F.get(runs, i + 1), F.lit(1), F.lit(size - step)), F.lit("")) if size > step else F.lit("")
+            starts = F.sequence(F.lit(0), F.floor((F.length(x) - 1) / step).cast("int"))
+            return let(F.concat(x, more), lambda y: F.transform(starts, lambda c: F.substr(y, c * step + 1, F.lit(size))))
+
+        return F.flatten(F.transform(runs, one))
+
+    return let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{run}}}"), F.lit(0)), inside)
+
+
+def in_chunks(t: Column, step: int, size: int, body) -> Column:
+    """body(piece) of all pieces as one array."""
+    return F.flatten(F.transform(pieces(t, step, size), body))
 
 
 def kmers(s: Column, k: int) -> Column:
-    """All k-mers in order; none for a sequence shorter than k."""
-    count = lambda t: F.length(t) - (k - 1)
-    inside = lambda p: F.transform(F.sequence(F.lit(1), count(p)), lambda i: F.substr(p, i, F.lit(k)))
-    return let(s, lambda t: F.when(count(t) >= 1, in_chunks(t, count(t), CHUNK, CHUNK + k - 1, inside)).otherwise(F.array().cast("array<string>")))
+    """All k-mers in order; none for a sequence shorter than k. Pieces overlap by k - 1, so each k-mer is found in the piece that it starts in."""
+    none = F.array().cast("array<string>")
+    step = max(CHUNK, k // 16)
+    inside = lambda p: F.when(F.length(p) >= k, F.transform(F.sequence(F.lit(1), F.length(p) - (k - 1)), lambda i: F.substr(p, i, F.lit(k)))).otherwise(none)
+    return in_chunks(s, step, step + k - 1, inside)
 
 
 def canonical(kmer: Column) -> Column:
@@ -75,16 +91,15 @@ def residue(codon: Column) -> Column:
 
 
 def translate_codons(s: Column) -> Column:
-    """Whole codons from the start; one or two bases left over are dropped."""
-    n = lambda t: F.floor(F.length(t) / 3).cast("int")
-    digits = F.translate(F.regexp_replace(s, "[^ACGT]", "N"), "ACGT", "0123")
+    """Whole codons from the start; one or two bases left over are dropped. One pass cuts the codons, and each is looked up by its bases' numbers."""
+    digits = F.translate(F.regexp_replace(s, "[^ACGT]", "N"), "ACGTN", "01234")
+    code = F.array(*map(F.lit, GENETIC_CODE))
 
-    def residue_at(p: Column, i: Column) -> Column:
-        a, b, c = (F.ascii(F.substr(p, i * 3 + j, F.lit(1))) - ord("0") for j in (1, 2, 3))
-        return F.when((a < 4) & (b < 4) & (c < 4), F.substr(F.lit(GENETIC_CODE), a * 16 + b * 4 + c + 1, F.lit(1))).otherwise("X")
+    def residue_of(c: Column) -> Column:
+        index = F.ascii(c) * 16 + F.ascii(F.substr(c, F.lit(2), F.lit(1))) * 4 + F.ascii(F.substr(c, F.lit(3), F.lit(1))) - 21 * ord("0")
+        return F.when(F.contains(c, F.lit("4")), "X").otherwise(F.get(code, index))
 
-    inside = lambda p: F.transform(F.sequence(F.lit(0), n(p) - 1), lambda i: residue_at(p, i))
-    return let(digits, lambda t: F.when(n(t) >= 1, F.array_join(in_chunks(t, n(t) * 3, 3 * CHUNK, 3 * CHUNK, inside), "")).otherwise(""))
+    return F.array_join(F.transform(F.regexp_extract_all(digits, F.lit("..."), F.lit(0)), residue_of), "")
 
 
 def six_frames(s: Column) -> Column:
@@ -96,15 +111,13 @@ def six_frames(s: Column) -> Column:
 def codon_symbols(s: Column, legacy: bool = False) -> Column:
     """Packed codons: bases other than ACGT are skipped, the last codon may be short, and a symbol is the smaller of the
     base-4 number forwards and backwards, plus 1. legacy: the 1 is added to the backward number only."""
-    clean = F.regexp_replace(s, "[^ACGT]", "")
-    n = lambda t: F.ceil(F.length(t) / 3).cast("int")
+    clean = F.translate(F.regexp_replace(s, "[^ACGT]", ""), "ACTG", "0123")
 
-    def symbol(t: Column, i: Column) -> Column:
-        digits = F.translate(F.substr(t, i * 3 + 1, F.lit(3)), "ACTG", "0123")
+    def symbol(digits: Column) -> Column:
         forward, backward = F.conv(digits, 4, 10).cast("long"), F.conv(F.reverse(digits), 4, 10).cast("long")
         return F.when(forward < backward, forward).otherwise(backward + 1) if legacy else F.least(forward, backward) + 1
 
-    return let(clean, lambda t: F.when(n(t) >= 1, F.transform(F.sequence(F.lit(0), n(t) - 1), lambda i: symbol(t, i))).otherwise(F.array().cast("array<long>")))
+    return F.transform(F.regexp_extract_all(clean, F.lit(".{1,3}"), F.lit(0)), symbol)
 
 
 def char_code(ch: Column) -> Column:
@@ -114,7 +127,7 @@ def char_code(ch: Column) -> Column:
 
 def chars(s: Column) -> Column:
     """The characters of a string."""
-    return let(s, lambda t: F.when(F.length(t) >= 1, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substr(t, i, F.lit(1)))).otherwise(F.array().cast("array<string>")))
+    return F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
 
 
 def not_acgt(s: Column) -> Column:
@@ -142,12 +155,20 @@ def cluster_count(total: Column, per: int, low: int, high: int) -> Column:
     return F.least(F.greatest(F.floor(total / per), F.lit(low)), F.lit(high)).cast("long")
 
 
+def differing(x: Column, y: Column) -> Column:
+    """The number of places at which two sequences differ, up to the end of the shorter one. Equal pieces are told as a whole."""
+    apart = lambda p: F.aggregate(F.sequence(F.lit(1), F.least(F.length(p["x"]), F.length(p["y"]))), F.lit(0), lambda n, i: n + (F.substr(p["x"], i, F.lit(1)) != F.substr(p["y"], i, F.lit(1))).cast("int"))
+    one = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    both = F.zip_with(pieces(x, SHORT, SHORT), pieces(y, SHORT, SHORT), one)
+    wrong = lambda p: F.when(p["x"].isNull() | p["y"].isNull() | (p["x"] == p["y"]), 0).otherwise(apart(p))
+    return F.coalesce(F.aggregate(both, F.lit(0), lambda n, p: n + wrong(p)), F.lit(0))
+
+
 def overlap(a: Column, b: Column, shift: Column) -> Column:
     """struct<match, mismatch> of two sequences where b starts shift bases into a."""
-    n = lambda p: F.least(F.length(p["x"]), F.length(p["y"]))
-    wrong = lambda p: F.when(n(p) >= 1, F.aggregate(F.sequence(F.lit(1), n(p)), F.lit(0), lambda s, i: s + (F.substr(p["x"], i, F.lit(1)) != F.substr(p["y"], i, F.lit(1))).cast("int"))).otherwise(0)
     both = F.struct(F.substr(a, shift + 1, F.length(a)).alias("x"), b.alias("y"))
-    return let(both, lambda p: let(wrong(p), lambda w: F.struct((n(p) - w).alias("match"), w.alias("mismatch"))))
+    n = lambda p: F.least(F.length(p["x"]), F.length(p["y"]))
+    return let(both, lambda p: let(differing(p["x"], p["y"]), lambda w: F.struct((n(p) - w).alias("match"), w.alias("mismatch"))))
 
 
 def genome_of(sid: Column) -> Column:

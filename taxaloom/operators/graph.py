@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df once to the cluster's shared folder (spark.checkpoint.dir) and read it back, which cuts the lineage of a loop."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", df.sparkSession.conf.get("spark.master", "local")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="taxaloom-")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..scratch import Scratch, written
 
 
 def pair_edges(mates: DataFrame, pair: str, mate: str, node: str) -> DataFrame:
@@ -41,18 +27,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round points each node to its smallest neighbour by a random priority, follows the pointers twice and contracts the edges."""
     order = lambda c: F.struct(F.xxhash64(c).alias("p"), F.col(c).alias("n"))
-    left = written(edges.where("u <> v").select("u", "v").distinct())
-    root = written(left.select(F.col("u").alias("node")).union(left.select("v")).distinct().withColumn("root", F.col("node")))
-    while not left.isEmpty():
-        both = left.union(left.select("v", "u"))
-        to = written(both.groupBy("u").agg(F.least(F.min(order("v")), F.first(order("u")))["n"].alias("to")).withColumnRenamed("u", "x"))
-        for _ in range(2):
-            to = written(to.join(to.select(F.col("x").alias("to"), F.col("to").alias("far")), "to").select("x", F.col("far").alias("to")))
-        root = written(root.join(to, root.root == to.x, "left").select("node", F.coalesce("to", "root").alias("root")))
-        moved = left.join(to.select(F.col("x").alias("u"), F.col("to").alias("a")), "u").join(to.select(F.col("x").alias("v"), F.col("to").alias("b")), "v")
-        left = written(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    smallest = root.groupBy("root").agg(F.min("node").alias("comp"))
-    return root.join(smallest, "root").select("node", "comp")
+    with Scratch(edges.sparkSession) as space:
+        left = space.written(edges.where("u <> v").select("u", "v").distinct())
+        root = space.written(left.select(F.col("u").alias("node")).union(left.select("v")).distinct().withColumn("root", F.col("node")))
+        while not left.isEmpty():
+            both = left.union(left.select("v", "u"))
+            to = space.written(both.groupBy("u").agg(F.least(F.min(order("v")), F.first(order("u")))["n"].alias("to")).withColumnRenamed("u", "x"))
+            for _ in range(2):
+                to = space.written(to.join(to.select(F.col("x").alias("to"), F.col("to").alias("far")), "to").select("x", F.col("far").alias("to")))
+            root = space.written(root.join(to, root.root == to.x, "left").select("node", F.coalesce("to", "root").alias("root")))
+            moved = left.join(to.select(F.col("x").alias("u"), F.col("to").alias("a")), "u").join(to.select(F.col("x").alias("v"), F.col("to").alias("b")), "v")
+            left = space.written(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        smallest = root.groupBy("root").agg(F.min("node").alias("comp"))
+        return written(root.join(smallest, "root").select("node", "comp"))
 
 
 def merge_by_ratio(edges: DataFrame, lengths: DataFrame, passes: tuple[tuple[float, bool], ...], limit: int) -> DataFrame:
@@ -97,20 +84,3 @@ def region_of(probes: DataFrame, regions: DataFrame, key: str, pos: str, end: st
     last = F.max(F.when(F.col("kind") == 1, F.struct("at", "lab"))).over(whole)["lab"]
     found = both.withColumn("found", F.coalesce(F.last("lab", ignorenulls=True).over(back), last))
     return found.where("kind = 0").select(key, F.col("at").alias(pos), F.col("found").alias(label))
-
-
-def overlap_edges(reads: DataFrame, k: int, least: Column) -> DataFrame:
-    """(u, v) of reads (id, s) that share a k-mer at a shift at which they overlap well: least(match, mismatch) decides.
-
-    A seed pair's shift follows from the two positions, so each (pair, shift) is checked once."""
-    from ..functions import sequence as S
-
-    seeds = reads.select("id", "s", F.posexplode(S.kmers(F.col("s"), k)).alias("p", "kmer"))
-    a = seeds.select("kmer", F.col("id").alias("u"), F.col("p").alias("pu"))
-    b = seeds.select("kmer", F.col("id").alias("v"), F.col("p").alias("pv"))
-    shifts = a.join(b, "kmer").where("u < v").select("u", "v", (F.col("pu") - F.col("pv")).alias("d")).distinct()
-    full = shifts.join(reads.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(reads.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
-    front = F.when(F.col("d") >= 0, F.col("su")).otherwise(F.col("sv"))
-    other = F.when(F.col("d") >= 0, F.col("sv")).otherwise(F.col("su"))
-    o = full.withColumn("o", S.overlap(front, other, F.abs("d"))).select("u", "v", F.col("o.match").alias("match"), F.col("o.mismatch").alias("mismatch"))
-    return o.where(least).select("u", "v").distinct()

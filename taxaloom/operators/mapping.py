@@ -7,22 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .seeds import seeded
 
 
 def map_reads(reads: DataFrame, contigs: DataFrame, k: int, least: Column) -> DataFrame:
     """(read_id, ctg_id, pos, score): the contig and place (from 0) where a whole read has most equal bases, among places that share a
-    k-mer; ties to the smallest contig and place. reads: (read_id, s), contigs: (ctg_id, s).
+    k-mer; ties to the smallest contig and place. reads: (read_id, s), contigs: (ctg_id, s). least: which places count, by score and size."""
+    best = _best_place(_places(reads, contigs, ["read_id"], k, least), "ctg_id", "pos")
+    return best.select("read_id", "m.ctg_id", "m.pos", (-F.col("m.s")).alias("score"))
 
-    Only seeds travel through the join; each (read, contig, place) is verified once."""
-    r = reads.select("read_id", F.posexplode(S.kmers(F.col("s"), k)).alias("pr", "kmer"))
-    c = contigs.select("ctg_id", F.posexplode(S.kmers(F.col("s"), k)).alias("pc", "kmer"))
-    place = r.join(c, "kmer").select("read_id", "ctg_id", (F.col("pc") - F.col("pr")).alias("pos")).where("pos >= 0").distinct()
-    full = place.join(reads.select("read_id", F.col("s").alias("rs")), "read_id").join(contigs.select("ctg_id", F.col("s").alias("cs")), "ctg_id")
-    full = full.where(F.col("pos") + F.length("rs") <= F.length("cs"))
-    score = S.overlap(F.col("cs"), F.col("rs"), F.col("pos"))["match"]
-    scored = full.select("read_id", "ctg_id", "pos", score.cast("long").alias("score"), F.length("rs").alias("size")).where(least)
-    best = scored.groupBy("read_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "ctg_id", "pos")).alias("m"))
-    return best.select("read_id", F.col("m.ctg_id").alias("ctg_id"), F.col("m.pos").cast("long").alias("pos"), (-F.col("m.s")).alias("score"))
+
+def _places(reads: DataFrame, contigs: DataFrame, ids: list[str], k: int, least: Column) -> DataFrame:
+    """(*ids, ctg_id, pos, score, size): places of whole reads on contigs."""
+    found = seeded(contigs, reads, ["ctg_id"], ids, k, "d >= 0 and d + nb <= na")
+    return found.select(*ids, "ctg_id", F.col("d").cast("long").alias("pos"), F.col("match").alias("score"), F.col("nb").alias("size")).where(least)
+
+
+def _best_place(places: DataFrame, *order: str) -> DataFrame:
+    return places.groupBy("read_id").agg(F.min(F.struct((-F.col("score")).alias("s"), *order)).alias("m"))
 
 
 def strands(reads: DataFrame) -> DataFrame:
@@ -32,28 +34,23 @@ def strands(reads: DataFrame) -> DataFrame:
 
 
 def map_both_strands(reads: DataFrame, contigs: DataFrame, k: int, least: Column) -> DataFrame:
-    """(read_id, ctg_id, pos, strand, score): as map_reads, of both strands of a read; of equal places the forward strand."""
-    s = strands(reads)
-    one = [map_reads(s.where(F.col("strand") == x).select("read_id", "s"), contigs, k, least).withColumn("strand", F.lit(x)) for x in (0, 1)]
-    best = one[0].union(one[1]).groupBy("read_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "ctg_id", "pos", "strand")).alias("m"))
+    """(read_id, ctg_id, pos, strand, score): as map_reads, of both strands of a read, in one pass over the contigs; of equal places the forward strand."""
+    best = _best_place(_places(strands(reads), contigs, ["read_id", "strand"], k, least), "ctg_id", "pos", "strand")
     return best.select("read_id", "m.ctg_id", "m.pos", "m.strand", (-F.col("m.s")).alias("score"))
 
 
 def contig_read_edges(contigs: DataFrame, reads: DataFrame, k: int, seed: int, large: int = 8000, small: int = 1000) -> DataFrame:
     """(ctg_id, read_id): contigs and reads that overlap well in either orientation of the read, which may hang over the contig's ends.
+    Two long ones (both of `small` or more, one of `large` or more) are not joined."""
+    na, nb = F.col("na"), F.col("nb")
+    found = seeded(contigs, strands(reads), ["ctg_id"], ["read_id", "strand"], k, ((na < large) & (nb < large)) | (na < small) | (nb < small))
+    return found.where(good_overlap(F.col("match"), F.col("mismatch"), seed)).select("ctg_id", "read_id").distinct()
+
 
-    A shared k-mer fixes the shift, so each (contig, read, strand, shift) is compared once. Two long ones (both of `small` or more, one of
-    `large` or more) are not joined."""
-    s = strands(reads)
-    r = s.select("read_id", "strand", F.posexplode(S.kmers(F.col("s"), k)).alias("pr", "kmer"))
-    c = contigs.select("ctg_id", F.posexplode(S.kmers(F.col("s"), k)).alias("pc", "kmer"))
-    shift = c.join(r, "kmer").select("ctg_id", "read_id", "strand", (F.col("pc") - F.col("pr")).alias("d")).distinct()
-    full = shift.join(s.withColumnRenamed("s", "rs"), ["read_id", "strand"]).join(contigs.select("ctg_id", F.col("s").alias("cs")), "ctg_id")
-    nc, nr = F.length("cs"), F.length("rs")
-    full = full.where(((nc < large) & (nr < large)) | (nc < small) | (nr < small))
-    front, other = (F.when(F.col("d") >= 0, F.col(a)).otherwise(F.col(b)) for a, b in (("cs", "rs"), ("rs", "cs")))
-    o = full.withColumn("o", S.overlap(front, other, F.abs("d")))
-    return o.where(good_overlap(F.col("o.match"), F.col("o.mismatch"), seed)).select("ctg_id", "read_id").distinct()
+def overlap_edges(reads: DataFrame, k: int, least: Column) -> DataFrame:
+    """(u, v) of reads (id, s) that share a k-mer at a shift at which they overlap well: least(match, mismatch) decides."""
+    one, other = (reads.select(F.col("id").alias(x), "s") for x in "uv")
+    return seeded(one, other, ["u"], ["v"], k, "u < v").where(least).select("u", "v").distinct()
 
 
 def good_overlap(match: Column, mismatch: Column, seed: int = 50, r: float = 0.01) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, written
+
 
 def lca(taxa: DataFrame, owner: str, lineage: str, levels: int, none_level: int = 99, ignore_missing: bool = False) -> DataFrame:
     """(owner, level, taxon): the lowest level at which all lineages of an owner agree; (none_level, 0) without one.
@@ -31,19 +33,17 @@ def match_level(a, b, levels: int):
 
 def closure(edges: DataFrame) -> DataFrame:
     """(node, above, dist) for all ancestors of each node and the node itself, by doubling: log2(depth) joins. edges: (parent, child)."""
-    from .graph import written
-
-    up = written(edges.select(F.col("child").alias("node"), F.col("parent").alias("above"), F.lit(1).alias("dist")).distinct())
-    reach, step = up, 1
-    while True:
-        far = reach.where(F.col("dist") == step)
-        more = far.select("node", F.col("above").alias("m"), "dist").join(reach.select(F.col("node").alias("m"), F.col("above").alias("top"), F.col("dist").alias("d2")), "m")
-        more = written(more.select("node", F.col("top").alias("above"), (F.col("dist") + F.col("d2")).alias("dist")))
-        if more.isEmpty():
-            break
-        reach, step = written(reach.union(more)), step * 2
-    nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
-    return reach.union(nodes.select("node", F.col("node").alias("above"), F.lit(0).alias("dist")))
+    with Scratch(edges.sparkSession) as space:
+        reach, step = space.written(edges.select(F.col("child").alias("node"), F.col("parent").alias("above"), F.lit(1).alias("dist")).distinct()), 1
+        while True:
+            far = reach.where(F.col("dist") == step)
+            more = far.select("node", F.col("above").alias("m"), "dist").join(reach.select(F.col("node").alias("m"), F.col("above").alias("top"), F.col("dist").alias("d2")), "m")
+            more = space.written(more.select("node", F.col("top").alias("above"), (F.col("dist") + F.col("d2")).alias("dist")))
+            if more.isEmpty():
+                break
+            reach, step = reach.union(more), step * 2
+        nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
+        return written(reach.union(nodes.select("node", F.col("node").alias("above"), F.lit(0).alias("dist"))))
 
 
 def leaf_counts(edges: DataFrame) -> DataFrame:

@@ -443,7 +443,7 @@ def overlap_mismatch(spark, d):
 def read_overlaps(spark, d):
     """Targets that share an 8-mer and overlap in at least 8 bases with at most one mismatch, merged into components."""
     t = targets(spark, d).select(F.col("item_id").alias("id"), "s")
-    return graph.components(graph.overlap_edges(t, 8, (F.col("match") >= 8) & (F.col("mismatch") <= 1)))
+    return graph.components(mapping.overlap_edges(t, 8, (F.col("match") >= 8) & (F.col("mismatch") <= 1)))
 
 
 # Text indexes
@@ -754,7 +754,7 @@ def read_group_merge(spark, d):
 def read_merge(spark, d):
     """Components of documents that overlapping reads lie on; overlaps hold 8 equal bases or more and reach the binomial bound."""
     reads = targets(spark, d).select(F.col("item_id").alias("id"), "s")
-    pairs = graph.overlap_edges(reads, 8, mapping.good_overlap(F.col("match"), F.col("mismatch"), 8))
+    pairs = mapping.overlap_edges(reads, 8, mapping.good_overlap(F.col("match"), F.col("mismatch"), 8))
     return graph.components(mapping.read_links(read_mapping(spark, d), pairs))
 
 
