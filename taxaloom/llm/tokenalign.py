@@ -242,8 +242,12 @@ class Block:
         times = np.bincount(pair, weights=np.repeat(np.bincount(local, minlength=len(used)), links), minlength=len(pairs)).astype(np.int64)
         n_links = np.bincount(doc, weights=np.diff(self.code_at)[words], minlength=len(size)).astype(np.int64)
         block = TaskContext.get().partitionId() << 32 | self.number if TaskContext.get() else self.number
-        columns = [self.ids, *sums, n_links, sha, word_at.astype(np.int32), local.astype(np.int32), np.concatenate([[0], np.cumsum(links)]).astype(np.int32), pair.astype(np.int32), pairs, times]
-        values = [pa.array([block], pa.int64()), *(pa.array([c], pa.list_(t)) for c, t in zip(columns, [pa.int64()] * 5 + [pa.string()] + [pa.int32()] * 4 + [pa.int64()] * 2, strict=True))]
+        columns = [self.ids, *sums, n_links, sha, word_at.astype(np.int32), local.astype(np.int32), np.concatenate([[0], np.cumsum(links)]).astype(np.int32), pair.astype(np.int32)]
+        body = pa.RecordBatch.from_arrays([pa.array([c], pa.list_(t)) for c, t in zip(columns, [pa.int64()] * 5 + [pa.string()] + [pa.int32()] * 4, strict=True)], names=BODY)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, body.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write(body)
+        values = [pa.array([block], pa.int64()), pa.array([pairs], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64())), pa.array([out.getvalue().to_pybytes()], pa.binary())]
         self.number += 1
         self._start()
         if len(self.held) > HELD_WORDS:
@@ -251,8 +255,10 @@ class Block:
         return pa.RecordBatch.from_arrays(values, names=BLOCK_NAMES)
 
 
-BLOCK_NAMES = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "word_at", "word", "pair_at", "pair", "pairs", "times"]
-BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, word_at array<int>, word array<int>, pair_at array<int>, pair array<int>, pairs array<long>, times array<long>"
+BLOCK_NAMES = ["block", "pairs", "times", "body"]
+BLOCK = "block long, pairs array<long>, times array<long>, body binary"
+#: Columns of a block's body, an Arrow stream: Spark has no use for them one by one, and so they stay packed on disk and on the way.
+BODY = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "word_at", "word", "pair_at", "pair"]
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -436,8 +442,10 @@ def _scored(rows: DataFrame, codes: np.ndarray, n: np.ndarray, top: np.ndarray)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for row in range(batch.num_rows):
-                get = lambda c: batch.column(c)[row].values  # noqa: B023, E731
-                pairs, word_at, pair_at, word, pair = (get(c).to_numpy() for c in ("pairs", "word_at", "pair_at", "word", "pair"))
+                body = pa.ipc.open_stream(batch.column("body")[row].as_buffer()).read_next_batch()
+                get = lambda c: body.column(c)[0].values  # noqa: B023, E731
+                pairs = batch.column("pairs")[row].values.to_numpy()
+                word_at, pair_at, word, pair = (get(c).to_numpy() for c in ("word_at", "pair_at", "word", "pair"))
                 at = np.minimum(np.searchsorted(frequent, pairs), max(len(frequent) - 1, 0))
                 known = frequent[at] == pairs if len(frequent) else np.zeros(len(pairs), bool)
                 by_word = lambda value: np.diff(np.concatenate([[0], np.cumsum(value[pair])])[pair_at])  # noqa: B023, E731
