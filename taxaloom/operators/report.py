@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import written
+from ..scratch import written
 
 
 def joined_in_order(value: Column, order: Column, separator: str) -> Column:

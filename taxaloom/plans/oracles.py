@@ -207,6 +207,10 @@ ORACLES: dict[str, str] = {
     "cluster_k_scores": f"WITH {D}, {B}, {idx(8, 'i8')}, {idx(12, 'i12')}, {hits('d', 'doc_id', 8, 'ha', 'i8')}, {hits('d', 'doc_id', 12, 'hb', 'i12')}, n AS (SELECT doc_id, item_id, 8 AS k, count(*) AS n FROM ha GROUP BY ALL UNION ALL SELECT doc_id, item_id, 12, count(*) FROM hb GROUP BY ALL), s AS (SELECT source, item_id, CAST(k AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS total, max(n) AS m FROM n JOIN documents USING (doc_id) GROUP BY ALL) SELECT source, item_id, k, total, max(m) OVER (PARTITION BY source, item_id) AS best FROM s",
     "cluster_best_fixed": f"WITH {BEST}, bs AS (SELECT source, item_id, CAST(sum(score) AS BIGINT) AS total, max(score) AS most FROM sc JOIN documents USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY most >= 20 DESC, CASE WHEN most >= 20 THEN most ELSE total END DESC, item_id) AS k FROM bs) SELECT source, item_id, CASE WHEN most >= 20 THEN most ELSE total END AS score FROM r WHERE k = 1",
 }
+ORACLES |= {
+    "fasta_file": f"WITH {B} SELECT item_id, item_id || ' >' || regexp_replace(text, '[^A-Za-z]', '>', 'g') AS header, s FROM b JOIN benchmark USING (item_id)",
+    "region_file": "SELECT DISTINCT l_orderkey AS seqid, CAST(l_linenumber * 9 - 12 AS BIGINT) AS start, CAST(l_linenumber * 9 - 12 + CAST(l_quantity AS BIGINT) AS BIGINT) AS end FROM lineitem WHERE l_linenumber * 9 - 12 >= 0",
+}
 _MAPPED = f"rm AS ({ORACLES['read_mapping']})"
 _GOOD = f"n - w >= 8 AND n - w - 8 >= CAST(trunc(greatest(n - 8, 0) * {_P} - sqrt({_P} * (1 - {_P}) * greatest(n - 8, 0)) * 1.65::DOUBLE) AS BIGINT)"
 ORACLES |= {

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import cluster, genomes, graph, kmer, mapping, protein, report, stats, taxonomy, textindex
 from ..params import Params
+from ..scratch import Scratch, written
+from ..sources import readers, sinks
 from ..streaming.contigs import annotate
 
 P = Params()
@@ -594,7 +596,7 @@ def kmeans_clusters(spark, d):
 
 def qmer_clusters(spark, d):
     """Documents clustered by their q-mer shares, the best of ten runs."""
-    v = graph.written(cluster.qmer_vectors(contigs(spark, d), P.qmer, "doc_id"))
+    v = written(cluster.qmer_vectors(contigs(spark, d), P.qmer, "doc_id"))
     return cluster.kmeans(v, 10, "profile", restarts=P.restarts).select("doc_id", "cluster")
 
 
@@ -779,3 +781,21 @@ def cluster_annotation(spark, d):
     level = F.when(F.col("n1") == F.col("n2"), "nation").when(F.col("r1") == F.col("r2"), "region").when(F.col("n1").isNotNull(), "root").otherwise("none")
     taxon = F.when(F.col("n1") == F.col("n2"), F.col("n1")).when(F.col("r1") == F.col("r2"), F.col("r1"))
     return cover.join(t, cover.source.eqNullSafe(t.source), "left").select(cover.source, level.alias("level"), F.coalesce(taxon, F.lit("")).alias("taxon"), "n", "coverage")
+
+
+# Files written and read back
+
+
+def fasta_file(spark, d):
+    """Benchmark items as FASTA records of 60 bases a line whose headers hold `>`, written and read back."""
+    t = table(spark, d, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(" >"), F.regexp_replace("text", r"[^A-Za-z]", ">")).alias("header"), S.dna(F.col("text")).alias("s"))
+    with Scratch(spark) as space:
+        sinks.fasta_file(t, space.path, "header", "s", 60)
+        return written(readers.fasta(spark, space.path).select(F.col("seq_id").cast("long").alias("item_id"), "header", F.col("seq").alias("s")))
+
+
+def region_file(spark, d):
+    """Order lines as regions of sequences with numbers for ids, written and read back."""
+    with Scratch(spark) as space:
+        sinks.region_file(_regions(spark, d), space.path)
+        return written(readers.regions(spark, space.path).select(F.col("seqid").cast("long").alias("seqid"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).where("start >= 0"))

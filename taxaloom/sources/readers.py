@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, written
+
 SPACE = r"\s+"
 
 
@@ -18,21 +20,40 @@ def offsets(df: DataFrame, size: Column, name: str = "at") -> DataFrame:
     return m.withColumn("__in", inside).join(before, "__part").withColumn(name, F.col("__in") + F.col("__before")).drop("__id", "__part", "__size", "__in", "__before")
 
 
+def _in_blocks(lines: DataFrame) -> DataFrame:
+    """Lines (value) of text files as (f, b, line, value): the file, the start of the block that a line was read in, and a number that rises within the block."""
+    return lines.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("line"), "value")
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """(file, seq_id, header, seq): a record starts at a line that starts with `>`; lines before the first of a file belong to none.
+
+    A line finds its header among the lines of its block, or it is the last header of the blocks before, one row each; so a record may span blocks."""
+    t = _in_blocks(lines).withColumn("value", F.regexp_replace("value", r"\r$", ""))
+    head = F.when(F.startswith("value", F.lit(">")), F.col("line"))
+    here = W.partitionBy("f", "b").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    t = t.withColumn("own", F.last(head, ignorenulls=True).over(here))
+    block = t.groupBy("f", "b").agg(F.max(head).alias("last"))
+    before = W.partitionBy("f").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    carried = lambda c: F.last(F.when(F.col("last").isNotNull(), F.col(c)), ignorenulls=True).over(before)
+    block = block.select("f", "b", carried("b").alias("carried_b"), carried("last").alias("carried"))
+    t = t.join(block, ["f", "b"]).select("f", "b", "line", F.when(F.col("own").isNull(), F.col("carried_b")).otherwise(F.col("b")).alias("rb"), F.coalesce("own", "carried").alias("r"), "value").where("r is not null")
+    of = F.when((F.col("line") == F.col("r")) & (F.col("b") == F.col("rb")), F.col("value"))
+    ordered = F.array_sort(F.collect_list(F.when(of.isNull(), F.struct("b", "line", F.regexp_replace("value", SPACE, "").alias("v")))))
+    r = t.groupBy("f", "rb", "r").agg(F.max(of).alias("header"), F.array_join(F.transform(ordered, lambda x: x["v"]), "").alias("seq"))
+    header = F.substr("header", F.lit(2))
+    return r.select(F.col("f").alias("file"), F.regexp_extract(header, r"^(\S*)", 1).alias("seq_id"), header.alias("header"), "seq")
+
+
 def fasta(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
-    """(file, seq_id, header, seq): records of FASTA files, one task per split; sequences may span lines."""
-    raw = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    r = raw.where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
-    header = F.regexp_replace(F.substring_index("value", "\n", 1), r"\r$", "")
-    seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), SPACE, "")
-    f = r.select("file", F.regexp_extract(header, r"^(\S*)", 1).alias("seq_id"), header.alias("header"), seq.alias("seq"))
-    return f.where(F.length("seq") >= min_length)
+    """(file, seq_id, header, seq): records of FASTA files; sequences may span lines, and headers may hold `>`."""
+    return _records(spark.read.text(path)).where(F.length("seq") >= min_length)
 
 
 def fasta_folder(spark: SparkSession, path: str, glob: str = "*.fna") -> DataFrame:
     """FASTA records of all files below a folder whose names match; files that start with a dot are skipped."""
-    raw = spark.read.option("lineSep", ">").option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    r = raw.select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
-    return r.select("file", F.regexp_extract("value", r"^(\S*)", 1).alias("seq_id"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), SPACE, "").alias("seq"))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    return _records(raw).select("file", "seq_id", "seq")
 
 
 def single_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -57,9 +78,13 @@ def titles(spark: SparkSession, path: str, reads: int) -> DataFrame:
 
 
 def first_read_length(spark: SparkSession, path: str) -> int:
-    """The length of the first record of a file."""
-    row = fasta(spark, path).select(F.length("seq").alias("n")).first()
-    return row.n if row else 0
+    """The length of the first record of a file, 0 of an empty one. The lines behind its end are not joined or sorted."""
+    t = _in_blocks(spark.read.text(path)).withColumn("at", F.struct("f", "b", "line"))
+    starts = t.where(F.startswith("value", F.lit(">"))).select("at").orderBy("at").limit(2)
+    first = starts.agg(F.min("at")).scalar()
+    second = starts.agg(F.when(F.count(F.lit(1)) > 1, F.max("at"))).scalar()
+    body = t.where((F.col("at") > first) & (second.isNull() | (F.col("at") < second)))
+    return body.agg(F.coalesce(F.sum(F.length(F.regexp_replace("value", SPACE, ""))), F.lit(0))).first()[0]
 
 
 def tokens(spark: SparkSession, path: str, schema: str, sep: str = SPACE) -> DataFrame:
@@ -87,22 +112,27 @@ def longest(seq_tax: DataFrame) -> int:
 def regions(spark: SparkSession, path: str) -> DataFrame:
     """(seqid, start, end) from records `seqid n` followed by n pairs, on the same or on following lines, any number of records a file.
 
-    A token that is no number starts a record: its id; then the count; then the pairs. Each block of a file is numbered by itself; what
-    a block needs of the blocks before it is their number of tokens and their last id, one row each."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("line"), F.filter(F.split("value", SPACE), lambda x: x != "").alias("t"))
-    order = W.partitionBy("f", "b").orderBy("line", "pos")
-    e = lines.select("f", "b", "line", F.posexplode("t").alias("pos", "x")).withColumn("i", F.row_number().over(order).cast("long"))
-    e = e.withColumn("id", F.last(F.when(~F.col("x").rlike(r"^\d+$"), F.struct("i", "x")), ignorenulls=True).over(order))
-    block = e.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", "i").alias("tail"))
-    before = W.partitionBy("f").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    block = block.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.i") + F.col("from")).alias("at"), F.col(f"{c}.x").alias("seqid")))
-    block = block.withColumn("carried", F.last(moved("tail"), ignorenulls=True).over(before)).select("f", "b", "from", "carried")
-    e = e.join(block, ["f", "b"]).withColumn("r", F.coalesce(moved("id"), F.col("carried")))
-    e = e.withColumn("k", F.col("i") + F.col("from") - F.col("r.at")).where("k >= 2")
-    half = lambda odd: F.max(F.when(F.col("k") % 2 == odd, F.col("x").cast("int")))
-    g = e.groupBy("f", "r", F.floor((F.col("k") - 2) / 2).alias("p")).agg(half(0).alias("start"), half(1).alias("end"))
-    return g.where("end is not null").select("r.seqid", "start", "end")
+    Only the counts tell where records start, since ids may be numbers: a token followed by a count n leads to the token 2 n + 2 places on. Pointer jumping
+    from the first token of each file keeps the records that are reached, in a number of joins that grows with the logarithm of the records.
+    A record whose count is no number ends its file; pairs that the file does not hold are left out."""
+    with Scratch(spark) as space:
+        lines = _in_blocks(spark.read.text(path)).select("f", "b", "line", F.filter(F.split("value", SPACE), lambda x: x != "").alias("t"))
+        e = lines.select("f", "b", "line", F.posexplode("t").alias("pos", "x")).withColumn("i", F.row_number().over(W.partitionBy("f", "b").orderBy("line", "pos")).cast("long"))
+        block = e.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"))
+        block = block.select("f", "b", F.coalesce(F.sum("n").over(W.partitionBy("f").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        token = space.written(e.join(block, ["f", "b"]).select("f", (F.col("before") + F.col("i") - 1).alias("i"), "x"))
+        count = token.where(F.col("x").rlike(r"^\d{1,9}$")).select("f", (F.col("i") - 1).alias("i"), F.col("x").cast("long").alias("n"))
+        jump = space.written(token.join(count, ["f", "i"]).select("f", "i", (F.col("i") + 2 * F.col("n") + 2).alias("to")))
+        reached = token.where("i = 0").select("f", "i")
+        while not jump.isEmpty():
+            reached = space.written(reached.union(reached.join(jump, ["f", "i"]).select("f", F.col("to").alias("i"))))
+            jump = space.written(jump.join(jump.select("f", F.col("i").alias("to"), F.col("to").alias("far")), ["f", "to"]).select("f", "i", F.col("far").alias("to")))
+        record = token.join(reached, ["f", "i"]).join(count, ["f", "i"]).where("n > 0")
+        pair = record.select("f", "i", F.col("x").alias("seqid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("p"))
+        both = pair.select("f", "seqid", F.struct("i", "p").alias("pair"), F.explode(F.array(F.lit(0), F.lit(1))).alias("odd")).withColumn("i", F.col("pair.i") + 2 + 2 * F.col("pair.p") + F.col("odd"))
+        half = lambda odd: F.max(F.when(F.col("odd") == odd, F.col("x").try_cast("int")))
+        found = both.join(token, ["f", "i"]).groupBy("f", "pair", "seqid").agg(half(0).alias("start"), half(1).alias("end"))
+        return written(found.where("start is not null and end is not null").select("seqid", "start", "end"))
 
 
 def valid_regions(r: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -55,5 +55,14 @@ def cluster_file(members: DataFrame, path: str) -> None:
     lines(members.select("cluster", F.col("read_id").cast("long"), "line").unionByName(head), path, "line", "cluster", "read_id")
 
 
-def fasta_file(df: DataFrame, path: str, header: str, seq: str) -> None:
-    df.select(F.concat(F.lit(">"), F.col(header), F.lit("\n"), F.col(seq)).alias("r")).write.mode("overwrite").text(path)
+def fasta_file(df: DataFrame, path: str, header: str, seq: str, width: int | None = None) -> None:
+    """A header line and the sequence, in lines of `width` characters if given."""
+    body = F.col(seq) if width is None else F.concat_ws("\n", F.regexp_extract_all(seq, F.lit(f".{{1,{width}}}"), F.lit(0)))
+    df.select(F.concat(F.lit(">"), F.col(header), F.lit("\n"), body).alias("r")).write.mode("overwrite").text(path)
+
+
+def region_file(df: DataFrame, path: str) -> None:
+    """`seqid n` and a line `start end` for each of n regions; readers.regions reads it. df: (seqid, start, end), a bounded number for each seqid."""
+    pairs = F.array_sort(F.collect_list(F.struct("start", "end")))
+    r = df.groupBy("seqid").agg(pairs.alias("p")).select(F.concat_ws("\n", F.concat_ws(" ", "seqid", F.size("p")), F.transform("p", lambda x: F.concat_ws(" ", x["start"], x["end"]))).alias("r"))
+    r.write.mode("overwrite").text(path)

@@ -89,6 +89,50 @@ def test_regions_over_splits(spark, folder):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.fixture
+def small_blocks(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "61")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_headers_with_marks(spark, folder):
+    p = folder("a.fa", "no record\n>s1 A>G variant\r\nACGT\r\n>s2 >x > y\nAC\n GT>\n\n>s3\n>s4\nA\n")
+    want = [("s1", "s1 A>G variant", "ACGT"), ("s2", "s2 >x > y", "ACGT>"), ("s3", "s3", ""), ("s4", "s4", "A")]
+    assert rows(readers.fasta(spark, p).select("seq_id", "header", "seq")) == want
+    assert readers.first_read_length(spark, p) == 4
+    assert readers.first_read_length(spark, folder("e.fa", "")) == 0 and readers.fasta(spark, folder("f.fa", "x\n")).count() == 0
+    folder("d/a.fna", ">s1 A>G\nAC\nGT\n")
+    assert rows(readers.fasta_folder(spark, p.replace("a.fa", "d")).select("seq_id", "seq")) == [("s1", "ACGT")]
+
+
+def test_records_over_splits(spark, folder, small_blocks):
+    want, text = [], ""
+    for k in range(40):
+        lines = [("ACGT" * 9)[: (7 * k + i) % 33] for i in range(k % 9)]
+        want.append((f"r{k}", f"r{k} of > {k}", "".join(lines)))
+        text += f">r{k} of > {k}\n" + "".join(x + "\n" for x in lines)
+    p = folder("many/a.fa", text)
+    folder("many/b.fa", ">z\nAAA")
+    assert spark.read.text(p).rdd.getNumPartitions() > 20
+    assert rows(readers.fasta(spark, p).select("seq_id", "header", "seq")) == sorted(want)
+    assert rows(readers.fasta(spark, p.rsplit("/", 1)[0]).select("seq_id", "header", "seq")) == sorted([*want, ("z", "z", "AAA")])
+    assert readers.first_read_length(spark, p) == len(want[0][2])
+
+
+def test_numeric_region_ids(spark, folder, small_blocks):
+    assert rows(readers.regions(spark, folder("n/r", "12345 2\n1 10 3 5\n2 1 7 9\n5 0\n8 1 4"))) == [("12345", 1, 10), ("12345", 3, 5), ("2", 7, 9)]
+    assert readers.regions(spark, folder("n2/r", "")).count() == 0
+    assert rows(readers.regions(spark, folder("n3/r", "1 1 2 3\nx y 4 5\n"))) == [("1", 2, 3)]
+    want, text = [], ""
+    for k in range(50):
+        pairs = [(k + i, 2 * k + i) for i in range(k % 6)]
+        want += [(str(k), a, b) for a, b in pairs]
+        text += f"{k} {len(pairs)}\n" + "".join(f"{a} {b}\n" for a, b in pairs)
+    assert rows(readers.regions(spark, folder("n4/r", text))) == sorted(want)
+
+
 def test_params():
     assert Params().align_min == 95 and Params(read_len=50).align_min == 47 and Params(align_threshold=60).align_min == 60
 
