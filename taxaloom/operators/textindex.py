@@ -1,47 +1,13 @@
-"""Suffixes, common substrings and exact classification by k-mers."""
+"""Common k-mers and the classification of reads by k-mers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 
 
-def suffixes(texts: DataFrame, owner: str) -> DataFrame:
-    """(owner, rank, pos, suffix): suffixes in order, the empty suffix (the end mark) first. For bounded texts: a text of n characters has n + 1 rows."""
-    s = texts.select(owner, F.explode(F.transform(F.sequence(F.lit(0), F.length("s")), lambda i: F.struct(i.alias("pos"), F.substr("s", i + 1, F.length("s")).alias("suffix")))).alias("x"))
-    s = s.select(owner, F.col("x.pos").cast("long").alias("pos"), F.col("x.suffix").alias("suffix"))
-    return s.withColumn("rank", (F.row_number().over(W.partitionBy(owner).orderBy("suffix")) - 1).cast("long"))
-
-
-def bwt(texts: DataFrame, owner: str) -> DataFrame:
-    """(owner, bwt): the character before each suffix, the end mark $ before the whole text."""
-    s = suffixes(texts, owner).join(texts.select(owner, "s"), owner)
-    ch = F.when(F.col("pos") == 0, "$").otherwise(F.substr("s", F.col("pos").cast("int"), F.lit(1)))
-    return s.withColumn("ch", ch).groupBy(owner).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ch"))), lambda x: x["ch"]), "").alias("bwt"))
-
-
-def _longest(holds: Callable[[Column, Column], Column], most: Column) -> Column:
-    """The largest length up to most at which a property holds that every shorter length has too, in as many tests as the length
-    has binary digits: holds(at, size) tells whether it holds for at + size, given that it holds for at."""
-    steps = F.filter(F.array(*(F.lit(1 << b) for b in range(30, -1, -1))), lambda size: size <= most)
-    grow = lambda at, size: F.when((at + size <= most) & holds(at, size), at + size).otherwise(at)
-    return F.coalesce(F.aggregate(steps, F.lit(0), grow), F.lit(0))
-
-
-def lcp_depth(texts: DataFrame, owner: str) -> DataFrame:
-    """(owner, end_pos, depth): the longest common prefix with the preceding suffix, the largest for each end position, above 0."""
-    s = suffixes(texts, owner).withColumn("prev", F.lag("suffix").over(W.partitionBy(owner).orderBy("suffix")))
-    piece = lambda c, at, size: F.substr(c, at + 1, size)
-    lcp = _longest(lambda at, size: piece("suffix", at, size) == piece("prev", at, size), F.least(F.length("suffix"), F.length("prev")))
-    d = s.withColumn("depth", lcp.cast("long")).where("depth > 0")
-    return d.groupBy(owner, (F.col("pos") + F.col("depth") - 1).alias("end_pos")).agg(F.max("depth").alias("depth"))
-
-
 def common_kmers(texts: DataFrame, group: str, member: str, k: int) -> DataFrame:
     """(group, kmer): k-mers that every member of a group holds."""
     size = texts.groupBy(group).agg(F.count_distinct(member).alias("size"))
@@ -49,22 +15,6 @@ def common_kmers(texts: DataFrame, group: str, member: str, k: int) -> DataFrame
     return km.groupBy(group, "kmer").agg(F.count(F.lit(1)).alias("c")).join(size, group).where("c = size").select(group, "kmer")
 
 
-def common_substrings(texts: DataFrame, group: str, member: str, least: int) -> DataFrame:
-    """(group, pos, size): the places (from 0) in a group's first member where a substring of least or more characters that all its members
-    hold starts and cannot be made longer at either end. texts: (group, member, s), one row per member.
-
-    From a place, a substring that a member holds stays one when cut at its end, so its longest is searched by halving, by each member
-    alone; the shortest of them counts. For bounded texts."""
-    first = texts.groupBy(group).agg(F.min(F.struct(member, "s"))["s"].alias("__first"))
-    pair = texts.join(first, group).where(F.length("__first") >= least)
-    size = F.length("__first")
-    at = lambda p: _longest(lambda n, more: F.instr(F.col("s"), F.substr("__first", p + 1, n + more)) > 0, size - p)
-    reach = pair.select(group, F.posexplode(F.transform(F.sequence(F.lit(0), size - 1), at)).alias("pos", "size"))
-    reach = reach.groupBy(group, "pos").agg(F.min("size").alias("size"))
-    before = F.lag("size", 1, 0).over(W.partitionBy(group).orderBy("pos"))
-    return reach.withColumn("before", before).where((F.col("size") >= least) & (F.col("before") <= F.col("size"))).select(group, F.col("pos").cast("long").alias("pos"), F.col("size").cast("long").alias("size"))
-
-
 def classify_reads(reads: DataFrame, index: DataFrame, k: int, ext: int, more_than: int, owner: str) -> DataFrame:
     """(owner, n): distinct k-mers of a read that, with the ext characters before them (of the last occurrence), occur in more than more_than texts of the index."""
     w = index.select(owner, F.explode(F.array_distinct(S.kmers(F.col("s"), k + ext))).alias("long")).distinct()

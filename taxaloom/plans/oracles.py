@@ -208,6 +208,7 @@ ORACLES: dict[str, str] = {
     "cluster_best_fixed": f"WITH {BEST}, bs AS (SELECT source, item_id, CAST(sum(score) AS BIGINT) AS total, max(score) AS most FROM sc JOIN documents USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY most >= 20 DESC, CASE WHEN most >= 20 THEN most ELSE total END DESC, item_id) AS k FROM bs) SELECT source, item_id, CASE WHEN most >= 20 THEN most ELSE total END AS score FROM r WHERE k = 1",
 }
 ORACLES |= {
+    "set_substrings": f"WITH {B}, g AS (SELECT item_id // 4 AS genome, list(s) AS ss FROM b GROUP BY 1), p AS (SELECT genome, item_id, s AS f, ss, unnest(range(0, length(s))) AS pos FROM b JOIN g ON genome = item_id // 4), r AS (SELECT genome, item_id, pos, coalesce(list_max(list_filter(range(1, length(f) - pos + 1), lambda n: len(list_filter(ss, lambda x: NOT contains(x, substr(f, pos + 1, n)))) = 0)), 0) AS size FROM p), l AS (SELECT *, lag(size, 1, 0) OVER (PARTITION BY item_id ORDER BY pos) AS b FROM r) SELECT genome, item_id, pos, size FROM l WHERE size >= 3 AND b <= size",
     "fasta_file": f"WITH {B} SELECT item_id, item_id || ' >' || regexp_replace(text, '[^A-Za-z]', '>', 'g') AS header, s FROM b JOIN benchmark USING (item_id)",
     "region_file": "SELECT DISTINCT l_orderkey AS seqid, CAST(l_linenumber * 9 - 12 AS BIGINT) AS start, CAST(l_linenumber * 9 - 12 + CAST(l_quantity AS BIGINT) AS BIGINT) AS end FROM lineitem WHERE l_linenumber * 9 - 12 >= 0",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import cluster, genomes, graph, kmer, mapping, protein, report, stats, taxonomy, textindex
+from ..operators import cluster, genomes, graph, kmer, mapping, protein, report, stats, suffixes, taxonomy, textindex
 from ..params import Params
 from ..scratch import Scratch, written
 from ..sources import readers, sinks
@@ -452,11 +452,11 @@ def read_overlaps(spark, d):
 
 
 def suffix_array(spark, d):
-    return textindex.suffixes(targets(spark, d), "item_id").select("item_id", "rank", "pos")
+    return suffixes.suffix_order(targets(spark, d), "item_id")
 
 
 def bwt(spark, d):
-    return textindex.bwt(targets(spark, d), "item_id")
+    return suffixes.bwt(targets(spark, d), "item_id")
 
 
 def region_lookup_asof(spark, d):
@@ -473,11 +473,17 @@ def common_kmers_all(spark, d):
 
 def common_substrings(spark, d):
     t = targets(spark, d).withColumn("genome", F.floor(F.col("item_id") / 4).cast("long"))
-    return textindex.common_substrings(t, "genome", "item_id", 3)
+    return suffixes.set_substrings(t, "genome", "item_id", 3)
+
+
+def set_substrings(spark, d):
+    """In every target, the places of the longest substrings that all targets of its genome hold."""
+    t = targets(spark, d).withColumn("genome", F.floor(F.col("item_id") / 4).cast("long"))
+    return suffixes.set_substrings(t, "genome", "item_id", 3, everywhere=True)
 
 
 def lcp_depth_clean(spark, d):
-    return textindex.lcp_depth(targets(spark, d), "item_id")
+    return suffixes.lcp_depth(targets(spark, d), "item_id")
 
 
 def lcp_depth_summary(spark, d):

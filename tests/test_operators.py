@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from taxaloom.operators import cluster, graph, kmer, mapping, report, stats, taxonomy, textindex
+from taxaloom.operators import cluster, graph, kmer, mapping, report, stats, suffixes, taxonomy, textindex
 
 
 def rows(df):
@@ -77,8 +77,8 @@ def test_tree(spark):
 
 def test_suffixes_and_bwt(spark):
     t = spark.createDataFrame([(0, "ACA")], "k int, s string")
-    assert [r[2] for r in sorted(textindex.suffixes(t, "k").select("k", "rank", "pos").collect(), key=lambda r: r[1])] == [3, 2, 0, 1]
-    assert rows(textindex.bwt(t, "k")) == [(0, "AC$A")]
+    assert [r[2] for r in sorted(suffixes.suffix_order(t, "k").select("k", "rank", "pos").collect(), key=lambda r: r[1])] == [3, 2, 0, 1]
+    assert rows(suffixes.bwt(t, "k")) == [(0, "AC$A")]
     b = "AC$A"
     order = [""] * len(b)
     for _ in b:  # inverting gives the text back
@@ -138,7 +138,7 @@ def test_common_substrings(spark):
     for g, x in texts.items():
         size = [max(n for n in range(len(x[0]) - p + 1) if all(x[0][p : p + n] in s for s in x)) for p in range(len(x[0]))]
         want += [(g, p, n) for p, n in enumerate(size) if n >= 2 and (p == 0 or size[p - 1] <= n)]
-    assert rows(textindex.common_substrings(df, "g", "m", 2)) == sorted(want)
+    assert rows(suffixes.set_substrings(df, "g", "m", 2)) == sorted(want)
 
 
 def test_common_prefixes_of_suffixes(spark):
@@ -152,7 +152,7 @@ def test_common_prefixes_of_suffixes(spark):
             if n:
                 end = len(t) - len(b) + n - 1
                 want[i, end] = max(n, want.get((i, end), 0))
-    assert {(x.id, x.end_pos): x.depth for x in textindex.lcp_depth(df, "id").collect()} == want
+    assert {(x.id, x.end_pos): x.depth for x in suffixes.lcp_depth(df, "id").collect()} == want
 
 
 def test_pair_mapping(spark):
