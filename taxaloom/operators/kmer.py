@@ -18,6 +18,26 @@ def kmer_index(targets: DataFrame, k: int, *ids: str) -> DataFrame:
     return targets.select(*ids, F.explode(F.array_distinct(S.kmers(F.col("s"), k))).alias("kmer")).distinct()
 
 
+def suffix_index(targets: DataFrame, ks: list[int], *ids: str) -> DataFrame:
+    """Distinct (*ids, kmer) of all lengths ks of the forward strand, from one pass over the longest windows: a shorter k-mer is the front of the window
+    that starts where it does, and the windows at a sequence's end are as long as what is left. Lengths need no column, k-mers of different lengths differ."""
+    return targets.select(*ids, F.explode(_fronts(F.col("s"), ks)).alias("kmer")).distinct()
+
+
+def _fronts(s: Column, ks: list[int]) -> Column:
+    windows = S.kmers(F.concat(s, F.lit("$" * (max(ks) - min(ks)))), max(ks))
+    fronts = lambda w: F.array(*(F.substr(w, F.lit(1), F.lit(k)) for k in sorted(ks)))
+    return F.array_distinct(F.filter(F.flatten(F.transform(windows, fronts)), lambda x: ~F.contains(x, F.lit("$"))))
+
+
+def multi_pair_hits(owners: DataFrame, index: DataFrame, ks: list[int], *ids: str) -> DataFrame:
+    """Distinct (*ids, k, a, item columns): as pair_hits for every length of ks, with one pass over the owners and one join with one index (suffix_index)."""
+    smaller = F.array_distinct(F.transform(_fronts(F.col("s"), ks), lambda x: F.least(x, S.reverse_complement(x))))
+    probes = owners.select(*ids, F.explode(smaller).alias("a"))
+    probes = probes.select(*ids, "a", F.explode(F.array_distinct(F.array("a", S.reverse_complement(F.col("a"))))).alias("kmer"))
+    return probes.join(index, "kmer").withColumn("k", F.length("a").cast("long")).drop("kmer").distinct()
+
+
 def fragments(contigs: DataFrame, width: int, *ids: str) -> DataFrame:
     """(*ids, frag, s)."""
     f = contigs.select(*ids, F.explode(S.fragments(F.col("s"), width)).alias("f"))

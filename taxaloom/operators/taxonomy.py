@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import sequence as S
 from ..scratch import Scratch, written
 
 
@@ -53,6 +54,19 @@ def leaf_counts(edges: DataFrame) -> DataFrame:
     return c.where("dist > 0").join(leaves, "node").groupBy(F.col("above").alias("node")).agg(F.count(F.lit(1)).alias("leafnum"))
 
 
+def node_kmers(edges: DataFrame, sequences: DataFrame, k: int) -> DataFrame:
+    """(node, leaves, kmer): k-mers that every leaf below an inner node holds; leaves: their number. sequences: (node, s) of the leaves; one without a sequence holds none.
+
+    A leaf's distinct k-mers meet its ancestors, and are counted in the tasks before they are shuffled."""
+    up = closure(edges).where("dist > 0")
+    inner = edges.select(F.col("parent").alias("node")).distinct()
+    leaf = up.join(inner, "node", "left_anti").select("node", "above")
+    total = leaf.groupBy("above").agg(F.count(F.lit(1)).alias("leaves"))
+    held = sequences.select("node", F.explode(F.array_distinct(S.kmers(F.col("s"), k))).alias("kmer")).distinct()
+    n = leaf.join(held, "node").groupBy("above", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(total, "above").where("n = leaves").select(F.col("above").alias("node"), "leaves", "kmer")
+
+
 def leaf_parents(edges: DataFrame, least: int = 2) -> DataFrame:
     """(node, children, leaves): nodes with at least `least` children that are leaves."""
     inner = edges.select(F.col("parent").alias("child"), F.lit(1).alias("inner")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..scratch import Scratch, written
 
 
 def common_kmers(texts: DataFrame, group: str, member: str, k: int) -> DataFrame:
@@ -22,3 +23,27 @@ def classify_reads(reads: DataFrame, index: DataFrame, k: int, ext: int, more_th
     q = reads.select(owner, F.posexplode(S.kmers(F.col("s"), k + ext)).alias("pos", "long"))
     q = q.groupBy(owner, F.substring("long", ext + 1, k).alias("kmer")).agg(F.max(F.struct("pos", "long"))["long"].alias("long"))
     return q.join(frequent, "long").groupBy(owner).agg(F.count(F.lit(1)).alias("n"))
+
+
+def classify_extended(reads: DataFrame, index: DataFrame, k: int, ext: int, more_than: int, owner: str) -> DataFrame:
+    """(owner, n): distinct k-mers of a read that occur, with what fits of the ext characters before them, in more than more_than texts of the index.
+
+    A pattern starts as the k-mer (of its last occurrence in the read). Each character before it, from the nearest on, is put in front of the pattern if the index
+    holds the longer pattern, and is skipped if not. The index is a table of distinct patterns of k to k + ext characters with their numbers of
+    texts, of the k-mers of the reads only; a step is a join with it, and no k-mer's occurrences are gathered."""
+    with Scratch(reads.sparkSession) as space:
+        q = reads.select(owner, F.posexplode(S.kmers(F.concat(F.lit("^" * ext), "s"), k + ext)).alias("pos", "long"))
+        q = q.groupBy(owner, F.substring("long", ext + 1, k).alias("kmer")).agg(F.max(F.struct("pos", "long"))["long"].alias("long"))
+        asked = space.written(q.select(owner, "kmer", F.regexp_replace(F.substring("long", 1, ext), r"\^", "").alias("before")))
+        state = space.written(asked.select("kmer", "before").distinct().withColumn("pattern", F.col("kmer")))
+        windows = index.select(F.col(owner).alias("text"), F.explode(S.kmers(F.concat(F.lit("^" * ext), "s"), k + ext)).alias("w"))
+        windows = windows.join(state.select("kmer").distinct(), F.substring("w", ext + 1, k) == F.col("kmer"), "left_semi")
+        longer = F.filter(F.transform(F.sequence(F.lit(1), F.lit(ext + 1)), lambda i: F.substr("w", i, F.lit(k + ext))), lambda x: ~F.startswith(x, F.lit("^")))
+        held = space.written(windows.select("text", F.explode(longer).alias("pattern")).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("texts")))
+        known = held.select(F.col("pattern").alias("wider"))
+        for step in range(1, ext + 1):
+            at = F.length("before") - (step - 1)
+            wider = F.when(at >= 1, F.concat(F.substr("before", at, F.lit(1)), "pattern"))
+            state = space.written(state.withColumn("wider", wider).join(known.withColumn("there", F.lit(True)), "wider", "left").withColumn("pattern", F.when(F.col("there"), F.col("wider")).otherwise(F.col("pattern"))).select("kmer", "before", "pattern"))
+        frequent = state.join(held.where(F.col("texts") > more_than), "pattern").select("kmer", "before")
+        return written(asked.join(frequent, ["kmer", "before"]).groupBy(owner).agg(F.count(F.lit(1)).alias("n")))

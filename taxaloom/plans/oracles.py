@@ -207,7 +207,13 @@ ORACLES: dict[str, str] = {
     "cluster_k_scores": f"WITH {D}, {B}, {idx(8, 'i8')}, {idx(12, 'i12')}, {hits('d', 'doc_id', 8, 'ha', 'i8')}, {hits('d', 'doc_id', 12, 'hb', 'i12')}, n AS (SELECT doc_id, item_id, 8 AS k, count(*) AS n FROM ha GROUP BY ALL UNION ALL SELECT doc_id, item_id, 12, count(*) FROM hb GROUP BY ALL), s AS (SELECT source, item_id, CAST(k AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS total, max(n) AS m FROM n JOIN documents USING (doc_id) GROUP BY ALL) SELECT source, item_id, k, total, max(m) OVER (PARTITION BY source, item_id) AS best FROM s",
     "cluster_best_fixed": f"WITH {BEST}, bs AS (SELECT source, item_id, CAST(sum(score) AS BIGINT) AS total, max(score) AS most FROM sc JOIN documents USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY most >= 20 DESC, CASE WHEN most >= 20 THEN most ELSE total END DESC, item_id) AS k FROM bs) SELECT source, item_id, CASE WHEN most >= 20 THEN most ELSE total END AS score FROM r WHERE k = 1",
 }
+_MATRIX = f"{LIN}, mx AS (SELECT l_returnflag AS k, s_nationkey AS i, c_nationkey AS j, avg(l_extendedprice) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), lv AS (SELECT k, CAST(i AS BIGINT) AS genome, CAST(CASE WHEN x.l0 = y.l0 THEN 0 WHEN x.l1 = y.l1 THEN 1 ELSE 2 END AS BIGINT) AS level, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM mx JOIN lin x ON x.tid = i JOIN lin y ON y.tid = j GROUP BY ALL)"
+_CROSS = "nx AS (SELECT *, lead(mean) OVER g AS m2, lead(sd) OVER g AS s2, lead(n) OVER g AS n2 FROM lv WINDOW g AS (PARTITION BY k, genome ORDER BY level)), q AS (SELECT *, 1 / (2 * sd * sd) - 1 / (2 * s2 * s2) AS a, m2 / (s2 * s2) - mean / (sd * sd) AS b, mean * mean / (2 * sd * sd) - m2 * m2 / (2 * s2 * s2) + ln(CAST(n2 AS DOUBLE) * sd / (n * s2)) AS c FROM nx WHERE sd > 0 AND s2 > 0), r AS (SELECT *, CASE WHEN b * b - 4 * a * c >= 0 AND abs(a) >= 1e-12 THEN (-b - sqrt(b * b - 4 * a * c)) / (2 * a) END AS r1, CASE WHEN b * b - 4 * a * c >= 0 AND abs(a) >= 1e-12 THEN (-b + sqrt(b * b - 4 * a * c)) / (2 * a) WHEN abs(a) < 1e-12 AND b <> 0 THEN -c / b END AS r2 FROM q), up AS (SELECT nx.k, nx.genome, nx.level, nx.mean, CASE WHEN nx.m2 IS NOT NULL THEN coalesce(CASE WHEN r1 BETWEEN least(nx.mean, nx.m2) AND greatest(nx.mean, nx.m2) THEN r1 END, CASE WHEN r2 BETWEEN least(nx.mean, nx.m2) AND greatest(nx.mean, nx.m2) THEN r2 END, (nx.mean + nx.m2) / 2) END AS upper FROM nx LEFT JOIN r USING (k, genome, level))"
 ORACLES |= {
+    "node_kmers": f"WITH {B}, l AS (SELECT item_id, n_name, r_name FROM b JOIN nation ON n_nationkey = item_id % 25 JOIN region ON n_regionkey = r_regionkey), up AS (SELECT item_id, n_name AS node FROM l UNION ALL SELECT item_id, r_name FROM l UNION ALL SELECT CAST(NULL AS BIGINT), r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey NOT IN (SELECT item_id % 25 FROM b)), k AS (SELECT DISTINCT item_id, {km('s', 4)} AS kmer FROM b) SELECT node, any_value(leaves) AS leaves, kmer FROM (SELECT *, (SELECT count(*) FROM up x WHERE x.node = up.node) AS leaves FROM up) JOIN k USING (item_id) GROUP BY node, kmer HAVING count(*) = any_value(leaves)",
+    "learned_levels": f"WITH {_MATRIX} SELECT k, genome, level, n, round(mean, 4) AS mean, round(sd, 4) AS sd FROM lv",
+    "level_descent": f"WITH {_MATRIX}, {_CROSS}, b AS (SELECT k, genome, max(mean) FILTER (level = 0) AS a0, max(mean) FILTER (level = 1) AS a1, max(upper) FILTER (level = 0) AS u0, max(upper) FILTER (level = 1) AS u1 FROM up GROUP BY ALL), c AS (SELECT l_returnflag AS k, l_suppkey, CAST(any_value(s_nationkey) AS BIGINT) AS genome, round(avg(l_extendedprice), 2) AS score FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) SELECT k, l_suppkey, genome, score, CAST(CASE WHEN u0 IS NULL AND a0 IS NULL AND a1 IS NULL AND u1 IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM lv WHERE lv.k = c.k AND lv.genome = c.genome) THEN 2 ELSE 0 END WHEN score >= u0 THEN 0 WHEN score >= u1 THEN 1 ELSE 2 END AS BIGINT) AS by_boundary, CAST(CASE WHEN a0 IS NULL AND a1 IS NULL AND NOT EXISTS (SELECT 1 FROM lv WHERE lv.k = c.k AND lv.genome = c.genome) THEN 0 WHEN score >= a0 THEN 0 WHEN score >= a1 THEN CASE WHEN score >= a0 * 0.8::DOUBLE THEN 0 ELSE 1 END ELSE 2 END AS BIGINT) AS by_mean FROM c LEFT JOIN b USING (k, genome)",
+    "read_classify_extended": f"WITH RECURSIVE {D}, {B}, q AS (SELECT item_id, kmer, arg_max(before, i) AS before FROM (SELECT item_id, i, substr(s, i, 8) AS kmer, substr(s, greatest(i - 12, 1), least(i - 1, 12)) AS before FROM (SELECT item_id, s, unnest(range(1, length(s) - 6)) AS i FROM b)) GROUP BY ALL), w AS (SELECT doc_id, substr(s, greatest(i - 12, 1), least(i - 1, 12) + 8) AS w FROM (SELECT doc_id, s, unnest(range(1, length(s) - 6)) AS i FROM d) WHERE substr(s, i, 8) IN (SELECT kmer FROM q)), h AS (SELECT pattern, count(DISTINCT doc_id) AS texts FROM (SELECT doc_id, right(w, n) AS pattern FROM (SELECT doc_id, w, unnest(range(8, length(w) + 1)) AS n FROM w)) GROUP BY pattern), st AS (SELECT kmer, before, 0 AS t, kmer AS pattern FROM (SELECT DISTINCT kmer, before FROM q) UNION ALL SELECT kmer, before, t + 1, coalesce(h.pattern, st.pattern) FROM st LEFT JOIN h ON h.pattern = substr(before, length(before) - t, 1) || st.pattern AND t < length(before) WHERE t < 12) SELECT item_id, count(*) AS n FROM q JOIN st USING (kmer, before) JOIN h USING (pattern) WHERE t = 12 AND texts > 2 GROUP BY item_id",
     "set_substrings": f"WITH {B}, g AS (SELECT item_id // 4 AS genome, list(s) AS ss FROM b GROUP BY 1), p AS (SELECT genome, item_id, s AS f, ss, unnest(range(0, length(s))) AS pos FROM b JOIN g ON genome = item_id // 4), r AS (SELECT genome, item_id, pos, coalesce(list_max(list_filter(range(1, length(f) - pos + 1), lambda n: len(list_filter(ss, lambda x: NOT contains(x, substr(f, pos + 1, n)))) = 0)), 0) AS size FROM p), l AS (SELECT *, lag(size, 1, 0) OVER (PARTITION BY item_id ORDER BY pos) AS b FROM r) SELECT genome, item_id, pos, size FROM l WHERE size >= 3 AND b <= size",
     "fasta_file": f"WITH {B} SELECT item_id, item_id || ' >' || regexp_replace(text, '[^A-Za-z]', '>', 'g') AS header, s FROM b JOIN benchmark USING (item_id)",
     "region_file": "SELECT DISTINCT l_orderkey AS seqid, CAST(l_linenumber * 9 - 12 AS BIGINT) AS start, CAST(l_linenumber * 9 - 12 + CAST(l_quantity AS BIGINT) AS BIGINT) AS end FROM lineitem WHERE l_linenumber * 9 - 12 >= 0",

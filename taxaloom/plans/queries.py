@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import cluster, genomes, graph, kmer, mapping, protein, report, stats, suffixes, taxonomy, textindex
+from ..operators import cluster, genomes, graph, kmer, mapping, protein, report, stats, suffixes, taxonomy, textindex, thresholds
 from ..params import Params
 from ..scratch import Scratch, written
 from ..sources import readers, sinks
@@ -140,9 +140,15 @@ def kmer_hits_scoped(spark, d):
     return kmer.fractional_hits(scoped, ["doc_id"], ["item_id"]).withColumn("score", F.round("score", 6))
 
 
+def multi_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of whole texts at lengths 8 and 12, from one index."""
+    ks = [8, 12]
+    return kmer.multi_pair_hits(contigs(spark, d), kmer.suffix_index(targets(spark, d), ks, "item_id"), ks, "doc_id")
+
+
 def kmer_hits_multi_k(spark, d):
-    parts = [kmer.fractional_hits(whole_hits(spark, d, k), ["doc_id"], ["item_id"]).select("doc_id", "item_id", F.lit(k).cast("long").alias("k"), F.round("score", 6).alias("score")) for k in (8, 12)]
-    return parts[0].union(parts[1])
+    f = kmer.fractional_hits(multi_hits(spark, d), ["doc_id", "k"], ["item_id"])
+    return f.select("doc_id", "item_id", "k", F.round("score", 6).alias("score"))
 
 
 def fragment_flags(spark, d):
@@ -495,6 +501,12 @@ def read_classify(spark, d):
     return textindex.classify_reads(c, c, 12, 12, 5, "doc_id")
 
 
+def read_classify_extended(spark, d):
+    """Benchmark items as reads on the documents; of the 12 characters before a k-mer those count that the documents have there."""
+    c = contigs(spark, d).select(F.col("doc_id").alias("id"), "s")
+    return textindex.classify_extended(targets(spark, d).select(F.col("item_id").alias("id"), "s"), c, 8, 12, 2, "id").withColumnRenamed("id", "item_id")
+
+
 # Reports
 
 
@@ -558,6 +570,27 @@ def threshold_level(spark, d):
     return s.select("l_suppkey", "score", mapping.risen_level(F.col("score"), [0.055, 0.052, 0.05, 0.045]).cast("long").alias("level"))
 
 
+def _nation_matrix(spark, d):
+    """Mean prices of what suppliers of a nation sell to customers of another, as similarities of nations, a matrix for each way of return."""
+    li, o, c, s = (table(spark, d, x) for x in ("lineitem", "orders", "customer", "supplier"))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
+    return j.groupBy(F.col("l_returnflag").alias("k"), F.col("s_nationkey").cast("long").alias("i"), F.col("c_nationkey").cast("long").alias("j")).agg(F.avg("l_extendedprice").alias("value"))
+
+
+def learned_levels(spark, d):
+    t = thresholds.learned(_nation_matrix(spark, d), lineage(spark, d).withColumnRenamed("tid", "genome"), 3)
+    return t.select("k", "genome", F.col("level").cast("long").alias("level"), "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+
+
+def level_descent(spark, d):
+    """Suppliers' mean prices, descended along the levels learned for their nation."""
+    bounds = thresholds.boundaries(thresholds.learned(_nation_matrix(spark, d), lineage(spark, d).withColumnRenamed("tid", "genome"), 3), 3)
+    li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
+    mine = li.groupBy(F.col("l_returnflag").alias("k"), "l_suppkey").agg(F.round(F.avg("l_extendedprice"), 2).alias("score"))
+    c = mine.join(s, mine.l_suppkey == s.s_suppkey).select("k", "l_suppkey", F.col("s_nationkey").cast("long").alias("genome"), "score", F.lit(0).alias("level"))
+    return thresholds.descended(c, bounds, 3).drop("level")
+
+
 def rank_lineages(spark, d):
     """Lineages from a parent table: species (customer), genus (nation), family (region), root."""
     c, n, r = (table(spark, d, x) for x in ("customer", "nation", "region"))
@@ -583,6 +616,15 @@ def cluster_best(spark, d):
     return j.select("source", F.coalesce("item_id", F.lit(-1)).alias("item_id"), F.coalesce(F.col("item_id") % 25, F.lit(0)).alias("tid"), F.coalesce("score", F.lit(0)).alias("score"))
 
 
+def node_kmers(spark, d):
+    """4-mers that all targets below a region or nation hold; a target hangs below the nation of its number mod 25."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    t = targets(spark, d)
+    upper = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
+    leaf = t.withColumn("tid", F.col("item_id") % 25).join(n, F.col("tid") == n.n_nationkey).select(F.col("n_name").alias("parent"), F.col("item_id").cast("string").alias("child"))
+    return taxonomy.node_kmers(upper.union(leaf), t.select(F.col("item_id").cast("string").alias("node"), "s"), 4)
+
+
 def ignored_targets(spark, d):
     """Hits left when the targets of nations of the first region are on the ignore list."""
     ignore = table(spark, d, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").cast("long").alias("tid"))
@@ -606,6 +648,12 @@ def qmer_clusters(spark, d):
     return cluster.kmeans(v, 10, "profile", restarts=P.restarts).select("doc_id", "cluster")
 
 
+def qmer_spearman(spark, d):
+    """Documents clustered by the ranks of their q-mer shares, and clusters merged at the correlation of 0.97."""
+    v = cluster.qmer_vectors(contigs(spark, d), P.qmer, "doc_id")
+    return cluster.spearman_clusters(v, "doc_id", "profile", 10, P.merge_threshold, restarts=2)
+
+
 def iter_merge(spark, d):
     return cluster.iterative_merge(table(spark, d, "embeddings"), "embedding", 20, 0.5).select("vec_id", "cluster")
 
@@ -711,8 +759,8 @@ def best_species_by_set(spark, d):
 def cluster_k_scores(spark, d):
     """Per source, k and target, the sum of the documents' hits, and their maximum over every k."""
     docs = table(spark, d, "documents").select("doc_id", "source")
-    n = [kmer.unit_hits(whole_hits(spark, d, k), "doc_id", "item_id").withColumn("k", F.lit(k).cast("long")) for k in (8, 12)]
-    s = n[0].union(n[1]).join(docs, "doc_id").groupBy("source", "item_id", "k").agg(F.sum("n").alias("total"), F.max("n").alias("best"))
+    n = kmer.unit_hits(multi_hits(spark, d), "doc_id", "item_id", "k")
+    s = n.join(docs, "doc_id").groupBy("source", "item_id", "k").agg(F.sum("n").alias("total"), F.max("n").alias("best"))
     return s.withColumn("best", F.max("best").over(W.partitionBy("source", "item_id")))
 
 
