@@ -47,6 +47,11 @@ def virtual_contigs(contigs: DataFrame, group: str, owner: str, gap: int = 100)
     return contigs.groupBy(group).agg(joined_in_order(F.col(owner).cast("string"), F.col(owner), "_").alias("ids"), joined_in_order(F.col("s"), F.col(owner), "N" * gap).alias("seq"))
 
 
+def labelled_hits(hits: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(contig, species, gene): genes that hit a contig (contig, gene, identity) with an identity of least or more, with the species that the contig is labelled by (contig, species)."""
+    return hits.where(F.col("identity") >= least).join(labels, "contig").select("contig", "species", "gene")
+
+
 def gene_report(labelled: DataFrame, species: str, gene: str, least: int, top: int, listed: int = 20) -> DataFrame:
     """(species, n_genes, genes): species with at least `least` rows, by number of rows, the first `top`; the first `listed` distinct genes."""
     g = labelled.groupBy(species).agg(F.count(F.lit(1)).alias("n_genes"), F.array_join(F.slice(F.array_sort(F.collect_set(gene)), 1, listed), ",").alias("genes"))

@@ -65,6 +65,19 @@ def confusion_variants(rows: DataFrame, ref: str, weight: str, variants: dict[st
     return x.groupBy("variant", "ref", "pred", "correct").agg(F.sum("w").alias("n_reads"), F.count(F.lit(1)).alias("n_ctgs"))
 
 
+def nearest_split(rows: DataFrame, ref: str, pred: str, correct: str, nearest: str, weight: str) -> DataFrame:
+    """(nearest_right, ref, pred, correct, n_reads, n_ctgs): rows and the sums of their weights by levels, apart for those whose nearest neighbour agrees with the truth
+    at the reference level or below (nearest, the level at which it agrees, is at most ref) and the others."""
+    right = (F.col(nearest) <= F.col(ref)).alias("nearest_right")
+    return rows.groupBy(right, F.col(ref).alias("ref"), F.col(pred).alias("pred"), F.col(correct).alias("correct")).agg(F.sum(weight).alias("n_reads"), F.count(F.lit(1)).alias("n_ctgs"))
+
+
+def unassigned_ratio(split: DataFrame, top: int) -> DataFrame:
+    """(nearest_right, ref, unassigned): the share of reads that no level below `top` was predicted for."""
+    none = F.sum(F.when(F.col("pred") >= top, F.col("n_reads")).otherwise(0))
+    return split.groupBy("nearest_right", "ref").agg(F.try_divide(none, F.sum("n_reads")).alias("unassigned"))
+
+
 def log2_sums(owners: DataFrame, counts: DataFrame, owner: str, empty: float = 1e9) -> DataFrame:
     """(owner, log2_sum) of all owners; an owner without counts gets `empty`."""
     c = composition(counts, owner).select(owner, "log2_sum")

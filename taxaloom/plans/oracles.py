@@ -209,7 +209,11 @@ ORACLES: dict[str, str] = {
 }
 _MATRIX = f"{LIN}, mx AS (SELECT l_returnflag AS k, s_nationkey AS i, c_nationkey AS j, avg(l_extendedprice) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), lv AS (SELECT k, CAST(i AS BIGINT) AS genome, CAST(CASE WHEN x.l0 = y.l0 THEN 0 WHEN x.l1 = y.l1 THEN 1 ELSE 2 END AS BIGINT) AS level, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM mx JOIN lin x ON x.tid = i JOIN lin y ON y.tid = j GROUP BY ALL)"
 _CROSS = "nx AS (SELECT *, lead(mean) OVER g AS m2, lead(sd) OVER g AS s2, lead(n) OVER g AS n2 FROM lv WINDOW g AS (PARTITION BY k, genome ORDER BY level)), q AS (SELECT *, 1 / (2 * sd * sd) - 1 / (2 * s2 * s2) AS a, m2 / (s2 * s2) - mean / (sd * sd) AS b, mean * mean / (2 * sd * sd) - m2 * m2 / (2 * s2 * s2) + ln(CAST(n2 AS DOUBLE) * sd / (n * s2)) AS c FROM nx WHERE sd > 0 AND s2 > 0), r AS (SELECT *, CASE WHEN b * b - 4 * a * c >= 0 AND abs(a) >= 1e-12 THEN (-b - sqrt(b * b - 4 * a * c)) / (2 * a) END AS r1, CASE WHEN b * b - 4 * a * c >= 0 AND abs(a) >= 1e-12 THEN (-b + sqrt(b * b - 4 * a * c)) / (2 * a) WHEN abs(a) < 1e-12 AND b <> 0 THEN -c / b END AS r2 FROM q), up AS (SELECT nx.k, nx.genome, nx.level, nx.mean, CASE WHEN nx.m2 IS NOT NULL THEN coalesce(CASE WHEN r1 BETWEEN least(nx.mean, nx.m2) AND greatest(nx.mean, nx.m2) THEN r1 END, CASE WHEN r2 BETWEEN least(nx.mean, nx.m2) AND greatest(nx.mean, nx.m2) THEN r2 END, (nx.mean + nx.m2) / 2) END AS upper FROM nx LEFT JOIN r USING (k, genome, level))"
+_NEAREST = "WITH x AS (SELECT CAST(l_linenumber AS BIGINT) AS ref, CAST(l_quantity AS BIGINT) AS w, CAST(least(floor(l_quantity / 7), 7) AS BIGINT) AS pred, least(floor(l_discount * 100), 7) <= l_linenumber AS nearest_right, CAST(least(floor(l_tax * 100), 7) AS BIGINT) AS correct FROM lineitem)"
 ORACLES |= {
+    "confusion_nearest": f"{_NEAREST}, g AS (SELECT nearest_right, ref, pred, correct, CAST(sum(w) AS BIGINT) AS n_reads, count(*) AS n_ctgs FROM x GROUP BY ALL) SELECT *, round(CAST(coalesce(sum(n_reads) FILTER (pred >= 7) OVER p, 0) AS DOUBLE) / sum(n_reads) OVER p, 6) AS unassigned FROM g WINDOW p AS (PARTITION BY nearest_right, ref)",
+    "best_target_all": f"SELECT doc_id, CAST(coalesce(level, 7) AS BIGINT) AS level, coalesce(item_id, 0) AS item_id, coalesce(score, 0) AS score FROM documents LEFT JOIN ({ORACLES['best_target_by_lineage']}) USING (doc_id)",
+    "gene_species": f"WITH {ANN} SELECT lang AS species, item_id AS gene, count(*) AS contigs FROM an JOIN documents USING (doc_id) WHERE score >= 7 AND lang IS NOT NULL GROUP BY ALL",
     "node_kmers": f"WITH {B}, l AS (SELECT item_id, n_name, r_name FROM b JOIN nation ON n_nationkey = item_id % 25 JOIN region ON n_regionkey = r_regionkey), up AS (SELECT item_id, n_name AS node FROM l UNION ALL SELECT item_id, r_name FROM l UNION ALL SELECT CAST(NULL AS BIGINT), r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey NOT IN (SELECT item_id % 25 FROM b)), k AS (SELECT DISTINCT item_id, {km('s', 4)} AS kmer FROM b) SELECT node, any_value(leaves) AS leaves, kmer FROM (SELECT *, (SELECT count(*) FROM up x WHERE x.node = up.node) AS leaves FROM up) JOIN k USING (item_id) GROUP BY node, kmer HAVING count(*) = any_value(leaves)",
     "learned_levels": f"WITH {_MATRIX} SELECT k, genome, level, n, round(mean, 4) AS mean, round(sd, 4) AS sd FROM lv",
     "level_descent": f"WITH {_MATRIX}, {_CROSS}, b AS (SELECT k, genome, max(mean) FILTER (level = 0) AS a0, max(mean) FILTER (level = 1) AS a1, max(upper) FILTER (level = 0) AS u0, max(upper) FILTER (level = 1) AS u1 FROM up GROUP BY ALL), c AS (SELECT l_returnflag AS k, l_suppkey, CAST(any_value(s_nationkey) AS BIGINT) AS genome, round(avg(l_extendedprice), 2) AS score FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) SELECT k, l_suppkey, genome, score, CAST(CASE WHEN u0 IS NULL AND a0 IS NULL AND a1 IS NULL AND u1 IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM lv WHERE lv.k = c.k AND lv.genome = c.genome) THEN 2 ELSE 0 END WHEN score >= u0 THEN 0 WHEN score >= u1 THEN 1 ELSE 2 END AS BIGINT) AS by_boundary, CAST(CASE WHEN a0 IS NULL AND a1 IS NULL AND NOT EXISTS (SELECT 1 FROM lv WHERE lv.k = c.k AND lv.genome = c.genome) THEN 0 WHEN score >= a0 THEN 0 WHEN score >= a1 THEN CASE WHEN score >= a0 * 0.8::DOUBLE THEN 0 ELSE 1 END ELSE 2 END AS BIGINT) AS by_mean FROM c LEFT JOIN b USING (k, genome)",

@@ -435,6 +435,12 @@ def pe_merge(spark, d):
     return graph.merge_steps(_mates(spark, d), "pair", "mate", "user_id", length, ((0.04, False), (0.03, True), (0.025, True)), 140)
 
 
+def pe_merge_ordered(spark, d):
+    """As pe_merge, with the edges of a pass taken one after another."""
+    length = table(spark, d, "events").groupBy(F.col("user_id").alias("node")).agg(F.count(F.lit(1)).alias("length"))
+    return graph.merge_in_order(pe_edges(spark, d), length, ((0.04, False), (0.03, True), (0.025, True)), 140)
+
+
 def interval_merge(spark, d):
     start = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("ts"))
     e = table(spark, d, "events").select("user_id", start.alias("a")).withColumn("b", F.col("a") + 3_600_000_000)
@@ -795,6 +801,28 @@ def confusion_variants(spark, d):
     return stats.confusion_variants(li, "ref", "w", {"own": ("p", "c"), "nearest": ("q", "c")})
 
 
+def confusion_nearest(spark, d):
+    """Levels of lines by quantity and tax, apart for those whose discount level is at most the line's number."""
+    at = lambda x: F.least(F.floor(x), F.lit(7)).cast("long")
+    li = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("ref"), F.col("l_quantity").cast("long").alias("w"), at(F.col("l_quantity") / 7).alias("p"), at(F.col("l_discount") * 100).alias("q"), at(F.col("l_tax") * 100).alias("c"))
+    split = stats.nearest_split(li, "ref", "p", "c", "q", "w")
+    share = stats.unassigned_ratio(split, 7).withColumn("unassigned", F.round("unassigned", 6))
+    return split.join(share, ["nearest_right", "ref"])
+
+
+def best_target_all(spark, d):
+    """best_target_by_lineage of every document; target 0 at level 7 without one."""
+    best = best_target_by_lineage(spark, d)
+    return table(spark, d, "documents").select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("level", F.lit(7)).cast("long").alias("level"), F.coalesce("item_id", F.lit(0)).alias("item_id"), F.coalesce("score", F.lit(0)).alias("score"))
+
+
+def gene_species(spark, d):
+    """Targets by the language of the documents that they hit with a score of 7 or more, as genes by the species that contigs are labelled by."""
+    hits = annotate_contigs(spark, d).select(F.col("doc_id").alias("contig"), F.col("item_id").alias("gene"), F.col("score").alias("identity"))
+    labels = table(spark, d, "documents").where("lang is not null").select(F.col("doc_id").alias("contig"), F.col("lang").alias("species"))
+    return report.labelled_hits(hits, labels, 7).groupBy("species", "gene").agg(F.count(F.lit(1)).alias("contigs"))
+
+
 def pair_mapping(spark, d):
     """Pairs of events as mates: events of value 50 or more map to their user mod 10."""
     e = table(spark, d, "events").select(F.floor(F.col("event_id") / 2).alias("pair"), (F.col("event_id") % 2).alias("mate"), F.when(F.col("value") >= 50, F.col("user_id") % 10).alias("target"), F.floor("value").cast("long").alias("score"))

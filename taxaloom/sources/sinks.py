@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 
 def kmer_index(index: DataFrame, table: str, buckets: int, key: str = "kmer", mode: str = "overwrite") -> None:
     """A table bucketed and sorted by k-mer, so that joins on it need no shuffle of the index."""
     index.write.mode(mode).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
 
 
+def extend_kmer_index(new: DataFrame, table: str, buckets: int, key: str = "kmer") -> None:
+    """Add the rows of new genomes that a bucketed table does not hold yet; it stays bucketed. The rows to add are settled before the table is written to."""
+    with Scratch(new.sparkSession) as space:
+        held = new.sparkSession.table(table)
+        kmer_index(space.written(new.distinct().join(held, held.columns, "left_anti").select(held.columns)), table, buckets, key, "append")
+
+
 def tab_file(df: DataFrame, path: str, *order: str) -> None:
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("sep", "\t").csv(path)
 
