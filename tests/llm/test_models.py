@@ -281,3 +281,15 @@ def test_lm_gradient():
         down[0][at] -= 1e-3
         slope = loss(up) - loss(down)
         assert (moved[0][at] - params[0][at]) * slope < 0
+
+
+def test_lessons_are_bounded():
+    """What a part is trained on follows its different windows, not their counts; the weights hold the counts."""
+    r = np.random.default_rng(4)
+    code = np.unique(r.integers(0, 1 << 14, 1600).astype(np.uint64))
+    for many in (2, 2_000, 2_000_000, 2_000_000_000):
+        windows, weight = lm.lesson(code, np.full(len(code), many, np.int64))
+        assert len(windows) == len(weight) <= len(code) + lm.STEPS + 128 * 64
+        assert np.isclose(weight.sum(dtype=np.float64), many * len(code), rtol=1e-4)
+    once, _ = lm.lesson(code << np.uint64(8), np.full(len(code), 2, np.int64))  # every context has one window
+    assert len(once) == len(code)
