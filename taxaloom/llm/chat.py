@@ -13,7 +13,8 @@ doubled and `<|` becomes `<\\|`, so control strings never occur inside; a newlin
 loss mask is a list of (start, length) spans in code points: the texts of the assistant's turns.
 
 Null texts and roles read as empty, null turn numbers sort first, and equal turn numbers sort by role and text.
-Repeated rows are repeated turns. Conversations with a null id form one conversation.
+Repeated rows are repeated turns. Conversations with a null id form one conversation. An empty table gives no row.
+Records that already have a column that is added are refused; all other columns pass through.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import refuse_clash
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = "role string, text string"
 #: Records over this many bytes are parsed for their paths without their texts, as parsed values have limits (20,000,000 characters, 128 MiB).
@@ -81,6 +84,7 @@ LAYOUTS = [
 
 def canonical(records: DataFrame, record: str = "record", strict: bool = False) -> DataFrame:
     """All columns of records, fingerprint and turns. Where strict, as for records that were built here, a record without turns is an error."""
+    refuse_clash(records, "fingerprint", "turns")
     r = records.withColumn("fingerprint", fingerprint(F.col(record)))
     turns = F.lit(None).cast(f"array<struct<{TURN.replace(' string', ': string')}>>")
     for examples, mapping in LAYOUTS:
@@ -103,6 +107,7 @@ def unescaped(text: Column) -> Column:
 
 def formatted(turns: DataFrame) -> DataFrame:
     """All columns of turns (with `turns`), formatted and loss_mask."""
+    refuse_clash(turns, "formatted", "loss_mask")
     role = lambda t: F.replace(escaped(t["role"]), F.lit("\n"), F.lit("\\n"))
     piece = lambda t: F.struct(F.concat(F.lit(START), role(t), F.lit("\n")).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == "assistant").alias("learn"))
     d = turns.withColumn("__p", F.transform("turns", piece))

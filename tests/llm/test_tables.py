@@ -246,3 +246,12 @@ def test_chat_long_texts(spark):
     assert chat.canonical(broken).select("turns").first().turns is None
     with pytest.raises(Exception, match="can't be parsed"):
         chat.canonical(broken, strict=True).select("turns").collect()
+
+
+def test_chat_refuses_clashing_columns(spark):
+    df = spark.createDataFrame([('{"prompt":"a","response":"b"}', 1)], "record string, fingerprint int")
+    with pytest.raises(ValueError):
+        chat.canonical(df)
+    done = chat.canonical(df.withColumnRenamed("fingerprint", "formatted"))
+    with pytest.raises(ValueError):
+        chat.formatted(done)
