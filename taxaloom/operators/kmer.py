@@ -35,7 +35,7 @@ def multi_pair_hits(owners: DataFrame, index: DataFrame, ks: list[int], *ids: st
     smaller = F.array_distinct(F.transform(_fronts(F.col("s"), ks), lambda x: F.least(x, S.reverse_complement(x))))
     probes = owners.select(*ids, F.explode(smaller).alias("a"))
     probes = probes.select(*ids, "a", F.explode(F.array_distinct(F.array("a", S.reverse_complement(F.col("a"))))).alias("kmer"))
-    return probes.join(index, "kmer").withColumn("k", F.length("a").cast("long")).drop("kmer").distinct()
+    return probes.join(index, "kmer").withColumn("k", F.length("a").cast("long")).drop("kmer").repartition(*ids, "a").distinct()
 
 
 def fragments(contigs: DataFrame, width: int, *ids: str) -> DataFrame:
@@ -45,10 +45,12 @@ def fragments(contigs: DataFrame, width: int, *ids: str) -> DataFrame:
 
 
 def pair_hits(owners: DataFrame, index: DataFrame, k: int, *ids: str) -> DataFrame:
-    """Distinct (*ids, a, item columns): the targets that either strand of a distinct canonical pair meets. a names the pair."""
+    """Distinct (*ids, a, item columns): the targets that either strand of a distinct canonical pair meets. a names the pair.
+
+    Hits are dealt by owner and pair once; making them distinct and sharing a pair among its targets then need no further exchange."""
     pairs = owners.select(*ids, F.explode(S.canonical_pairs(F.col("s"), k)).alias("p"))
     probes = pairs.select(*ids, F.col("p.a").alias("a"), F.explode(F.array_distinct(F.array("p.a", "p.b"))).alias("kmer"))
-    return probes.join(index, "kmer").drop("kmer").distinct()
+    return probes.join(index, "kmer").drop("kmer").repartition(*ids, "a").distinct()
 
 
 def unit_hits(hits: DataFrame, *by: str) -> DataFrame:
@@ -58,7 +60,7 @@ def unit_hits(hits: DataFrame, *by: str) -> DataFrame:
 
 def fractional_hits(hits: DataFrame, owner: list[str], target: list[str]) -> DataFrame:
     """Each pair of an owner gives 1 / (number of its targets) to each of them."""
-    each = hits.withColumn("share", 1.0 / F.count(F.lit(1)).over(W.partitionBy(*owner, "a")))
+    each = hits.withColumn("share", 1.0 / F.count(F.lit(1)).over(W.partitionBy(*owner, "a")))  # dealt so by pair_hits
     return each.groupBy(*owner, *target).agg(F.sum("share").alias("score"))
 
 

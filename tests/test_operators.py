@@ -205,3 +205,14 @@ def test_cluster_report_holds_all_targets(spark, sf):
     rows = catalog.QUERIES["cluster_report_sum"](spark, sf).collect()
     by_source = {s: [r for r in rows if r.source == s] for s in {r.source for r in rows}}
     assert all({r.candidates for r in x} == {len(x)} for x in by_source.values()) and max(map(len, by_source.values())) > 10
+
+
+def test_hits_are_dealt_once(spark):
+    """Distinct hits and shares of a pair use one exchange by owner and pair; sums by target the second."""
+    owners = spark.createDataFrame([(0, "ACGTACGTTGCAACGT"), (1, "TTTTACGTACG")], "doc_id long, s string").repartition(3)
+    index = spark.createDataFrame([("ACGT", 5), ("CGTA", 5), ("TTGC", 6), ("ACGT", 7)], "kmer string, item_id long")
+    f = kmer.fractional_hits(kmer.pair_hits(owners, index, 4, "doc_id"), ["doc_id"], ["item_id"])
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 2
+    scores = {(r.doc_id, r.item_id): r.score for r in f.collect()}
+    assert math.isclose(sum(v for (d, _), v in scores.items() if d == 0), 3.0) and math.isclose(scores[0, 7], 0.5)
