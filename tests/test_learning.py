@@ -118,7 +118,7 @@ def test_spearman_clusters(spark):
     assert cluster.spearman_clusters(df.limit(0), "id", "v", 8, 0.97).count() == 0
 
 
-@pytest.mark.parametrize(("seed", "n", "small"), [(1, 40, 200_000), (2, 14, 3)])
+@pytest.mark.parametrize(("seed", "n", "small"), [(1, 40, 200_000), (2, 8, 3)])
 def test_ordered_merging(spark, monkeypatch, seed, n, small):
     monkeypatch.setattr(graph, "PART_EDGES", small)
     r = random.Random(seed)
