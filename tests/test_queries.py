@@ -21,6 +21,9 @@ def connection(sf):
 def same(spark_df, duck_df):
     a, b = spark_df.toPandas(), duck_df
     assert sorted(a.columns) == sorted(b.columns)
+    for c in b.columns:  # whole numbers with nulls: the oracle keeps them whole, toPandas makes them floats
+        if str(b[c].dtype) == "Int64":
+            a[c] = a[c].astype("Int64")
     text = lambda x: sorted(tuple("null" if pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in x[sorted(a.columns)].itertuples(index=False))
     assert text(a) == text(b)
 
