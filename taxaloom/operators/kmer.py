@@ -11,6 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from . import windows
+
+#: An index of at most this many rows is broadcast.
+LISTED = 500_000
 
 
 def kmer_index(targets: DataFrame, k: int, *ids: str) -> DataFrame:
@@ -30,12 +34,40 @@ def _fronts(s: Column, ks: list[int]) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(windows, fronts)), lambda x: ~F.contains(x, F.lit("$"))))
 
 
-def multi_pair_hits(owners: DataFrame, index: DataFrame, ks: list[int], *ids: str) -> DataFrame:
-    """Distinct (*ids, k, a, item columns): as pair_hits for every length of ks, with one pass over the owners and one join with one index (suffix_index)."""
-    smaller = F.array_distinct(F.transform(_fronts(F.col("s"), ks), lambda x: F.least(x, S.reverse_complement(x))))
-    probes = owners.select(*ids, F.explode(smaller).alias("a"))
-    probes = probes.select(*ids, "a", F.explode(F.array_distinct(F.array("a", S.reverse_complement(F.col("a"))))).alias("kmer"))
-    return probes.join(index, "kmer").withColumn("k", F.length("a").cast("long")).drop("kmer").repartition(*ids, "a").distinct()
+def pair_index(index: DataFrame, *targets: str) -> DataFrame:
+    """Distinct (*targets, a, share): a is a k-mer of the index or its opposite, so that an owner's canonical pair hits what its smaller k-mer alone meets here;
+    share: 1 / the number of targets of a, which are those that a pair's hit is shared among."""
+    both = index.select(*targets, F.explode(F.array_distinct(F.array("kmer", windows.opposite(F.col("kmer"))))).alias("a")).distinct()
+    return both.withColumn("share", 1.0 / F.count(F.lit(1)).over(W.partitionBy("a")))
+
+
+def shared_hits(owners: DataFrame, index: DataFrame, ks: list[int], ids: list[str], targets: list[str], repeated: bool | None = None) -> DataFrame:
+    """Distinct (*ids, a, *targets, share) of the lengths ks: as pair_hits, with each hit's share, without an exchange of the hits.
+
+    A row's pairs are made distinct within the row, where those that the index does not hold are left out; they are exchanged only if rows share their ids (repeated;
+    counted by default). Pairs meet the index by their smaller k-mer alone."""
+    held = pair_index(index, *targets)
+    if held.limit(LISTED + 1).count() <= LISTED:
+        held = F.broadcast(held)
+    probes = windows.canonical_pairs(owners, ids, ks, held.select(F.col("a").alias("kmer")).distinct())
+    if same_ids(owners, ids) if repeated is None else repeated:
+        probes = probes.distinct()
+    return probes.join(held, "a")
+
+
+def same_ids(owners: DataFrame, ids: list[str]) -> bool:
+    """Whether rows share their ids."""
+    return not owners.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def fragment_hits(contigs: DataFrame, index: DataFrame, k: int, width: int, owner: str, target: str) -> DataFrame:
+    """shared_hits of the fragments of contigs: (owner, frag, a, target, share)."""
+    return shared_hits(fragments(contigs, width, owner), index, [k], [owner, "frag"], [target], same_ids(contigs, [owner]))
+
+
+def sum_of_shares(hits: DataFrame, *by: str) -> DataFrame:
+    """fractional_hits of shared_hits."""
+    return hits.groupBy(*by).agg(F.sum("share").alias("score"))
 
 
 def fragments(contigs: DataFrame, width: int, *ids: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import cluster, genomes, graph, kmer, mapping, protein, report, stats, suffixes, taxonomy, textindex, thresholds
+from ..operators import cluster, genomes, graph, kmer, mapping, protein, report, stats, suffixes, taxonomy, textindex, thresholds, windows
 from ..params import Params
 from ..scratch import Scratch, written
 from ..sources import readers, sinks
@@ -43,11 +43,12 @@ def lineage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fragment_hits(spark: SparkSession, d: str) -> DataFrame:
-    return kmer.pair_hits(kmer.fragments(contigs(spark, d), P.frag_len, "doc_id"), index(spark, d), P.k, "doc_id", "frag")
+    return kmer.fragment_hits(contigs(spark, d), index(spark, d), P.k, P.frag_len, "doc_id", "item_id")
 
 
-def whole_hits(spark: SparkSession, d: str, k: int = P.k) -> DataFrame:
-    return kmer.pair_hits(contigs(spark, d), index(spark, d, k), k, "doc_id")
+def whole_scores(spark: SparkSession, d: str, which: str = "true") -> DataFrame:
+    """(doc_id, item_id, score): shares of whole texts' hits among the targets that `which` holds for."""
+    return kmer.sum_of_shares(kmer.shared_hits(contigs(spark, d), index(spark, d).where(which), [P.k], ["doc_id"], ["item_id"]), "doc_id", "item_id")
 
 
 def best_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +72,8 @@ def fragments(spark, d):
 
 
 def kmers_canonical(spark, d):
-    k = contigs(spark, d).select("doc_id", F.explode(S.canonical_pairs(F.col("s"), 8)).alias("p"))
-    return k.select("doc_id", "p.a", "p.b")
+    k = windows.canonical_pairs(contigs(spark, d), ["doc_id"], [8])
+    return k.select("doc_id", "a", windows.opposite(F.col("a")).alias("b"))
 
 
 def translate_six_frames(spark, d):
@@ -131,23 +132,22 @@ def kmer_hits_unit(spark, d):
 
 
 def kmer_hits_fractional(spark, d):
-    f = kmer.fractional_hits(whole_hits(spark, d), ["doc_id"], ["item_id"])
-    return f.withColumn("score", F.round("score", 6))
+    return whole_scores(spark, d).withColumn("score", F.round("score", 6))
 
 
 def kmer_hits_scoped(spark, d):
-    scoped = whole_hits(spark, d).where((F.col("item_id") % 25) % 5 == 0)
-    return kmer.fractional_hits(scoped, ["doc_id"], ["item_id"]).withColumn("score", F.round("score", 6))
+    return whole_scores(spark, d, "(item_id % 25) % 5 = 0").withColumn("score", F.round("score", 6))
 
 
 def multi_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits of whole texts at lengths 8 and 12, from one index."""
     ks = [8, 12]
-    return kmer.multi_pair_hits(contigs(spark, d), kmer.suffix_index(targets(spark, d), ks, "item_id"), ks, "doc_id")
+    hits = kmer.shared_hits(contigs(spark, d), kmer.suffix_index(targets(spark, d), ks, "item_id"), ks, ["doc_id"], ["item_id"])
+    return hits.withColumn("k", F.length("a").cast("long"))
 
 
 def kmer_hits_multi_k(spark, d):
-    f = kmer.fractional_hits(multi_hits(spark, d), ["doc_id", "k"], ["item_id"])
+    f = kmer.sum_of_shares(multi_hits(spark, d), "doc_id", "k", "item_id")
     return f.select("doc_id", "item_id", "k", F.round("score", 6).alias("score"))
 
 
@@ -265,7 +265,7 @@ def cluster_length_coverage(spark, d):
 
 def _score_union(spark, d):
     a = best_scores(spark, d).select("doc_id", "item_id", F.col("score").cast("double").alias("score"))
-    b = kmer.fractional_hits(whole_hits(spark, d), ["doc_id"], ["item_id"])
+    b = whole_scores(spark, d)
     u = a.unionByName(b).select("doc_id", (F.col("item_id") % 25).alias("tid"), "score").where("tid > 0")
     return u.groupBy("doc_id", "tid").agg(F.round(F.sum("score"), 6).alias("score"))
 
@@ -722,7 +722,7 @@ def read_mapping_strands(spark, d):
 
 
 def _contig_read_edges(spark, d):
-    scored = read_mapping_strands(spark, d).where("score >= 15").select("read_id")  # reads that map too badly link nothing
+    scored = written(read_mapping_strands(spark, d).where("score >= 15").select("read_id"))  # reads that map too badly link nothing
     reads = _reads(spark, d).join(scored, "read_id", "left_semi")
     return mapping.contig_read_edges(contigs(spark, d).select(F.col("doc_id").alias("ctg_id"), "s"), reads, P.k, 14)
 
@@ -755,7 +755,7 @@ def best_species_by_set(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
     tid = (F.col("item_id") % 25).alias("tid")
     hits = best_scores(spark, d).select("doc_id", tid, F.col("score").cast("double").alias("score"), F.lit("hits").alias("set"))
-    shares = kmer.fractional_hits(whole_hits(spark, d), ["doc_id"], ["item_id"]).select("doc_id", tid, "score", F.lit("shares").alias("set"))
+    shares = whole_scores(spark, d).select("doc_id", tid, "score", F.lit("shares").alias("set"))
     s = hits.union(shares).join(docs, "doc_id").groupBy("source", "set", "tid").agg(F.round(F.sum("score"), 6).alias("score"))
     one = lambda name: F.coalesce(F.max(F.when(F.col("set") == name, F.struct("score", (-F.col("tid")).alias("t"))))["t"] * -1, F.lit(0)).alias(f"by_{name}")
     every = docs.select("source").distinct().select("source", F.lit(None).cast("string").alias("set"), F.lit(None).cast("long").alias("tid"), F.lit(None).cast("double").alias("score"))

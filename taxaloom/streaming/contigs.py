@@ -13,7 +13,7 @@ from ..operators import kmer
 
 def annotate(contigs: DataFrame, index: DataFrame, k: int, width: int, least: int, owner: str, target: str) -> DataFrame:
     """(owner, target, score): the best fragment's number of distinct pairs, at or above least. The batch form, also run on each micro-batch."""
-    hits = kmer.pair_hits(kmer.fragments(contigs, width, owner), index, k, owner, "frag")
+    hits = kmer.fragment_hits(contigs, index, k, width, owner, target)
     n = kmer.unit_hits(hits, owner, "frag", target)
     return n.groupBy(owner, target).agg(F.max("n").alias("score")).where(F.col("score") >= least)
 
