@@ -40,6 +40,32 @@ def test_brute_force(spark, monkeypatch, piece, tile):
     assert {(x.u, x.v, x.d, x["match"], x.mismatch) for x in inside} == brute(a, b, 8, lambda i, j, m, n, d: d >= 0 and d + n <= m)
 
 
+@pytest.mark.parametrize(("held", "part", "step"), [(1 << 22, 1 << 20, 1 << 22), (1 << 22, 7, 50), (0, 0, 0)])
+def test_ways_agree(spark, monkeypatch, held, part, step):
+    """Broadcast and shuffled, whole and in parts: the same rows as brute force, with other characters and null too."""
+    for name, value in (("HELD", held), ("PART", part), ("STEP", step)):
+        monkeypatch.setattr(seeds, name, value)
+    r = random.Random(6)
+    unit = "".join(r.choices("ACGT", k=30))
+    a = [(i, "".join(r.choices("ACGT", k=r.randrange(0, 300))) + unit * r.randrange(0, 4) + "A" * r.randrange(0, 40)) for i in range(12)] + [(50, "ÑACGTNNACGTACGTÑÑACGNT"), (51, "\U0001d49e" + unit)]
+    b = [(j, (unit * 2)[r.randrange(20) : r.randrange(21, 55)] + "".join(r.choices("ACGT", k=r.randrange(0, 60)))) for j in range(20)]
+    b += [(20 + j, a[j][1][5:200]) for j in range(4)] + [(30, ""), (31, "ACG"), (32, "A" * 25), (33, "ACGTACGTÑÑACGNTC"), (34, "\U0001d49e" + unit[:20])]
+    one, two = spark.createDataFrame([*a, (60, None)], "u long, s string"), spark.createDataFrame([*b, (61, None)], "v long, s string").repartition(3)
+    got = seeds.seeded(one, two, ["u"], ["v"], 8).collect()
+    rows = [(x.u, x.v, x.d, x["match"], x.mismatch) for x in got]
+    assert len(rows) == len(set(rows)) and set(rows) == brute(a, b, 8, lambda *_: True)
+
+
+def test_small_side_shuffles_nothing(spark):
+    r = random.Random(2)
+    contigs = [(i, "".join(r.choices("ACGT", k=1000))) for i in range(50)]
+    reads = [(j, contigs[j % 50][1][j : j + 60]) for j in range(400)]
+    one, two = spark.createDataFrame(contigs, "ctg_id long, s string"), spark.createDataFrame(reads, "read_id long, s string")
+    before = shuffled(spark)
+    assert seeds.seeded(one, two, ["ctg_id"], ["read_id"], 12).where("match = 60").select("read_id").collect()
+    assert shuffled(spark) - before < 2000
+
+
 def test_both_strands(spark):
     r = random.Random(9)
     contigs = [(i, "".join(r.choices("ACGT", k=900))) for i in range(3)]
