@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.graph import region_of
 from ..scratch import Scratch, written
 
 SPACE = r"\s+"
+#: Tokens of a region file that are looked at together.
+UNIT = 8192
 
 
 def offsets(df: DataFrame, size: Column, name: str = "at") -> DataFrame:
@@ -109,30 +117,115 @@ def longest(seq_tax: DataFrame) -> int:
     return seq_tax.agg(F.coalesce(F.max("len"), F.lit(0))).first()[0]
 
 
+def _token_units(lines: DataFrame) -> DataFrame:
+    """(f, b, c, size, tokens, exits) of lines (f, b, t): runs of up to UNIT tokens of a block of a file, numbered from 0. A count n at a place leads to the count 2 n + 2 places on;
+    exits: for each place, how far beyond the unit's end the chain from there arrives, -1 if it ends before, at a token that is no count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, block, c, left = None, None, 0, pa.array([], pa.string())
+
+        def units(least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal c, left
+            while len(left) >= least and len(left):
+                t, left = left[:UNIT], left[UNIT:]
+                count, place = _counts(t), np.arange(len(t))
+                to = np.where(count >= 0, place + 2 * count + 2, -1)
+                while (inside := (to >= 0) & (to < len(t))).any():
+                    to[inside] = to[to[inside]]
+                exits = pa.ListArray.from_arrays([0, len(t)], pa.array(np.where(to >= 0, to - len(t), -1)))
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([c], pa.int64()), pa.array([len(t)], pa.int64()), pa.ListArray.from_arrays([0, len(t)], t), exits], names=["f", "b", "c", "size", "tokens", "exits"])
+                c += 1
+
+        for batch in batches:
+            f, b = pc.dictionary_encode(batch.column("f")), batch.column("b").to_numpy()
+            key = f.indices.to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (b[1:] != b[:-1])) + 1, [len(b)]]) if len(b) else np.zeros(1, np.int64)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                here = (batch.column("f")[lo].as_py(), int(b[lo]))
+                if here != (file, block):
+                    yield from units(1)
+                    (file, block), c = here, 0
+                left = pa.concat_arrays([left, batch.column("t").slice(lo, hi - lo).flatten()])
+                yield from units(UNIT)
+        yield from units(1)
+
+    return lines.select("f", "b", "t").mapInArrow(run, "f string, b long, c long, size long, tokens array<string>, exits array<long>")
+
+
+def _counts(tokens: pa.Array) -> np.ndarray:
+    """The tokens as counts, -1 if they are none."""
+    return pc.if_else(pc.match_substring_regex(tokens, "^[0-9]{1,9}$"), tokens, "-1").cast(pa.int64()).to_numpy(zero_copy_only=False).copy()
+
+
+def _read_units(units: DataFrame) -> DataFrame:
+    """(f, kind, i, n, seqid, start, end) of units (f, at, tokens, entry), entry being the place of the first count of a record in the unit, null if it has none: pairs of records that lie within
+    the unit (kind 0), counts n of the others with their places i (1), and the tokens (seqid) that the others may need, with their places i (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(f: str, kind: int, i: np.ndarray, n: np.ndarray, seqid: pa.Array, start: pa.Array, end: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f] * len(i), pa.string()), pa.array(np.full(len(i), kind, np.int32)), pa.array(i, pa.int64()), pa.array(n, pa.int64()), seqid, start, end], names=["f", "kind", "i", "n", "seqid", "start", "end"])
+
+        for batch in batches:
+            for f, at, entry, tokens in zip(batch.column("f").to_pylist(), batch.column("at").to_pylist(), batch.column("entry").to_pylist(), batch.column("tokens"), strict=True):
+                t = tokens.values
+                count = _counts(t).tolist()
+                found, j = [], len(t) if entry is None else entry - at
+                while j < len(t) and count[j] >= 0:
+                    found.append(j)
+                    j += 2 * count[j] + 2
+                j = np.array(found, np.int64)
+                n = np.array([count[x] for x in found], np.int64)
+                whole = (j > 0) & (j + 2 * n < len(t))
+                none = lambda k: pa.nulls(k, pa.string())
+                if whole.any():
+                    k, m = j[whole], n[whole]
+                    first, end = int(k[0]) - 1, int(k[-1] + 2 * m[-1]) + 1
+                    mine = np.repeat(k, m)
+                    pair = mine + 1 + 2 * (np.arange(len(mine)) - np.repeat(np.cumsum(m) - m, m))
+                    yield rows(f, 0, mine + at, np.repeat(m, m), t.take(pa.array(mine - 1)), t.take(pa.array(pair)), t.take(pa.array(pair + 1)))
+                else:
+                    first, end = len(t), len(t)
+                open_ = ~whole & (n > 0)
+                yield rows(f, 1, j[open_] + at, n[open_], *(none(int(open_.sum())) for _ in range(3)))
+                rest = np.unique(np.concatenate([np.arange(first), np.arange(end, len(t)), [len(t) - 1]]))
+                yield rows(f, 2, rest + at, np.zeros(len(rest), np.int64), t.take(pa.array(rest)), none(len(rest)), none(len(rest)))
+
+    return units.select("f", "at", "entry", "tokens").mapInArrow(run, "f string, kind int, i long, n long, seqid string, start string, end string")
+
+
 def regions(spark: SparkSession, path: str) -> DataFrame:
     """(seqid, start, end) from records `seqid n` followed by n pairs, on the same or on following lines, any number of records a file.
 
-    Only the counts tell where records start, since ids may be numbers: a token followed by a count n leads to the token 2 n + 2 places on. Pointer jumping
-    from the first token of each file keeps the records that are reached, in a number of joins that grows with the logarithm of the records.
+    Only the counts tell where records start, since ids may be numbers: a count n leads to the count 2 n + 2 places on. Tokens are cut into units, and each unit finds for
+    all of its places where the chain leaves it. So pointer jumping runs over units and the few places at which chains enter them, and not over tokens; then each unit that the file's
+    chain enters is read from there. Records that do not lie within a unit are put together by joins.
     A record whose count is no number ends its file; pairs that the file does not hold are left out."""
     with Scratch(spark) as space:
-        lines = _in_blocks(spark.read.text(path)).select("f", "b", "line", F.filter(F.split("value", SPACE), lambda x: x != "").alias("t"))
-        e = lines.select("f", "b", "line", F.posexplode("t").alias("pos", "x")).withColumn("i", F.row_number().over(W.partitionBy("f", "b").orderBy("line", "pos")).cast("long"))
-        block = e.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"))
-        block = block.select("f", "b", F.coalesce(F.sum("n").over(W.partitionBy("f").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        token = space.written(e.join(block, ["f", "b"]).select("f", (F.col("before") + F.col("i") - 1).alias("i"), "x"))
-        count = token.where(F.col("x").rlike(r"^\d{1,9}$")).select("f", (F.col("i") - 1).alias("i"), F.col("x").cast("long").alias("n"))
-        jump = space.written(token.join(count, ["f", "i"]).select("f", "i", (F.col("i") + 2 * F.col("n") + 2).alias("to")))
-        reached = token.where("i = 0").select("f", "i")
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.filter(F.split("value", SPACE), lambda x: x != "").alias("t"))
+        cut = space.written(_token_units(lines))
+        place = cut.select("f", "b", "c", "size").withColumn("end", F.sum("size").over(W.partitionBy("f").orderBy("b", "c")))
+        place = space.written(place.withColumn("u", F.row_number().over(W.partitionBy("f").orderBy("b", "c")).cast("long")).withColumn("at", F.col("end") - F.col("size")))
+        total = place.groupBy("f").agg(F.max("end").alias("total"))
+        leads = cut.select("f", "b", "c", F.explode(F.array_distinct("exits")).alias("e")).where("e >= 0").join(place, ["f", "b", "c"]).select("f", (F.col("end") + F.col("e")).alias("j"))
+        enters = leads.union(total.select("f", F.lit(1).cast("long").alias("j"))).distinct().join(total, "f").where("j < total").select("f", "j")
+        enters = space.written(region_of(enters, place, "f", "j", "end", "u"))
+        there = enters.join(place.select("f", "u", "b", "c", "at", "end"), ["f", "u"]).join(cut.select("f", "b", "c", "exits"), ["f", "b", "c"])
+        jump = space.written(there.select("f", "j", F.get("exits", (F.col("j") - F.col("at")).cast("int")).alias("e"), "end").where("e >= 0").select("f", "j", (F.col("end") + F.col("e")).alias("to")))
+        reached = total.select("f", F.lit(1).cast("long").alias("j"))
         while not jump.isEmpty():
-            reached = space.written(reached.union(reached.join(jump, ["f", "i"]).select("f", F.col("to").alias("i"))))
-            jump = space.written(jump.join(jump.select("f", F.col("i").alias("to"), F.col("to").alias("far")), ["f", "to"]).select("f", "i", F.col("far").alias("to")))
-        record = token.join(reached, ["f", "i"]).join(count, ["f", "i"]).where("n > 0")
-        pair = record.select("f", "i", F.col("x").alias("seqid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("p"))
+            reached = space.written(reached.union(reached.join(jump, ["f", "j"]).select("f", F.col("to").alias("j"))))
+            jump = space.written(jump.join(jump.select("f", F.col("j").alias("to"), F.col("to").alias("far")), ["f", "to"]).select("f", "j", F.col("far").alias("to")))
+        entry = enters.join(reached, ["f", "j"]).select("f", "u", F.col("j").alias("entry"))
+        units = cut.select("f", "b", "c", "tokens").join(place.select("f", "b", "c", "u", "at"), ["f", "b", "c"]).join(entry, ["f", "u"], "left")
+        read = space.written(_read_units(units))
+        token = read.where("kind = 2").select("f", "i", F.col("seqid").alias("x"))
+        count = read.where("kind = 1").join(total, "f").select("f", (F.col("i") - 1).alias("i"), F.least("n", F.ceil((F.col("total") - F.col("i")) / 2)).alias("n")).where("n > 0")
+        pair = token.join(count, ["f", "i"]).select("f", "i", F.col("x").alias("seqid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("p"))
         both = pair.select("f", "seqid", F.struct("i", "p").alias("pair"), F.explode(F.array(F.lit(0), F.lit(1))).alias("odd")).withColumn("i", F.col("pair.i") + 2 + 2 * F.col("pair.p") + F.col("odd"))
         half = lambda odd: F.max(F.when(F.col("odd") == odd, F.col("x").try_cast("int")))
-        found = both.join(token, ["f", "i"]).groupBy("f", "pair", "seqid").agg(half(0).alias("start"), half(1).alias("end"))
-        return written(found.where("start is not null and end is not null").select("seqid", "start", "end"))
+        found = both.join(token, ["f", "i"]).groupBy("f", "pair", "seqid").agg(half(0).alias("start"), half(1).alias("end")).select("seqid", "start", "end")
+        found = found.union(read.where("kind = 0").select("seqid", F.col("start").try_cast("int"), F.col("end").try_cast("int")))
+        return written(found.where("start is not null and end is not null"))
 
 
 def valid_regions(r: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -171,3 +173,32 @@ def test_stream_equals_batch(spark, tmp_path):
     q = contigs.stream(spark, str(tmp_path / "in"), "doc long, s string", index, lambda df, n: got.extend(map(tuple, df.collect())), str(tmp_path / "cp"), **how)
     q.awaitTermination(60)
     assert sorted(got) == rows(contigs.annotate(c, index, **how)) and got
+
+
+@pytest.mark.parametrize("unit", [3, 8192])
+def test_regions_in_units(spark, tmp_path, monkeypatch, unit):
+    """Region files read in units of any size, as a sequential reader reads them; chains are followed over units, not over tokens."""
+    from taxaloom.sources import readers
+
+    monkeypatch.setattr(readers, "UNIT", unit)
+    r = random.Random(unit)
+    want = []
+    for k in range(3):
+        tokens = []
+        for _ in range(30):
+            n = r.choice([0, 1, 2, 7])
+            tokens += [str(r.randrange(4)), str(n), *(str(r.randrange(9)) for _ in range(2 * n))]
+        tokens += [["7", "999999999", "1", "2", "3"], ["8", "x", "1", "2"], ["9"]][k]
+        i = 0
+        while i + 1 < len(tokens) and tokens[i + 1].isdigit():
+            n = int(tokens[i + 1])
+            body = tokens[i + 2 : i + 2 + 2 * n]
+            want += [(tokens[i], int(x), int(y)) for x, y in zip(body[::2], body[1::2], strict=False)]
+            i += 2 * n + 2
+        (tmp_path / f"{k}.txt").write_text("".join(t + r.choice([" ", "\n", " \n\n"]) for t in tokens))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256b")
+    try:
+        assert sorted(tuple(x) for x in readers.regions(spark, str(tmp_path)).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
