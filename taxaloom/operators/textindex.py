@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..scratch import Scratch, written
+from . import windows
+from .kmer import same_ids
 
 
 def common_kmers(texts: DataFrame, group: str, member: str, k: int) -> DataFrame:
@@ -17,7 +19,13 @@ def common_kmers(texts: DataFrame, group: str, member: str, k: int) -> DataFrame
 
 
 def classify_reads(reads: DataFrame, index: DataFrame, k: int, ext: int, more_than: int, owner: str) -> DataFrame:
-    """(owner, n): distinct k-mers of a read that, with the ext characters before them (of the last occurrence), occur in more than more_than texts of the index."""
+    """(owner, n): distinct k-mers of a read that, with the ext characters before them (of the last occurrence), occur in more than more_than texts of the index.
+
+    Windows travel as numbers, and are made distinct within their row, unless rows share an owner or windows are too long for a number."""
+    if k + ext <= windows.LONGEST and not same_ids(reads, [owner]) and not same_ids(index, [owner]):
+        w = windows.coded(index, [owner], k + ext, k + ext)
+        frequent = w.groupBy("code", "odd").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") > more_than).select("code", "odd")
+        return windows.coded(reads, [owner], k + ext, k).join(frequent, ["code", "odd"]).groupBy(owner).agg(F.count(F.lit(1)).alias("n"))
     w = index.select(owner, F.explode(F.array_distinct(S.kmers(F.col("s"), k + ext))).alias("long")).distinct()
     frequent = w.groupBy("long").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") > more_than).select("long")
     q = reads.select(owner, F.posexplode(S.kmers(F.col("s"), k + ext)).alias("pos", "long"))

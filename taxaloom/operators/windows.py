@@ -145,3 +145,32 @@ def canonical_pairs(sequences: DataFrame, ids: list[str], ks: list[int], near: D
                         yield rows(part, [r for r, _ in pairs], pa.array([x for _, x in pairs], pa.string()))
 
     return sequences.select(*ids, "s").mapInArrow(run, f"{columns(sequences, ids)}a string")
+
+
+def coded(sequences: DataFrame, ids: list[str], k: int, tail: int) -> DataFrame:
+    """(*ids, code, odd): windows of k characters of a row's s, of those with the same last `tail` characters the last one: as numbers, or as strings (odd, else '') where they have other
+    characters than A, C, G and T. k is at most LONGEST."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                values, starts = characters(part.column("s"))
+                digit = np.where(values < 128, DIGIT[np.minimum(values, 255).astype(np.uint8)], 4)
+                strange = np.concatenate([[0], np.cumsum(digit > 3)])
+                row, at = places(starts, k)
+                code = sliding(digit & 3, k, 2)[at].astype(np.int64)
+                plain = strange[starts[row + 1]] == strange[starts[row]]
+                end = code & (4**tail - 1)
+                order = np.lexsort((at[plain], end[plain], row[plain]))
+                r, c, e = row[plain][order], code[plain][order], end[plain][order]
+                last = np.append((r[1:] != r[:-1]) | (e[1:] != e[:-1]), True)[-len(r) :] if len(r) else np.zeros(0, bool)
+                other = {}
+                for q, p, n in zip(row[~plain].tolist(), at[~plain].tolist(), code[~plain].tolist(), strict=True):
+                    x = text_at(values, p, k)
+                    other[q, x[k - tail :]] = (0, x) if strange[p + k] > strange[p] else (n, "")
+                mine = np.concatenate([r[last], np.array([q for q, _ in other], np.int64)])
+                codes = np.concatenate([c[last], np.array([n for n, _ in other.values()], np.int64)])
+                odd = pa.array([""] * int(last.sum()) + [x for _, x in other.values()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(mine)) for i in ids), pa.array(codes), odd], names=[*ids, "code", "odd"])
+
+    return sequences.select(*ids, "s").mapInArrow(run, f"{columns(sequences, ids)}code long, odd string")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from taxaloom.operators import kmer, windows
+from taxaloom.operators import kmer, textindex, windows
 
 
 def opposite(x):
@@ -67,3 +67,22 @@ def test_shared_hits(spark):
 def test_opposite(spark):
     df = spark.createDataFrame([("ACGN",), ("AAx",)], "s string").select(windows.opposite(F.col("s")).alias("x"))
     assert [x.x for x in df.collect()] == ["NCGT", "xTT"]
+
+
+def test_classify_reads(spark):
+    """Windows as numbers: as plain Python, with other characters too."""
+    r = random.Random(4)
+    pool = ["".join(r.choices("ACGT", k=40)) for _ in range(4)]
+    rows = [(i, "".join(r.choices(pool, k=3)) + r.choice(["", "N", "ÑAC"]) + r.choice(pool)) for i in range(30)] + [(40, ""), (41, None), (42, "ACG")]
+    k, ext, more = 4, 5, 3
+    n, want = {}, {}
+    at = lambda s: [s[p : p + k + ext] for p in range(len(s or "") - k - ext + 1)]
+    for _, s in rows:
+        for w in set(at(s)):
+            n[w] = n.get(w, 0) + 1
+    for i, s in rows:
+        if c := sum(n[w] > more for w in {w[ext:]: w for w in at(s)}.values()):
+            want[i] = c
+    df = spark.createDataFrame(rows, "id long, s string")
+    assert {x.id: x.n for x in textindex.classify_reads(df, df, k, ext, more, "id").collect()} == want
+    assert dict(windows.coded(df, ["id"], k + ext, k).dtypes)["code"] == "bigint"
