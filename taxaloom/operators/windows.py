@@ -83,18 +83,23 @@ def text_at(values: np.ndarray, at: int, k: int) -> str:
     return "".join(map(chr, values[at : at + k]))
 
 
+def _bits(codes: DataFrame, slots: int) -> np.ndarray:
+    """A bit at c mod slots for every c of `codes`. At most 16 MB come to the driver."""
+    slot = F.pmod("c", F.lit(slots)) + 1
+    rows = codes.select(slot.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect()
+    bits = np.zeros(-(-slots // 32768) * 4096, np.uint8)
+    for r in rows:
+        bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits
+
+
 def known(kmers: DataFrame, k: int) -> tuple[np.ndarray, int]:
     """(bits, slots): a bit at code mod slots for every k-mer of A, C, G and T in `kmers` (column kmer, of k characters). At most 16 MB come to the driver."""
     n = kmers.count()
     slots = next((s for s in SLOTS if s >= 16 * n), SLOTS[-1])
     slots = 4**k if 4**k <= SLOTS[-1] else slots
-    code = F.conv(F.translate("kmer", "ACGT", "0123"), 4, 10).cast("long") % slots + 1
-    held = kmers.where(~F.col("kmer").rlike("[^ACGT]") & (F.length("kmer") == k)).select(code.alias("c"))
-    rows = held.groupBy(F.bitmap_bucket_number("c").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect()
-    bits = np.zeros(-(-slots // 32768) * 4096, np.uint8)
-    for r in rows:
-        bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return bits, slots
+    held = kmers.where(~F.col("kmer").rlike("[^ACGT]") & (F.length("kmer") == k))
+    return _bits(held.select(F.conv(F.translate("kmer", "ACGT", "0123"), 4, 10).cast("long").alias("c")), slots), slots
 
 
 def among(codes: np.ndarray, filter_: tuple[np.ndarray, int], k: int) -> np.ndarray:
@@ -174,3 +179,57 @@ def coded(sequences: DataFrame, ids: list[str], k: int, tail: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(mine)) for i in ids), pa.array(codes), odd], names=[*ids, "code", "odd"])
 
     return sequences.select(*ids, "s").mapInArrow(run, f"{columns(sequences, ids)}code long, odd string")
+
+
+def held(sequences: DataFrame, ids: list[str], patterns: DataFrame, kmers: tuple[np.ndarray, int], k: int) -> DataFrame:
+    """(*ids, pattern, texts): of the patterns (column pattern, distinct, of k to LONGEST characters) those that an s holds, with the number of rows that do: for every row by itself, or without ids for the
+    rows that a task looks at together. kmers: `known` of the last k characters of all patterns. Others that are held may come too."""
+    kinds = patterns.groupBy(F.length("pattern").alias("n"), F.col("pattern").rlike("[^ACGT]").alias("odd")).agg(F.count(F.lit(1)).alias("c")).collect()  # a row for each length
+    plain, odd = sorted(x.n for x in kinds if not x.odd), sorted(x.n for x in kinds if x.odd)
+    n = sum(x.c for x in kinds if not x.odd)
+    slots = next((s for s in SLOTS if s >= 16 * n), SLOTS[-1])
+    marked = F.conv(F.concat(F.lit("1"), F.translate("pattern", "ACGT", "0123")), 4, 10).cast("long")  # a leading 1 tells the lengths apart
+    bits = _bits(patterns.where(~F.col("pattern").rlike("[^ACGT]")).select(marked.alias("c")), slots)
+    shared = sequences.sparkSession.sparkContext.broadcast((bits, kmers))
+    longest = max(plain, default=k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, near = shared.value
+
+        def rows(part: pa.RecordBatch, mine: np.ndarray, pattern: pa.Array, texts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(mine)) for i in ids), pattern, pa.array(texts)], names=[*ids, "pattern", "texts"])
+
+        for batch in batches:
+            for part in slices(batch):
+                values, starts = characters(part.column("s"))
+                digit = np.where(values < 128, DIGIT[np.minimum(values, 255).astype(np.uint8)], 4).astype(np.uint8)
+                row = np.repeat(np.arange(len(part)), np.diff(starts))
+                depth = np.arange(len(row)) - starts[row] + 1
+                strange = np.concatenate([[0], np.cumsum(digit > 3)])
+                clean = depth if not strange[-1] else np.minimum(depth, np.arange(len(row)) - np.maximum.accumulate(np.where(digit > 3, np.arange(len(row)), -1)))
+                code = sliding(np.concatenate([np.zeros(longest - 1, np.uint8), digit & 3]), longest, 2)  # of the characters up to each place
+                at = np.flatnonzero(clean >= k)
+                at = at[among(code[at] & np.uint64(4**k - 1), near, k)]
+                code, clean, mine = code[at], clean[at], row[at]
+                for size in plain:
+                    long = clean >= size
+                    c = code[long] & np.uint64(4**size - 1)
+                    ok = among(c | np.uint64(4**size), (bits, slots), LONGEST)
+                    c, m = c[ok], mine[long][ok]
+                    if 2 * size + len(part).bit_length() <= 64:
+                        both = np.sort(m.astype(np.uint64) << np.uint64(2 * size) | c)
+                        c, m = both & np.uint64(4**size - 1), (both >> np.uint64(2 * size)).astype(np.int64)
+                    else:
+                        order = np.lexsort((c, m))
+                        c, m = c[order], m[order]
+                    new = np.append(True, (c[1:] != c[:-1]) | (m[1:] != m[:-1]))[: len(c)]
+                    c, m, texts = c[new], m[new], np.ones(int(new.sum()), np.int64)
+                    if not ids:
+                        c, texts = np.unique(c, return_counts=True)
+                    yield rows(part, m, spelled(c, size), texts)
+                for size in odd if strange[-1] else []:
+                    ends = np.flatnonzero((depth >= size) & (strange[1:] > strange[np.maximum(np.arange(len(row)) - size + 1, 0)]))
+                    pairs = sorted({(row[e], text_at(values, e - size + 1, size)) for e in ends.tolist()})
+                    yield rows(part, np.array([r for r, _ in pairs], np.int64), pa.array([x for _, x in pairs], pa.string()), np.ones(len(pairs), np.int64))
+
+    return sequences.select(*ids, "s").mapInArrow(run, f"{columns(sequences, ids)}pattern string, texts long")

@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 
 from taxaloom.functions import sequence as S
-from taxaloom.operators import cluster, graph, kmer, textindex, thresholds
+from taxaloom.operators import cluster, graph, kmer, textindex, thresholds, windows
 from taxaloom.sources import sinks
+from tests.test_windows import shuffled
 
 
 def test_descent(spark):
@@ -72,6 +73,46 @@ def test_extended_reads(spark):
     assert {x.id: x.n for x in out.collect()} == want and want
 
 
+def plain_extended(reads, texts, k, ext, more):
+    """texts: (owner, s), where rows may share an owner."""
+    owners = lambda x: len({i for i, t in texts if t and x in t})
+    want = {}
+    for j, s in reads:
+        n = 0
+        for x, before in {s[p : p + k]: s[max(p - ext, 0) : p] for p in range(len(s or "") - k + 1)}.items():
+            if owners(x):
+                for ch in reversed(before):
+                    x = ch + x if owners(ch + x) else x
+            n += owners(x) > more
+        if n:
+            want[j] = n
+    return want
+
+
+@pytest.mark.parametrize("k,ext,shared", [(4, 0, False), (4, 5, True), (6, 12, False), (8, 30, True)])
+def test_extended_reads_of_other_characters(spark, monkeypatch, k, ext, shared):
+    """Other characters than A, C, G and T, empty and null texts, rows that share their owner, small slices, and patterns too long for a number."""
+    monkeypatch.setattr(windows, "CHARS", 60)
+    r = random.Random(k + ext)
+    core = "".join(r.choices("ACGT", k=60)) + "ANCÑGNT" + "".join(r.choices("ACGT", k=40))
+    part = lambda p: "".join(c if r.random() > p else r.choice("TN") for c in core[r.randrange(60) : r.randrange(60, 107)])
+    texts = [(i % 20 if shared else i, part(0.05)) for i in range(40)] + [(90, ""), (91, None), (92, "AC")]
+    reads = [(j, part(0.1)) for j in range(15)] + [(50, ""), (51, None), (52, core[:3])]
+    out = textindex.classify_extended(spark.createDataFrame(reads, "id long, s string"), spark.createDataFrame(texts, "id long, s string").coalesce(2), k, ext, 3, "id")
+    want = plain_extended(reads, texts, k, ext, 3)
+    assert {x.id: x.n for x in out.collect()} == want and want
+
+
+def test_extended_reads_shuffle_little(spark):
+    """Windows of the index that no read asks for are not exchanged: 400 texts of 5,000 bases shuffle less than 0.4 bytes a base."""
+    r = random.Random(5)
+    texts = spark.createDataFrame([(i, "".join(r.choices("ACGT", k=5000))) for i in range(400)], "id long, s string")
+    reads = spark.createDataFrame([(1, "".join(r.choices("ACGT", k=300)))], "id long, s string")
+    before = shuffled(spark)
+    textindex.classify_extended(reads, texts, 8, 12, 2, "id").collect()
+    assert shuffled(spark) - before < 800_000
+
+
 def plain_spearman(vectors, starts, merge, rounds=20):
     def ranks(v):
         return np.array([sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in v])
