@@ -27,7 +27,7 @@ def let(value: Column, body) -> Column:
 
 def dna(text: Column) -> Column:
     """The A, C, G and T of a text, upper-cased."""
-    return F.regexp_replace(F.upper(text), "[^ACGT]", "")
+    return F.regexp_replace(F.upper(text), "[^ACGT]+", "")
 
 
 def reverse_complement(s: Column) -> Column:

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..scratch import Scratch, written
+from . import windows
 from .graph import components
+from .kmer import same_ids
 
 
 def qmer_profile(contigs: DataFrame, q: int, owner: str) -> DataFrame:
@@ -24,18 +26,20 @@ def qmer_profile(contigs: DataFrame, q: int, owner: str) -> DataFrame:
 
 
 def qmer_vectors(contigs: DataFrame, q: int, owner: str) -> DataFrame:
-    """(owner, profile): the share of every canonical q-mer among a contig's positions, in their order; contigs shorter than q have none."""
+    """(owner, profile): the share of every canonical q-mer among a contig's positions, in their order; contigs shorter than q have none. q-mers are counted in the row, and
+    only rows that share their owner are added up; q is at most 8 or so, since a profile has a place for each q-mer."""
     words = ["".join(w) for w in product("ACGT", repeat=q)]
     slots = sorted({min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA"))) for w in words})
-    n = qmer_profile(contigs, q, owner).groupBy(owner).agg(F.map_from_entries(F.collect_list(F.struct("qmer", "n"))).alias("n"), F.sum("n").alias("total"))
-    share = lambda x: F.coalesce(F.try_element_at("n", x), F.lit(0)) / F.col("total")
-    return n.select(owner, F.transform(F.array(*map(F.lit, slots)), share).alias("profile"))
+    n = windows.counted(contigs, [owner], q, slots)
+    if same_ids(contigs, [owner]):
+        n = n.groupBy(owner).agg(F.array(*(F.sum(F.get("n", F.lit(i))) for i in range(len(slots)))).alias("n"), F.sum("total").alias("total"))
+    return n.select(owner, F.transform("n", lambda x: x / F.col("total")).alias("profile"))
 
 
 def kmeans(vectors: DataFrame, k: int, vec: str, seed: int = 7, restarts: int = 1) -> DataFrame:
-    """vectors with `cluster`; of several restarts the one with the least cost."""
+    """vectors with `cluster`; of several restarts the one with the least cost. Vectors are dense and are compared with all centres in blocks."""
     x = vectors.withColumn("features", array_to_vector(F.col(vec).cast("array<double>")))
-    models = [KMeans(k=k, seed=seed + r, maxIter=20).fit(x) for r in range(restarts)]
+    models = [KMeans(k=k, seed=seed + r, maxIter=20, solver="block").fit(x) for r in range(restarts)]
     model = min(models, key=lambda m: m.summary.trainingCost)
     return model.transform(x).drop("features").withColumnRenamed("prediction", "cluster")
 

@@ -233,3 +233,30 @@ def held(sequences: DataFrame, ids: list[str], patterns: DataFrame, kmers: tuple
                     yield rows(part, np.array([r for r, _ in pairs], np.int64), pa.array([x for _, x in pairs], pa.string()), np.ones(len(pairs), np.int64))
 
     return sequences.select(*ids, "s").mapInArrow(run, f"{columns(sequences, ids)}pattern string, texts long")
+
+
+def counted(sequences: DataFrame, ids: list[str], q: int, slots: list[str]) -> DataFrame:
+    """(*ids, n, total): for every row with a window of q characters, how often each q-mer of `slots` or its opposite occurs, in their order, and the number of all windows."""
+    slot = np.zeros(4**q, np.int64)
+    for i, x in enumerate(slots):
+        for y in (x, x.translate(BACK)[::-1]):
+            slot[int(y.translate(str.maketrans("ACGT", "0123")), 4)] = i
+    most = max((1 << 22) // len(slots), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for wide in slices(batch):
+                for first in range(0, len(wide), most):
+                    part = wide.slice(first, most)
+                    values, starts = characters(part.column("s"))
+                    digit = np.where(values < 128, DIGIT[np.minimum(values, 255).astype(np.uint8)], 4)
+                    strange = np.concatenate([[0], np.cumsum(digit > 3)])
+                    row, at = places(starts, q)
+                    plain = strange[at + q] == strange[at]
+                    n = np.bincount(row[plain] * len(slots) + slot[sliding(digit & 3, q, 2)[at[plain]].astype(np.int64)], minlength=len(part) * len(slots)).reshape(len(part), -1)
+                    total = np.maximum(np.diff(starts) - q + 1, 0)
+                    mine = np.flatnonzero(total)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(mine) + 1) * len(slots), len(slots), dtype=np.int32)), pa.array(n[mine].ravel()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(mine)) for i in ids), lists, pa.array(total[mine])], names=[*ids, "n", "total"])
+
+    return sequences.select(*ids, "s").mapInArrow(run, f"{columns(sequences, ids)}n array<long>, total long")
